@@ -18,6 +18,7 @@ import re
 import sys
 import tempfile
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -66,9 +67,11 @@ LEXICON_SIZE = 65_536
 MIN_COUNT = 3
 #: Text bytes that a task holds as chunks at a time, and chunks that a task remembers.
 PART_BYTES = 8 << 20
-REMEMBERED = 200_000
-#: Longer words are merged with a heap.
+REMEMBERED = 400_000
+#: Longer words are merged with a heap, one by one.
 SHORT = 48
+#: Words of up to so many bytes are merged together, to bound the padding.
+BANDS = (6, 10, 16, 28, SHORT)
 
 
 def byte_letters() -> list[str]:
@@ -108,26 +111,80 @@ class Vocabulary:
         return Vocabulary([ids[c] for c in letters], merges, table, special)
 
 
-def merge(word: bytes, vocabulary: Vocabulary) -> list[int]:
-    """The exact merges of one word: always the lowest rank, of equal ones the leftmost."""
-    single, merges = vocabulary.single, vocabulary.merges
-    ids = [single[b] for b in word]
-    if len(ids) > SHORT:
-        return _merge_long(ids, merges)
-    get = merges.get
-    while len(ids) > 1:
-        best, at = None, -1
-        left = ids[0]
-        for i in range(1, len(ids)):
-            right = ids[i]
-            found = get(left << 32 | right)
-            if found is not None and (best is None or found[0] < best[0]):
-                best, at = found, i
-            left = right
-        if best is None:
-            break
-        ids[at - 1 : at + 1] = [best[1]]
-    return ids
+class Merger:
+    """The exact merges: always the pair of the lowest rank, of equal ones the leftmost.
+
+    ``merge_all`` merges many words at once: a row of a matrix for each, a pair of each row a round.
+    """
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.single = np.array(vocabulary.single, np.int64)
+        self.merges = vocabulary.merges
+        keys = np.fromiter(vocabulary.merges, np.int64, len(vocabulary.merges))
+        ranks = np.fromiter((r for r, _ in vocabulary.merges.values()), np.int64, len(keys))
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], ranks[order].astype(np.int32)
+        self.made = np.zeros(int(ranks.max(initial=-1)) + 1, np.int64)
+        self.made[ranks] = np.fromiter((n for _, n in vocabulary.merges.values()), np.int64, len(keys))
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(left.shape, self.NONE, np.int32)
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.NONE)
+
+    def _band(self, words: list[bytes], width: int) -> np.ndarray:
+        """Token ids of words of up to width bytes, a row each, -1 behind the end."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.full((len(words), width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < lens[:, None]] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        out = ids
+        rank = self._rank(ids[:, :-1], ids[:, 1:])
+        rows, columns = np.arange(len(words)), np.arange(width)
+        while len(rows):
+            at = rank.argmin(axis=1)
+            best = rank[np.arange(len(rows)), at]
+            more = best < self.NONE
+            if not more.all():
+                out[rows[~more]] = ids[~more]
+                rows, ids, rank, at, best = rows[more], ids[more], rank[more], at[more], best[more]
+                if not len(rows):
+                    break
+            each = np.arange(len(rows))
+            ids[each, at] = self.made[best]
+            ids[:, 1:-1] = np.take_along_axis(ids, columns[1:] + (columns[1:] > at[:, None]), 1)
+            ids[:, -1] = -1
+            rank[:, :-1] = np.take_along_axis(rank, columns[:-1] + (columns[:-1] >= at[:, None]), 1)
+            rank[:, -1] = self.NONE
+            rank[each, at] = self._rank(ids[each, at], ids[each, at + 1])
+            before = np.maximum(at - 1, 0)
+            left = self._rank(ids[each, before], ids[each, before + 1])
+            rank[each, before] = np.where(at > 0, left, rank[each, before])
+        return out
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lens): the tokens of word i are ids[starts[i] : starts[i] + lens[i]]."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        starts, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        parts, total, least = [], 0, 0
+        for width in BANDS:
+            own = np.flatnonzero((sizes > least) & (sizes <= width))
+            least = width
+            if len(own):
+                found = self._band([words[i] for i in own], width)
+                there = found >= 0
+                lens[own] = there.sum(axis=1)
+                starts[own] = total + np.cumsum(lens[own]) - lens[own]
+                parts.append(found[there].astype(np.uint32))
+                total += len(parts[-1])
+        for i in np.flatnonzero(sizes > SHORT):
+            parts.append(np.array(_merge_long([int(x) for x in self.single[list(words[i])]], self.merges), np.uint32))
+            starts[i], lens[i] = total, len(parts[-1])
+            total += len(parts[-1])
+        return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), starts, lens
 
 
 def _merge_long(ids: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
@@ -268,13 +325,30 @@ class Transducer:
         return out
 
 
-def chunks(text: str, splitter: re.Pattern | None) -> Iterable[list[str]]:
-    """Lists of chunks; every second list is one special token of the text."""
-    if splitter is None or splitter.search(text) is None:
-        yield CHUNK.findall(text)
-        return
-    for i, part in enumerate(splitter.split(text)):
-        yield [part] if i % 2 else CHUNK.findall(part)
+#: A space in the middle of a white-space run, or at its end before the end of the text.
+INNER_SPACE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\\Z)")
+
+
+def keys_of(text: str) -> list[str]:
+    """The chunks of a text, as keys: ``' ' + chunk``, or a chunk without the one space it begins with.
+
+    Where no space stands inside of a white-space run, cutting at spaces is as good as the pattern:
+    what follows a space begins a piece, and a run before a space is a piece of its own.
+    """
+    if INNER_SPACE.search(text) is None:
+        parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        return parts
+    return [" " + chunk for chunk in CHUNK.findall(text)]
+
+
+def chunk_of(key: str) -> str:
+    return key[1:] if key[:1] == " " else " " + key
+
+
+def pieces_of(chunk: str) -> list[str]:
+    """The pieces of a chunk; a word of letters alone is one piece."""
+    return [chunk] if chunk[chunk[:1] == " " :].isalpha() else PIECE.findall(chunk)
 
 
 def _splitter(special: Iterable[str]) -> re.Pattern | None:
@@ -282,69 +356,81 @@ def _splitter(special: Iterable[str]) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
 
+class _Numbers(dict):
+    """Numbers keys as they are asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The rows' slices of flat, one after the other."""
+    size = lens[rows]
+    ends = np.cumsum(size)
+    shift = np.repeat(starts[rows] - ends + size, size)
+    return flat[shift + np.arange(len(shift))]
+
+
 class Encoder:
     """Encodes the texts of one task."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer) -> None:
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.vocabulary, self.lexicon, self.merger = vocabulary, lexicon, Merger(vocabulary)
         self.splitter = _splitter(vocabulary.special)
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.new: list[str] = []
-        self.ids = np.empty(0, np.uint32)
-        self.starts, self.lens = np.empty(0, np.int64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        self.number = _Numbers()
+        # A key's pieces, and a piece's tokens: slices of flat arrays.
+        self.pieces, self.first, self.many = none, none, none
+        self.ids, self.starts, self.lens = np.array(self.lexicon.ids), none, none
 
     def _solve(self) -> None:
-        """Token ids of the chunks that are new since the last call."""
-        special = self.vocabulary.special
-        pieces: dict[str, int] = {}
-        spans = []
-        for chunk in self.new:
-            split = [chunk] if chunk in special else PIECE.findall(chunk)
-            spans.append([pieces.setdefault(p, len(pieces)) for p in split])
+        """Token ids of the keys that are new since the last call."""
+        pieces, flat, many = _Numbers(), [], []
+        for key in list(self.number)[len(self.first) :]:
+            split = pieces_of(chunk_of(key))
+            flat += map(pieces.__getitem__, split)
+            many.append(len(split))
+        self.many = np.concatenate([self.many, np.array(many, np.int64)])
+        self.first = np.cumsum(self.many) - self.many
+        self.pieces = np.concatenate([self.pieces, np.array(flat, np.int64) + len(self.starts)])
         words = [p.encode() for p in pieces]
         found = self.lexicon.lookup(words)
-        solved = []
-        for piece, word, n in zip(pieces, words, found.tolist(), strict=True):
-            if piece in special:
-                solved.append([special[piece]])
-            elif n >= 0:
-                solved.append(self.lexicon.ids[self.lexicon.offsets[n] : self.lexicon.offsets[n + 1]].tolist())
-            else:
-                solved.append(merge(word, self.vocabulary))
-        rows = [[x for p in span for x in solved[p]] for span in spans]
-        lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter((x for row in rows for x in row), np.uint32, int(lens.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lens) - lens])
-        self.lens = np.concatenate([self.lens, lens])
-        self.ids = np.concatenate([self.ids, flat])
-        self.new = []
+        unseen = np.flatnonzero(found < 0)
+        ids, starts, lens = self.merger.merge_all([words[i] for i in unseen])
+        own = self.lexicon.offsets
+        begin, size = np.array(own[found]), np.array(own[np.minimum(found + 1, len(own) - 1)] - own[found])
+        begin[unseen], size[unseen] = starts + len(self.ids), lens
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts, self.lens = np.concatenate([self.starts, begin]), np.concatenate([self.lens, size])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The token ids of each text."""
         if len(self.number) > REMEMBERED:
             self._forget()
-        number, new = self.number, self.new
-        out = []
+        number, special = self.number.__getitem__, self.vocabulary.special
+        rows = []
         for text in texts:
+            plain = self.splitter is None or self.splitter.search(text) is None
             row = []
-            for part in chunks(text, self.splitter):
-                for chunk in part:
-                    n = number.get(chunk)
-                    if n is None:
-                        n = number[chunk] = len(number)
-                        new.append(chunk)
-                    row.append(n)
-            out.append(np.array(row, np.int64))
+            for part in [text] if plain else self.splitter.split(text):
+                if not plain and part in special:
+                    row.append(special[part])
+                else:
+                    keys = keys_of(part)
+                    row.append(np.fromiter(map(number, keys), np.int64, len(keys)))
+            rows.append(row)
         self._solve()
-        for i, row in enumerate(out):
-            lens = self.lens[row]
-            ends = np.cumsum(lens)
-            shift = np.repeat(self.starts[row] - ends + lens, lens)
-            out[i] = self.ids[shift + np.arange(len(shift))]
-        return out
+        return [np.concatenate([self._tokens(part) for part in row]) for row in rows]
+
+    def _tokens(self, part: int | np.ndarray) -> np.ndarray:
+        if isinstance(part, int):
+            return np.array([part], np.uint32)
+        pieces = _gathered(self.pieces, self.first, self.many, part)
+        return _gathered(self.ids, self.starts, self.lens, pieces)
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
@@ -372,27 +458,25 @@ def frequent_words(docs: DataFrame, text_col: str = "text", special: Iterable[st
     names = list(special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen = _splitter(names), {}
+        splitter, seen = _splitter(names), Counter()
 
         def rows() -> pa.RecordBatch:
-            pieces: dict[str, int] = {}
-            for chunk, n in seen.items():
+            words = Counter()
+            for key, n in seen.items():
                 if n > 1:
-                    for p in PIECE.findall(chunk):
-                        pieces[p] = pieces.get(p, 0) + n
+                    for piece in pieces_of(chunk_of(key)):
+                        words[piece] += n
             seen.clear()
             return pa.RecordBatch.from_arrays(
-                [pa.array([p.encode() for p in pieces], pa.binary()), pa.array(list(pieces.values()), pa.int64())],
+                [pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())],
                 names=["word", "n"],
             )
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for i, part in enumerate(chunks(text, splitter)):
-                    if i % 2 == 0:
-                        for chunk in part:
-                            seen[chunk] = seen.get(chunk, 0) + 1
-                if len(seen) > 4 * REMEMBERED:
+                for part in [text] if splitter is None else splitter.split(text)[::2]:
+                    seen.update(keys_of(part))
+                if len(seen) > 2 * REMEMBERED:
                     yield rows()
         yield rows()
 
@@ -405,7 +489,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", special: Iterable[st
 def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
                   lexicon_size: int = LEXICON_SIZE, min_count: int = MIN_COUNT) -> bytes:
     words = frequent_words(docs, text_col, vocabulary.special, lexicon_size, min_count)
-    return Transducer.compile(words, [merge(w, vocabulary) for w in words])
+    ids, starts, lens = Merger(vocabulary).merge_all(words)
+    return Transducer.compile(words, [ids[a : a + n].tolist() for a, n in zip(starts, lens, strict=True)])
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
