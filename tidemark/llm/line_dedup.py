@@ -3,8 +3,10 @@
 Pages are grouped by host.  For each line the number of the host's pages that contain it is divided
 by the host's page total; lines above a ratio are boilerplate of that site and are dropped.
 
-A page contributes each of its lines once, and the counts are summed before the shuffle, so a line
-or a host with a third of all rows stays small.  Only lines over the ratio are joined back.
+A line of a host is known by the 128-bit MD5 of host and line, so texts don't move to be counted.  A
+page contributes each of its lines once, and the counts are summed before the shuffle, so a line or a
+host with a third of all rows stays small.  Only lines over the ratio are joined back; the texts move
+once, to meet the places of their dropped lines.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE_CLASS, text_of
+from tidemark.llm.shared import SPACE_CLASS, stored, text_of
 
 #: Tags that end a line of a page.
 BLOCK_TAGS = (
@@ -51,34 +53,31 @@ def site_line_dedup(
     """
     host = host_of("url") if host is None else host
     text = page_lines("html") if text is None else text
-    squeezed = F.transform(
-        F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE_CLASS + "+", " "))
-    )
+    squeezed = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, SPACE_CLASS + "+", " ")))
     rows = pages.select(
         F.col(id_col).alias("id"), host.alias("host"), F.filter(squeezed, lambda x: x != "").alias("lines")
     )
-    rows = rows.withColumn("row", F.xxhash64("lines"))
+    key = lambda x: F.unhex(F.md5(F.concat("host", F.lit("\n"), x)))
+    rows = stored(rows.select("*", F.transform("lines", key).alias("keys"), F.xxhash64("host", "lines").alias("row")), "lines")
     totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
     seen = (
-        rows.select("host", F.explode(F.array_distinct("lines")).alias("line"))
-        .groupBy("host", "line")
-        .agg(F.count("*").alias("pages"))
+        rows.select("host", F.explode(F.array_distinct("keys")).alias("key"))
+        .groupBy("key")
+        .agg(F.count("*").alias("pages"), F.min("host").alias("host"))
         .where(F.col("pages") >= min_pages)
     )
-    common = seen.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages"))
-    common = common.select("host", "line", F.lit(True).alias("common"))
-    each = rows.select("id", "host", "row", F.posexplode("lines").alias("idx", "line"))
-    judged = each.join(common, ["host", "line"], "left")
-    kept = judged.groupBy("id", "host", "row").agg(
-        F.collect_set(F.when(F.col("common").isNull(), F.struct("idx", "line"))).alias("kept")
-    )
-    one = rows.select("id", "host", "row", F.size("lines").cast("long").alias("n_lines"))
-    match = one["id"].eqNullSafe(kept["id"]) & (one["host"] == kept["host"]) & (one["row"] == kept["row"])
-    kept_lines = F.transform(F.array_sort(F.coalesce("kept", F.array())), lambda x: x["line"])
-    return one.join(kept, match, "left").select(
-        one["id"].alias(id_col),
-        one["host"],
-        "n_lines",
-        (F.col("n_lines") - F.greatest(F.lit(0), F.size("kept"))).cast("long").alias("n_dropped"),
-        F.coalesce(F.concat_ws("\n", kept_lines), F.lit("")).alias("text"),
+    common = seen.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages")).select("key")
+    each = rows.select("id", "row", F.posexplode("keys").alias("idx", "key"))
+    # A repeated row gives the same places again; the set takes them once.
+    gone = each.join(common, "key").groupBy("id", "row").agg(F.collect_set("idx").alias("gone"))
+    gone = gone.withColumnsRenamed({"id": "gone_id", "row": "gone_row"})
+    match = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row"))
+    judged = rows.drop("keys").join(gone, match, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
+    return judged.select(
+        F.col("id").alias(id_col),
+        "host",
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_dropped"),
+        F.array_join(kept, "\n").alias("text"),
     )
