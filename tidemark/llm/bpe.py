@@ -21,9 +21,11 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ LEXICON_SIZE = 65_536
 MIN_COUNT = 3
 #: Text bytes that a task holds as chunks at a time, and chunks that a task remembers.
 PART_BYTES = 8 << 20
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Longer words are merged with a heap, one by one.
 SHORT = 48
 #: Words of up to so many bytes are merged together, to bound the padding.
@@ -325,24 +327,28 @@ class Transducer:
         return out
 
 
-#: A space in the middle of a white-space run, or at its end before the end of the text.
-INNER_SPACE = re.compile(rf"[{WHITE}] (?:[{WHITE}]|\\Z)")
+#: In RE2's spelling: a space in the middle of a white-space run, or at its end before the end of the text.
+_WHITE_RE2 = re.sub(r"\\[xu]([0-9a-f]+)", r"\\x{\1}", WHITE)
+INNER_SPACE = rf"[{_WHITE_RE2}] (?:[{_WHITE_RE2}]|\z)"
 
 
-def keys_of(text: str) -> list[str]:
-    """The chunks of a text, as keys: ``' ' + chunk``, or a chunk without the one space it begins with.
+def cut_at_spaces(texts: pa.Array, special: Iterable[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(which, parts, offsets): the texts that may be cut at spaces, and their parts.
 
     Where no space stands inside of a white-space run, cutting at spaces is as good as the pattern:
-    what follows a space begins a piece, and a run before a space is a piece of its own.
+    what follows a space begins a piece, and a run before a space is a piece of its own.  All parts
+    but the first of a text have a space before them.
     """
-    if INNER_SPACE.search(text) is None:
-        parts = text.split(" ")
-        parts[0] = " " + parts[0]
-        return parts
-    return [" " + chunk for chunk in CHUNK.findall(text)]
+    slow = pc.match_substring_regex(texts, INNER_SPACE)
+    for name in special:
+        slow = pc.or_(slow, pc.match_substring(texts, name))
+    which = np.flatnonzero(~slow.to_numpy(zero_copy_only=False))
+    lists = pc.split_pattern(texts.take(pa.array(which)), " ")
+    return which, lists.flatten(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
 
 
 def chunk_of(key: str) -> str:
+    """Keys are ``' ' + chunk``, or a chunk without the one space that it begins with."""
     return key[1:] if key[:1] == " " else " " + key
 
 
@@ -383,20 +389,20 @@ class Encoder:
     def _forget(self) -> None:
         none = np.empty(0, np.int64)
         self.number = _Numbers()
-        # A key's pieces, and a piece's tokens: slices of flat arrays.
-        self.pieces, self.first, self.many = none, none, none
+        # A key's pieces, and a piece's tokens: slices of flat arrays; and the tokens of a key.
+        self.pieces, self.first, self.many, self.tokens = none, none, none, none
         self.ids, self.starts, self.lens = np.array(self.lexicon.ids), none, none
 
     def _solve(self) -> None:
         """Token ids of the keys that are new since the last call."""
+        new = list(islice(self.number, len(self.first), None))
+        special = self.vocabulary.special
         pieces, flat, many = _Numbers(), [], []
-        for key in list(self.number)[len(self.first) :]:
-            split = pieces_of(chunk_of(key))
+        for key in new:
+            chunk = chunk_of(key)
+            split = [chunk] if chunk in special else pieces_of(chunk)
             flat += map(pieces.__getitem__, split)
             many.append(len(split))
-        self.many = np.concatenate([self.many, np.array(many, np.int64)])
-        self.first = np.cumsum(self.many) - self.many
-        self.pieces = np.concatenate([self.pieces, np.array(flat, np.int64) + len(self.starts)])
         words = [p.encode() for p in pieces]
         found = self.lexicon.lookup(words)
         unseen = np.flatnonzero(found < 0)
@@ -404,84 +410,96 @@ class Encoder:
         own = self.lexicon.offsets
         begin, size = np.array(own[found]), np.array(own[np.minimum(found + 1, len(own) - 1)] - own[found])
         begin[unseen], size[unseen] = starts + len(self.ids), lens
+        for name in special.keys() & pieces.keys():
+            begin[pieces[name]], size[pieces[name]] = len(self.ids) + len(ids), 1
+            ids = np.append(ids, np.uint32(special[name]))
+        flat, many = np.array(flat, np.int64), np.array(many, np.int64)
+        ends = np.cumsum(many)
+        sums = np.concatenate([[0], np.cumsum(size[flat])])
+        self.tokens = np.concatenate([self.tokens, sums[ends] - sums[ends - many]])
+        self.first = np.concatenate([self.first, len(self.pieces) + ends - many])
+        self.many = np.concatenate([self.many, many])
+        self.pieces = np.concatenate([self.pieces, flat + len(self.starts)])
         self.ids = np.concatenate([self.ids, ids])
         self.starts, self.lens = np.concatenate([self.starts, begin]), np.concatenate([self.lens, size])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The token ids of each text."""
+    def _slow_keys(self, text: str) -> list[str]:
+        out = []
+        for i, part in enumerate(self.splitter.split(text) if self.splitter else [text]):
+            out += [" " + part] if i % 2 else [" " + chunk for chunk in CHUNK.findall(part)]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lens): the token ids of all texts in turn, and how many each has."""
         if len(self.number) > REMEMBERED:
             self._forget()
-        number, special = self.number.__getitem__, self.vocabulary.special
-        rows = []
-        for text in texts:
-            plain = self.splitter is None or self.splitter.search(text) is None
-            row = []
-            for part in [text] if plain else self.splitter.split(text):
-                if not plain and part in special:
-                    row.append(special[part])
-                else:
-                    keys = keys_of(part)
-                    row.append(np.fromiter(map(number, keys), np.int64, len(keys)))
-            rows.append(row)
+        number = self.number.__getitem__
+        which, parts, offsets = cut_at_spaces(texts, self.vocabulary.special)
+        coded = parts.dictionary_encode()
+        names = np.fromiter(map(number, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        fast = names[coded.indices.to_numpy()]
+        heads = parts.take(pa.array(offsets[:-1])).to_pylist()
+        fast[offsets[:-1]] = np.fromiter((number(" " + x) for x in heads), np.int64, len(heads))
+        rows: list[np.ndarray] = [fast[:0]] * len(texts)
+        for i, a, b in zip(which, offsets, offsets[1:], strict=False):
+            rows[i] = fast[a:b]
+        for i in np.setdiff1d(np.arange(len(texts)), which):
+            keys = self._slow_keys(texts[i].as_py())
+            rows[i] = np.fromiter(map(number, keys), np.int64, len(keys))
         self._solve()
-        return [np.concatenate([self._tokens(part) for part in row]) for row in rows]
-
-    def _tokens(self, part: int | np.ndarray) -> np.ndarray:
-        if isinstance(part, int):
-            return np.array([part], np.uint32)
-        pieces = _gathered(self.pieces, self.first, self.many, part)
-        return _gathered(self.ids, self.starts, self.lens, pieces)
+        lens = np.array([self.tokens[row].sum() for row in rows], np.int64)
+        keys = np.concatenate(rows) if rows else fast
+        pieces = _gathered(self.pieces, self.first, self.many, keys)
+        return _gathered(self.ids, self.starts, self.lens, pieces), lens
 
 
-def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
-    """The text of token ids; bytes that are no UTF-8 become U+FFFD."""
-    return b"".join(map(vocabulary.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
+def decode(ids: np.ndarray, table: np.ndarray) -> bytes:
+    """The bytes of token ids; table has the bytes of each id."""
+    return b"".join(table[ids].tolist())
 
 
 def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about so many bytes of text, a longer text alone."""
     for batch in batches:
-        sizes = np.array([len(x) for x in batch.column("text").to_pylist()], np.int64)
+        sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
         at = 0
         while at < len(sizes):
-            n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
-            yield batch.slice(at, n)
-            at += n
+            end = max(at + 1, int(np.searchsorted(sizes, most + (sizes[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", special: Iterable[str] = (),
                    lexicon_size: int = LEXICON_SIZE, min_count: int = MIN_COUNT) -> list[bytes]:
     """The corpus' most frequent words, sorted by their bytes: at most lexicon_size of them.
 
-    Counts cover all texts; a word counts where a task has seen it twice at least.
+    Counts cover all texts; the parts of some MB that a task reads each bring the words that are
+    frequent in them.
     """
     names = list(special)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen = _splitter(names), Counter()
-
-        def rows() -> pa.RecordBatch:
+        splitter = _splitter(names)
+        for batch in _parts(batches, 4 * PART_BYTES):
+            texts = batch.column("text")
+            which, parts, _ = cut_at_spaces(texts, names)
+            found = pc.value_counts(parts)
+            often = found.filter(pc.greater_equal(found.field("counts"), min_count))
             words = Counter()
-            for key, n in seen.items():
-                if n > 1:
-                    for piece in pieces_of(chunk_of(key)):
-                        words[piece] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())],
+            for key, n in zip(often.field("values").to_pylist(), often.field("counts").to_pylist(), strict=True):
+                for piece in pieces_of(chunk_of(key)):
+                    words[piece] += n
+            for i in np.setdiff1d(np.arange(len(texts)), which):
+                for part in (splitter.split(texts[i].as_py()) if splitter else [texts[i].as_py()])[::2]:
+                    words.update(PIECE.findall(part))
+            kept = {w: n for w, n in words.items() if n >= min_count}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([w.encode() for w in kept], pa.binary()), pa.array(list(kept.values()), pa.int64())],
                 names=["word", "n"],
             )
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                for part in [text] if splitter is None else splitter.split(text)[::2]:
-                    seen.update(keys_of(part))
-                if len(seen) > 2 * REMEMBERED:
-                    yield rows()
-        yield rows()
-
     counted = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    top = counted.groupBy("word").agg(F.sum("n").alias("n"))
     top = top.orderBy(F.desc("n"), "word").limit(lexicon_size)
     return sorted(bytes(r.word) for r in top.toLocalIterator())
 
@@ -509,12 +527,16 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, buffer = shared.value
         encoder = Encoder(vocabulary, Transducer.open(buffer))
+        table = np.array(vocabulary.bytes_of, object)
         for batch in _parts(batches, PART_BYTES):
-            rows = encoder.encode(batch.column("text").to_pylist())
-            columns = [batch.column("id"), pa.array([len(x) for x in rows], pa.int64()),
-                       pa.array([x.astype("<u4").tobytes() for x in rows], pa.binary())]
+            ids, lens = encoder.encode(batch.column("text"))
+            ends = np.cumsum(lens)
+            packed = ids.astype("<u4").tobytes()
+            columns = [batch.column("id"), pa.array(lens),
+                       pa.array([packed[4 * (b - n) : 4 * b] for b, n in zip(ends, lens, strict=True)], pa.binary())]
             if with_decoded:
-                columns.append(pa.array([decode(x, vocabulary) for x in rows], pa.string()))
+                texts = [decode(ids[b - n : b], table).decode("utf-8", "replace") for b, n in zip(ends, lens, strict=True)]
+                columns.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -526,12 +548,14 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The rows of encoded with the text of their packed ids; null ids give an empty text."""
     spark = session_of(encoded)
-    shared = spark.sparkContext.broadcast(Vocabulary.load(tokenizer_path))
+    shared = spark.sparkContext.broadcast(Vocabulary.load(tokenizer_path).bytes_of)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.array(shared.value, object)
         for batch in batches:
             at = batch.schema.get_field_index(ids_col)
-            texts = [decode(np.frombuffer(x or b"", "<u4"), shared.value) for x in batch.column(at).to_pylist()]
+            packed = [np.frombuffer(x or b"", "<u4") for x in batch.column(at).to_pylist()]
+            texts = [decode(x, table).decode("utf-8", "replace") for x in packed]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=[*batch.schema.names, out_col])
 

@@ -40,9 +40,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path())
-    decoded = bpe.bpe_decode(encoded, tokenizer_path())
-    return decoded.select(
+    coded = bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_decoded=True)
+    return coded.select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
