@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, html_text, line_dedup, pii, quality
+from tidemark.llm import bpe, decontaminate, exact_dedup, html_text, line_dedup, pii, quality, substring_dedup
 
 
 #: The vocabulary of the BPE queries.
@@ -39,6 +39,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.duplicate_factors(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_decoded=True)
     return coded.select(
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_decontamination": op4_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_bpe": op7_bpe,
         "op8_line_dedup": op8_line_dedup,
         "op10_html_extraction": op10_html_extraction,
