@@ -32,6 +32,10 @@ LAST = np.iinfo(np.int64).max
 #: Words that a task remembers the hashes of.
 REMEMBERED = 500_000
 
+#: A block has fewer documents than two to this power, and a partition fewer blocks, so that a row of
+#: the corpus is known by one integer: ``block << ROW_BITS | place in the block``.
+ROW_BITS = 20
+
 BLOCK_SCHEMA = "block long, ids array<long>, sizes binary, size long, text binary"
 
 
@@ -42,7 +46,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << ROW_BITS
         ids, texts, size = [], [], 0
 
         def row() -> pa.RecordBatch:
@@ -56,7 +60,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for batch in batches:
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if texts and size + len(text) > block_bytes:
+                if texts and (size + len(text) > block_bytes or len(texts) + 1 >> ROW_BITS):
                     yield row()
                     number, ids, texts, size = number + 1, [], [], 0
                 ids.append(i)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, html_text, line_dedup, pii, quality, substring_dedup
+from tidemark.llm import bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pii, quality, substring_dedup
 
 
 #: The vocabulary of the BPE queries.
@@ -55,6 +55,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.site_line_dedup(table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_components(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -113,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_bpe": op7_bpe,
         "op8_line_dedup": op8_line_dedup,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_html_extraction": op10_html_extraction,
     }
 
