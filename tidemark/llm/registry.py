@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, exact_dedup, html_text, jaccard_join, line_dedup, pii, quality, substring_dedup
+from tidemark.llm import (
+    bpe,
+    decontaminate,
+    exact_dedup,
+    html_text,
+    jaccard_join,
+    line_dedup,
+    lm_score,
+    pii,
+    quality,
+    substring_dedup,
+)
 
 
 #: The vocabulary of the BPE queries.
@@ -23,6 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -111,6 +126,7 @@ FROM k
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_quality": op2_quality,
         "op3_pii": op3_pii,
         "op4_decontamination": op4_decontamination,
