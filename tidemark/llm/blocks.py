@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,43 +35,94 @@ REMEMBERED = 500_000
 #: the corpus is known by one integer: ``block << ROW_BITS | place in the block``.
 ROW_BITS = 20
 
-BLOCK_SCHEMA = "block long, ids array<long>, sizes binary, size long, text binary"
+BLOCK_SCHEMA = "block long, ids array<long>, sizes binary, size long, text binary, rest binary"
 
 
-def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
+                whole: bool = False) -> DataFrame:
     """The documents as a stored table of blocks: their ids, byte lengths and compressed texts.
 
-    Being stored, a block keeps its number whatever is computed again.
+    Being stored, a block keeps its number whatever is computed again.  If whole is set, rest has the
+    other columns too, for :func:`rows_kept`.
     """
+    others = [c for c in docs.columns if c != text_col] if whole else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << ROW_BITS
-        ids, texts, size = [], [], 0
+        ids, texts, size, rest = [], [], 0, []
 
         def row() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in texts], np.int64)
-            packed = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
             return pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()),
-                 pa.array([size], pa.int64()), pa.array([packed], pa.binary())],
-                names=["block", "ids", "sizes", "size", "text"],
+                 pa.array([size], pa.int64()), pa.array([packed], pa.binary()),
+                 pa.array([_ipc(rest) if rest else None], pa.binary())],
+                names=["block", "ids", "sizes", "size", "text", "rest"],
             )
 
         for batch in batches:
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            begin = 0
+            more = batch.select(range(2, batch.num_columns))
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
                 if texts and (size + len(text) > block_bytes or len(texts) + 1 >> ROW_BITS):
+                    rest += [more.slice(begin, i - begin)] * whole
                     yield row()
-                    number, ids, texts, size = number + 1, [], [], 0
-                ids.append(i)
+                    number, ids, texts, size, rest, begin = number + 1, [], [], 0, [], i
+                ids.append(batch.column("id")[i].as_py())
                 texts.append(text)
                 size += len(text)
+            rest += [more.slice(begin)] * whole
         if texts:
             yield row()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"),
+        *(F.col(text_col).isNull().alias("none") for _ in range(whole)),
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)),
+    )
     return stored(rows.mapInArrow(scan, BLOCK_SCHEMA), "blocks", codec="uncompressed")
 
 
+def _ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def rows_kept(blocks: DataFrame, asked: DataFrame, like: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows, with all columns of like, that asked (block, asked: places) names in whole blocks."""
+    others = [c for c in like.columns if c != text_col]
+    names, width = like.columns, len(others)
+    order = [width if c == text_col else others.index(c) for c in names]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in rows_of(batch):
+                rest = pa.ipc.open_stream(row["rest"]).read_all().combine_chunks()
+                places = np.array(sorted(a["place"] for a in row["asked"]))
+                texts = texts_of(row)
+                none = rest.column("none").to_pylist()
+                kept = pa.array([None if none[p] else texts[p] for p in places], pa.binary()).cast(pa.string())
+                columns = [rest.column(f"c{i}").take(pa.array(places)) for i in range(width)] + [kept]
+                table = pa.Table.from_arrays([columns[i] for i in order], names=names)
+                yield from table.combine_chunks().to_batches()
+
+    return blocks.join(asked, "block").mapInArrow(scan, like.schema)
+
+
+def texts_of(row: dict, lower: bool = False) -> list[bytes]:
+    """The texts of a block row."""
+    sizes = np.frombuffer(row["sizes"], np.int64)
+    raw = zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(1, int(row["size"])))
+    raw = raw.lower() if lower else raw
+    ends = np.cumsum(sizes)
+    return [raw[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+
+
 def bucket_count(blocks: DataFrame) -> int:
     """So many buckets that one has the keys of about BUCKET_BYTES of text."""
     size = blocks.agg(F.sum("size")).first()[0] or 0
@@ -120,11 +170,7 @@ class Block:
 
 def read_block(row: dict, seen: WordHashes, lower: bool = False) -> Block:
     """A block row as numbered words: what stands between ASCII white space, lower-cased on wish."""
-    sizes = np.frombuffer(row["sizes"], np.int64)
-    raw = zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(1, int(row["size"])))
-    raw = raw.lower() if lower else raw
-    ends = np.cumsum(sizes)
-    texts = [raw[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+    texts = texts_of(row, lower)
     if len(seen) > REMEMBERED:
         seen.clear()
         seen.raw, seen.known = [], seen.known[:0]

@@ -68,8 +68,8 @@ PIECE = re.compile(
 LEXICON_SIZE = 65_536
 MIN_COUNT = 3
 #: Text bytes that a task holds as chunks at a time, and chunks that a task remembers.
-PART_BYTES = 8 << 20
-REMEMBERED = 600_000
+PART_BYTES = 4 << 20
+REMEMBERED = 400_000
 #: Longer words are merged with a heap, one by one.
 SHORT = 48
 #: Words of up to so many bytes are merged together, to bound the padding.

@@ -137,9 +137,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The kept (id, hash) pairs are joined back; rows that repeat id and text come down to one.
     """
+    key = lambda i, sha: F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), sha))
     verdict = exact_dedup(docs, id_col, text_col).where("kept")
-    verdict = verdict.select(F.col(id_col).alias("_td_id"), F.col("text_sha256").alias("_td_kept"))
-    keyed = docs.withColumn("_td_sha", F.sha2(normalised(text_col), 256))
-    match = (F.col("_td_sha") == F.col("_td_kept")) & F.col(id_col).eqNullSafe(F.col("_td_id"))
-    kept = keyed.join(verdict, match, "left_semi")
-    return kept.dropDuplicates([id_col, "_td_sha"]).drop("_td_sha")
+    verdict = verdict.select(key(F.col(id_col), F.col("text_sha256")).alias("_td_key"))
+    keyed = docs.withColumn("_td_key", key(F.col(id_col), F.sha2(normalised(text_col), 256)))
+    # One key for both, so that the second step finds the rows where the join has brought them.
+    return keyed.join(verdict, "_td_key", "left_semi").dropDuplicates(["_td_key"]).drop("_td_key")

@@ -362,37 +362,51 @@ def _links(table: DataFrame, clusters: DataFrame, width: int, t: Threshold, task
     return sent.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("part")).applyInArrow(join, EDGE)
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3,
-                       num: int = 9, den: int = 10, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
-    """One row per document: node, id, n_shingles, component_id, first (whether it stays as the one of its group).
-
-    Texts are lower-cased (A-Z) and cut at ASCII white space; a text's set are its distinct shingles of
-    width words, or all its words as one shingle if it has fewer.  Two texts are linked when den times
-    the intersection is num times the union at least; component_id is the least id that links reach.
-    Null and empty texts have no shingles and no links, their component is their own id.  A null id
-    counts as no id for component_id; repeated rows are copies of each other.  Of each component the
-    row of the least id stays, of several such rows the first in the table.  Other columns are not
-    read; an empty table gives an empty result.
-    """
-    t = Threshold(num, den)
-    table = B.pack_blocks(docs, id_col, text_col, block_bytes)
+def _components(table: DataFrame, width: int, t: Threshold) -> DataFrame:
+    """(node, id, n, best): every row of the blocks, and the first row (null, id, node) of its component."""
     buckets = B.bucket_count(table)
     scanned = _scan(table, width)
     rows = scanned.where("node is not null").select("node", "id", "n", "key")
     # Equal sets are one node, that of their first row.
     least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "node"))
-    classes = stored(rows.where("key is not null").groupBy("key").agg(F.min("node").alias("node"), least.alias("least")), "classes")
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("node").alias("node"), least.alias("least"))
+    classes = stored(classes, "classes")
     edges = _candidate_edges(table, classes.select("node"), _frequencies(scanned), width, t, buckets)
     clusters = stored(connected_components(edges), "clusters")
-    tasks = max(buckets, 4 * shuffle_partitions(session_of(docs)))
+    tasks = max(buckets, 4 * shuffle_partitions(session_of(table)))
     links = connected_components(_links(table, clusters, width, t, tasks))
     roots = classes.join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
     best = roots.groupBy("root").agg(F.min("least").alias("best"))
     known = roots.join(best, "root").select("key", "best")
-    return rows.join(known, "key", "left").select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("best.id", "id").alias("component_id"),
-        "node",
-        (F.col("best").isNull() | (F.col("best.node") == F.col("node"))).alias("first"),
+    return rows.join(known, "key", "left").select("node", "id", "n", "best")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                       num: int = 4, den: int = 5, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """One row per document: id, n_shingles, component_id.
+
+    Texts are lower-cased (A-Z) and cut at ASCII white space; a text's set are its distinct shingles of
+    width words, or all its words as one shingle if it has fewer.  Two texts are linked when den times
+    the intersection is num times the union at least; component_id is the least id that links reach.
+    Null and empty texts have no shingles and no links, their component is their own id.  A null id
+    counts as no id for component_id; repeated rows are copies of each other.  Other columns are not
+    read; an empty table gives an empty result.
+    """
+    table = B.pack_blocks(docs, id_col, text_col, block_bytes)
+    found = _components(table, width, Threshold(num, den))
+    return found.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("best.id", "id").alias("component_id")
     )
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                        num: int = 4, den: int = 5, block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns, without those that are linked to a row that stays.
+
+    Of each component of :func:`similar_components` the row of the least id stays, of several such rows
+    the first in the table; rows without shingles all stay.
+    """
+    table = B.pack_blocks(docs, id_col, text_col, block_bytes, whole=True)
+    found = _components(table, width, Threshold(num, den))
+    kept = found.where(F.col("best").isNull() | (F.col("best.node") == F.col("node")))
+    return B.rows_kept(table, _by_block(kept), docs, text_col)
