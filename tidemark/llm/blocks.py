@@ -9,7 +9,6 @@ by block.  A key that is everywhere sends one entry from each block, however oft
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import session_of, shuffle_partitions, stored, text_of
+from tidemark.llm.words import mixed, word_hashes, word_spans
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -28,8 +28,6 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 #: The place of rows without an id in the order of ids.
 LAST = np.iinfo(np.int64).max
-#: Words that a task remembers the hashes of.
-REMEMBERED = 500_000
 
 #: A block has fewer documents than two to this power, and a partition fewer blocks, so that a row of
 #: the corpus is known by one integer: ``block << ROW_BITS | place in the block``.
@@ -53,7 +51,7 @@ def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def row() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in texts], np.int64)
-            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+            packed = zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))
             return pa.RecordBatch.from_arrays(
                 [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes.tobytes()], pa.binary()),
                  pa.array([size], pa.int64()), pa.array([packed], pa.binary()),
@@ -116,50 +114,33 @@ def rows_kept(blocks: DataFrame, asked: DataFrame, like: DataFrame, text_col: st
 
 def texts_of(row: dict, lower: bool = False) -> list[bytes]:
     """The texts of a block row."""
-    sizes = np.frombuffer(row["sizes"], np.int64)
-    raw = zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(1, int(row["size"])))
-    raw = raw.lower() if lower else raw
-    ends = np.cumsum(sizes)
+    sizes, raw = _raw(row, lower)
+    ends = np.cumsum(sizes + 1) - 1
     return [raw[e - n : e] for e, n in zip(ends, sizes, strict=True)]
 
 
+def _raw(row: dict, lower: bool) -> tuple[np.ndarray, bytes]:
+    """(byte lengths of the texts, the texts with a line end between each two)."""
+    sizes = np.frombuffer(row["sizes"], np.int64)
+    most = int(row["size"]) + len(sizes)
+    raw = zstandard.ZstdDecompressor().decompress(row["text"], max_output_size=max(1, most))
+    return sizes, raw.lower() if lower else raw
+
+
 def bucket_count(blocks: DataFrame) -> int:
     """So many buckets that one has the keys of about BUCKET_BYTES of text."""
     size = blocks.agg(F.sum("size")).first()[0] or 0
     return max(shuffle_partitions(session_of(blocks)), -(-size // BUCKET_BYTES))
 
 
-class WordHashes(dict):
-    """Two 64-bit hashes of a word, remembered under its number."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.raw: list[bytes] = []
-        self.known = np.empty((0, 2), np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.raw)
-        self.raw.append(hashlib.blake2b(word, digest_size=16).digest())
-        return n
-
-    def table(self) -> np.ndarray:
-        """The hashes of all numbers."""
-        if len(self.known) < len(self.raw):
-            new = np.frombuffer(b"".join(self.raw[len(self.known) :]), "<u8").reshape(-1, 2)
-            self.known = np.concatenate([self.known, new])
-        return self.known
-
-
 @dataclass
 class Block:
-    """A block's documents as numbered words: document d has words[starts[d] : starts[d + 1]]."""
+    """A block's documents as hashed words: document d has hashes[:, starts[d] : starts[d + 1]]."""
 
     number: int
     ids: list[int | None]
     order: np.ndarray
-    texts: list[bytes]
     starts: np.ndarray
-    words: np.ndarray
     hashes: np.ndarray
 
     @property
@@ -168,20 +149,15 @@ class Block:
         return np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
 
 
-def read_block(row: dict, seen: WordHashes, lower: bool = False) -> Block:
-    """A block row as numbered words: what stands between ASCII white space, lower-cased on wish."""
-    texts = texts_of(row, lower)
-    if len(seen) > REMEMBERED:
-        seen.clear()
-        seen.raw, seen.known = [], seen.known[:0]
-    number, parts = seen.__getitem__, []
-    for text in texts:
-        words = text.split()
-        parts.append(np.fromiter(map(number, words), np.int32, len(words)))
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+def read_block(row: dict, lower: bool = False, lanes: int = 2) -> Block:
+    """A block row as hashed words: what stands between ASCII white space, A-Z in lower case on wish."""
+    sizes, raw = _raw(row, lower)
+    begin, end = word_spans(raw)
+    # Texts are one byte apart, and that byte is white space.
+    starts = np.searchsorted(begin, np.concatenate([[0], np.cumsum(sizes + 1)]))
     ids = row["ids"]
     order = np.array([LAST if i is None else i for i in ids], np.int64)
-    return Block(row["block"], ids, order, texts, starts, np.concatenate(parts), seen.table())
+    return Block(row["block"], ids, order, starts, word_hashes(raw, begin, end, lanes))
 
 
 def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -257,16 +233,9 @@ def windows(values: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
 _PLACES = np.random.default_rng(97).integers(1, 2**63, (2, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers that spreads them evenly."""
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def window_hashes(word_hashes: np.ndarray, at: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+def window_hashes(words: np.ndarray, at: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of the width words from each place; lanes are independent of each other."""
     out = np.zeros(len(at), np.uint64)
     for j in range(width):
-        out += word_hashes[at + j] * _PLACES[lane, j]
+        out += words[at + j] * _PLACES[lane, j]
     return mixed(out)

@@ -106,7 +106,7 @@ class EliasFano:
         high = high[inside]
         end = self._clear(high) - high
         begin = np.zeros(len(high), np.int64)
-        some = high > 0
+        some = np.flatnonzero(high > 0)
         begin[some] = self._clear(high[some] - 1) - high[some] + 1
         if self.bits:
             low = values[inside] & ((1 << self.bits) - 1)
@@ -157,56 +157,55 @@ class NgramTrie:
 
     @staticmethod
     def build(one: np.ndarray, back_one: np.ndarray, pairs: np.ndarray, two: np.ndarray, back_two: np.ndarray,
-              triples: np.ndarray, three: np.ndarray) -> NgramTrie:
+              heads: np.ndarray, tails: np.ndarray, three: np.ndarray) -> NgramTrie:
         """A trie in a memory-mapped file.
 
         one, back_one: by word, its probability and the weight it gives as a context to the level below.
-        pairs, two, back_two: (context, word) rows in order, with weights.  triples, three: rows (bigram
-        number, word) in order; those whose last two words are no bigram are left out.
+        pairs, two, back_two: (context, word) rows in order, with weights.  heads, tails, three: the
+        numbers of each trigram's first and last bigram, in the order of (head, last word), with weights.
         """
         words, out = len(one), Buffer()
         out.put(np.array([words], np.int64))
         _quantised(one, out)
         _quantised(back_one, out)
-        codes = pairs[:, 0] * words + pairs[:, 1]
-        EliasFano.put(codes, out)
+        EliasFano.put(pairs[:, 0] * words + pairs[:, 1], out)
         begin = np.searchsorted(pairs[:, 0], np.arange(words + 1))
         EliasFano.put(begin, out)
         _quantised(two, out)
         _quantised(back_two, out)
         fan = np.diff(begin)[pairs[:, 1]]
         span = np.concatenate([[0], np.cumsum(fan)])
-        middle = pairs[triples[:, 0], 1]
-        inner = middle * words + triples[:, 1]
-        at = np.minimum(np.searchsorted(codes, inner), max(0, len(codes) - 1))
-        known = codes[at] == inner if len(codes) else np.zeros(0, bool)
-        place = at[known] - begin[middle[known]]
-        EliasFano.put(span[triples[known, 0]] + place, out)
+        EliasFano.put(span[heads] + tails - begin[pairs[tails, 0]], out)
         EliasFano.put(span, out)
-        _quantised(three[known], out)
+        _quantised(three, out)
         return NgramTrie(out.mapped())
 
-    def probabilities(self, words: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """The probability of each word of a sequence after up to two words before it.
+    def word(self, words: np.ndarray) -> np.ndarray:
+        """Probabilities of words without context."""
+        return self.one_book[self.one[words]]
 
-        depth: how many words of context each has (0, 1, or more).
+    def bigrams(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Nodes of bigrams, -1 where there is none."""
+        return self.pairs.search(contexts * self.words + words)
+
+    def add_bigram(self, nodes: np.ndarray, contexts: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probabilities after one word, from those without context."""
+        p = below * self.back_one_book[self.back_one[contexts]]
+        has = nodes >= 0
+        p[has] += self.two_book[self.two[nodes[has]]]
+        return p
+
+    def add_trigram(self, heads: np.ndarray, tails: np.ndarray, middle: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probabilities after two words, from those after one.
+
+        heads, tails: the nodes of the first and the last bigram of each trigram; middle: the word both have.
         """
-        p = self.one_book[self.one[words]]
-        node = np.full(len(words), -1, np.int64)
-        at = np.flatnonzero(depth >= 1)
-        before, now = words[at - 1], words[at]
-        node[at] = self.pairs.search(before * self.words + now)
-        has = node[at] >= 0
-        p[at] *= self.back_one_book[self.back_one[before]]
-        p[at[has]] += self.two_book[self.two[node[at[has]]]]
-        at = at[(depth[at] >= 2) & (node[at - 1] >= 0)]
-        if len(at):
-            context = node[at - 1]
-            p[at] *= self.back_two_book[self.back_two[context]]
-            full = node[at] >= 0
-            at, context = at[full], context[full]
-            place = node[at] - self.begin.access(words[at - 1])
-            found = self.triples.search(self.span.access(context) + place)
-            has = found >= 0
-            p[at[has]] += self.three_book[self.three[found[has]]]
+        p = below.copy()
+        known = np.flatnonzero(heads >= 0)
+        p[known] *= self.back_two_book[self.back_two[heads[known]]]
+        known = known[tails[known] >= 0]
+        place = tails[known] - self.begin.access(middle[known])
+        found = self.triples.search(self.span.access(heads[known]) + place)
+        has = found >= 0
+        p[known[has]] += self.three_book[self.three[found[has]]]
         return p

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import blocks as B
 from tidemark.llm.components import connected_components
 from tidemark.llm.shared import session_of, shuffle_partitions, stored
+from tidemark.llm.words import mixed
 
 #: Cells of the sketch of shingle frequencies, and chunks that it is summed in.
 CELL_BITS = 22
@@ -86,7 +87,7 @@ class Forest:
 
 def shingle_sets(block: B.Block, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document; a shorter text is one shingle."""
-    words = np.ascontiguousarray(block.hashes[block.words][:, 0]) if len(block.words) else np.empty(0, np.uint64)
+    words = block.hashes[0]
     lens = np.diff(block.starts)
     hashes = B.window_hashes(words, B.windows(words, block.starts, width), width)
     ends = np.cumsum(np.maximum(lens - width + 1, 0))
@@ -96,7 +97,7 @@ def shingle_sets(block: B.Block, width: int) -> list[np.ndarray]:
             out.append(np.unique(hashes[ends[d] - (n - width + 1) : ends[d]]))
         elif n:
             whole = B.window_hashes(words, block.starts[d : d + 1], n, lane=1)
-            out.append(B.mixed(whole + np.uint64(n)))
+            out.append(mixed(whole + np.uint64(n)))
         else:
             out.append(hashes[:0])
     return out
@@ -106,13 +107,13 @@ def _scan(table: DataFrame, width: int) -> DataFrame:
     """(node, id, n, key) of every row, and beside them the summands of the sketch (chunk, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, counts = B.WordHashes(), np.zeros(1 << CELL_BITS, np.uint32)
+        counts = np.zeros(1 << CELL_BITS, np.uint32)
         names = ["node", "id", "n", "key", "chunk", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
         none = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             for row in B.rows_of(batch):
-                block = B.read_block(row, seen, lower=True)
+                block = B.read_block(row, lower=True, lanes=1)
                 sets = shingle_sets(block, width)
                 flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 counts += np.bincount((flat >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
@@ -289,10 +290,10 @@ def _candidate_edges(table: DataFrame, nodes: DataFrame, common: np.ndarray, wid
     shared = session_of(table).sparkContext.broadcast(common)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, common = B.WordHashes(), shared.value
+        common = shared.value
         for batch in batches:
             for row in B.rows_of(batch):
-                block = B.read_block(row, seen, lower=True)
+                block = B.read_block(row, lower=True, lanes=1)
                 sets = shingle_sets(block, width)
                 keys, nodes, sizes, profiles = [], [], [], []
                 for place in sorted(a["place"] for a in row["asked"]):
@@ -332,10 +333,9 @@ def _links(table: DataFrame, clusters: DataFrame, width: int, t: Threshold, task
     """Edges (a, b) between similar nodes of each cluster (node, component)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = B.WordHashes()
         for batch in batches:
             for row in B.rows_of(batch):
-                block = B.read_block(row, seen, lower=True)
+                block = B.read_block(row, lower=True, lanes=1)
                 sets = shingle_sets(block, width)
                 asked = row["asked"]
                 yield pa.RecordBatch.from_arrays(

@@ -43,7 +43,11 @@ def held_out(doc_id: int | None) -> bool:
 
 @dataclass
 class Tokens:
-    """A block as tokens: words with an end after each text; local numbers of words, and keys."""
+    """A block as tokens: words with an end after each text.
+
+    words: local numbers, in the order of the words' hashes; hashes: of the distinct words, by number;
+    keys: of the bigram and trigram that end at each token, where depth allows them.
+    """
 
     words: np.ndarray
     starts: np.ndarray
@@ -58,25 +62,36 @@ class Tokens:
         return np.repeat(self.held, np.diff(self.starts))
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct values, a place of each, the number of each place's value)."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(order), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], number
+
+
 def tokens_of(block: B.Block, mask: np.uint64) -> Tokens:
     n = np.diff(block.starts)
     starts = np.concatenate([[0], np.cumsum(n + 1)])
-    used, local = np.unique(block.words, return_inverse=True)
-    words = np.full(int(starts[-1]), len(used), np.int64)
-    inner = np.ones(len(words), bool)
+    lanes = np.empty((2, int(starts[-1])), np.uint64)
+    inner = np.ones(lanes.shape[1], bool)
     inner[starts[1:] - 1] = False
-    words[inner] = local
-    end = np.frombuffer(END, "<u8").reshape(1, 2)
-    hashes = np.concatenate([block.hashes[used], end]) if len(used) else end.copy()
-    depth = np.arange(len(words)) - np.repeat(starts[:-1], n + 1)
-    lane = hashes[:, 0][words]
+    lanes[:, inner] = block.hashes
+    lanes[:, starts[1:] - 1] = np.frombuffer(END, "<u8").reshape(2, 1)
+    used, first, words = grouped(lanes[0])
+    depth = np.arange(lanes.shape[1]) - np.repeat(starts[:-1], n + 1)
     keys = []
     for order in (2, 3):
-        at = np.maximum(np.arange(len(words)) - order + 1, 0)
-        at = np.minimum(at, max(0, len(words) - order))
-        keys.append(B.window_hashes(lane, at, order, lane=1) & mask if len(words) >= order else np.zeros(len(words), np.uint64))
+        # Before the first words of a block there is nothing; depth keeps these places unused.
+        key = np.zeros(lanes.shape[1], np.uint64)
+        if len(key) >= order:
+            key[order - 1 :] = B.window_hashes(lanes[0], np.arange(len(key) - order + 1), order, lane=1) & mask
+        keys.append(key)
     held = np.array([held_out(i) for i in block.ids], bool)
-    return Tokens(words, starts, np.minimum(depth, 2), held, hashes, keys)
+    return Tokens(words, starts, np.minimum(depth, 2), held, np.stack([used, lanes[1][first]]), keys)
 
 
 def _distinct(keys: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,13 +104,6 @@ def _distinct(keys: np.ndarray, unknown: np.ndarray) -> tuple[np.ndarray, np.nda
     return names[first], known[ends] - known[first]
 
 
-def _sorted_words(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, first hash, half of the second hash) of a block's distinct words."""
-    short = (t.hashes[:, 1] >> np.uint64(32)).astype(np.uint32)
-    order = np.lexsort((short, t.hashes[:, 0]))
-    return order, t.hashes[order, 0], short[order]
-
-
 def _summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sum of each entry's key, sums of distinct keys)."""
     order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(tuple(reversed(keys)))
@@ -160,24 +168,47 @@ class Smoothing:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.types + 1)))
 
 
-def _trie(t: Tokens, one: np.ndarray, two: np.ndarray, three: np.ndarray, s: Smoothing) -> NgramTrie:
-    """The trie of a block: one by word; two and three by token, the counts of the n-gram ending there."""
+def _scored(t: Tokens, one: np.ndarray, counts: list[np.ndarray], s: Smoothing) -> np.ndarray:
+    """The probability of each token.
+
+    one: the corpus' counts of the block's words; counts: those of its distinct bigram and trigram keys,
+    in key order.  What the corpus has of these goes into a trie, and every distinct n-gram of the block
+    is asked for in order, so that each search goes through the trie once.
+    """
     words = len(one)
     m, k = s.masses
-    at = np.flatnonzero((t.depth >= 1) & (two > 0))
-    codes, first = np.unique(t.words[at - 1] * words + t.words[at], return_index=True)
-    pairs = np.stack([codes // words, codes % words], axis=1)
-    c_two = two[at[first]]
-    at = np.flatnonzero((t.depth >= 2) & (three > 0) & (two > 0))
-    at = at[two[at - 1] > 0]
-    context = np.searchsorted(codes, t.words[at - 2] * words + t.words[at - 1])
-    triple, first = np.unique(context * words + t.words[at], return_index=True)
-    triples = np.stack([triple // words, triple % words], axis=1)
-    c_three = three[at[first]]
-    return NgramTrie.build(
-        s.word(one), m / (one + m), pairs, c_two / (one[pairs[:, 0]] + m), k / (c_two + k),
-        triples, c_three / (c_two[triples[:, 0]] + k),
+    two_at, three_at = np.flatnonzero(t.depth >= 1), np.flatnonzero(t.depth >= 2)
+    by_token = []
+    for at, keys, known in ((two_at, t.keys[0], counts[0]), (three_at, t.keys[1], counts[1])):
+        _, _, number = grouped(keys[at])
+        each = np.zeros(len(t.words), np.int64)
+        each[at] = known[number]
+        by_token.append(each)
+    two, three = by_token
+    # Distinct bigrams in the order of (context, word); distinct trigrams in that of (bigram, word).
+    codes, first, number = grouped(t.words[two_at - 1] * words + t.words[two_at])
+    pair_of = np.full(len(t.words), -1, np.int64)
+    pair_of[two_at] = number
+    c_two = two[two_at[first]]
+    triple, first, triple_of = grouped(pair_of[three_at - 1] * words + t.words[three_at])
+    at = three_at[first]
+    head, tail, c_three = triple // words, pair_of[at], three[at]
+
+    known = c_two > 0
+    rank = np.cumsum(known) - 1
+    pairs = np.stack([codes[known] // words, codes[known] % words], axis=1)
+    full = (c_three > 0) & known[head] & known[tail]
+    trie = NgramTrie.build(
+        s.word(one), m / (one + m), pairs, c_two[known] / (one[pairs[:, 0]] + m), k / (c_two[known] + k),
+        rank[head[full]], rank[tail[full]], c_three[full] / (c_two[head[full]] + k),
     )
+    node = trie.bigrams(codes // words, codes % words)
+    p_two = trie.add_bigram(node, codes // words, trie.word(codes % words))
+    p_three = trie.add_trigram(node[head], node[tail], codes[tail] // words, p_two[tail])
+    out = trie.word(t.words)
+    out[two_at] = p_two[number]
+    out[three_at] = p_three[triple_of]
+    return out
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
@@ -201,14 +232,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)], names=names)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = B.WordHashes()
         for batch in batches:
             for row in B.rows_of(batch):
-                block = B.read_block(row, seen, lower=True)
+                block = B.read_block(row, lower=True)
                 t = tokens_of(block, mask)
                 unknown = t.unknown
-                order, one, short = _sorted_words(t)
-                count = np.bincount(t.words[~unknown], minlength=len(one))[order]
+                one, short = t.hashes[0], (t.hashes[1] >> np.uint64(32)).astype(np.uint32)
+                count = np.bincount(t.words[~unknown], minlength=len(one))
                 parts: dict[int, list] = {b: [B.pack_keys(one[s], short[s], count[s].astype("<u4")), None, None]
                                           for b, s in B.cuts(one, buckets)}
                 for i, (keys, least) in enumerate(zip(t.keys, (1, 2), strict=True)):
@@ -255,26 +285,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smoothing = Smoothing.of(found.reshape(3, width))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = B.WordHashes()
         for batch in batches:
             for row in B.rows_of(batch):
-                block = B.read_block(row, seen, lower=True)
+                block = B.read_block(row, lower=True)
                 t = tokens_of(block, mask)
-                unknown = t.unknown
                 own = sorted(row["answers"], key=lambda a: a["bucket"])
                 counts = [[B.unpack(a[name], "<u8")[0] for a in own if a[name] is not None] for name in names[2:]]
                 counts = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in counts]
-                order, _, _ = _sorted_words(t)
-                one = np.empty(len(order), np.int64)
-                one[order] = counts[0]
-                by_token = []
-                for i, (keys, least) in enumerate(zip(t.keys, (1, 2), strict=True)):
-                    each, at = np.zeros(len(t.words), np.int64), np.flatnonzero(t.depth >= least)
-                    distinct, _ = _distinct(keys[at], unknown[at])
-                    each[at] = counts[i + 1][np.searchsorted(distinct, keys[at])]
-                    by_token.append(each)
-                trie = _trie(t, one, *by_token, smoothing)
-                logs = np.log10(trie.probabilities(t.words, t.depth))
+                one = counts[0]
+                logs = np.log10(_scored(t, one, counts[1:], smoothing))
                 n = np.diff(t.starts)
                 sums = lambda x: np.add.reduceat(x, t.starts[:-1])
                 known = one[t.words]

@@ -40,8 +40,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _anchors(block: B.Block, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, anchors, both lanes of word hashes): the places of windows, and the anchor of each."""
-    lanes = block.hashes[block.words] if len(block.words) else np.empty((0, 2), np.uint64)
-    first = np.ascontiguousarray(lanes[:, 0])
+    lanes, first = block.hashes, block.hashes[0]
     grams = np.full(len(first), np.iinfo(np.uint64).max, np.uint64)
     at = B.windows(first, block.starts, gram)
     grams[at] = B.window_hashes(first, at, gram)
@@ -75,8 +74,8 @@ def _asked(block: B.Block, answers: list | None, width: int, gram: int):
         places = places[known[at] == anchors]
     else:
         places = places[:0]
-    one = B.window_hashes(np.ascontiguousarray(lanes[:, 0]), places, width, 0)
-    two = B.window_hashes(np.ascontiguousarray(lanes[:, 1]), places, width, 1)
+    one = B.window_hashes(lanes[0], places, width, 0)
+    two = B.window_hashes(lanes[1], places, width, 1)
     order = np.lexsort((two, one))
     first = _grouped(order, one, two)
     group = np.empty(len(places), np.int64)
@@ -100,10 +99,9 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     buckets = B.bucket_count(table)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = B.WordHashes()
         for batch in batches:
             for row in B.rows_of(batch):
-                block = B.read_block(row, seen)
+                block = B.read_block(row)
                 places, anchors, _ = _anchors(block, width, gram)
                 ids = block.order[block.document[places]]
                 if len(anchors):
@@ -137,11 +135,10 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.Table.from_batches([_batch(rows)])
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = B.WordHashes()
         for batch in batches:
             for row in B.rows_of(batch):
                 if row["answers0"]:
-                    block = B.read_block(row, seen)
+                    block = B.read_block(row)
                     _, _, one, two, least, last = _asked(block, row["answers0"], width, gram)
                     yield _batch([(block.number, b, B.pack_keys(one[s], two[s], least[s], last[s]))
                                   for b, s in B.cuts(one, buckets)])
@@ -165,13 +162,12 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.Table.from_batches([_batch(rows)])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = B.WordHashes()
         factor = pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())])
         for batch in batches:
             for row in B.rows_of(batch):
-                block = B.read_block(row, seen)
+                block = B.read_block(row)
                 document = block.document
-                covered = np.zeros(len(block.words) + 1, np.int64)
+                covered = np.zeros(block.hashes.shape[1] + 1, np.int64)
                 factors: list[list[dict]] = [[] for _ in block.ids]
                 if row["answers1"]:
                     places, group, one, _, _, _ = _asked(block, row["answers0"], width, gram)
@@ -196,7 +192,7 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 gone = np.cumsum(covered[:-1]) > 0
                 removed = np.bincount(document[gone], minlength=len(block.ids))
                 kept = []
-                for d, text in enumerate(block.texts):
+                for d, text in enumerate(B.texts_of(row)):
                     words = text.split()
                     if removed[d]:
                         keep = ~gone[block.starts[d] : block.starts[d + 1]]
