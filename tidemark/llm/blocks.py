@@ -26,6 +26,8 @@ from tidemark.llm.words import mixed, word_hashes, word_spans
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose keys make one bucket, on average.
 BUCKET_BYTES = 4 << 20
+#: A shortened key has so many bits more than the size of the corpus in bytes.
+SPARE_BITS = 18
 #: The place of rows without an id in the order of ids.
 LAST = np.iinfo(np.int64).max
 
@@ -109,7 +111,7 @@ def rows_kept(blocks: DataFrame, asked: DataFrame, like: DataFrame, text_col: st
                 table = pa.Table.from_arrays([columns[i] for i in order], names=names)
                 yield from table.combine_chunks().to_batches()
 
-    return blocks.join(asked, "block").mapInArrow(scan, like.schema)
+    return joined(blocks, asked).mapInArrow(scan, like.schema)
 
 
 def texts_of(row: dict, lower: bool = False) -> list[bytes]:
@@ -160,6 +162,13 @@ def read_block(row: dict, lower: bool = False, lanes: int = 2) -> Block:
     return Block(row["block"], ids, order, starts, word_hashes(raw, begin, end, lanes))
 
 
+def key_mask(blocks: DataFrame) -> np.uint64:
+    """The bits of a 64-bit hash that keys keep: SPARE_BITS more than the size of the corpus has."""
+    size = blocks.agg(F.sum("size")).first()[0] or 1
+    bits = min(63, int(size).bit_length() + SPARE_BITS)
+    return np.uint64((1 << 64) - (1 << (64 - bits)))
+
+
 def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of each 64-bit key; it never falls along sorted keys."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
@@ -208,6 +217,12 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
 
 
+def joined(blocks: DataFrame, asked: DataFrame, how: str = "inner") -> DataFrame:
+    """Blocks with what is asked of them.  Both sides go by block at every size: what is asked grows with
+    the corpus, so it is never broadcast."""
+    return blocks.join(asked.hint("merge"), "block", how)
+
+
 def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
     """The blocks with the blobs that each table of answers (block, bucket, blob) has for them.
 
@@ -217,7 +232,7 @@ def with_answers(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
     out = blocks
     for i, table in enumerate(answers):
         own = table.groupBy("block").agg(F.collect_list(F.struct("bucket", "blob")).alias(f"answers{i}"))
-        out = out.join(own, "block", "left")
+        out = joined(out, own, "left")
     return out
 
 

@@ -28,17 +28,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as B
 from tidemark.llm.components import connected_components
-from tidemark.llm.shared import session_of, shuffle_partitions, stored
+from tidemark.llm.shared import collected, session_of, shuffle_partitions, stored
 from tidemark.llm.words import mixed
 
-#: Cells of the sketch of shingle frequencies, and chunks that it is summed in.
-CELL_BITS = 22
-CHUNKS = 64
 #: Parts of the hash space whose counts bound distances.
 PARTS = 16
 #: Texts of a cluster that one task joins; larger clusters are split further first.
 LEAF = 20_000
-#: Elements of the dense matrix that a small cluster is joined with.
+#: Elements of the dense matrices that a small cluster is joined with.
 DENSE = 4_000_000
 #: Regions of up to so many texts are compared pair by pair, all at once.
 SMALL = 6
@@ -104,54 +101,64 @@ def shingle_sets(block: B.Block, width: int) -> list[np.ndarray]:
 
 
 def _scan(table: DataFrame, width: int) -> DataFrame:
-    """(node, id, n, key) of every row, and beside them the summands of the sketch (chunk, counts)."""
+    """(node, id, n, key) of every row; equal keys are equal sets, an empty set has none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.uint32)
-        names = ["node", "id", "n", "key", "chunk", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
-        none = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             for row in B.rows_of(batch):
                 block = B.read_block(row, lower=True, lanes=1)
                 sets = shingle_sets(block, width)
-                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                counts += np.bincount((flat >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 nodes = (block.number << B.ROW_BITS) + np.arange(len(sets))
-                columns = [pa.array(nodes), pa.array(block.ids, kinds[1]), pa.array([len(s) for s in sets], kinds[2]),
-                           pa.array(keys, kinds[3]), none(len(sets), kinds[4]), none(len(sets), kinds[5])]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-        used = [(i, B.pack(c)) for i, c in enumerate(counts.reshape(CHUNKS, -1)) if c.any()]
-        columns = [none(len(used), k) for k in kinds[:4]]
-        columns += [pa.array([u[0] for u in used], kinds[4]), pa.array([u[1] for u in used], kinds[5])]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes), pa.array(block.ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array(keys, pa.binary())],
+                    names=["node", "id", "n", "key"],
+                )
+
+    return stored(table.mapInArrow(scan, "node long, id long, n long, key binary"), "sets")
 
-    return stored(table.mapInArrow(scan, "node long, id long, n long, key binary, chunk int, counts binary"), "sets")
 
+def _asked(sets: list[np.ndarray], mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shortened shingles of a block, sorted, and in how many of its documents each is."""
+    flat = np.sort(np.concatenate(sets) & mask)
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.empty(0, np.int64)
+    return flat[first], np.diff(np.append(first, len(flat)))
 
-def _frequencies(scanned: DataFrame) -> np.ndarray:
-    """For each cell of the hash space how common its shingles are, on a scale of 0 to 255.
 
-    The sketch only orders shingles; its size is fixed, and no result depends on its values.
+def _frequencies(table: DataFrame, width: int, mask: np.uint64, buckets: int) -> DataFrame:
+    """(block, bucket, blob): in how many documents of the corpus each shingle of a block is, up to 255.
+
+    Shingles are shortened; the few that become equal are counted together, which only makes them look
+    more common than they are.
     """
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    kinds = [pa.int64(), pa.int64(), pa.binary()]
+    rows = lambda v: pa.RecordBatch.from_arrays(
+        [pa.array([x[i] for x in v], k) for i, k in enumerate(kinds)], names=["block", "bucket", "blob"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = B.unpack(blob, "<u4")[0]
-                total[chunk] = total[chunk] + own if chunk in total else own.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([B.pack(x) for x in total.values()], pa.binary())],
-            names=["chunk", "counts"],
-        )
-
-    out = np.zeros(1 << CELL_BITS, np.uint64)
-    sums = scanned.where("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk")
-    for row in sums.mapInArrow(added, "chunk int, counts binary").collect():
-        size = len(out) // CHUNKS
-        out[row.chunk * size : (row.chunk + 1) * size] = B.unpack(bytes(row.counts), "<u8")[0]
-    return np.minimum(255, np.log2(1.0 + out) * 8).astype(np.uint8)
+            for row in B.rows_of(batch):
+                block = B.read_block(row, lower=True, lanes=1)
+                keys, counts = _asked(shingle_sets(block, width), mask)
+                yield rows([(block.number, b, B.pack_keys(keys[s], counts[s].astype("<u4"))) for b, s in B.cuts(keys, buckets)])
+
+    def total(bucket: pa.Table) -> pa.Table:
+        parts = [B.unpack_keys(x, "<u4") for x in bucket.column("blob").to_pylist()]
+        keys = np.concatenate([k for k, _ in parts])
+        order = np.argsort(keys)
+        ranked = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        sums = np.add.reduceat(np.concatenate([c for _, c in parts])[order].astype(np.int64), first)
+        each = np.empty(len(keys), np.uint8)
+        each[order] = np.repeat(np.minimum(sums, 255), np.diff(np.append(first, len(keys)))).astype(np.uint8)
+        ends = np.cumsum([len(k) for k, _ in parts])
+        return pa.Table.from_batches([rows([
+            (n, b, B.pack(each[e - len(k) : e])) for n, b, e, (k, _) in zip(
+                bucket.column("block").to_pylist(), bucket.column("bucket").to_pylist(), ends, parts, strict=True)])])
+
+    schema = "block long, bucket long, blob binary"
+    return stored(table.mapInArrow(send, schema).groupBy("bucket").applyInArrow(total, schema), "frequencies", codec="uncompressed")
 
 
 def _profile(shingles: np.ndarray) -> np.ndarray:
@@ -222,7 +229,7 @@ def cluster_links(sets: list[np.ndarray], t: Threshold) -> list[tuple[int, int]]
         part = [sets[i] for i in own]
         sizes = np.array([len(s) for s in part], np.int64)
         flat, codes, counts = np.unique(np.concatenate(part), return_inverse=True, return_counts=True)
-        if len(part) * len(flat) <= DENSE:
+        if len(part) * max(len(part), len(flat)) <= DENSE:
             out += [(int(own[i]), int(own[j])) for i, j in _dense(part, sizes, codes, len(flat), t)]
             continue
         begins = np.cumsum(sizes) - sizes
@@ -285,21 +292,29 @@ def _by_block(nodes: DataFrame, *more: str) -> DataFrame:
     )
 
 
-def _candidate_edges(table: DataFrame, nodes: DataFrame, common: np.ndarray, width: int, t: Threshold, buckets: int) -> DataFrame:
-    """Edges (a, b) that connect all nodes that may be similar."""
-    shared = session_of(table).sparkContext.broadcast(common)
+def _candidate_edges(table: DataFrame, nodes: DataFrame, width: int, t: Threshold, buckets: int) -> DataFrame:
+    """Edges (a, b) that connect all nodes that may be similar.
+
+    A text's pivots are ordered from the rarest shingle of the corpus to the most common one.  Those that
+    no other text has make no region and are not sent.
+    """
+    mask = B.key_mask(table)
+    counts = _frequencies(table, width, mask, buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
         for batch in batches:
             for row in B.rows_of(batch):
                 block = B.read_block(row, lower=True, lanes=1)
                 sets = shingle_sets(block, width)
+                known, _ = _asked(sets, mask)
+                common = [B.unpack(a["blob"], "u1")[0] for a in sorted(row["answers0"] or (), key=lambda a: a["bucket"])]
+                common = np.concatenate(common) if common else np.empty(0, np.uint8)
                 keys, nodes, sizes, profiles = [], [], [], []
                 for place in sorted(a["place"] for a in row["asked"]):
                     own = sets[place]
-                    rare = common[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                    first = own[np.lexsort((own, rare))[: t.prefix(len(own))]]
+                    rare = common[np.searchsorted(known, own & mask)]
+                    first = np.lexsort((own, rare))[: t.prefix(len(own))]
+                    first = own[first[rare[first] > 1]] & mask
                     keys.append(first)
                     nodes.append(np.full(len(first), (block.number << B.ROW_BITS) + place))
                     sizes.append(np.full(len(first), len(own), np.uint32))
@@ -325,7 +340,7 @@ def _candidate_edges(table: DataFrame, nodes: DataFrame, common: np.ndarray, wid
         found = region_edges(keys[kept], nodes[kept], sizes[kept].astype(np.int64), profiles, t)
         return pa.Table.from_batches([_edges(found)])
 
-    sent = table.join(_by_block(nodes), "block").mapInArrow(send, "bucket long, blob binary")
+    sent = B.joined(B.with_answers(table, counts), _by_block(nodes)).mapInArrow(send, "bucket long, blob binary")
     return sent.groupBy("bucket").applyInArrow(regions, EDGE)
 
 
@@ -357,7 +372,7 @@ def _links(table: DataFrame, clusters: DataFrame, width: int, t: Threshold, task
             out += [(int(node[rows[i]]), int(node[rows[j]])) for i, j in cluster_links(sets, t) if forest.join(i, j)]
         return pa.Table.from_batches([_edges(out)])
 
-    sent = table.join(_by_block(clusters, "component"), "block")
+    sent = B.joined(table, _by_block(clusters, "component"))
     sent = sent.mapInArrow(send, "component long, node long, shingles binary")
     return sent.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("part")).applyInArrow(join, EDGE)
 
@@ -365,14 +380,14 @@ def _links(table: DataFrame, clusters: DataFrame, width: int, t: Threshold, task
 def _components(table: DataFrame, width: int, t: Threshold) -> DataFrame:
     """(node, id, n, best): every row of the blocks, and the first row (null, id, node) of its component."""
     buckets = B.bucket_count(table)
-    scanned = _scan(table, width)
-    rows = scanned.where("node is not null").select("node", "id", "n", "key")
+    rows = _scan(table, width)
     # Equal sets are one node, that of their first row.
     least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "node"))
     classes = rows.where("key is not null").groupBy("key").agg(F.min("node").alias("node"), least.alias("least"))
     classes = stored(classes, "classes")
-    edges = _candidate_edges(table, classes.select("node"), _frequencies(scanned), width, t, buckets)
+    edges = _candidate_edges(table, classes.select("node"), width, t, buckets)
     clusters = stored(connected_components(edges), "clusters")
+    collected(session_of(table))
     tasks = max(buckets, 4 * shuffle_partitions(session_of(table)))
     links = connected_components(_links(table, clusters, width, t, tasks))
     roots = classes.join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))

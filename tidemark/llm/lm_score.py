@@ -29,8 +29,6 @@ from tidemark.llm.shared import stored
 
 #: The end of a text as a word: white space can't be part of any.
 END = hashlib.blake2b(b"\n", digest_size=16).digest()
-#: The key of an n-gram has so many bits more than the size of the corpus in bytes.
-SPARE_BITS = 18
 BINS = 64
 HELD_OUT_OF, HELD_OUT_IS = 5, 1
 
@@ -222,9 +220,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes)
     buckets = B.bucket_count(table)
-    size = table.agg(F.sum("size")).first()[0] or 1
-    bits = min(63, int(size).bit_length() + SPARE_BITS)
-    mask = np.uint64((1 << 64) - (1 << (64 - bits)))
+    mask = B.key_mask(table)
     names = ["block", "bucket", "one", "two", "three"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
@@ -304,7 +300,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 )
 
     given = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct(*names[1:])).alias("answers"))
-    out = table.join(given, "block").mapInArrow(
+    out = B.joined(table, given).mapInArrow(
         score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return out.withColumnRenamed("id", id_col)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,20 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: Lists that take note of the tables stored while they are open.
+_NOTES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[DataFrame]]:
+    """The tables that are stored within the block."""
+    _NOTES.append(made := [])
+    try:
+        yield made
+    finally:
+        _NOTES.remove(made)
+
+
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -42,9 +59,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     where.getFileSystem(conf).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_path = path
+    for made in _NOTES:
+        made.append(out)
     return out
 
 
+def collected(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done: it does so when the JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that no later plan reads."""
     for df in tables:
@@ -60,13 +85,5 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def fresh(df: DataFrame, *wanted: str) -> str:
-    """A column-name prefix that clashes with no column of df nor with the wanted names."""
-    prefix = "_td"
-    while any(c.lower().startswith(prefix) for c in [*df.columns, *wanted]):
-        prefix += "_"
-    return prefix + "_"
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
