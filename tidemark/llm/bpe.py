@@ -68,8 +68,8 @@ PIECE = re.compile(
 LEXICON_SIZE = 65_536
 MIN_COUNT = 3
 #: Text bytes that a task holds as chunks at a time, and chunks that a task remembers.
-PART_BYTES = 4 << 20
-REMEMBERED = 400_000
+PART_BYTES = 2 << 20
+REMEMBERED = 120_000
 #: Longer words are merged with a heap, one by one.
 SHORT = 48
 #: Words of up to so many bytes are merged together, to bound the padding.
@@ -537,6 +537,7 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             if with_decoded:
                 texts = [decode(ids[b - n : b], table).decode("utf-8", "replace") for b, n in zip(ends, lens, strict=True)]
                 columns.append(pa.array(texts, pa.string()))
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
