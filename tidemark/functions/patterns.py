@@ -6,6 +6,8 @@ word can stand next to an accented letter; case is ignored across scripts where
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,8 @@ def filled(text: Column) -> Column:
 
 def literals(*values: str) -> Column:
     return F.array(*(F.lit(v) for v in values))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once, also inside of higher-order functions."""
+    return F.transform(F.array(value), body)[0]

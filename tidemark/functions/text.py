@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import reference_data as ref
-from tidemark.functions.patterns import S, WS, B, all_matches, captured, empty_strings, filled, literals, squeezed, trimmed
+from tidemark.functions.patterns import S, WS, B, all_matches, captured, empty_strings, filled, let, literals, squeezed, trimmed
 
 # The patterns that define what is extracted.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?(?:\.[a-zA-Z]{2,})+"
@@ -147,9 +147,11 @@ def _urls_in_order(text: Column, exclude: tuple[str, ...]) -> Column:
         own = F.array_contains(literals(*(h.lower() for h in exclude)), p["host"]) if exclude else F.lit(False)
         return (p["host"] != "") & ~_under(p["host"], ref.TRACKING_DOMAINS) & ~own
 
-    good = F.filter(pairs, wanted)
-    keys = F.transform(good, lambda p: F.lower(p["url"]))
-    return F.filter(good, lambda p, i: F.array_position(keys, F.lower(p["url"])) == i + 1)
+    def firsts(good: Column) -> Column:
+        keys = F.transform(good, lambda p: F.lower(p["url"]))
+        return let(keys, lambda k: F.filter(good, lambda p, i: F.array_position(k, F.lower(p["url"])) == i + 1))
+
+    return let(F.filter(pairs, wanted), firsts)
 
 
 def urls(text: Column, exclude: tuple[str, ...] = ()) -> Column:
@@ -159,13 +161,11 @@ def urls(text: Column, exclude: tuple[str, ...] = ()) -> Column:
 
 def social_profiles(text: Column, exclude: tuple[str, ...] = (), platforms: tuple[str, ...] = tuple(SOCIAL_HOSTS)) -> Column:
     """A struct with the first URL of each platform as an array of one, or an empty array."""
-    found = _urls_in_order(text, exclude)
-
-    def first(platform: str) -> Column:
+    def first(found: Column, platform: str) -> Column:
         own = F.filter(found, lambda p: F.regexp_like(p["host"], F.lit("(?i)" + SOCIAL_HOSTS[platform])))
         return F.transform(F.slice(own, 1, 1), lambda p: p["url"]).alias(platform)
 
-    return F.struct(*(first(p) for p in platforms))
+    return let(_urls_in_order(text, exclude), lambda found: F.struct(*(first(found, p) for p in platforms)))
 
 
 def merged_profiles(a: Column, b: Column) -> Column:
@@ -188,11 +188,13 @@ def phones(text: Column, mode: str = "strict") -> Column:
     """
     for noise in PHONE_NOISE:
         text = F.regexp_replace(text, noise, " ")
-    found = [all_matches(text, PHONE_INTERNATIONAL), all_matches(text, PHONE_SCHEME, 1)]
-    found += [all_matches(text, p, 1) for p in PHONE_PREFIXED]
-    if mode == "lenient":
-        found.append(all_matches(text, PHONE_LOCAL))
-    tidy = F.transform(F.concat(*found), lambda p: F.regexp_replace(
+
+    def matches(t: Column) -> Column:
+        found = [all_matches(t, PHONE_INTERNATIONAL), all_matches(t, PHONE_SCHEME, 1)]
+        found += [all_matches(t, p, 1) for p in PHONE_PREFIXED]
+        return F.concat(*found, *([all_matches(t, PHONE_LOCAL)] if mode == "lenient" else []))
+
+    tidy = F.transform(let(text, matches), lambda p: F.regexp_replace(
         F.regexp_replace(F.regexp_replace(p, f"{S}+", " "), r"^ | \z", ""), r"\.+\z", ""))
     return F.array_sort(F.array_distinct(F.filter(tidy, _plausible)))
 
@@ -201,31 +203,26 @@ def skill_label(term: str) -> str:
     return ref.SKILL_LABELS.get(term) or re.sub(r"\b\w", lambda m: m.group().upper(), term, flags=re.ASCII)
 
 
-def collated(labels: list[str]) -> list[str]:
-    """Labels in the order of a dictionary: case decides last, small letters first."""
-    return sorted(labels, key=lambda s: (s.casefold(), s.swapcase()))
-
-
-#: Terms in the order of their labels.
+#: Terms in the order of their labels in a dictionary: case decides last, small letters first.
 _SKILLS = sorted(((skill_label(t), t) for t in ref.SKILL_TERMS), key=lambda p: (p[0].casefold(), p[0].swapcase()))
+_LABELS = tuple(dict.fromkeys(label for label, _ in _SKILLS))
+_SKILL_PATTERN = "(?<= )(?:" + "|".join(re.escape(t) for t in ref.SKILL_TERMS) + ")(?=[ .])"
 
 
 def skills(text: Column) -> Column:
     """Labels of the known skills that stand in the text as whole words, in dictionary order."""
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9+#.]+", " "), F.lit(" "))
-    known = F.array(*(F.struct(F.lit(label).alias("label"), F.lit(f" {term}").alias("term")) for label, term in _SKILLS))
-
-    def there(s: Column) -> Column:
-        return F.contains(plain, F.concat(s["term"], F.lit(" "))) | F.contains(plain, F.concat(s["term"], F.lit(".")))
-
-    return F.coalesce(F.array_distinct(F.transform(F.filter(known, there), lambda s: s["label"])), empty_strings())
+    # One pass over the text; no term is another one followed by a dot, so matches don't hide each other.
+    found = all_matches(plain, _SKILL_PATTERN)
+    label = lambda t: _lookup(dict((term, label) for label, term in _SKILLS), t)
+    known = let(F.transform(found, label), lambda own: F.filter(literals(*_LABELS), lambda s: F.array_contains(own, s)))
+    return F.when(F.size(found) > 0, known).otherwise(empty_strings())
 
 
 def merged_skills(a: Column, b: Column) -> Column:
     """The labels of both, in dictionary order."""
     both = F.concat(a, b)
-    known = literals(*collated(list({label for label, _ in _SKILLS})))
-    return F.filter(known, lambda s: F.array_contains(both, s))
+    return F.filter(literals(*_LABELS), lambda s: F.array_contains(both, s))
 
 
 def _amount(number: Column, suffix: Column) -> Column:
