@@ -31,6 +31,8 @@ from tidemark.llm.shared import stored
 END = hashlib.blake2b(b"\n", digest_size=16).digest()
 BINS = 64
 HELD_OUT_OF, HELD_OUT_IS = 5, 1
+#: Bytes of text in a block; a token takes some hundred bytes while a block is scored.
+BLOCK_BYTES = 5 << 20
 
 ANSWER = "block long, bucket long, one binary, two binary, three binary"
 
@@ -209,7 +211,7 @@ def _scored(t: Tokens, one: np.ndarray, counts: list[np.ndarray], s: Smoothing)
     return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Words are what stands between ASCII white space, lower-cased (A-Z); the end of a text is a token.
