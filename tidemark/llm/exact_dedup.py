@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE_CLASS, dropped, stored, text_of
+from tidemark.llm.shared import SPACE_CLASS, dropped, noted, stored, text_of
 
 BLOCK_BYTES = 8192
 
@@ -72,36 +72,38 @@ def exact_identities(
     Rows that repeat both id and text are one row here, with their number in copies.
     """
     level = 0
-    named = _first_names(_blocks(docs, id_col, text_col, block_bytes))
-    # Equal (id, sha, idx) are repeated rows; they carry equal names.
-    current = stored(
-        named.groupBy("id", "sha", "m", "idx").agg(F.max("name").alias("name"), F.count("*").alias("copies")), "names"
-    )
+    with noted() as made:
+        named = _first_names(_blocks(docs, id_col, text_col, block_bytes))
+        # Equal (id, sha, idx) are repeated rows; they carry equal names.
+        named = named.groupBy("id", "sha", "m", "idx").agg(F.max("name").alias("name"), F.count("*").alias("copies"))
+        current = stored(named, "names")
+    dropped(*(t for t in made if t is not current))
     done = current.where("m = 1").select("id", "sha", "copies", F.lit(level).alias("level"), "name")
     longest = current.agg(F.max("m")).first()[0] or 1
     while longest > 1:
         level += 1
         even = F.col("idx") % 2 == 0
-        pairs = stored(
-            current.where("m > 1")
-            .groupBy("id", "sha", "m", F.floor(F.col("idx") / 2).cast("int").alias("idx"))
-            .agg(
-                F.max(F.when(even, F.struct("name"))).alias("a"),
-                F.max(F.when(~even, F.struct("name"))).alias("b"),
-                F.max("copies").alias("copies"),
+        with noted() as made:
+            pairs = stored(
+                current.where("m > 1")
+                .groupBy("id", "sha", "m", F.floor(F.col("idx") / 2).cast("int").alias("idx"))
+                .agg(
+                    F.max(F.when(even, F.struct("name"))).alias("a"),
+                    F.max(F.when(~even, F.struct("name"))).alias("b"),
+                    F.max("copies").alias("copies"),
+                )
+                .select("id", "sha", "m", "idx", "copies", F.col("a.name").alias("a"),
+                        F.coalesce("b.name", F.lit(0)).alias("b"), F.col("b").isNull().alias("alone")),
+                "pairs",
             )
-            .select("id", "sha", "m", "idx", "copies", F.col("a.name").alias("a"), F.col("b.name").alias("b"),
-                    F.col("b").isNull().alias("alone")),
-            "pairs",
-        )
-        pairs = pairs.withColumn("b", F.coalesce("b", F.lit(0)))
-        names = _numbered(pairs.select("alone", "a", "b").distinct(), ["alone", "a", "b"], "pair-names")
-        current = stored(
-            pairs.join(names, ["alone", "a", "b"]).select(
-                "id", "sha", F.ceil(F.col("m") / 2).cast("int").alias("m"), "idx", "name", "copies"
-            ),
-            "names",
-        )
+            names = _numbered(pairs.select("alone", "a", "b").distinct(), ["alone", "a", "b"], "pair-names")
+            current = stored(
+                pairs.join(names, ["alone", "a", "b"]).select(
+                    "id", "sha", F.ceil(F.col("m") / 2).cast("int").alias("m"), "idx", "name", "copies"
+                ),
+                "names",
+            )
+        dropped(*(t for t in made if t is not current))
         done = done.unionByName(
             current.where("m = 1").select("id", "sha", "copies", F.lit(level).alias("level"), "name")
         )

@@ -33,8 +33,6 @@ from tidemark.llm.words import mixed
 
 #: Parts of the hash space whose counts bound distances.
 PARTS = 16
-#: Texts of a cluster that one task joins; larger clusters are split further first.
-LEAF = 20_000
 #: Elements of the dense matrices that a small cluster is joined with.
 DENSE = 4_000_000
 #: Regions of up to so many texts are compared pair by pair, all at once.

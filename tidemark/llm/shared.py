@@ -26,7 +26,7 @@ def noted() -> Iterator[list[DataFrame]]:
     try:
         yield made
     finally:
-        _NOTES.remove(made)
+        _NOTES.pop()
 
 
 def session_of(df: DataFrame) -> SparkSession:
