@@ -32,8 +32,8 @@ def test_words_are_those_of_split(raw):
 
 # --- exact dedup
 
-@pytest.mark.parametrize("name", ["op5_exact_dedup", "op8_line_dedup"])
-def test_native_operators_equal_sql(spark, small, name):
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_operators_equal_sql(spark, small, name):
     con = duckdb.connect()
     for t in ("documents", "pages"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")

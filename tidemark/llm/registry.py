@@ -89,6 +89,51 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d
 FROM d JOIN g ON d.norm = g.norm
 """
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d
+), win AS (
+  SELECT * FROM (SELECT doc_id, i, n, string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS s FROM words) WHERE i <= n - 12
+), firsts AS (
+  SELECT s, min(doc_id) AS f FROM win GROUP BY s
+), dup AS (
+  SELECT win.doc_id, win.i FROM win JOIN firsts ON win.s = firsts.s WHERE firsts.f < win.doc_id
+), marked AS (
+  SELECT words.doc_id, words.i, word, max((dup.i IS NOT NULL)::INT) OVER (
+    PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone
+  FROM words LEFT JOIN dup ON words.doc_id = dup.doc_id AND words.i = dup.i
+), kept AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS t FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS w
+  FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d
+), shingles AS (
+  SELECT DISTINCT doc_id, s FROM (SELECT doc_id, i, n, string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS s FROM words) WHERE i <= greatest(1, n - 2)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = d.doc_id
+"""
+
 _TAGS = "|".join(line_dedup.BLOCK_TAGS)
 
 OP8_SQL = rf"""
@@ -140,4 +185,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_jaccard_join": OP9_SQL}
