@@ -133,8 +133,10 @@ def test_jaccard_join_odd_rows(odd, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "7"]
 
 
-def test_jaccard_join_families(spark):
-    """Edited copies of some texts, at all distances around the threshold."""
+@pytest.mark.parametrize("wide", [jaccard_join.WIDE, 9])
+def test_jaccard_join_families(spark, monkeypatch, wide):
+    """Edited copies of some texts, at all distances around the threshold; wide clusters go in slices."""
+    monkeypatch.setattr(jaccard_join, "WIDE", wide)
     draw = np.random.default_rng(5)
     rows, n = [], 0
     for family in range(6):

@@ -13,6 +13,8 @@ Close by, whole texts are pivots.  A cluster's texts are given by their differen
 in the ball around the pivot are linked to it, those beyond the widest window from all others are
 joined among themselves with a new pivot, and the rest must share differences, which an index finds.
 Every link between different sets is found by exact counts; equal sets are one text from the start.
+A wide cluster is joined by many tasks: a few pivots connect the texts in their balls, which then need no
+comparison among themselves, and slices of the other texts meet all slices.
 """
 
 from __future__ import annotations
@@ -37,6 +39,12 @@ PARTS = 16
 DENSE = 4_000_000
 #: Regions of up to so many texts are compared pair by pair, all at once.
 SMALL = 6
+#: A cluster of more texts is wide: it is joined by many tasks, each with two slices of about so many.
+WIDE = 256
+#: Texts of a wide cluster that all its texts are compared with first.
+PIVOTS = 8
+#: Texts whose sets go to Spark as one batch.
+BATCH = 1024
 
 
 @dataclass(frozen=True)
@@ -342,26 +350,112 @@ def _candidate_edges(table: DataFrame, nodes: DataFrame, width: int, t: Threshol
     return sent.groupBy("bucket").applyInArrow(regions, EDGE)
 
 
+def _pivot_links(table: DataFrame, members: DataFrame, width: int, t: Threshold) -> DataFrame:
+    """Edges (a, b) between the texts of wide clusters (node, component) and the pivots of their cluster."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in B.rows_of(batch):
+                block = B.read_block(row, lower=True, lanes=1)
+                sets = shingle_sets(block, width)
+                yield from _set_rows(block, sets, row["asked"], "component")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in B.rows_of(batch):
+                block = B.read_block(row, lower=True, lanes=1)
+                sets = shingle_sets(block, width)
+                pivots: dict[int, list] = {}
+                for p in row["pivots"]:
+                    pivots.setdefault(p["component"], []).append((p["node"], np.frombuffer(p["shingles"], np.uint64)))
+                out = []
+                for asked in row["asked"]:
+                    own, node = sets[asked["place"]], (block.number << B.ROW_BITS) + asked["place"]
+                    for pivot, other in pivots[asked["component"]]:
+                        total = len(own) + len(other)
+                        if pivot != node and t.sizes(len(own), len(other)):
+                            common = len(np.intersect1d(own, other, assume_unique=True))
+                            if not t.apart(total - 2 * common, total):
+                                out.append((pivot, node))
+                yield _edges(out)
+
+    salt = F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("salt")
+    chosen = members.groupBy("component", salt).agg(F.min("node").alias("node"))
+    sets = B.joined(table, _by_block(chosen, "component")).mapInArrow(take, "component long, node long, shingles binary")
+    sets = stored(sets, "pivots")
+    block = F.shiftright("node", B.ROW_BITS).alias("block")
+    # A block gets the pivots of the clusters that it has texts of.
+    near = members.select(block, "component").distinct().join(sets, "component")
+    near = near.groupBy("block").agg(F.collect_list(F.struct("component", "node", "shingles")).alias("pivots"))
+    return B.joined(B.joined(table, _by_block(members, "component")), near).mapInArrow(star, EDGE)
+
+
+def _slices(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, component, low, high): the pairs of slices in which the texts of wide clusters meet.
+
+    The largest part of a cluster that pivots have connected needs no comparison within itself; the other
+    texts meet it and each other.  Each slice has about WIDE texts.
+    """
+    own = members.join(found.withColumnRenamed("component", "part"), "node", "left")
+    sizes = own.where("part is not null").groupBy("component", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("component").agg(F.max(F.struct("n", "part")).alias("m"))
+    all_texts = members.groupBy("component").agg(F.count("*").alias("texts"))
+    size = all_texts.join(largest, "component", "left").select(
+        "component", F.col("m.part").alias("core"),
+        F.ceil(F.coalesce("m.n", F.lit(0)) / WIDE).alias("cores"),
+        F.ceil((F.col("texts") - F.coalesce("m.n", F.lit(0))) / WIDE).alias("rests"),
+    )
+    rows = own.join(size, "component").withColumn("inner", F.coalesce(F.col("part") == F.col("core"), F.lit(False)))
+    hashed = F.xxhash64("node")
+    rows = rows.where("rests > 0").withColumn(
+        "slice", F.when(F.col("inner"), F.col("rests") + F.pmod(hashed, F.col("cores"))).otherwise(F.pmod(hashed, F.col("rests")))
+    )
+    # A text outside of the core meets all slices, one of the core meets those outside of it.
+    last = F.when(F.col("inner"), F.col("rests")).otherwise(F.col("rests") + F.col("cores")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    rows = rows.where("slice <> other or rests + cores = 1")
+    return rows.select("node", "component", F.least("slice", "other").alias("low"), F.greatest("slice", "other").alias("high"))
+
+
+def _set_rows(block: B.Block, sets: list[np.ndarray], asked: list[dict], *names: str) -> Iterator[pa.RecordBatch]:
+    """The asked places as rows: these names, node, shingles."""
+    for at in range(0, len(asked), BATCH):
+        part = asked[at : at + BATCH]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([a[x] for a in part], pa.int64()) for x in names),
+             pa.array([(block.number << B.ROW_BITS) + a["place"] for a in part], pa.int64()),
+             pa.array([sets[a["place"]].tobytes() for a in part], pa.binary())],
+            names=[*names, "node", "shingles"],
+        )
+
+
 def _links(table: DataFrame, clusters: DataFrame, width: int, t: Threshold, tasks: int) -> DataFrame:
-    """Edges (a, b) between similar nodes of each cluster (node, component)."""
+    """Edges (a, b) that connect the similar nodes of each cluster (node, component).
+
+    A cluster of up to WIDE texts is joined in one place.  A wide one is compared with some pivots first,
+    and slices of it meet in pairs, so that no task grows with a cluster.
+    """
+    wide = clusters.groupBy("component").agg(F.count("*").alias("texts")).where(F.col("texts") > WIDE)
+    wide = stored(wide.select("component"), "wide-clusters")
+    members = stored(clusters.join(wide, "component").select("node", "component"), "wide-members")
+    pivots = stored(_pivot_links(table, members, width, t), "pivot-links")
+    pairs = _slices(members, connected_components(pivots))
+    plain = clusters.join(wide, "component", "left_anti")
+    none = F.lit(0).cast("long")
+    pairs = plain.select("node", "component", none.alias("low"), none.alias("high")).unionByName(pairs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in B.rows_of(batch):
                 block = B.read_block(row, lower=True, lanes=1)
-                sets = shingle_sets(block, width)
-                asked = row["asked"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([a["component"] for a in asked], pa.int64()),
-                     pa.array([(block.number << B.ROW_BITS) + a["place"] for a in asked], pa.int64()),
-                     pa.array([sets[a["place"]].tobytes() for a in asked], pa.binary())],
-                    names=["component", "node", "shingles"],
-                )
+                yield from _set_rows(block, shingle_sets(block, width), row["asked"], "component", "low", "high")
 
     def join(group: pa.Table) -> pa.Table:
-        component, node = group.column("component").to_numpy(), group.column("node").to_numpy()
-        order = np.lexsort((node, component))
-        first = np.flatnonzero(np.concatenate([[True], np.diff(component[order]) != 0]))
+        node = group.column("node").to_numpy()
+        names = [group.column(x).to_numpy() for x in ("component", "low", "high")]
+        order = np.lexsort((node, *names))
+        new = np.any([np.diff(x[order]) != 0 for x in names], axis=0)
+        first = np.flatnonzero(np.concatenate([[True], new]))
         out = []
         for a, b in zip(first, [*first[1:], len(order)], strict=True):
             rows = order[a:b]
@@ -370,9 +464,10 @@ def _links(table: DataFrame, clusters: DataFrame, width: int, t: Threshold, task
             out += [(int(node[rows[i]]), int(node[rows[j]])) for i, j in cluster_links(sets, t) if forest.join(i, j)]
         return pa.Table.from_batches([_edges(out)])
 
-    sent = B.joined(table, _by_block(clusters, "component"))
-    sent = sent.mapInArrow(send, "component long, node long, shingles binary")
-    return sent.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("part")).applyInArrow(join, EDGE)
+    sent = B.joined(table, _by_block(pairs, "component", "low", "high"))
+    sent = sent.mapInArrow(send, "component long, low long, high long, node long, shingles binary")
+    part = F.pmod(F.xxhash64("component", "low", "high"), F.lit(tasks)).alias("part")
+    return sent.groupBy(part).applyInArrow(join, EDGE).unionByName(pivots)
 
 
 def _components(table: DataFrame, width: int, t: Threshold) -> DataFrame:
