@@ -31,7 +31,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nations = table(spark, sf_dir, "nation").select("n_nationkey")
     # Spark broadcasts customers and nations while they are small enough, and sorts and merges otherwise.
-    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    # Keys are never null; with ==, Spark 4.1 infers a filter of a mixed side from filters on company, and fails.
+    rows = orders.join(customers, F.col("o_custkey").eqNullSafe(F.col("c_custkey"))).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     k, cust = F.col("o_orderkey"), F.col("c_custkey")
     pay = F.floor("o_totalprice").cast("long")
     text = F.concat(
