@@ -33,3 +33,9 @@ def test_query_equals_sql(spark, duck, small, name):
 
 def test_every_query_has_sql():
     assert set(registry.queries()) == set(SQL)
+
+
+def test_every_posting_is_written_as_json(spark, small):
+    keys = spark.read.parquet(f"{small}/orders.parquet").selectExpr("o_orderkey as k")
+    got = registry.queries()["json_without_empty_whole"](spark, small)
+    assert sorted(r.k for r in got.select("k").collect()) == sorted(r.k for r in keys.collect())

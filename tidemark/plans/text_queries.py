@@ -260,7 +260,16 @@ def company_jsonld_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL} SELECT k, length(title) AS n_title, description IS NULL AS bare FROM base WHERE k % 50 = 0""")
 def json_without_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = postings(spark, sf_dir).where("k % 50 = 0")
+    return _json_fields(postings(spark, sf_dir).where("k % 50 = 0"))
+
+
+@query(f"""WITH {SQL} SELECT k, length(title) AS n_title, description IS NULL AS bare FROM base""")
+def json_without_empty_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """json_without_empty over every posting."""
+    return _json_fields(postings(spark, sf_dir))
+
+
+def _json_fields(rows: DataFrame) -> DataFrame:
     known = {c: F.col(c) for c in ("sourceJobId", "title", "company", "description")}
     shaped = P.without_empty(P.as_postings(rows, known, "k"))
     text = P.as_json(shaped).select(F.col("json"))
