@@ -79,6 +79,25 @@ def test_html_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+PARA = "A long paragraph, with some commas, and so many words that it surely gets three points for its length, and more, and more."
+TEN, THREE = f"<p>{PARA}</p>" * 10, f"<p>{PARA}</p>" * 3
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    (f"<article><h1>T</h1><div class=entry-content>{TEN}</div><ul><li>a fact</li><li>b</li></ul></article>", ["T", *[PARA] * 10, "a fact", "b"]),
+    (f"<article><section>{TEN * 3}</section><section>{THREE}</section><h3>S</h3><p>short</p><table><tr><td>c</table></article>",
+     [*[PARA] * 33, "S", "short", "c"]),
+    (f"<main><article>{TEN}</article><div><p>note</p></div></main>", [*[PARA] * 10, "note"]),
+    (f"<div><div class=entry-content>{TEN}</div><h3>Facts</h3><ul><li>a fact</li></ul><section>{THREE}</section><pre>x = 1</pre></div>",
+     [*[PARA] * 10, "Facts", "a fact", *[PARA] * 3, "x = 1"]),
+    (f"<body><article>{TEN}</article><article><p>second</p></article></body>", [*[PARA] * 10, "second"]),
+    (f"<article>{TEN}<ol><li><a href=s>source</a></li></ol><ul class=main-menu><li><a href=h>Home</a></ul></article>", [*[PARA] * 10, "source"]),
+    (f"<body><div class=ad>Buy</div><nav><ul><li><a href=h>Home</a></ul></nav><article>{THREE}</article><footer>f</footer></body>", [PARA] * 3),
+])
+def test_html_keeps_text_beside_the_best_container(page, blocks):
+    assert html_text.main_text(page).split("\n") == blocks
+
+
 def test_html_pages(spark, small):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in registry.op10_html_extraction(spark, small).collect():

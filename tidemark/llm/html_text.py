@@ -1,8 +1,9 @@
 """HTML extraction by tree scoring.
 
 Each page becomes a tree of elements.  Paragraphs pass points for length and commas to their
-ancestors, links discount them, and the best container is kept together with those of its siblings
-that read like text.  Pages are independent of each other, so the operator is a map without shuffle.
+ancestors, links discount them.  An article or main element with the best container in it is kept
+whole; elsewhere the best container is kept together with those of its siblings that read like text.
+Pages are independent of each other, so the operator is a map without shuffle.
 """
 
 from __future__ import annotations
@@ -59,7 +60,15 @@ UNLIKELY = re.compile(
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post|story|body|text|page)(?:$|[\s_-]|\d)", re.I)
+#: Parts of class and id values that make a list of links a menu.
+MENU = re.compile(
+    r"(?:^|[\s_-])(?:menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|toolbar|share|sharing|social|related|skip)"
+    r"(?:$|[\s_-]|\d)",
+    re.I,
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol menu dl table figure".split())
+WHOLE = ("article", "main")
 CONTAINERS = frozenset("body main article section div td blockquote li".split())
 
 TAG_POINTS = {"article": 30.0, "main": 20.0, "section": 2.0, "div": 5.0, "blockquote": 3.0, "body": 0.0}
@@ -196,17 +205,22 @@ def _best(root: Node) -> list[Node]:
     order = _measure(root)
     scored: list[Node] = []
     for node in order:
-        if node.name in BLOCK and node.name not in HEADINGS and node.size:
+        if node.name in BLOCK and node.size:
             text = _own_text(node).strip()
             if not text:
                 continue
             points = 1.0 + text.count(",") + min(len(text) / LENGTH_UNIT, LENGTH_MOST)
+            if node.name in HEADINGS:
+                node.points += points
+                continue
             share, up = 1.0, node.parent if node.name in ("p", "li", "dd", "dt", "td", "th", "pre") else node
             while up is not None and up.parent is not None:
                 if up.name in CONTAINERS:
                     up.points += points * share
                     scored.append(up)
                     share /= 2
+                elif up.name in LISTS:
+                    up.points += points
                 up = up.parent
     best, most = None, 0.0
     for node in dict.fromkeys(scored):
@@ -217,6 +231,11 @@ def _best(root: Node) -> list[Node]:
             best, most = node, node.points
     if best is None:
         return [next((n for n in order if n.name == "body"), root)]
+    up = best
+    while up is not None:
+        if up.name in WHOLE:
+            best = up
+        up = up.parent
     # A container that only wraps the best one's equals, such as several articles, is no better.
     if best.parent is None or best.name == "body":
         return [best]
@@ -227,12 +246,24 @@ def _best(root: Node) -> list[Node]:
         elif isinstance(child, Node) and not child.dropped and child.size:
             reads = child.name in ("p", "blockquote", "pre") and _density(child) < LINKY / 2 and child.size >= 80
             strong = child.points >= max(SIBLING_LEAST, SIBLING_SHARE * most) and _density(child) < LINKY
-            heads = child.name in ("h1", "h2") and best.parent.name in ("article", "main")
-            if reads or strong or heads:
+            # Outside of article and main elements nothing tells which of the siblings are the text's.
+            alike = child.name in WHOLE if best.name in WHOLE else _has_prose(child)
+            if reads or strong or (alike and _density(child) < LINKY):
                 kept.append(child)
     return kept
 
 
+def _has_prose(node: Node) -> bool:
+    """Whether the node is or has a paragraph, heading, list or table with text."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if node.size and (node.name in ("p", "blockquote", "pre") or node.name in HEADINGS or node.name in LISTS):
+            return True
+        stack += [c for c in node.children if isinstance(c, Node) and not c.dropped]
+    return False
+
+
 def _blocks(top: Node) -> list[str]:
     """The texts of the blocks below top, in page order."""
     out: list[str] = []
@@ -244,9 +275,10 @@ def _blocks(top: Node) -> list[str]:
                 out.append(text)
             parts.clear()
 
-    stack: list[tuple[Node | str | None, bool]] = [(top, True)]
+    # With each node, whether it or an element around it is marked as a menu.
+    stack: list[tuple[Node | str | None, bool]] = [(top, False)]
     while stack:
-        node, opens = stack.pop()
+        node, menu = stack.pop()
         if node is None:
             flush()
         elif isinstance(node, str):
@@ -255,14 +287,15 @@ def _blocks(top: Node) -> list[str]:
             parts.append(" ")
         elif not node.dropped or node is top:
             block = node.name in BLOCK or node is top
-            # A list or table that is nearly all links is navigation.
-            if node is not top and node.name in ("ul", "ol", "table", "dl") and _density(node) > 0.8:
+            menu = menu or (node is not top and MENU.search(node.words) is not None)
+            # A list or table that is nearly all links is navigation where it is marked so.
+            if menu and node.name in ("ul", "ol", "table", "dl") and _density(node) > 0.8:
                 flush()
                 continue
             if block:
                 flush()
                 stack.append((None, False))
-            stack += [(c, True) for c in reversed(node.children)]
+            stack += [(c, menu) for c in reversed(node.children)]
     flush()
     return out
 
