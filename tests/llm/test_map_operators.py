@@ -98,6 +98,22 @@ def test_html_keeps_text_beside_the_best_container(page, blocks):
     assert html_text.main_text(page).split("\n") == blocks
 
 
+@pytest.mark.parametrize(("page", "blocks"), [
+    (f"<body><div class='content with-sidebar'>{TEN}</div></body>", [PARA] * 10),
+    (f"<body><div class='page no-sidebar'><p>By A</p>{THREE}</div></body>", ["By A", *[PARA] * 3]),
+    (f"<body><div class='layout-sidebar'><article>{THREE}</article></div><div class=sidebar><p>side</p></div></body>", [PARA] * 3),
+    (f"<body><div id=page><p>By A</p><section class='sidebar-left'>{TEN}<div class=ad><p>Buy</p></div></section></div></body>", ["By A", *[PARA] * 10]),
+    (f"<body><div class=footer-fixed><main>{THREE}</main></div></body>", [PARA] * 3),
+    (f"<body><article>{THREE}</article><div id=comments>{TEN}<article class=comment-body>{TEN}</article></div></body>", [PARA] * 3),
+    (f"<body><div class=content>{THREE}</div><div class=comments>{TEN}</div></body>", [PARA] * 3),
+    ("<body><div class=cookie-notice><p>We use cookies, and more, to sell</p></div><p>Short</p></body>", ["Short"]),
+    ("<body><div class='page sidebar-left'><p>Short</p></div></body>", ["Short"]),
+    (f"<body><article>{THREE}</article><div class=sidebar><p>{PARA}</p></div></body>", [PARA] * 3),
+])
+def test_html_wrappers_with_unlikely_names(page, blocks):
+    assert html_text.main_text(page).split("\n") == blocks
+
+
 def test_html_pages(spark, small):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in registry.op10_html_extraction(spark, small).collect():

@@ -60,6 +60,9 @@ UNLIKELY = re.compile(
     re.I,
 )
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post|story|body|text|page)(?:$|[\s_-]|\d)", re.I)
+#: Words on the layout around a text, such as with-sidebar, and whole words of an area of comments.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:with|without|has|no)[-_]\S+", re.I)
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?|comments?-?(?:list|area|section)|disqus(?:_thread)?|respond|replies)(?:$|\s)", re.I)
 #: Parts of class and id values that make a list of links a menu.
 MENU = re.compile(
     r"(?:^|[\s_-])(?:menu|navbar|nav|navigation|breadcrumbs?|pagination|pager|toolbar|share|sharing|social|related|skip)"
@@ -81,10 +84,10 @@ LINKY = 0.5
 class Node:
     """An element: its children are nodes and strings, in order."""
 
-    __slots__ = ("name", "words", "parent", "children", "dropped", "points", "size", "linked")
+    __slots__ = ("name", "words", "parent", "children", "dropped", "doubtful", "points", "size", "linked")
 
-    def __init__(self, name: str, parent: Node | None, words: str = "", dropped: bool = False) -> None:
-        self.name, self.parent, self.words, self.dropped = name, parent, words, dropped
+    def __init__(self, name: str, parent: Node | None, words: str = "", dropped: bool = False, doubtful: bool = False) -> None:
+        self.name, self.parent, self.words, self.dropped, self.doubtful = name, parent, words, dropped, doubtful
         self.children: list[Node | str] = []
         self.points, self.size, self.linked = 0.0, 0, 0
 
@@ -94,7 +97,7 @@ def _element(name: str, raw: str, parent: Node) -> Node:
     if raw and not raw.isspace():
         for key, a, b, c in ATTRIBUTE.findall(raw):
             attrs.setdefault(key.lower(), a or b or c)
-    words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+    words = LAYOUT.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}").strip()
     gone = (
         name in DROPPED
         or attrs.get("role", "").lower() in DROPPED_ROLES
@@ -102,9 +105,12 @@ def _element(name: str, raw: str, parent: Node) -> Node:
         or attrs.get("aria-hidden", "").lower() == "true"
         or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
     )
-    if words and name not in ("html", "body", "article", "main") and UNLIKELY.search(words):
-        gone = gone or not LIKELY.search(words) or re.search(r"comment|sidebar|footer|cookie", words, re.I) is not None
-    return Node(name, parent, words, gone)
+    return Node(name, parent, words, gone, name not in ("html", "body", *WHOLE) and _unlikely(words))
+
+
+def _unlikely(words: str) -> bool:
+    return bool(words and UNLIKELY.search(words)) and (
+        not LIKELY.search(words) or re.search(r"comment|sidebar|footer|cookie", words, re.I) is not None)
 
 
 def parse(page: str) -> Node:
@@ -163,6 +169,53 @@ def _squeezed(parts: list[str]) -> str:
     return " ".join("".join(map(entities.unescape, parts)).split())
 
 
+def _prose_points(text: str) -> float:
+    return 1.0 + text.count(",") + min(len(text) / LENGTH_UNIT, LENGTH_MOST)
+
+
+def _settle(root: Node) -> None:
+    """Drops the doubtful elements but those that hold the page's text.
+
+    An element that has a main element or most of the paragraph points is kept, and one that has articles
+    where those outside of it have little.  An area of comments never outweighs text elsewhere.
+    """
+    # Sums by the nearest doubtful element: points of all text, of that in articles, of that in likely elements.
+    own: dict[Node, list[float]] = {root: [0.0, 0.0, 0.0]}
+    above: dict[Node, Node] = {}
+    mains: set[Node] = set()
+    articles: set[Node] = set()
+    stack = [(root, root, False, False)]
+    while stack:
+        node, area, whole, likely = stack.pop()
+        if node.doubtful:
+            own[node], above[node], area = [0.0, 0.0, 0.0], area, node
+            whole = likely = False
+        if node.name in WHOLE and not _unlikely(node.words):
+            whole = True
+            (mains if node.name == "main" else articles).add(area)
+        likely = likely or (node.name not in ("html", "body") and LIKELY.search(node.words) is not None)
+        if node.name in BLOCK and node.name not in HEADINGS and (text := _own_text(node).strip()):
+            points = _prose_points(text)
+            for i, here in enumerate((True, whole, likely)):
+                own[area][i] += points * here
+        stack += [(c, area, whole, likely) for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
+    total = {area: sums[0] for area, sums in own.items()}
+    for area in reversed(above):
+        total[above[area]] += total[area]
+        for kind in (mains, articles):
+            if area in kind:
+                kind.add(above[area])
+    beside = {root: (0.0, 0.0)}
+    for area, outer in above.items():
+        in_whole, in_likely = beside[area] = tuple(x + y for x, y in zip(beside[outer], own[outer][1:], strict=True))
+        comments = COMMENTS.search(area.words) is not None
+        home = max(in_whole, in_likely) if comments else in_whole
+        rest = home <= (0.0 if comments else SIBLING_SHARE * total[area])
+        # A notice on a page of a few words is not its text.
+        most = total[area] > total[root] / 2 and (total[area] >= SIBLING_LEAST or total[area] == total[root])
+        area.dropped = not (area in mains or (area in articles and (rest or most)) or (most and rest))
+
+
 def _measure(root: Node) -> list[Node]:
     """Sizes and link sizes of all nodes, bottom up; the nodes in document order."""
     order, stack = [], [root]
@@ -191,7 +244,7 @@ def _own_text(node: Node) -> str:
             parts.append(child)
         elif child.name == "br":
             parts.append(" ")
-        elif not child.dropped and child.name not in BLOCK:
+        elif not (child.dropped or child.doubtful) and child.name not in BLOCK:
             stack += reversed(child.children)
     return "".join(parts)
 
@@ -202,6 +255,7 @@ def _density(node: Node) -> float:
 
 def _best(root: Node) -> list[Node]:
     """The best container, with those of its siblings that belong to the text, in page order."""
+    _settle(root)
     order = _measure(root)
     scored: list[Node] = []
     for node in order:
@@ -209,7 +263,7 @@ def _best(root: Node) -> list[Node]:
             text = _own_text(node).strip()
             if not text:
                 continue
-            points = 1.0 + text.count(",") + min(len(text) / LENGTH_UNIT, LENGTH_MOST)
+            points = _prose_points(text)
             if node.name in HEADINGS:
                 node.points += points
                 continue
