@@ -60,6 +60,18 @@ def test_pii_adds_confirmed_spans():
     assert near > far
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("IBAN DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 EUR 500", ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"]),
+    ("KONTO NR12 DE89370400440532013000 BIC", ["DE89370400440532013000"]),
+    ("NO93 8601 1117 947 2024", ["NO93 8601 1117 947"]),
+    ("DE88370400440532013000 BIC COBADEFFXXX", []), ("xDE89370400440532013000 BIC", []),
+])
+def test_pii_ibans_before_upper_case_words(text, found):
+    assert [text[s:e] for k, s, e in pii.added_spans(text) if k == "iban"] == found
+
+
 def test_pii_odd_rows(odd, none):
     assert pii.digest(pii.personal_data(odd)).count() == len(ODD_ROWS) and pii.digest(pii.personal_data(none)).count() == 0
 

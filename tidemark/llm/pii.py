@@ -25,6 +25,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country, of the IBAN registry.
+IBAN_CHARS = {
+    code: int(chars)
+    for chars, codes in (x.split(":") for x in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:GI,IL,IQ,OM,SO 24:AD,AE,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split())
+    for code in codes.split(",")
+}
 DIGIT = re.compile(r"[0-9]")
 DIGITS_ONLY = re.compile(r"[^0-9]+")
 
@@ -92,6 +101,20 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _iban_end(run: str) -> int | None:
+    """End of the IBAN that the run of upper-case words and numbers begins with; None where there is none.
+
+    Of the ends of words the one with the country's number of characters is tried first, then the longest.
+    """
+    ends = [i for i, c in enumerate(run) if c == " "] + [len(run)]
+    sizes = {end: end - k for k, end in enumerate(ends)}
+    right = IBAN_CHARS.get(run[:2])
+    for end in sorted(ends, key=lambda e: (sizes[e] != right, -e)):
+        if 15 <= sizes[end] <= 34 and mod97(run[:end].replace(" ", "")):
+            return end
+    return None
+
+
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     """What the method adds: IBANs that pass mod 97, and short card numbers that pass Luhn in context."""
     out = []
@@ -105,10 +128,13 @@ def added_spans(text: str) -> list[tuple[str, int, int]]:
         if SHORT_CARD[0] <= len(digits) <= SHORT_CARD[1] and alone and luhn(digits):
             if _score(text, "card", m.start(), m.end()) > BASE_SCORE["card"]:
                 out.append(("card", m.start(), m.end()))
-    for m in IBAN.finditer(text):
-        plain = m.group().replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            out.append(("iban", m.start(), m.end()))
+    m = IBAN.search(text)
+    while m is not None:
+        end = _iban_end(m.group())
+        if end is not None:
+            out.append(("iban", m.start(), m.start() + end))
+        # A run without an IBAN at its start may have one at a later word.
+        m = IBAN.search(text, m.start() + (end or 1))
     return out
 
 
