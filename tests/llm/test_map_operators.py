@@ -202,6 +202,18 @@ def test_myers_equals_dynamic_programming(p, t):
     assert list(decontaminate.distances(p, t)) == edit_ends(p, t)
 
 
+def test_short_items_are_leaks(spark):
+    docs = spark.createDataFrame([(1, "Q: 2 + 2 = 4?"), (2, "so 12 2 4 or 2 2 41"), (3, "What is an ion? An ION."), (4, "anion")],
+                                 "doc_id long, text string")
+    items = spark.createDataFrame([(1, "2+2=4"), (2, "ion"), (3, "What is an ion?"), (4, "?!")], "item_id long, text string")
+    hits = decontaminate.find_leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.end, r.distance, r.short) for r in hits) == [
+        (1, 1, 2, 7, 0, True), (3, 2, 11, 14, 0, True), (3, 2, 18, 21, 0, True), (3, 3, 0, 14, 0, True)]
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).orderBy("doc_id").collect()] == [2, 4]
+    long = spark.createDataFrame([(9, "what is an ion and what is it not")], "item_id long, text string")
+    assert [r.short for r in decontaminate.find_leaks(long.withColumnsRenamed({"item_id": "doc_id"}), long).collect()] == [False]
+
+
 def test_leaks(spark, small, odd, none):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     texts = rows_of(spark, small)

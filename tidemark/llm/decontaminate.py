@@ -2,7 +2,7 @@
 
 With an error budget of k edits, one of k + 1 pieces of a test item is free of errors wherever the
 item occurs.  An automaton over all pieces finds exact piece hits, and the text around each hit is
-verified with Myers' bit-parallel edit distance.
+verified with Myers' bit-parallel edit distance.  Short items are found exactly, as whole words.
 
 The benchmark's size is read first.  It is broadcast in blocks of a bounded number of characters, and
 each block is held against all documents, a map without shuffle.
@@ -23,7 +23,7 @@ from tidemark.llm.shared import session_of, text_of
 
 #: One edit is allowed for so many characters of an item.
 CHARS_PER_EDIT = 20
-#: Items of fewer normalised characters are no evidence and are not searched.
+#: Items of fewer normalised characters are short: found without edits, as whole words, and marked in the result.
 MIN_CHARS = 24
 #: Characters of items in one broadcast.
 BLOCK_CHARS = 1_000_000
@@ -74,9 +74,9 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             norm = plain(text or "")
-            if len(norm) < MIN_CHARS:
+            if not norm:
                 continue
-            budget = len(norm) // CHARS_PER_EDIT
+            budget = len(norm) // CHARS_PER_EDIT if len(norm) >= MIN_CHARS else 0
             cuts = [len(norm) * i // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces[norm[a:b]].append((len(self.items), a))
@@ -87,14 +87,17 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item id, start, end, distance) of each occurrence in the normalised text, by item and place."""
+    def find(self, text: str) -> list[tuple[int, int, int, int, bool]]:
+        """(item id, start, end, distance, whether the item is short) of each occurrence in the normalised text, by item and place."""
         if not self.items:
             return []
         norm = plain(text)
         starts: dict[int, set[int]] = defaultdict(set)
         for end, (size, places) in self.automaton.iter(norm):
             for k, offset in places:
+                if size == len(self.items[k][1]) < MIN_CHARS and (
+                        norm[end - size : end + 1 - size].strip() or norm[end + 1 : end + 2].strip()):
+                    continue
                 starts[k].add(end + 1 - size - offset)
         out = []
         for k in sorted(starts):
@@ -109,7 +112,7 @@ class Matcher:
                         if found is not None:
                             end = low + found[1]
                             back = _ends(pattern[::-1], norm[max(0, end - len(pattern) - budget) : end][::-1], budget)
-                            out.append((item_id, end - back[1], end, found[0]))
+                            out.append((item_id, end - back[1], end, found[0], len(pattern) < MIN_CHARS))
                             done = end
                     group = []
                 if start is not None:
@@ -129,17 +132,18 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per occurrence of an item in a document: id, item id, start, end, distance.
+    """One row per occurrence of an item in a document: id, item id, start, end, distance, short.
 
     Texts are compared as lower-case words joined by one space; start and end are places in that form,
     end exclusive.  An item may differ by one edit for each CHARS_PER_EDIT characters.  Null and empty
-    texts contain nothing, items under MIN_CHARS are not searched, repeated rows and items each give
-    their rows; empty tables give an empty result.
+    texts contain nothing; items under MIN_CHARS must occur without edits and as whole words, and short
+    is true in their rows; items without letters and digits occur nowhere.  Repeated rows and items each
+    give their rows; empty tables give an empty result.
     """
     spark = session_of(docs)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kinds = (rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
-    schema = f"id {kinds[0]}, item {kinds[1]}, start int, end int, distance int"
+    schema = f"id {kinds[0]}, item {kinds[1]}, start int, end int, distance int, short boolean"
     out = None
     for block in _blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(block)
@@ -153,10 +157,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     at += [i] * len(hits)
                     found += hits
                 ids = batch.column("id").take(pa.array(at, pa.int64()))
-                columns = [pa.array([x[j] for x in found], t) for j, t in enumerate((None, pa.int32(), pa.int32(), pa.int32()))]
+                columns = [pa.array([x[j] for x in found], t) for j, t in enumerate((None, pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
                 if not found:
                     columns[0] = pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "item", "start", "end", "distance"])
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "item", "start", "end", "distance", "short"])
 
         part = rows.mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
