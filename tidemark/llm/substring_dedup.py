@@ -1,13 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by window lookups, in place of relative Lempel-Ziv parsing.
 
-Every document is factored against the documents before it (those of smaller ids).  The reference is
+Every document is held against the documents before it (those of smaller ids).  The reference is
 indexed by blocks of the corpus: each block sends its windows' anchors, the least of the 7-word hashes
 in each 13-word window, to the buckets of a hash space.  Anchors of one document alone can't begin a
 factor.  The windows that are left are looked up by 128-bit hashes, and the answer is the first
-document that has them.  The parse goes from left to right: a factor begins at the first window that
-an earlier document has, and goes on as long as the same document has the next one.  Where a factor
-ends, the windows across its boundary are looked up like all others, so a span that the greedy parse
-cut in two is still seen whole.
+document that has them.  All words of a window that an earlier document has are removed.  Factors are
+named afterwards and decide nothing: each is a run of found windows with the same first document.
 
 Rows that Spark shuffles are packed by block and bucket; a passage that is everywhere sends one entry
 from each block.
