@@ -184,6 +184,13 @@ def test_bpe_query(spark, small, odd, none):
     assert bpe.bpe_encode(none, PATH).count() == 0
 
 
+def test_bpe_lexicon_counts_all_parts(spark):
+    texts = [("a thin word",), ("the thin wall",), ("so thin",), ("z" * 300 + " z" + "z" * 299,)] + [("q " + "z" * 300,)] * 3
+    words = bpe.frequent_words(spark.createDataFrame(texts, "text string").repartition(len(texts)))
+    assert b" thin" in words and b" wall" not in words
+    assert max(map(len, words)) <= bpe.LEXICON_WORD_BYTES
+
+
 # --- decontamination
 
 def edit_ends(p, t):

@@ -67,6 +67,8 @@ PIECE = re.compile(
 
 LEXICON_SIZE = 65_536
 MIN_COUNT = 3
+#: Longer words are left to the exact merge, which bounds the lexicon that is broadcast.
+LEXICON_WORD_BYTES = 256
 #: Text bytes that a task holds as chunks at a time, and chunks that a task remembers.
 PART_BYTES = 2 << 20
 REMEMBERED = 120_000
@@ -473,8 +475,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", special: Iterable[st
                    lexicon_size: int = LEXICON_SIZE, min_count: int = MIN_COUNT) -> list[bytes]:
     """The corpus' most frequent words, sorted by their bytes: at most lexicon_size of them.
 
-    Counts cover all texts; the parts of some MB that a task reads each bring the words that are
-    frequent in them.
+    Counts cover all texts: each part of some MB that a task reads brings all of its words, and min_count
+    holds for their sums.  Words of more than LEXICON_WORD_BYTES are not among them.
     """
     names = list(special)
 
@@ -484,22 +486,21 @@ def frequent_words(docs: DataFrame, text_col: str = "text", special: Iterable[st
             texts = batch.column("text")
             which, parts, _ = cut_at_spaces(texts, names)
             found = pc.value_counts(parts)
-            often = found.filter(pc.greater_equal(found.field("counts"), min_count))
             words = Counter()
-            for key, n in zip(often.field("values").to_pylist(), often.field("counts").to_pylist(), strict=True):
+            for key, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
                 for piece in pieces_of(chunk_of(key)):
                     words[piece] += n
             for i in np.setdiff1d(np.arange(len(texts)), which):
                 for part in (splitter.split(texts[i].as_py()) if splitter else [texts[i].as_py()])[::2]:
                     words.update(PIECE.findall(part))
-            kept = {w: n for w, n in words.items() if n >= min_count}
+            kept = [(key, n) for w, n in words.items() if len(key := w.encode()) <= LEXICON_WORD_BYTES]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w.encode() for w in kept], pa.binary()), pa.array(list(kept.values()), pa.int64())],
+                [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())],
                 names=["word", "n"],
             )
 
     counted = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     top = top.orderBy(F.desc("n"), "word").limit(lexicon_size)
     return sorted(bytes(r.word) for r in top.toLocalIterator())
 
