@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ ATTRIBUTE = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object canvas noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg object canvas noframes".split())
 BLOCK = frozenset(
     "html body p div section article header footer nav aside main form ul ol li dl dt dd table caption thead tbody "
     "tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address hr fieldset details summary dialog "
@@ -47,18 +48,26 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 #: Elements without main text.
-DROPPED = RAW | frozenset("head nav aside footer form button select input menu dialog label".split())
+DROPPED = RAW | frozenset("head nav aside footer form button select input menu dialog annotation annotation-xml".split())
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split()
 )
 #: Parts of class and id values.
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|popup|modal|"
+    r"(?:^|[\s_-])(?:ads?(?:by\w+|sense|box|slot|unit)?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|popup|modal|"
     r"overlay|newsletter|subscribe|signup|login|comments?|commentlist|disqus|respond|replies|sidebar|side|menu|navbar|"
     r"nav|navigation|breadcrumbs?|pagination|pager|footer|foot|masthead|header|toolbar|share|sharing|social|related|"
     r"recommend\w*|widget|teaser|skip|copyright|legal)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Parts of class and id values that a likely name beside them does not outweigh.
+NEVER_TEXT = re.compile(
+    r"comment|sidebar|footer|cookie|advert|sponsor|newsletter|breadcrumb|pagination"
+    r"|(?:^|[\s_-])(?:nav|navbar|navigation|menu|share|sharing|related)(?:$|[\s_-]|\d)",
+    re.I,
+)
+#: Where words of a name in camel case meet.
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post|story|body|text|page)(?:$|[\s_-]|\d)", re.I)
 #: Words on the layout around a text, such as with-sidebar, and whole words of an area of comments.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:with|without|has|no)[-_]\S+", re.I)
@@ -79,16 +88,23 @@ CLASS_POINTS = 25.0
 LENGTH_UNIT, LENGTH_MOST = 100, 3
 SIBLING_SHARE, SIBLING_LEAST = 0.2, 10.0
 LINKY = 0.5
+#: A paragraph's points go up to so many elements; each container halves them.
+LEVELS = 8
 
 
 class Node:
     """An element: its children are nodes and strings, in order."""
 
-    __slots__ = ("name", "words", "parent", "children", "dropped", "doubtful", "points", "size", "linked")
+    __slots__ = ("name", "words", "parent", "children", "dropped", "doubtful", "banner", "inside", "holds", "above",
+                 "points", "size", "linked")
 
     def __init__(self, name: str, parent: Node | None, words: str = "", dropped: bool = False, doubtful: bool = False) -> None:
         self.name, self.parent, self.words, self.dropped, self.doubtful = name, parent, words, dropped, doubtful
         self.children: list[Node | str] = []
+        # Inside of an article or main element; holding one; the nearest element above that takes points.
+        self.inside = name in WHOLE or (parent is not None and parent.inside)
+        self.banner = self.holds = False
+        self.above: Node | None = None
         self.points, self.size, self.linked = 0.0, 0, 0
 
 
@@ -97,7 +113,7 @@ def _element(name: str, raw: str, parent: Node) -> Node:
     if raw and not raw.isspace():
         for key, a, b, c in ATTRIBUTE.findall(raw):
             attrs.setdefault(key.lower(), a or b or c)
-    words = LAYOUT.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}").strip()
+    words = CAMEL.sub("-", LAYOUT.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}").strip())
     gone = (
         name in DROPPED
         or attrs.get("role", "").lower() in DROPPED_ROLES
@@ -105,66 +121,93 @@ def _element(name: str, raw: str, parent: Node) -> Node:
         or attrs.get("aria-hidden", "").lower() == "true"
         or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
     )
-    return Node(name, parent, words, gone, name not in ("html", "body", *WHOLE) and _unlikely(words))
+    node = Node(name, parent, words, gone, name not in ("html", "body", *WHOLE) and _unlikely(words))
+    # A header is the page's unless it is part of an article or main element.
+    if name == "header" and not node.inside and not gone:
+        node.banner = node.dropped = True
+    return node
 
 
 def _unlikely(words: str) -> bool:
-    return bool(words and UNLIKELY.search(words)) and (
-        not LIKELY.search(words) or re.search(r"comment|sidebar|footer|cookie", words, re.I) is not None)
+    return bool(words and UNLIKELY.search(words)) and (not LIKELY.search(words) or NEVER_TEXT.search(words) is not None)
 
 
 def parse(page: str) -> Node:
-    """The page as a tree; broken markup gives the tree that browsers would roughly make of it."""
-    root = node = Node("#root", None)
+    """The page as a tree; broken markup gives the tree that browsers would roughly make of it.
+
+    The open elements are known by name, so that each tag takes the same time however deep it stands.
+    """
+    root = Node("#root", None)
+    open_ = [root]
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def close(depth: int) -> None:
+        """Ends the open elements from this depth on."""
+        for node in open_[depth:]:
+            places[node.name].pop()
+            if node.name in BLOCK:
+                blocks.pop()
+        del open_[depth:]
+
+    def last(names: Iterable[str]) -> int:
+        """The depth of the last open element of these names, 0 without one."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     at, end = 0, len(page)
     while at < end:
         found = TOKEN.search(page, at)
         if found is None:
-            node.children.append(page[at:])
+            open_[-1].children.append(page[at:])
             break
         if found.start() > at:
-            node.children.append(page[at : found.start()])
+            open_[-1].children.append(page[at : found.start()])
         at = found.end()
         name = found["name"] or found["name2"]
         if not name:
             continue
         name = name.lower()
         if found["close"] or found["close2"]:
-            match = node
-            while match.parent is not None and match.name != name:
-                # A block's end is not looked for outside of a cell or list by an inline end tag.
-                if name not in BLOCK and match.name in BLOCK:
-                    match = root
-                    break
-                match = match.parent
-            if match.parent is not None:
-                node = match.parent
+            depth = last((name,))
+            # An inline end tag ends nothing outside of the block that it stands in.
+            if depth and (name in BLOCK or not blocks or blocks[-1] < depth):
+                close(depth)
             continue
         if name in CLOSES_P:
-            match = node
-            while match.parent is not None and match.name not in ("p", "td", "th", "button", "table"):
-                match = match.parent
-            if match.name == "p":
-                node = match.parent
+            depth = last(("p", "td", "th", "button", "table"))
+            if open_[depth].name == "p":
+                close(depth)
         if name in ENDS:
             ended, fence = ENDS[name]
-            match = last = node
-            while match.parent is not None and match.name not in fence:
-                if match.name in ended:
-                    last = match.parent
-                match = match.parent
-            if last is not node:
-                node = last
-        child = _element(name, found["attrs"] or found["attrs2"] or "", node)
-        node.children.append(child)
+            within = last(fence)
+            depths = [own[i] for own in (places.get(n, ()) for n in ended) if (i := bisect_right(own, within)) < len(own)]
+            if depths:
+                close(min(depths))
+        child = _element(name, found["attrs"] or found["attrs2"] or "", open_[-1])
+        open_[-1].children.append(child)
+        if name in WHOLE:
+            _mark_holders(child)
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
         elif name not in VOID:
-            node = child
+            places.setdefault(name, []).append(len(open_))
+            if name in BLOCK:
+                blocks.append(len(open_))
+            open_.append(child)
     return root
 
 
+def _mark_holders(whole: Node) -> None:
+    """The elements around an article or main element hold it; a header that does is no banner."""
+    up = whole.parent
+    while up is not None and not up.holds:
+        up.holds = True
+        if up.banner:
+            up.dropped = False
+        up = up.parent
+
+
 def _squeezed(parts: list[str]) -> str:
     return " ".join("".join(map(entities.unescape, parts)).split())
 
@@ -222,6 +265,8 @@ def _measure(root: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
+        if (up := node.parent) is not None:
+            node.above = up if _takes_points(up) else up.above
         stack += [c for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
     for node in reversed(order):
         for child in node.children:
@@ -235,6 +280,10 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
+def _takes_points(node: Node) -> bool:
+    return node.name in CONTAINERS or node.name in LISTS
+
+
 def _own_text(node: Node) -> str:
     """Text of the node without that of the blocks in it."""
     parts, stack = [], list(reversed(node.children))
@@ -267,15 +316,19 @@ def _best(root: Node) -> list[Node]:
             if node.name in HEADINGS:
                 node.points += points
                 continue
-            share, up = 1.0, node.parent if node.name in ("p", "li", "dd", "dt", "td", "th", "pre") else node
-            while up is not None and up.parent is not None:
+            share, up = 1.0, node
+            if node.name in ("p", "li", "dd", "dt", "td", "th", "pre") or not _takes_points(node):
+                up = node.above
+            for _ in range(LEVELS):
+                if up is None:
+                    break
                 if up.name in CONTAINERS:
                     up.points += points * share
                     scored.append(up)
                     share /= 2
-                elif up.name in LISTS:
+                else:
                     up.points += points
-                up = up.parent
+                up = up.above
     best, most = None, 0.0
     for node in dict.fromkeys(scored):
         points = node.points + TAG_POINTS.get(node.name, 0.0)
