@@ -11,6 +11,7 @@ each block is held against all documents, a map without shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -98,25 +99,27 @@ class Matcher:
                 if size == len(self.items[k][1]) < MIN_CHARS and (
                         norm[end - size : end + 1 - size].strip() or norm[end + 1 : end + 2].strip()):
                     continue
-                starts[k].add(end + 1 - size - offset)
+                if (start := end + 1 - size - offset) >= -self.items[k][2]:
+                    starts[k].add(start)
         out = []
         for k in sorted(starts):
             item_id, pattern, budget = self.items[k]
-            done, group = -1, []
-            # Hits of one occurrence start within the budget of each other.
-            for start in [*sorted(starts[k]), None]:
-                if group and (start is None or start - group[-1] > budget):
-                    low = max(0, group[0] - budget)
-                    if group[-1] >= done - budget:
-                        found = _ends(pattern, norm[low : group[-1] + len(pattern) + budget], budget)
-                        if found is not None:
-                            end = low + found[1]
-                            back = _ends(pattern[::-1], norm[max(0, end - len(pattern) - budget) : end][::-1], budget)
-                            out.append((item_id, end - back[1], end, found[0], len(pattern) < MIN_CHARS))
-                            done = end
-                    group = []
-                if start is not None:
-                    group.append(start)
+            places, at, done = sorted(starts[k]), 0, 0
+            while at < len(places):
+                # Hits of one occurrence start within the budget of each other.
+                first = places[at]
+                while at < len(places) and places[at] <= first + budget:
+                    at += 1
+                low, high = max(done, first - budget), places[at - 1] + len(pattern) + budget
+                found = _ends(pattern, norm[low:high], budget)
+                if found is None:
+                    continue
+                end = low + found[1]
+                back = _ends(pattern[::-1], norm[max(done, end - len(pattern) - budget) : end][::-1], budget)
+                out.append((item_id, end - back[1], end, found[0], len(pattern) < MIN_CHARS))
+                done = end
+                # The next occurrence begins where this one has ended, or later.
+                at = max(at, bisect_left(places, done - budget))
         return out
 
 
@@ -134,6 +137,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per occurrence of an item in a document: id, item id, start, end, distance, short.
 
+    Occurrences of one item don't overlap: they are found from left to right, each after the end of the one before.
+    Ids and item ids keep their types, whatever these are.
     Texts are compared as lower-case words joined by one space; start and end are places in that form,
     end exclusive.  An item may differ by one edit for each CHARS_PER_EDIT characters.  Null and empty
     texts contain nothing; items under MIN_CHARS must occur without edits and as whole words, and short
@@ -144,6 +149,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     kinds = (rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString())
     schema = f"id {kinds[0]}, item {kinds[1]}, start int, end int, distance int, short boolean"
+    kind = benchmark.select(item_col).limit(0).toArrow().schema.types[0]
     out = None
     for block in _blocks(benchmark, item_col, item_text_col):
         shared = spark.sparkContext.broadcast(block)
@@ -157,9 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     at += [i] * len(hits)
                     found += hits
                 ids = batch.column("id").take(pa.array(at, pa.int64()))
-                columns = [pa.array([x[j] for x in found], t) for j, t in enumerate((None, pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
-                if not found:
-                    columns[0] = pa.array([], pa.int64())
+                columns = [pa.array([x[j] for x in found], t) for j, t in enumerate((kind, pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([ids, *columns], names=["id", "item", "start", "end", "distance", "short"])
 
         part = rows.mapInArrow(scan, schema)
