@@ -4,8 +4,8 @@ Pages are grouped by host.  For each line the number of the host's pages that co
 by the host's page total; lines above a ratio are boilerplate of that site and are dropped.
 
 A line of a host is known by the 128-bit MD5 of host and line, so texts don't move to be counted.  A
-page contributes each of its lines once, and the counts are summed before the shuffle, so a line or a
-host with a third of all rows stays small.  Only lines over the ratio are joined back; the texts move
+page contributes each of its lines once.  Pages are counted as distinct pairs of line and page, which go
+by both, and only their sums go by line or host, so neither with a third of all rows is a burden.  Only lines over the ratio are joined back; the texts move
 once, to meet the places of their dropped lines.
 """
 
@@ -48,8 +48,10 @@ def site_line_dedup(
 
     Lines are trimmed, inner white space becomes one space, empty lines do not count.  A line goes
     when at least min_pages pages of the host have it and they are more than ratio of the host's
-    pages.  Null html is an empty text, a null or malformed URL gives the host ''.  Rows that repeat
-    id and content are one page for the result's lines and are returned as often as they come.
+    pages.  A page is an id: rows that repeat one are one page in both numbers, whatever they hold, and are
+    returned as often as they come; rows with a null id count as no page but lose the same lines.  Null html
+    is an empty text, a null or malformed URL gives the host ''.  An empty table gives an empty result, other
+    columns are not read.
     """
     host = host_of("url") if host is None else host
     text = page_lines("html") if text is None else text
@@ -59,11 +61,11 @@ def site_line_dedup(
     )
     key = lambda x: F.unhex(F.md5(F.concat("host", F.lit("\n"), x)))
     rows = stored(rows.select("*", F.transform("lines", key).alias("keys"), F.xxhash64("host", "lines").alias("row")), "lines")
-    totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
+    totals = rows.groupBy("host").agg(F.count_distinct("id").alias("host_pages"))
     seen = (
-        rows.select("host", F.explode(F.array_distinct("keys")).alias("key"))
-        .groupBy("key")
-        .agg(F.count("*").alias("pages"), F.min("host").alias("host"))
+        rows.select("id", "host", F.explode(F.array_distinct("keys")).alias("key"))
+        .groupBy("key", "host")
+        .agg(F.count_distinct("id").alias("pages"))
         .where(F.col("pages") >= min_pages)
     )
     common = seen.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages")).select("key")

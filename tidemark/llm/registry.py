@@ -151,7 +151,7 @@ WITH p AS (
     lambda x: trim(regexp_replace(x, '[ \t-\r]+', ' ', 'g'))), lambda x: x <> '') AS lines
   FROM p
 ), t AS (
-  SELECT host, count(*) AS total FROM q GROUP BY host
+  SELECT host, count(DISTINCT page_id) AS total FROM q GROUP BY host
 ), s AS (
   SELECT host, line, count(DISTINCT page_id) AS n
   FROM (SELECT page_id, host, unnest(lines) AS line FROM q) GROUP BY host, line
