@@ -548,8 +548,13 @@ def bpe_encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
 
 def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """The rows of encoded with the text of their packed ids; null ids give an empty text."""
+    """The rows of encoded with the text of their packed ids; null ids give an empty text.
+
+    A column that is named like the new one is replaced, as withColumn does.  Repeated rows each get their
+    text; an empty table gives an empty result.
+    """
     spark = session_of(encoded)
+    others = [f for f in encoded.schema if f.name.lower() != out_col.lower()]
     shared = spark.sparkContext.broadcast(Vocabulary.load(tokenizer_path).bytes_of)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,8 +563,8 @@ def bpe_decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", ou
             at = batch.schema.get_field_index(ids_col)
             packed = [np.frombuffer(x or b"", "<u4") for x in batch.column(at).to_pylist()]
             texts = [decode(x, table).decode("utf-8", "replace") for x in packed]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(texts, pa.string())],
+                                             names=[*(f.name for f in others), out_col])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
     return encoded.mapInArrow(scan, f"{kinds}, `{out_col}` string")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE_CLASS, dropped, noted, stored, text_of
+from tidemark.llm.shared import SPACE_CLASS, dropped, free_name, noted, stored, text_of
 
 BLOCK_BYTES = 8192
 
@@ -140,8 +140,9 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The kept (id, hash) pairs are joined back; rows that repeat id and text come down to one.
     """
     key = lambda i, sha: F.md5(F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(":"), sha))
+    own = free_name("row_key", docs)
     verdict = exact_dedup(docs, id_col, text_col).where("kept")
-    verdict = verdict.select(key(F.col(id_col), F.col("text_sha256")).alias("_td_key"))
-    keyed = docs.withColumn("_td_key", key(F.col(id_col), F.sha2(normalised(text_col), 256)))
+    verdict = verdict.select(key(F.col(id_col), F.col("text_sha256")).alias(own))
+    keyed = docs.withColumn(own, key(F.col(id_col), F.sha2(normalised(text_col), 256)))
     # One key for both, so that the second step finds the rows where the join has brought them.
-    return keyed.join(verdict, "_td_key", "left_semi").dropDuplicates(["_td_key"]).drop("_td_key")
+    return keyed.join(verdict, own, "left_semi").dropDuplicates([own]).drop(own)

@@ -497,8 +497,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     width words, or all its words as one shingle if it has fewer.  Two texts are linked when den times
     the intersection is num times the union at least; component_id is the least id that links reach.
     Null and empty texts have no shingles and no links, their component is their own id.  A null id
-    counts as no id for component_id; repeated rows are copies of each other.  Other columns are not
-    read; an empty table gives an empty result.
+    counts as no id for component_id; repeated rows are copies of each other.  Ids are
+    integers, or texts that Spark casts to long; other texts are an error.  Other columns are not read; an empty
+    table gives an empty result.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes)
     found = _components(table, width, Threshold(num, den))
@@ -512,7 +513,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of docs, all columns, without those that are linked to a row that stays.
 
     Of each component of :func:`similar_components` the row of the least id stays, of several such rows
-    the first in the table; rows without shingles all stay.
+    the first in the table; rows without shingles all stay.  Ids are integers or can be cast to long.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes, whole=True)
     found = _components(table, width, Threshold(num, den))

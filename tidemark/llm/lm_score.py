@@ -218,7 +218,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with crc32(id) mod 5 = 1 are held out, all others train; a null id trains.  base_score is the
     add-a-half unigram score, score the trigram model's, both as log10.  Null and empty texts are the
     end token alone; repeated rows each count and get their row; without training rows both scores
-    are 0.  Other columns are not read; an empty table gives an empty result.
+    are 0.  Ids are integers, or texts that
+    Spark casts to long; other texts are an error.  Other columns are not read; an empty table gives an empty result.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes)
     buckets = B.bucket_count(table)

@@ -36,10 +36,13 @@ def session_of(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every machine sees: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is missing (a bare local session) is a temporary folder made and set.
+    Only in a local session without the setting is a temporary folder made and set; on a cluster other
+    machines would not see one, so there the missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster see")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -85,5 +88,13 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """The name, with underscores before it until none of the tables has such a column."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

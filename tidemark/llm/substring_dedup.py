@@ -90,8 +90,9 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A word goes if a window of width words over it also begins in a document of a smaller id, judged on
     the input.  Rows that repeat an id are no sources for each other; a null id is after all others.
-    Null, empty and shorter texts lose nothing; kept words are joined by one space.  Other columns are
-    not read, and an empty table gives an empty result.
+    Null, empty and shorter texts lose nothing; kept words are joined by one space.  Ids are
+    integers, or texts that Spark casts to long; other texts are an error.  Other columns are not read, and an
+    empty table gives an empty result.
     """
     table = B.pack_blocks(docs, id_col, text_col, block_bytes)
     buckets = B.bucket_count(table)
