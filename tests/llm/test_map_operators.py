@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -50,7 +53,7 @@ def test_pii_digest(spark, small):
         joined = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) <= {*r.spans.split(","), ""}
-        assert (r.n_email, r.n_ip) == tuple(sum(k == x for k, *_ in base) for x in ("email", "ip"))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, *_ in base) for x in BASE)
 
 
 def test_pii_adds_confirmed_spans():
@@ -72,6 +75,22 @@ def test_pii_ibans_before_upper_case_words(text, found):
     assert [text[s:e] for k, s, e in pii.added_spans(text) if k == "iban"] == found
 
 
+@pytest.mark.parametrize("text", ["a" * 500_000 + "@", "a@" + "b-" * 500_000, "a@b." * 250_000, "x@" * 500_000, "1." * 500_000,
+                                  "+1" + "(" * 500_000, "1 " * 500_000, "+1-" * 300_000, "AB12 " * 200_000, "a" * 500_000 + "@b.cd"])
+def test_pii_long_texts(text):
+    begin = time.monotonic()
+    base, _ = pii.find_spans(text)
+    assert time.monotonic() - begin < 20
+    emails = [m.span() for m in re.finditer(BASE["email"], text)] if text.startswith("a@b.a") else [(0, len(text))] * text.endswith("@b.cd")
+    assert [s[1:] for s in base if s[0] == "email"] == emails
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab@.+-_ é", max_size=40))
+def test_emails_equal_the_pattern(text):
+    assert [s for s in pii.base_spans(text) if s[0] == "email"] == [s for s in plain_spans(text) if s[0] == "email"]
+
+
 def test_pii_odd_rows(odd, none):
     assert pii.digest(pii.personal_data(odd)).count() == len(ODD_ROWS) and pii.digest(pii.personal_data(none)).count() == 0
 
@@ -134,6 +153,84 @@ def test_html_pages(spark, small):
         assert r.text == "\n".join(filter(None, blocks)) and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><header>Site name and slogan</header><p>One long paragraph, with commas, and words.</p></body>", "One long paragraph, with commas, and words."),
+    (f"<div class=page><header class=x><p>Site banner, text</p></header><div class=content><p>{PARA}</p></div></div>", PARA),
+    (f"<article><header><h1>T</h1></header><p>{PARA}</p></article>", f"T\n{PARA}"),
+    (f"<body><header><main><p>{PARA}</p></main></header></body>", PARA),
+    ("<article><p>A, b, c</p><ul><li><a>link one</a></li><li><a>link two</a></li></ul><p>d e f</p></article>", "A, b, c\nlink one\nlink two\nd e f"),
+    ("<article><p>A <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> c <label>l</label></p><table><tr><td><a href=x>d</a></table></article>",
+     "A x=2 c l\nd"),
+    (f"<div><div id=mainNav><a href=a>Home</a></div><div id=mainContent><p>{PARA}</p></div></div>", PARA),
+    (f"<body><div class=adsbygoogle><p>Buy, now, and here</p></div><div><p>{PARA}</p></div></body>", PARA),
+])
+def test_html_headers_formulas_and_links(page, text):
+    assert html_text.main_text(page) == text
+
+
+def made_page(draw):
+    """A page from parts, and the blocks that its text has by construction."""
+    word = lambda: "".join(draw.choice(list("abcdefgh"), draw.integers(1, 9)))
+    prose = lambda n: " ".join(word() + "," * bool(draw.integers(0, 9) == 0) for _ in range(n))
+    escaped = lambda t: t.replace("e", "&#101;").replace(" ", "\n  ", 1)
+    blocks, inner = [], []
+
+    def block(text, html):
+        blocks.append(text)
+        inner.append(html)
+
+    title = prose(5)
+    head = f"<h1>{title}</h1>"
+    block(title, draw.choice([f"<header>{head}</header>", head]))
+    for _ in range(draw.integers(3, 9)):
+        kind = draw.integers(0, 8)
+        text = prose(draw.integers(30, 90))
+        if kind < 4:
+            a, b = text.split(" ", 1)
+            block(text, draw.choice([f"<p>{escaped(text)}</p>", f"<p>{text}", f"<p><a href=x>{a}</a> <i>{b}</i></p>"]))
+        elif kind == 4:
+            items = [prose(draw.integers(1, 6)) for _ in range(3)]
+            blocks.extend(items)
+            inner.append("<ul>" + "".join(draw.choice([f"<li>{x}</li>", f"<li><a href=y>{x}</a>"]) for x in items) + "</ul>")
+        elif kind == 5:
+            cells = [prose(2) for _ in range(4)]
+            blocks.extend(cells)
+            inner.append("<table>" + "".join(f"<tr><td>{a}<td>{b}" for a, b in zip(cells[::2], cells[1::2], strict=True)) + "</table>")
+        elif kind == 6:
+            block(text, f"<blockquote>{text}</blockquote>")
+        else:
+            block(h := prose(4), f"<h2>{h}</h2>")
+        inner.append(draw.choice(["", "", f"<aside>{prose(20)}</aside>", f"<div class='ad'>{prose(9)}</div>", "<script>if (a<b) x();</script>",
+                                  "<!-- <p>no</p> -->", f"<form><p>{prose(9)}</p></form>"]))
+    comments = f"<section class='comments'><h3>{prose(3)}</h3>" + "".join(f"<p>{prose(25)}</p>" for _ in range(draw.integers(0, 4))) + "</section>"
+    within = "".join(inner) + draw.choice([comments, ""])
+    text = draw.choice([f"<article>{within}</article>", f"<main><article>{within}</article></main>", f"<main>{within}</main>",
+                        f"<article class='post'><div class='entry-content'>{within}</div></article>"])
+    around = [f"<header><p>{prose(30)}</p><nav><a href=z>{prose(1)}</a></nav></header>", f"<nav><ul><li><a href=z>{prose(2)}</a></ul></nav>",
+              f"<div class='cookie-notice'><p>{prose(12)}</p></div>", f"<div class=header><p>{prose(8)}</p></div>", f"<div class=ad><p>{prose(20)}</p></div>"]
+    after = [comments, f"<aside><p>{prose(40)}</p></aside>", f"<div class='sidebar'><ul><li><a href=q>{prose(3)}</a></ul><p>{prose(20)}</p></div>",
+             f"<footer><p>{prose(15)}</p></footer>", f"<div role=contentinfo>{prose(9)}</div>"]
+    some = lambda x: "".join(p for p in x if draw.integers(0, 2))
+    return f"<html><head><title>{title}</title><style>p {{}}</style></head><body>{some(around)}{text}{some(after)}</body></html>", blocks
+
+
+def test_html_of_made_pages(spark):
+    draw = np.random.default_rng(11)
+    made = [made_page(draw) for _ in range(400)]
+    pages = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(made)], "page_id long, url string, html string")
+    for r in html_text.extract_text(pages).collect():
+        assert r.text.split("\n") == made[r.page_id][1], made[r.page_id][0]
+        assert r.n_chars == len(r.text)
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<i><p>" + "<b>" * 100_000 + "</i>" * 100_000, "<ul>x" * 100_000,
+                                  "<p>x,y" * 100_000, "<article>x" * 50_000, "<header>x" * 50_000 + "<article>y", "<ul><li>x" * 50_000,
+                                  "<table><tr><td>x" * 30_000, "<a '><b \">" * 50_000, "<div class='side'>x, y" * 50_000, "<script>" * 100_000, "<!-" * 100_000])
+def test_html_long_pages(page):
+    begin = time.monotonic()
+    assert isinstance(html_text.main_text(page), str) and time.monotonic() - begin < 30
+
+
 def test_html_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>a")], "page_id long, url string, html string")
     assert sorted(r.text for r in html_text.extract_text(rows).collect()) == ["", "", "a"]
@@ -174,11 +271,16 @@ def test_bpe_equals_the_library(encoder, texts):
 
 def test_bpe_query(spark, small, odd, none):
     texts = dict(rows_of(spark, small))
-    for r in registry.op7_bpe(spark, small).collect():
-        ids = np.array(Tokenizer.from_file(PATH).encode(texts[r.doc_id], add_special_tokens=False).ids, "<u4")
+    library = Tokenizer.from_file(PATH)
+    found = registry.op7_bpe(spark, small).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    for r in found:
+        encoded = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        ids = np.array(encoded, "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
-        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
-        break
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(encoded, skip_special_tokens=False).encode()).hexdigest()
+    again = bpe.bpe_decode(bpe.bpe_encode(odd, PATH, with_decoded=True), PATH)
+    assert again.columns == ["doc_id", "n_tokens", "ids", "decoded"]
     coded = bpe.bpe_decode(bpe.bpe_encode(odd, PATH), PATH)
     assert sorted(r.decoded for r in coded.collect()) == sorted(t or "" for _, t, _ in ODD_ROWS)
     assert bpe.bpe_encode(none, PATH).count() == 0
@@ -221,18 +323,79 @@ def test_short_items_are_leaks(spark):
     assert [r.short for r in decontaminate.find_leaks(long.withColumnsRenamed({"item_id": "doc_id"}), long).collect()] == [False]
 
 
-def test_leaks(spark, small, odd, none):
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
-    texts = rows_of(spark, small)
-    found = {(r.doc_id, r.item_id) for r in registry.op4_decontamination(spark, small).collect()}
+def all_distances(pattern, text):
+    """After each character of text, the least edit distance of pattern to what ends there: plain dynamic programming."""
+    codes, place = np.array([ord(c) for c in text], np.int32), np.arange(len(text) + 1, dtype=np.int32)
+    row = np.zeros(len(text) + 1, np.int32)
+    for i, c in enumerate(pattern):
+        new = np.minimum(row + 1, np.concatenate([[i + 1], row[:-1] + (codes != ord(c))]))
+        row = np.minimum.accumulate(new - place) + place
+    return row[1:]
+
+
+def test_leaks_query_equals_full_scan(spark, small):
+    """Every item against every text, without pieces: the same pairs, and spans at the distance that is given."""
+    items = {r.item_id: decontaminate.plain(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    texts = {d: decontaminate.plain(t or "") for d, t in rows_of(spark, small)}
+    gap = "\0" * (max(map(len, items.values())) + 1)
+    ids, joined = list(texts), gap.join(texts.values())
+    starts = np.cumsum([0] + [len(texts[d]) + len(gap) for d in ids])
     expected = set()
-    for d, t in texts:
-        norm = decontaminate.plain(t)
-        for i, x in items:
-            pattern = decontaminate.plain(x)
-            if min(edit_ends(pattern, norm), default=99) <= len(pattern) // decontaminate.CHARS_PER_EDIT if pattern[:12] in norm else False:
-                expected.add((d, i))
-    assert expected <= found
+    for item, pattern in items.items():
+        budget = len(pattern) // decontaminate.CHARS_PER_EDIT
+        ends = np.flatnonzero(all_distances(pattern, joined) <= budget)
+        expected |= {(ids[k], item) for k in np.searchsorted(starts, ends, side="right") - 1}
+    found = registry.op4_decontamination(spark, small).collect()
+    assert expected and {(r.doc_id, r.item_id) for r in found} == expected
+    done = {}
+    for r in sorted(found, key=lambda r: (r.doc_id, r.item_id, r.start)):
+        pattern = items[r.item_id]
+        assert edit_distance(pattern, texts[r.doc_id][r.start : r.end]) == r.distance <= len(pattern) // decontaminate.CHARS_PER_EDIT
+        assert r.start >= done.get((r.doc_id, r.item_id), 0)
+        done[r.doc_id, r.item_id] = r.end
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a):
+        new = [i + 1]
+        for j, x in enumerate(b):
+            new.append(min(row[j] + (c != x), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="ab", min_size=24, max_size=50), st.text(alphabet="ab", max_size=60), st.text(alphabet="ab", max_size=60),
+       st.lists(st.tuples(st.integers(0, 49), st.sampled_from("abc")), max_size=3))
+def test_leaks_of_random_items(item, before, after, edits):
+    planted = list(item)
+    for at, c in edits:
+        planted[at % len(planted)] = c
+    text = before + "".join(planted) + after
+    found = decontaminate.Matcher([(1, item)]).find(text)
+    budget = len(item) // decontaminate.CHARS_PER_EDIT
+    assert bool(found) == (min(edit_ends(item, text), default=99) <= budget)
+    assert all(edit_distance(item, text[s:e]) == d <= budget for _, s, e, d, _ in found)
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string", "decimal(9,0)"])
+def test_leaks_keep_the_types_of_ids(spark, kind):
+    docs = spark.createDataFrame([("7", "so what is an ion and what is it not, then")], "doc_id string, text string")
+    items = spark.createDataFrame([("9", "What is an ion and what is it not?")], "item_id string, text string")
+    docs, items = docs.withColumn("doc_id", F.col("doc_id").cast(kind)), items.withColumn("item_id", F.col("item_id").cast(kind))
+    hits = decontaminate.find_leaks(docs, items)
+    assert hits.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert [(str(r.doc_id), str(r.item_id), r.start) for r in hits.collect()] == [("7", "9", 3)]
+
+
+def test_every_occurrence_is_a_leak():
+    found = decontaminate.Matcher([(1, "a " * 30)]).find("a " * 3000)
+    assert len(found) == 100
+    assert all(b[1] >= a[2] for a, b in zip(found, found[1:], strict=False)) and all(d == 0 for *_, d, _ in found)
+
+
+def test_leaks(spark, small, odd, none):
     benchmark = spark.createDataFrame([(1, ODD_ROWS[0][1].replace("fox", "fix")), (2, None), (2, "short")], "item_id long, text string")
     hits = decontaminate.find_leaks(odd, benchmark).collect()
     assert sorted((str(r.doc_id), r.item_id, r.distance) for r in hits) == [("1", 1, 1), ("6", 1, 1), ("6", 1, 1), ("None", 1, 1)]
@@ -250,6 +413,46 @@ def test_quality_on_held_out_rows(spark):
     assert right >= 0.95 * len(rows) and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_quality_equals_plain_numpy(spark, small):
+    """The same statistics, features, solve and calibration over all rows at once."""
+    rows = rows_of(spark, small)
+    labels = {}
+    for r in spark.read.parquet(f"{small}/labels.parquet").collect():
+        if r.quality is not None:
+            labels[r.doc_id] = min(r.quality, labels.get(r.doc_id, 1))
+    x = np.array([quality.statistics(t or "") for _, t in rows], np.float32).astype(float)
+    held = np.array([zlib.crc32(str(d).encode()) % 4 == 2 for d, _ in rows])
+    own = np.array([d in labels for d, _ in rows]) & ~held
+    y = np.array([labels.get(d, 0) for d, _ in rows], float)
+    half = np.array([xxhash.xxh64_intdigest(b"half", xxhash.xxh64_intdigest(str(d).encode(), 42)) % 2 for d, _ in rows])
+    mean, scale = x[own].mean(axis=0), np.maximum(x[own].std(axis=0), 1e-3)
+    draw, d = np.random.default_rng(quality.SEED), x.shape[1]
+    w, b = draw.normal(size=(d, quality.FEATURES)) / d**0.5, draw.uniform(0, 2 * np.pi, quality.FEATURES)
+    z = np.cos(np.clip((x - mean) / scale, -8, 8) @ w + b) * (2 / quality.FEATURES) ** 0.5
+    z = np.column_stack([z, np.ones(len(z))])
+
+    def ridge(part, n):
+        penalty = np.full(z.shape[1], quality.RIDGE * n)
+        penalty[-1] = 1e-9 * n
+        return np.linalg.solve(z[part].T @ z[part] + np.diag(penalty + 1e-9), z[part].T @ y[part])
+
+    n = int(own.sum())
+    raw = np.where(half == 0, z @ ridge(own & (half == 1), n // 2), z @ ridge(own & (half == 0), n // 2))
+    bins = np.clip((raw + 0.5) / 2 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    used = np.unique(bins[own])
+    weight = np.array([(bins[own] == k).sum() for k in used], float)
+    share = np.array([y[own][bins[own] == k].mean() for k in used])
+    # The isotonic fit by its min-max formula: the largest over starts of the least over ends of the means.
+    fitted = [max(min(np.average(share[a : e + 1], weights=weight[a : e + 1]) for e in range(i, len(used))) for a in range(i + 1))
+              for i in range(len(used))]
+    expected = np.clip(np.interp(z @ ridge(own, n), (used + 0.5) / quality.BINS * 2 - 0.5, fitted), 0, 1)
+    found = {r.doc_id: r for r in registry.op2_quality(spark, small).collect()}
+    assert len(found) == len(rows)
+    for (doc, _), score, out in zip(rows, expected, held, strict=True):
+        r = found[doc]
+        assert abs(r.score - score) < 1e-6 and r.held_out == out and r.predicted == (r.score >= 0.7)
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (5, 1), (6, 0), (None, 1), (7, None)], "doc_id long, quality int")
     rows = quality.score_quality(odd, labels).collect()
@@ -278,3 +481,18 @@ def test_line_dedup_cases(spark):
     assert by[0, "a.io"] == (3, 2, "own 0") and by[9, "b.io"] == (3, 0, "Menu\nown 9\nMenu") and by[None, ""] == (0, 0, "")
     assert line_dedup.site_line_dedup(spark.createDataFrame(rows[:1], "page_id long, url string, html string").limit(0)).count() == 0
     assert line_dedup.host_of(F.lit("x")) is not None
+
+
+def test_line_dedup_counts_pages_once(spark):
+    """Rows that repeat a page are one page, here and in SQL."""
+    import duckdb
+
+    rows = [(1, "http://a.io", "<p>Menu</p><p>x1</p>")] * 3 + [(2, "http://a.io", "<p>x2</p>"), (2, "http://a.io", "<p>Menu</p>")]
+    rows += [(i, "http://c.io", f"<p>Menu</p><p>y{i}</p>") for i in range(10, 14)] + [(None, "http://c.io", "<p>Menu</p><p>z</p>")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = sorted(map(repr, (tuple(r) for r in line_dedup.site_line_dedup(docs).collect())))
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    assert found == sorted(map(repr, con.execute(registry.OP8_SQL).fetchall()))
+    assert sum("Menu" in x for x in found) == 4 and sum("x1" in x for x in found) == 3
