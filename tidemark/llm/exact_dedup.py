@@ -7,7 +7,8 @@ only if what they stand for is equal, so the last one identifies the whole text
 
 Only the first numbering moves text, and it moves each distinct block of an input partition once:
 copies collapse before the shuffle, so a group with a third of all rows is no larger than any other
-block there.  Everything after it moves integers.
+block there.  Everything after it moves integers and hashes; rows meet the names and groups that they
+share in joins of two stored tables, whose hot keys Spark splits.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def normalised(text: str | Column) -> Column:
 def _blocks(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """(id, sha, m, idx, block): the m blocks of each row, an empty text having one empty block."""
     norm = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
-    rows = norm.select("id", F.sha2("norm", 256).alias("sha"), F.col("norm").cast("binary").alias("raw"))
+    rows = norm.select("id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.col("norm").cast("binary").alias("raw"))
     rows = rows.withColumn("m", F.greatest(F.lit(1), F.ceil(F.length("raw") / size)).cast("int"))
     cut = F.transform(
         F.sequence(F.lit(0), F.col("m") - 1),
@@ -123,14 +124,15 @@ def exact_dedup(
     """
     ids = exact_identities(docs, id_col, text_col, block_bytes)
     groups = ids.groupBy("level", "name").agg(F.min("id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = ids.join(groups, ["level", "name"])
+    # Stored, so that both sides of the join come straight from a shuffle and Spark splits a large group's.
+    rows = ids.join(stored(groups, "groups"), ["level", "name"])
     rows = rows.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
         (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
