@@ -88,6 +88,56 @@ def test_substring_dedup(spark, small, odd, none):
     assert substring_dedup.duplicate_factors(none).count() == 0
 
 
+def test_substring_factors_are_greedy(spark):
+    """A match goes on in the document it is found in, also where an earlier document has the first part of it."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:20])), (2, " ".join(["x", *words[:40]])), (3, " ".join(["y", *words[:40], "z"])),
+            (4, " ".join([*words[30:40], *words[:20]])), (5, " ".join([*words[5:20], *words[2:25]]))]
+    found = substring_dedup.duplicate_factors(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_bytes=120)
+    factors = {r.doc_id: [tuple(f) for f in r.factors] for r in found.collect()}
+    assert factors == {1: [], 2: [(1, 20, 1)], 3: [(1, 40, 2)], 4: [(10, 20, 1)], 5: [(0, 15, 1), (15, 23, 2)]}
+
+
+def test_substring_factors_are_in_their_sources(spark, small):
+    texts = dict(rows_of(spark, small))
+    found = substring_dedup.duplicate_factors(spark.read.parquet(f"{small}/documents.parquet"), block_bytes=40_000).collect()
+    assert any(len(r.factors) > 1 for r in found)
+    for r in found:
+        own, end = texts[r.doc_id].encode().split(), 0
+        for f in r.factors:
+            assert f.start >= end and f.length >= substring_dedup.WIDTH and f.source < r.doc_id
+            source = b" " + b" ".join(texts[f.source].encode().split()) + b" "
+            assert b" " + b" ".join(own[f.start : f.start + f.length]) + b" " in source
+            end = f.start + f.length
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.booleans(), max_size=60), st.data())
+def test_removed_words_come_from_factors(flags, data):
+    """Factors that cover each stretch remove what the windows cover; without a factor its words stay."""
+    width, found = 4, np.array([*flags, *[False] * 5])
+    windows = np.flatnonzero(found)
+    expected = np.zeros(len(found), bool)
+    for w in windows:
+        expected[w : w + width] = True
+    factors, at = [], 0
+    while at < len(found):
+        if found[at]:
+            end = at
+            while found[end]:
+                end += 1
+            most = end - 1 + width
+            while at + width <= most:
+                n = data.draw(st.integers(width, most - at))
+                factors.append((at, n))
+                at += n
+            at = end
+        else:
+            at += 1
+    assert (substring_dedup.removed_words(found, factors, width) == expected).all()
+    assert not substring_dedup.removed_words(found, [], width).any()
+
+
 # --- Jaccard join
 
 def brute_components(rows, width, num, den):
