@@ -28,8 +28,8 @@ def squeezed(text: Column) -> Column:
 
 
 def captured(text: Column, pattern: str, group: int = 1) -> Column:
-    """A group of the first match, null without a match (an empty group stays empty)."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+    """A group of the first match, null without a match (an empty group stays empty); the text is read once."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:

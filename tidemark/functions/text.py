@@ -39,29 +39,36 @@ ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#3
 _BODY = rf"((?:\+|00)?[(]?[0-9][0-9{WS}.\-/()]{{6,20}}[0-9])"
 _SEP = rf"[{WS}.\-/]"
 PHONE_INTERNATIONAL = rf"\+[0-9]{{1,3}}{_SEP}?[0-9]{{1,4}}{_SEP}?[0-9]{{2,4}}{_SEP}?[0-9]{{2,5}}(?:{_SEP}?[0-9]{{1,5}})?"
-PHONE_SCHEME = rf"(?i)(?:tel:|wa\.me/|whatsapp://send\?phone=)([+0-9][0-9{WS}.\-/()]{{6,20}}[0-9])"
-PHONE_PREFIXED = (
-    rf"(?iu){B}(?:Tel(?:ephone)?|Tel[ée]fon[oe]?|T[ée]l[ée]phone|Telefon|Telp|Tlp|Tlf|Mob(?:il(?:e)?)?|Cell(?:ular)?"
+PHONE_SCHEME = rf"(?i)(?=[tw])(?:tel:|wa\.me/|whatsapp://send\?phone=)([+0-9][0-9{WS}.\-/()]{{6,20}}[0-9])"
+#: What stands before a number, by language; in all but the third a look at the first letter spares the rest.
+PHONE_PREFIXES = (
+    rf"(?iu:{B}(?:Tel(?:ephone)?|Tel[ée]fon[oe]?|T[ée]l[ée]phone|Telefon|Telp|Tlp|Tlf|Mob(?:il(?:e)?)?|Cell(?:ular)?"
     rf"|Phone|Fon[e]?|Hotline|Direct|Office|Kontak[t]?|Contat[o]?|Contact|Cel(?:ular)?|R[üu]ckfragen|WhatsApp|GSM|Cep"
-    rf"|İrtibat|Irtibat|Hubungi|Fale conosco){B}\.?{S}*:?{S}*" + _BODY,
-    rf"(?i){B}(?:call|contact|reach|dial|enquir(?:y|ies)|inquir(?:y|ies))(?:{S}+(?:us|on|at|out|me|to))?"
-    rf"{S}*(?:at|on)?[{WS}:,.\-]+" + _BODY,
-    rf"(?:^|[{WS}>(\[])(?:HP|WA|M|T){S}*[:：=]{S}*" + _BODY,
-    rf"(?:טלפון|טל\.?|נייד|לפרטים|ליצירת קשר){S}*:?{S}*" + _BODY,
-    rf"(?:联系电话|電話|电话|手机|手機|微信|咨询电话|諮詢電話|联系方式|聯繫方式){S}*[:：]?{S}*" + _BODY,
-    rf"(?:هاتف|جوال|الجوال|التواصل|للتواصل|اتصل|للاستفسار|رقم الاتصال){S}*:?{S}*" + _BODY,
-    rf"(?:تماس|تلفن|موبایل|همراه|شماره تماس|اطلاعات تماس){S}*:?{S}*" + _BODY,
-    rf"(?iu)(?:Тел(?:ефон)?|Моб(?:ильный)?|Контакт|Связь|Звонить|Звоните)\.?{S}*:?{S}*" + _BODY,
-    rf"(?:전화|연락처|휴대폰|핸드폰|연락|문의){S}*[:：]?{S}*" + _BODY,
-    rf"(?:電話|連絡先|携帯|お問い合わせ|お問合せ|問合せ){S}*[:：]?{S}*" + _BODY,
-    rf"(?:फ़?ोन|मोबाइल|संपर्क|कॉल|कांटैक्ट){S}*:?{S}*" + _BODY,
-    rf"(?:Đ[Tt]|SĐ[Tt]|Điện thoại|Liên hệ|Liên lạc|Số điện thoại)\.?{S}*[:：]?{S}*" + _BODY,
+    rf"|İrtibat|Irtibat|Hubungi|Fale conosco){B}\.?{S}*:?{S}*)",
+    rf"(?i:{B}(?:call|contact|reach|dial|enquir(?:y|ies)|inquir(?:y|ies))(?:{S}+(?:us|on|at|out|me|to))?"
+    rf"{S}*(?:at|on)?[{WS}:,.\-]+)",
+    rf"(?<![^{WS}>(\[])(?:HP|WA|M|T){S}*[:：=]{S}*",
+    rf"(?:טלפון|טל\.?|נייד|לפרטים|ליצירת קשר){S}*:?{S}*",
+    rf"(?:联系电话|電話|电话|手机|手機|微信|咨询电话|諮詢電話|联系方式|聯繫方式){S}*[:：]?{S}*",
+    rf"(?:هاتف|جوال|الجوال|التواصل|للتواصل|اتصل|للاستفسار|رقم الاتصال){S}*:?{S}*",
+    rf"(?:تماس|تلفن|موبایل|همراه|شماره تماس|اطلاعات تماس){S}*:?{S}*",
+    rf"(?iu:(?:Тел(?:ефон)?|Моб(?:ильный)?|Контакт|Связь|Звонить|Звоните)\.?{S}*:?{S}*)",
+    rf"(?:전화|연락처|휴대폰|핸드폰|연락|문의){S}*[:：]?{S}*",
+    rf"(?:電話|連絡先|携帯|お問い合わせ|お問合せ|問合せ){S}*[:：]?{S}*",
+    rf"(?:फ़?ोन|मोबाइल|संपर्क|कॉल|कांटैक्ट){S}*:?{S}*",
+    rf"(?:Đ[Tt]|SĐ[Tt]|Điện thoại|Liên hệ|Liên lạc|Số điện thoại)\.?{S}*[:：]?{S}*",
 )
-PHONE_LOCAL = rf"{B}0[1-9][0-9][0-9{WS}.\-/]{{5,12}}[0-9]{B}"
+_INITIALS = "TMCPFHDOKRWGIEtmcpfhdokrwgieİıKטנל联電电手微咨諮聯هجاتلرمشТМКСЗтмксз전연휴핸문連携お問फमसकĐSL"
+#: All prefixes in one pass.  Numbers have no letters, so a match can only overlap another one with the same number.
+PHONE_PREFIXED = f"(?=[{_INITIALS}])(?:" + "|".join(PHONE_PREFIXES) + ")" + _BODY
+#: No number has fewer digits in a row, with nothing but separators between them.
+PHONE_DIGITS = rf"(?:[0-9][{WS}.\-/()]*+){{7}}"
+PHONE_LOCAL = rf"0(?<![A-Za-z0-9_]0)[1-9][0-9][0-9{WS}.\-/]{{5,12}}[0-9](?![A-Za-z0-9_])"
 PHONE_NOISE = (
-    rf"(?i){B}(?:ATU|DE|FR|IT|NL|BE|GB|PL|CZ|SK|HU|SE|DK|NO|FI|ES|PT|IE|LU|RO|BG|HR|SI|EE|LT|LV|MT|CY|GR)[0-9]{{8,12}}{B}",
-    rf"{B}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}{B}",
-    rf"{B}[0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{2,4}}{B}",
+    r"(?i)(?=[ABCDEFGHILMNPRS])(?<![A-Za-z0-9_])(?:ATU|DE|FR|IT|NL|BE|GB|PL|CZ|SK|HU|SE|DK|NO|FI|ES|PT|IE|LU|RO|BG|HR|SI|EE"
+    r"|LT|LV|MT|CY|GR)[0-9]{8,12}(?![A-Za-z0-9_])",
+    r"[0-9](?<![A-Za-z0-9_][0-9])[0-9]{3}-[0-9]{2}-[0-9]{2}(?![A-Za-z0-9_])",
+    r"[0-9](?<![A-Za-z0-9_][0-9])[0-9]?\.[0-9]{1,2}\.[0-9]{2,4}(?![A-Za-z0-9_])",
 )
 
 _NUMBER, _SUFFIX = r"[0-9,]+(?:\.[0-9]{1,2})?", rf"{S}?([KkMm])?"
@@ -186,17 +193,17 @@ def phones(text: Column, mode: str = "strict") -> Column:
 
     ``lenient`` also takes bare local numbers.
     """
-    for noise in PHONE_NOISE:
-        text = F.regexp_replace(text, noise, " ")
-
     def matches(t: Column) -> Column:
-        found = [all_matches(t, PHONE_INTERNATIONAL), all_matches(t, PHONE_SCHEME, 1)]
-        found += [all_matches(t, p, 1) for p in PHONE_PREFIXED]
+        found = [all_matches(t, PHONE_INTERNATIONAL), all_matches(t, PHONE_SCHEME, 1), all_matches(t, PHONE_PREFIXED, 1)]
         return F.concat(*found, *([all_matches(t, PHONE_LOCAL)] if mode == "lenient" else []))
 
-    tidy = F.transform(let(text, matches), lambda p: F.regexp_replace(
+    plain = text
+    for noise in PHONE_NOISE:
+        plain = F.regexp_replace(plain, noise, " ")
+    tidy = F.transform(let(plain, matches), lambda p: F.regexp_replace(
         F.regexp_replace(F.regexp_replace(p, f"{S}+", " "), r"^ | \z", ""), r"\.+\z", ""))
-    return F.array_sort(F.array_distinct(F.filter(tidy, _plausible)))
+    found = F.array_sort(F.array_distinct(F.filter(tidy, _plausible)))
+    return F.when(F.regexp_like(text, F.lit(PHONE_DIGITS)), found).otherwise(empty_strings())
 
 
 def skill_label(term: str) -> str:
@@ -247,21 +254,28 @@ def _currency(symbol: Column) -> Column:
 
 def salary(text: Column) -> Column:
     """struct(min, max, currency, period) of the first range of pay, else of the first amount; null if none."""
-    part = lambda i: F.regexp_extract(text, SALARY_RANGE, i)
-    low, high = _amount(part(2), part(3)), _amount(part(5), part(6))
-    token = F.when(part(4) != "", part(4)).otherwise(part(7))
-    both = F.struct(
-        F.least(low, high).alias("min"), F.greatest(low, high).alias("max"), _currency(part(1)).alias("currency"),
-        _period(token, F.greatest(low, high)).alias("period"),
-    )
-    one = lambda i: F.regexp_extract(text, SALARY_ONE, i)
-    value = _amount(one(2), one(3))
-    single = F.struct(
-        value.alias("min"), F.lit(None).cast("long").alias("max"), _currency(one(1)).alias("currency"),
-        _period(one(4), value).alias("period"),
-    )
-    clear = F.regexp_like(text, F.lit(SALARY_ONE)) & ((one(4) != "") | (value >= 1000))
-    return F.when(F.regexp_like(text, F.lit(SALARY_RANGE)), both).when(clear, single)
+    def of_range(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, SALARY_RANGE, i)
+        low, high = _amount(part(2), part(3)), _amount(part(5), part(6))
+        token = F.when(part(4) != "", part(4)).otherwise(part(7))
+        return F.struct(
+            F.least(low, high).alias("min"), F.greatest(low, high).alias("max"), _currency(part(1)).alias("currency"),
+            _period(token, F.greatest(low, high)).alias("period"),
+        )
+
+    def of_one(found: Column) -> Column:
+        part = lambda i: F.regexp_extract(found, SALARY_ONE, i)
+        value = _amount(part(2), part(3))
+        single = F.struct(
+            value.alias("min"), F.lit(None).cast("long").alias("max"), _currency(part(1)).alias("currency"),
+            _period(part(4), value).alias("period"),
+        )
+        return F.when((found != "") & ((part(4) != "") | (value >= 1000)), single)
+
+    # The text is searched once for a range, and once more for an amount if there is none; groups come from the match.
+    first = lambda pattern: F.regexp_extract(text, pattern, 0)
+    pay = let(first(SALARY_RANGE), lambda r: F.when(r != "", of_range(r)).otherwise(let(first(SALARY_ONE), of_one)))
+    return F.when(F.regexp_like(text, F.lit("[$£€]")), pay)
 
 
 def workplace_type(text: Column) -> Column:
@@ -413,6 +427,7 @@ def error_class(message: Column) -> Column:
 
 #: Code numbers of a run's failure, in the order they are tried.
 RUN_ERRORS = (
+    (r"(?i)monthly usage hard limit exceeded|platform-feature-disabled", "platform_usage"),
     (rf"(?i){B}(?:429|rate.?limit|too many requests){B}", "rate_limit"),
     (rf"(?i){B}(?:403|401|unauthori[sz]ed|forbidden|blocked|waf|cloudflare|akamai|challenge|captcha){B}", "auth_block"),
     (rf"(?i)(?=.*{B}(?:http|api|status|returned|failed){B}).*{B}5[0-9]{{2}}{B}", "http_5xx"),
