@@ -13,14 +13,10 @@ def state(spark, rows):
     return spark.createDataFrame([(i, h, t, OLD, OLD, a, e, None, n) for n, (i, h, t, a, e) in enumerate(rows)], C.STATE_SCHEMA)
 
 
-def current(spark, rows):
-    schema = "job_id string, content_hash string, tracked_hash string, scan_ordinal long"
-    return spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], schema)
-
-
-def snapshots(spark, rows):
+def current(spark, rows, snap="s"):
     fields = ", ".join(f"{f} string" for f in C.SNAPSHOT_FIELDS)
-    return spark.createDataFrame([(r[0], *["s"] * len(C.SNAPSHOT_FIELDS)) for r in rows], f"job_id string, {fields}")
+    schema = f"job_id string, content_hash string, tracked_hash string, scan_ordinal long, {fields}"
+    return spark.createDataFrame([(*r, n, *[snap] * len(C.SNAPSHOT_FIELDS)) for n, r in enumerate(rows)], schema)
 
 
 def kinds(df):
@@ -61,16 +57,32 @@ def test_pruning_is_strict_and_keeps_unreadable_dates(spark):
 @given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from("uv")), unique_by=lambda r: r[0], max_size=6))
 def test_same_batch_twice_is_unchanged(spark, rows):
     batch = current(spark, [(i, "h" + i, t) for i, t in rows])
-    snaps = snapshots(spark, [(i,) for i, _ in rows]) if rows else snapshots(spark, [("zz",)])
     empty = C.empty_state(spark)
-    first = C.classified(batch, empty, OLD, C.Coverage(False, "no_prior_state"))
-    after = C.updated_state(first, empty, snaps, OLD)
+    first = C.compared(batch, empty, OLD, C.Coverage(False, "no_prior_state"))
+    after = C.updated_state(first, empty, OLD)
     assert after.count() == len(rows)
     assert set(kinds(C.classified(batch, after, NOW)).values()) <= {"UNCHANGED"}
     gone = C.classified(batch.limit(0), after, NOW)
     assert set(kinds(gone).values()) <= {"EXPIRED"} and gone.count() == len(rows)
 
 
+def test_state_after_a_run(spark):
+    prior = state(spark, [("a", "h", "t", True, None), ("b", "h", "t", True, None), ("c", "h", "t", False, OLD), ("d", "h", "t", True, None)])
+    now = current(spark, [("a", "h", "t"), ("c", "i", "u"), ("e", "h", "t"), ("f", "h", "t")])
+    rows = lambda **kw: {r.job_id: (r.content_hash, r.active, r.expired_at, r.last_seen_at, r.ordinal, r.snapshot and r.snapshot.title)
+                         for r in C.updated_state(C.compared(now, prior, NOW, kw.pop("coverage", C.Coverage(True))), prior, NOW, **kw).collect()}
+    gone = ("h", False, NOW, OLD, 1, None)
+    expected = {"a": ("h", True, None, NOW, 0, "s"), "b": gone, "c": ("i", True, None, NOW, 2, "s"), "d": (*gone[:4], 3, None),
+                "e": ("h", True, None, NOW, 6, "s"), "f": ("h", True, None, NOW, 7, "s")}
+    assert rows() == expected
+    kept = {"b": ("h", True, None, OLD, 1, None), "d": ("h", True, None, OLD, 3, None)}
+    assert rows(coverage=C.Coverage(False, "failed_pages")) == expected | kept
+    # Only e is committed: new ones are not known after the run, known ones stay as they were.
+    some = rows(committed=spark.createDataFrame([("e",)], "job_id string"))
+    assert some == {"a": ("h", True, None, OLD, 0, None), "b": gone, "c": ("h", False, OLD, OLD, 2, None), "d": (*gone[:4], 3, None),
+                    "e": ("h", True, None, NOW, 6, "s")}
+
+
 def test_first_of_breaks_ties_by_order(spark):
     df = spark.createDataFrame([("a", 2, 1, "x"), ("a", 1, 9, "y"), ("b", 1, 1, "z")], "id string, q int, p int, v string")
     assert sorted(tuple(r) for r in C.first_of(df, ["id"], "q", "p").collect()) == [("a", 1, 9, "y"), ("b", 1, 1, "z")]

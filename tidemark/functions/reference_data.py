@@ -75,17 +75,19 @@ GEO_IDS = {
     "JO": "103710677", "LB": "101834488",
 }
 REGION_PRESETS = {
-    "nordic": "DK SE NO FI IS".split(),
-    "dach": "DE AT CH".split(),
-    "benelux": "BE NL LU".split(),
-    "uk-ireland": "GB IE".split(),
-    "eu-27": "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE".split(),
-    "gcc": "AE SA QA KW BH OM".split(),
-    "mena": "AE SA QA KW BH OM EG MA JO LB TN DZ IL".split(),
-    "asean": "SG MY TH ID PH VN BN LA KH MM".split(),
-    "anglosphere": "US CA GB AU NZ IE".split(),
-    "latam": "MX BR AR CO CL PE VE BO PY UY EC GY CR PA GT DO PR JM".split(),
-    "nordics-extended": "DK SE NO FI IS EE LV LT".split(),
+    "nordic": ("DK", "SE", "NO", "FI", "IS"),
+    "dach": ("DE", "AT", "CH"),
+    "benelux": ("BE", "NL", "LU"),
+    "uk-ireland": ("GB", "IE"),
+    "eu-27": ("AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE",
+               "IT", "LV", "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE"),
+    "gcc": ("AE", "SA", "QA", "KW", "BH", "OM"),
+    "mena": ("AE", "SA", "QA", "KW", "BH", "OM", "EG", "MA", "JO", "LB", "TN", "DZ", "IL"),
+    "asean": ("SG", "MY", "TH", "ID", "PH", "VN", "BN", "LA", "KH", "MM"),
+    "anglosphere": ("US", "CA", "GB", "AU", "NZ", "IE"),
+    "latam": ("MX", "BR", "AR", "CO", "CL", "PE", "VE", "BO", "PY", "UY",
+               "EC", "GY", "CR", "PA", "GT", "DO", "PR", "JM"),
+    "nordics-extended": ("DK", "SE", "NO", "FI", "IS", "EE", "LV", "LT"),
 }
 AGENCY_KEYWORDS = (
     "recruitment", "staffing", "agency", "recruiters", "headhunter", "talent acquisition", "rekrutterings",
@@ -110,3 +112,28 @@ CURRENCY_PREFIXES = {
     "USD": "$", "GBP": "£", "EUR": "€", "AUD": "A$", "CAD": "C$", "NZD": "NZ$", "CHF": "CHF ", "INR": "₹",
     "PLN": "zł", "BRL": "R$", "MXN": "MX$", "SGD": "S$", "ZAR": "R", "SEK": "kr ", "DKK": "kr ", "NOK": "kr ",
 }
+SALARY_STEPS = (40_000, 60_000, 80_000, 100_000, 120_000, 140_000, 160_000)
+DATE_POSTED_SECONDS = {"lastHour": 3_600, "last24h": 86_400, "last7d": 604_800, "last30d": 2_592_000}
+EXPERIENCE_LABELS = {
+    "internship": "Internship", "entry": "Entry level", "associate": "Associate", "mid_senior": "Mid-Senior level",
+    "director": "Director", "executive": "Executive",
+}
+JOB_TYPE_LABELS = {
+    "fulltime": "Full-time", "parttime": "Part-time", "contract": "Contract", "temporary": "Temporary",
+    "internship": "Internship", "volunteer": "Volunteer", "other": "Other",
+}
+#: The fields of each layer of the source that postings are made of, and those that are left out on purpose.
+LAYERS = {
+    "apiJob": ("jobId", "urn", "title", "company", "companyUrl", "location", "postedAtIso", "jobUrl", "trackingId",
+               "isPromoted", "isEasyApplyOnCard", "postingBenefits"),
+    "detail": ("description", "descriptionHtml", "seniorityLevel", "employmentType", "jobFunction", "industry",
+               "applicantCount", "workplaceType", "postedRelative", "salary", "poster"),
+    "companyInfo": ("name", "description", "slogan", "website", "employeeCount", "logo", "address"),
+}
+LAYERS_IGNORED = {"apiJob": (), "detail": (), "companyInfo": ()}
+#: Labels and fields of the rows of an export.
+CONNECTOR_COLUMNS = (
+    ("Job id", "jobId"), ("Linkedin job id", "linkedinJobId"), ("Title", "title"), ("Company", "company"),
+    ("Company url", "companyUrl"), ("Location", "location"), ("Country", "country"), ("Posted at", "postedAt"),
+    ("Apply url", "applyUrl"), ("Apply type", "applyType"), ("Workplace type", "workplaceType"), ("Salary min", "salaryMin"),
+)

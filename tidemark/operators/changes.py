@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.postings import PORTAL_URL, SOURCE, as_postings
 
+SNAPSHOT = "struct<sourceJobId:string,title:string,company:string,location:string,jobUrl:string,postedAt:string>"
 #: The state table, one row for each posting ever seen in a universe.
 STATE_SCHEMA = (
     "job_id string, content_hash string, tracked_hash string, first_seen_at string, last_seen_at string, "
-    "active boolean, expired_at string, snapshot struct<sourceJobId:string,title:string,company:string,"
-    "location:string,jobUrl:string,postedAt:string>, ordinal bigint"
+    f"active boolean, expired_at string, snapshot {SNAPSHOT}, ordinal bigint"
 )
 SNAPSHOT_FIELDS = ("sourceJobId", "title", "company", "location", "jobUrl", "postedAt")
 RETENTION_DAYS = 30
@@ -42,36 +42,55 @@ def empty_state(spark) -> DataFrame:
     return spark.createDataFrame([], STATE_SCHEMA)
 
 
-def classified(current: DataFrame, state: DataFrame, now: str, coverage: Coverage = Coverage(True)) -> DataFrame:
-    """NEW, REAPPEARED, UPDATED, UNCHANGED and EXPIRED postings, one row each.
+def compared(current: DataFrame, state: DataFrame, now: str, coverage: Coverage = Coverage(True)) -> DataFrame:
+    """All postings of the run and of the state, one row each; one full outer join that all else is read from.
 
-    current: job_id, content_hash, tracked_hash, scan_ordinal (unique ids).  Rows of the state that are
-    neither current nor expired are left out.  Expiry needs complete coverage.
+    current: job_id, content_hash, tracked_hash, scan_ordinal (unique ids), and the snapshot fields if a new
+    state is to be made.  change_type is NEW, REAPPEARED, UPDATED, UNCHANGED or EXPIRED, and null for a row of
+    the state that is neither current nor expired; expiry needs complete coverage.  seen: whether the run has it;
+    prior: its row of the state; snap: what the run knows of the snapshot fields.
     """
-    c, p = current.alias("c"), state.alias("p")
-    both = c.join(p, F.col("c.job_id") == F.col("p.job_id"), "full_outer")
-    here, before = F.col("c.job_id").isNotNull(), F.col("p.job_id").isNotNull()
+    fields = [f for f in SNAPSHOT_FIELDS if f in current.columns]
+    snap = F.struct(*SNAPSHOT_FIELDS) if len(fields) == len(SNAPSHOT_FIELDS) else F.lit(None).cast(SNAPSHOT)
+    c = current.select("job_id", "content_hash", "tracked_hash", "scan_ordinal", snap.alias("snap")).alias("c")
+    p = state.select(F.struct(*state.columns).alias("prior"), F.col("job_id").alias("prior_id")).alias("p")
+    both = c.join(p, F.col("c.job_id") == F.col("p.prior_id"), "full_outer")
+    here, before, prior = F.col("c.job_id").isNotNull(), F.col("p.prior_id").isNotNull(), F.col("p.prior")
     kind = (
         F.when(~before, "NEW")
-        .when(here & ~F.col("p.active"), "REAPPEARED")
-        .when(here & ~F.col("c.tracked_hash").eqNullSafe(F.col("p.tracked_hash")), "UPDATED")
+        .when(here & ~prior["active"], "REAPPEARED")
+        .when(here & ~F.col("c.tracked_hash").eqNullSafe(prior["tracked_hash"]), "UPDATED")
         .when(here, "UNCHANGED")
-        .when(F.col("p.active") & F.lit(coverage.complete), "EXPIRED")
+        .when(prior["active"] & F.lit(coverage.complete), "EXPIRED")
     )
     stamp = F.lit(now)
     return both.select(
-        F.coalesce("c.job_id", "p.job_id").alias("job_id"),
+        F.coalesce("c.job_id", "p.prior_id").alias("job_id"),
         kind.alias("change_type"),
-        F.when(here, F.col("c.content_hash")).otherwise(F.col("p.content_hash")).alias("content_hash"),
-        F.when(here, F.col("c.tracked_hash")).otherwise(F.col("p.tracked_hash")).alias("tracked_hash"),
-        F.coalesce("p.first_seen_at", stamp).alias("first_seen_at"),
-        F.when(here, stamp).otherwise(F.col("p.last_seen_at")).alias("last_seen_at"),
-        F.col("p.last_seen_at").alias("previous_seen_at"),
+        F.when(here, F.col("c.content_hash")).otherwise(prior["content_hash"]).alias("content_hash"),
+        F.when(here, F.col("c.tracked_hash")).otherwise(prior["tracked_hash"]).alias("tracked_hash"),
+        F.coalesce(prior["first_seen_at"], stamp).alias("first_seen_at"),
+        F.when(here, stamp).otherwise(prior["last_seen_at"]).alias("last_seen_at"),
+        prior["last_seen_at"].alias("previous_seen_at"),
         F.when(~here, stamp).alias("expired_at"),
         F.col("c.scan_ordinal").alias("scan_ordinal"),
-        F.col("p.snapshot").alias("snapshot"),
-        F.col("p.ordinal").alias("state_ordinal"),
-    ).where("change_type is not null")
+        prior["snapshot"].alias("snapshot"),
+        prior["ordinal"].alias("state_ordinal"),
+        here.alias("seen"), prior.alias("prior"), F.col("c.snap").alias("snap"),
+    )
+
+
+def changes_of(both: DataFrame) -> DataFrame:
+    """The changes among the rows of :func:`compared`."""
+    return both.where("change_type is not null").drop("seen", "prior", "snap")
+
+
+def classified(current: DataFrame, state: DataFrame, now: str, coverage: Coverage = Coverage(True)) -> DataFrame:
+    """NEW, REAPPEARED, UPDATED, UNCHANGED and EXPIRED postings, one row each.
+
+    Rows of the state that are neither current nor expired are left out; else as :func:`compared`.
+    """
+    return changes_of(compared(current, state, now, coverage))
 
 
 def emitted(changes: DataFrame, output_mode: str | None = "all", emit_unchanged: bool = False,
@@ -108,32 +127,30 @@ def reposts(current: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def updated_state(changes: DataFrame, state: DataFrame, snapshots: DataFrame, now: str,
-                  retention_days: int = RETENTION_DAYS) -> DataFrame:
-    """The state after a run: seen rows active with new hashes, expired ones inactive, others as they were.
+def updated_state(both: DataFrame, state: DataFrame, now: str, retention_days: int = RETENTION_DAYS,
+                  committed: DataFrame | None = None) -> DataFrame:
+    """The state after a run, from the rows of :func:`compared`: seen rows active with new hashes, expired ones
+    inactive, others as they were.
 
-    snapshots: job_id and the snapshot fields.  Rows inactive for longer than the retention go; one
+    committed: the job_ids that count as seen, if not all do.  Rows inactive for longer than the retention go; one
     whose expiry can't be read stays.  New rows come after all others, in scan order.
     """
-    seen = changes.where("change_type <> 'EXPIRED'")
-    gone = changes.where("change_type = 'EXPIRED'").select("job_id", F.col("expired_at").alias("gone_at"))
-    snaps = snapshots.select("job_id", F.struct(*SNAPSHOT_FIELDS).alias("snap"))
-    fresh = seen.join(snaps, "job_id", "left").select(
-        "job_id", "content_hash", "tracked_hash", "first_seen_at", "last_seen_at", F.lit(True).alias("active"),
-        F.lit(None).cast("string").alias("expired_at"), F.coalesce("snap", "snapshot").alias("snapshot"),
-        "state_ordinal", "scan_ordinal",
-    )
+    seen, prior = F.col("seen"), F.col("prior")
+    if committed is not None:
+        out = committed.select("job_id", F.lit(True).alias("_out"))
+        both = both.join(out, "job_id", "left").where(~F.col("seen") | F.col("_out").isNotNull() | F.col("prior").isNotNull())
+        seen = seen & F.col("_out").isNotNull()
     # The place in the scan orders new rows among themselves, so they need no global numbering.
-    highest = state.agg(F.max("ordinal")).first()[0]
-    new_ordinal = F.lit(-1 if highest is None else highest) + 1 + F.col("scan_ordinal")
-    fresh = fresh.withColumn("ordinal", F.coalesce("state_ordinal", new_ordinal)).drop("state_ordinal", "scan_ordinal")
-    rest = state.join(seen.select("job_id"), "job_id", "left_anti").join(gone, "job_id", "left")
-    rest = rest.select(
-        "job_id", "content_hash", "tracked_hash", "first_seen_at", "last_seen_at",
-        (F.col("active") & F.col("gone_at").isNull()).alias("active"),
-        F.coalesce("gone_at", "expired_at").alias("expired_at"), "snapshot", "ordinal",
+    highest = F.coalesce(state.agg(F.max("ordinal")).scalar(), F.lit(-1).cast("long"))
+    gone = F.col("change_type").eqNullSafe("EXPIRED")
+    after = both.select(
+        "job_id",
+        *(F.when(seen, F.col(c)).otherwise(prior[c]).alias(c) for c in ("content_hash", "tracked_hash", "first_seen_at", "last_seen_at")),
+        (seen | (prior["active"] & ~gone)).alias("active"),
+        F.when(~seen, F.when(gone, F.lit(now)).otherwise(prior["expired_at"])).alias("expired_at"),
+        F.when(seen, F.coalesce("snap", prior["snapshot"])).otherwise(prior["snapshot"]).alias("snapshot"),
+        F.coalesce(prior["ordinal"], highest + 1 + F.col("scan_ordinal")).alias("ordinal"),
     )
-    after = fresh.select(rest.columns).unionByName(rest)
     return pruned(after, now, retention_days)
 
 
@@ -196,13 +213,23 @@ def scan_cap(incremental: bool, max_results: int, floor: int = 600) -> int:
     return max(max_results, floor) if incremental else max(0, max_results)
 
 
-def coverage_summary(queries: DataFrame) -> DataFrame:
-    """One row: any_capped, failed_queries, queries, from capped and failed of each query."""
+def coverage_summary(queries: DataFrame, rows: str | None = None) -> DataFrame:
+    """One row: any_capped, failed_queries, queries, from capped and failed of each query; with rows also collected."""
+    collected = [F.coalesce(F.sum(rows), F.lit(0)).alias("collected")] if rows else []
     return queries.agg(
         F.coalesce(F.bool_or("capped"), F.lit(False)).alias("any_capped"),
-        F.count_if("failed").alias("failed_queries"), F.count("*").alias("queries"),
+        F.count_if("failed").alias("failed_queries"), F.count("*").alias("queries"), *collected,
+    )
+
+
+def incomplete_because(capped: Column, page_cap: Column, failed_pages: Column, degraded: Column, pagination_known: Column) -> Column:
+    """The reason why coverage is incomplete, by the facts of a scan in the order they count; null if it is complete."""
+    return (
+        F.when(capped, "max_results_cap").when(page_cap, "page_cap").when(failed_pages > 0, "failed_pages")
+        .when(degraded, "fallback_degraded").when(~pagination_known, "pagination_metadata_missing")
     )
 
 
 def all_targets_failed(targets: int, failed: int, collected: int) -> bool:
+    """Whether a run has nothing because every search of it failed; that is no run without results."""
     return targets > 0 and collected == 0 and failed >= targets

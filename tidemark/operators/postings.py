@@ -199,6 +199,38 @@ def within_salary(f: PostingFilters) -> Column:
     return F.when(low.isNull() & high.isNull(), F.lit(f.salary_include_unknown)).otherwise(inside)
 
 
+def salary_step(amount: Column) -> Column:
+    """The number of the highest step of the source's salary filter that an amount reaches, 0 below the first."""
+    reached = F.filter(F.array(*(F.lit(float(s)) for s in ref.SALARY_STEPS)), lambda s: s <= amount)
+    return F.size(reached).cast("long")
+
+
+def as_searched(asked: dict, now: str) -> Column:
+    """Whether a posting fits what a search asks of the source: age, kind of workplace, experience and employment.
+
+    Landed pages come from searches that have asked this already; tables of other origin can be held to the same.
+    A posting that does not say passes, as only its detail page would.
+    """
+    c, out = F.col, F.lit(True)
+    seconds = ref.DATE_POSTED_SECONDS.get(asked.get("datePosted") or "")
+    if seconds:
+        age = F.unix_seconds(F.try_to_timestamp(F.lit(now))) - F.unix_seconds(F.try_to_timestamp(c("postedAt")))
+        out = out & F.coalesce(age <= seconds, F.lit(True))
+    for name, column, labels in (("workType", "workplaceType", None), ("experienceLevel", "seniorityLevel", ref.EXPERIENCE_LABELS),
+                                 ("jobType", "employmentType", ref.JOB_TYPE_LABELS)):
+        wanted = [(labels or {}).get(v, v) for v in asked.get(name) or ()]
+        if wanted:
+            out = out & F.coalesce(F.lower(c(column)).isin(*(w.lower() for w in wanted)), F.lit(True))
+    if asked.get("easyApply"):
+        out = out & F.coalesce(c("easyApply"), F.lit(False))
+    return out
+
+
+def source_order(asked: dict) -> list[Column]:
+    """The order in which a search by date brings its postings: the newest first, then as scanned."""
+    return [F.col("scan_ordinal")] if asked.get("sortBy") == "relevant" else [F.desc_nulls_last("postedAt"), F.col("scan_ordinal")]
+
+
 def filtered(items: DataFrame, f: PostingFilters, salary: bool = True) -> DataFrame:
     items = items.where(meaningful())
     if f.remove_agency:
@@ -221,8 +253,8 @@ def truncated(items: DataFrame, length: int) -> DataFrame:
     })
 
 
-def compact(items: DataFrame) -> DataFrame:
-    return items.select(*(c for c in ref.COMPACT_FIELDS if c in items.columns))
+def compact(items: DataFrame, *extra: str) -> DataFrame:
+    return items.select(*extra, *(c for c in ref.COMPACT_FIELDS if c in items.columns))
 
 
 def description_format(items: DataFrame, kind: str = "all") -> DataFrame:

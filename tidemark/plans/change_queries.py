@@ -77,8 +77,8 @@ def _state_columns(state: DataFrame) -> DataFrame:
 
 
 def _after(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
-    current = current_run(spark, sf_dir)
-    return C.updated_state(_changes(spark, sf_dir), prior_state(spark, sf_dir), current, NOW, days)
+    prior = prior_state(spark, sf_dir)
+    return C.updated_state(C.compared(current_run(spark, sf_dir), prior, NOW), prior, NOW, days)
 
 
 @query(_STATE_SQL + "SELECT * FROM after")
@@ -196,9 +196,7 @@ def top_n_after_repost_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHEN o_totalprice >= 100000 THEN 4 WHEN o_totalprice >= 80000 THEN 3 WHEN o_totalprice >= 60000 THEN 2 WHEN o_totalprice >= 40000 THEN 1
   ELSE 0 END::BIGINT AS bucket FROM orders""")
 def salary_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = F.width_bucket(F.col("o_totalprice"), F.lit(40_000.0), F.lit(180_000.0), F.lit(7))
-    bucket = F.least(F.lit(7).cast("long"), steps)
-    return table(spark, sf_dir, "orders").select("o_orderkey", bucket.alias("bucket"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", P.salary_step(F.col("o_totalprice")).alias("bucket"))
 
 
 @query(f"""WITH {SQL} SELECT k, sha256('linkedin.com:' || "sourceJobId") AS "jobId", title, company, location, "postedAt", "jobUrl", content_hash AS "contentHash"
@@ -207,9 +205,8 @@ def compact_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = hashed(postings(spark, sf_dir))
     known = {"jobId": F.col("job_id"), "contentHash": F.col("content_hash"), **{c: F.col(c) for c in (
         "sourceJobId", "title", "company", "companyUrl", "location", "postedAt", "jobUrl", "description", "salaryMin", "salaryMax")}}
-    whole = P.compact(P.as_postings(rows, known))
-    keys = rows.select("k", F.col("job_id").alias("jobId"))
-    return whole.join(keys, "jobId").select("k", "jobId", "title", "company", "location", "postedAt", "jobUrl", "contentHash")
+    whole = P.compact(P.as_postings(rows, known, "k"), "k")
+    return whole.select("k", "jobId", "title", "company", "location", "postedAt", "jobUrl", "contentHash")
 
 
 @query(f"""WITH {SQL} SELECT k, CASE WHEN length(description) > 30 THEN substr(description, 1, 30) ELSE description END AS description,
