@@ -3,11 +3,13 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import changes as C
 from tidemark.operators import html as H
+from tidemark.operators import statistics as S
 from tidemark.plans import sinks, spec
-from tidemark.plans.pipeline import Landed, run_and_commit, run_once
+from tidemark.plans.pipeline import AllTargetsFailed, Landed, RunFailed, run_and_commit, run_once
 from tidemark.sources import landing, state
 from tidemark.streaming.runs import stream_runs
 
@@ -133,3 +135,97 @@ def test_csv_and_json_sinks(spark, tmp_path):
     line = spark.read.text(f"{tmp_path}/json").first().value
     assert "description" not in json.loads(line) and json.loads(line)["easyApply"] is False
     assert C.Coverage(True).complete
+
+
+def test_all_failed_targets_fail_the_run(spark, tmp_path):
+    down = Landed(pages(spark, (0, 0, 503, []), (1, 0, 429, [])))
+    with pytest.raises(AllTargetsFailed):
+        run_once(SPEC, down, "2024-01-03T00:00:00.000Z")
+    store = state.Store(spark, f"file://{tmp_path}/state")
+    with pytest.raises(RunFailed, match="all search targets failed"):
+        run_and_commit(SPEC, down, "2024-01-03T00:00:00.000Z", store, "k", "f", "r1", f"{tmp_path}/out")
+    assert not state.holds(store, "k", "r1")
+    some = Landed(pages(spark, (0, 0, 503, []), (1, 0, 200, [card(1)])))
+    assert run_once(SPEC, some, "2024-01-03T00:00:00.000Z").rows.count() == 1
+    empty = Landed(pages(spark, (0, 0, 200, []), (1, 0, 400, [])))
+    assert run_once(SPEC, empty, "2024-01-03T00:00:00.000Z").rows.count() == 0
+
+
+def test_a_run_says_how_it_went(spark, tmp_path):
+    store = state.Store(spark, f"file://{tmp_path}/state")
+    run = spec.RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 0})
+    landed = Landed(pages(spark, *((q, 0, 200, [card(10 * q + i) for i in range(10)]) for q in range(3))))
+    one = run_and_commit(run, landed, "2024-01-03T00:00:00.000Z", store, "k", "f", "r1", f"{tmp_path}/one", price=0.1)
+    assert one["summary"].items() >= {"emitted": 30, "unchangedSkipped": 0, "totalReviews": 30, "ok": True}.items() and one["savings"] is None
+    two = run_and_commit(run, landed, "2024-01-04T00:00:00.000Z", store, "k", "f", "r2", f"{tmp_path}/two", price=0.1)
+    assert two["summary"]["emitted"] == 0 and two["savings"] == {"saved": 3.0, "percent": 100, "skipped": 30}
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert S.run_summary(0, 0, 5)["reason"] == "no_results" and S.savings(5, 5, 0.1) is None
+
+
+class Unopened:
+    """A store that can't be read."""
+
+    def __init__(self, message):
+        self.message = message
+
+    def write(self, *args, **kwargs):
+        raise OSError(self.message)
+
+
+def test_a_state_that_cannot_be_opened(spark, tmp_path):
+    landed = Landed(pages(spark, (0, 0, 200, [card(1)])))
+    for message, kind in (("403 forbidden", "permission"), ("HTTP status 503", "platform"), ("disk", "other")):
+        with pytest.raises(RunFailed) as failure:
+            run_and_commit(SPEC, landed, "2024-01-03T00:00:00.000Z", Unopened(message), "k", "f", "r", f"{tmp_path}/no")
+        assert failure.value.kind == kind
+    may = spec.RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "allowNonIncrementalFallback": True})
+    done = run_and_commit(may, landed, "2024-01-03T00:00:00.000Z", Unopened("disk"), "k", "f", "r", f"{tmp_path}/yes")
+    assert (done["status"], done["reason"], done["summary"]["emitted"]) == ("degraded", "other", 1)
+    decisions = {("opened", False): "proceed", ("lock_busy", False): "exit", ("unavailable", True): "degrade", ("unavailable", False): "fail"}
+    assert all(state.open_decision(kind, allowed) == action for (kind, allowed), action in decisions.items())
+    assert state.open_decision("unavailable", canary=True) == "degrade"
+
+
+def test_related_pages_of_the_first_seeds(spark):
+    landed = pages(spark, (0, 0, 200, [card(1), card(2), card(3)]))
+    related = spark.createDataFrame([("3", card(30)), ("2", card(20) + card(1)), ("1", card(10))], landing.RELATED_SCHEMA)
+    ids = lambda seeds: [r.sourceJobId for r in landing.scan_cards(landed, 0, related, seeds).orderBy("scan_ordinal").collect()]
+    assert ids(0) == ["1", "2", "3"] and ids(2) == ["1", "2", "3", "10", "20"] and ids(9) == ["1", "2", "3", "10", "20", "30"]
+    run = spec.RunSpec.from_dict({"keywords": "x", "discoverRelated": True, "relatedSeedCount": 1})
+    rows = run_once(run, Landed(landed, related=related), "2024-01-03T00:00:00.000Z").rows
+    assert sorted(r.sourceJobId for r in rows.collect()) == ["1", "10", "2", "3"]
+
+
+def test_secrets_are_hidden():
+    secret = {"jwt": "a", "sessionState": "b", "storageState": {"c": 1}, "authCookie": "d", "api_key": "e", "whatsappAccessToken": "f", "slackWebhookUrl": "g"}
+    assert set(spec.redacted(secret).values()) == {"[redacted]"} and spec.redacted({"title": "x"}) == {"title": "x"}
+
+
+def test_nothing_is_exported_twice(spark, tmp_path):
+    store, calls = state.Store(spark, f"file://{tmp_path}/state"), []
+    records = [{"jobId": "j", "title": "T", "salaryMin": 5, "other": "x"}]
+    send = lambda: sinks.export_once(store, "export", records, ["append_row"], lambda t, a: calls.append(a), "jobs", now="2024-01-03")
+    failed = sinks.export_once(store, "export", records, ["append_row"], lambda t, a: {"isError": True}, "jobs", now="2024-01-03")
+    assert failed["errors"] == 1 and send()["exported"] == 1 and send()["target"] == "done"
+    assert calls == [{"row": {"Job id": "j", "Title": "T", "Salary min": "5"}}]
+
+
+def test_a_baseline_comes_back_to_its_own_source(spark):
+    census = spark.createDataFrame([("apiJob", "title", 3), ("apiJob", "new", 1)], "layer string, field string, sample_count long")
+    none = spark.createDataFrame([], S.BASELINE_FIELDS)
+    mapped, ignored = S.layer_fields(spark, {"apiJob": ("title",)}), S.layer_fields(spark, {"apiJob": ()})
+    kept = S.stored_baseline(S.schema_drift(census, none, mapped, ignored, "2024-01-01"), "feeds")
+    assert kept.schema == spark.createDataFrame([], S.BASELINE_SCHEMA).schema or set(kept.columns) == {p.split()[0] for p in S.BASELINE_SCHEMA.split(", ")}
+    assert S.adopted_baseline(kept, "others").count() == 0 and S.adopted_baseline(kept, "feeds", "test").count() == 0
+    again = S.schema_drift(census.where("field = 'title'"), S.adopted_baseline(kept, "feeds"), mapped, ignored, "2024-01-02")
+    found = {r.field: (r.first_seen_at, r.sample_count, r.disappeared) for r in again.collect()}
+    assert found == {"title": ("2024-01-01", 6, False), "new": ("2024-01-01", 1, True)}
+
+
+def test_coverage_reasons_agree(spark):
+    flags = [(a, b, n, d, k) for a in (True, False) for b in (True, False) for n in (0, 2) for d in (True, False) for k in (True, False)]
+    rows = spark.createDataFrame(flags, "a boolean, b boolean, n int, d boolean, k boolean")
+    for r in rows.withColumn("reason", C.incomplete_because(F.col("a"), F.col("b"), F.col("n"), F.col("d"), F.col("k"))).collect():
+        found = C.Coverage(True).after_scan(capped=r.a, page_cap=r.b, failed_pages=r.n, degraded=r.d, pagination_known=r.k)
+        assert (found.reason, found.complete) == (r.reason, r.reason is None)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions import text as T
 from tidemark.functions.patterns import S, B, all_matches, captured, filled, squeezed, trimmed
@@ -34,7 +38,8 @@ POSTER_PHOTO = r'<img[^>]*data-delayed-url="([^"]+)"'
 JSON_LD = r'<script type="application/ld\+json">([\s\S]*?)</script>'
 
 PAGE_SIZE = 10
-#: Levels of lists and @graph nodes that are searched for an organisation.
+#: Levels of lists and @graph nodes that are searched for an organisation by expressions; what lies deeper is rare
+#: and is searched by a helper in Python.
 GRAPH_DEPTH = 3
 
 
@@ -175,12 +180,37 @@ def _organisations(node: Column, depth: int) -> Column:
     return F.when(own, F.array(node)).otherwise(deeper)
 
 
+@F.pandas_udf(StringType())
+def _deep_organisation(scripts: pd.Series) -> pd.Series:
+    """The first organisation node of JSON texts at any depth of lists and @graph nodes, as JSON."""
+    def search(text: str) -> str | None:
+        try:
+            todo = [json.loads(text)]
+        except (ValueError, RecursionError):
+            return None
+        while todo:
+            node = todo.pop()
+            if isinstance(node, dict):
+                kind = node.get("@type")
+                if kind == "Organization" or (isinstance(kind, list) and "Organization" in kind):
+                    return json.dumps(node)
+                node = node.get("@graph")
+            if isinstance(node, list):
+                todo += reversed(node)
+        return None
+
+    return scripts.map(lambda texts: None if texts is None else next(filter(None, map(search, texts)), None))
+
+
 def organisations(pages: DataFrame, html: str = "html", depth: int = GRAPH_DEPTH) -> DataFrame:
     """The first organisation that each page declares as JSON-LD; all fields null where there is none."""
     others = [c for c in pages.columns if c != html]
     scripts = F.transform(all_matches(F.col(html), JSON_LD, 1), lambda s: F.try_parse_json(trimmed(s)))
     found = F.flatten(F.transform(scripts, lambda s: F.coalesce(_organisations(s, depth), F.array().cast("array<variant>"))))
-    nodes = pages.select(*others, F.try_element_at(found, F.lit(1)).alias("_org"))
+    nodes = pages.select(*others, F.col(html).alias("_html"), F.try_element_at(found, F.lit(1)).alias("_org"))
+    deep = F.col("_org").isNull() & F.contains("_html", F.lit("Organization"))
+    deeper = _deep_organisation(F.when(deep, all_matches(F.col("_html"), JSON_LD, 1)))
+    nodes = nodes.select(*others, F.coalesce("_org", F.try_parse_json(deeper)).alias("_org"))
     org = F.col("_org")
     is_kind = lambda path, *kinds: F.schema_of_variant(
         F.try_variant_get(org, path, "variant")).isin(*kinds)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -39,6 +39,20 @@ def with_error_class(log: DataFrame, message: str = "message") -> DataFrame:
     return log.withColumn("error_class", T.error_class(F.col(message)))
 
 
+def run_figures(changes: DataFrame, *keys: str, price: float, emitted: tuple[str, ...] = ("NEW", "REAPPEARED", "UPDATED"),
+                least: int = 20) -> DataFrame:
+    """What :func:`run_summary` and :func:`savings` say of each group of changes, as columns; savings are null where there are none."""
+    out = changes.groupBy(*keys).agg(
+        F.count_if(F.col("change_type").isin(*emitted)).alias("emitted"), F.count_if(F.col("change_type") == "UNCHANGED").alias("unchanged"))
+    seen = F.col("emitted") + F.col("unchanged")
+    saving = (seen >= least) & (F.col("unchanged") > 0) & F.lit(price > 0)
+    return out.select(
+        *keys, "emitted", "unchanged", seen.alias("total"), F.when(seen == 0, "no_results").alias("reason"),
+        F.when(saving, F.round(F.col("unchanged") * F.lit(price), 2)).alias("saved"),
+        F.when(saving, F.floor(F.col("unchanged") / seen * 100 + 0.5).cast("long")).alias("saved_percent"),
+    )
+
+
 def savings(emitted: int, unchanged: int, price: float, least: int = 20) -> dict | None:
     """What skipping unchanged rows saves; None for a run of little activity or without such rows."""
     seen = emitted + unchanged
@@ -69,6 +83,34 @@ def field_census(records: DataFrame, layer: str | Column, json_column: str, nest
     return rows.groupBy("layer", "field").agg(F.count("*").alias("sample_count"))
 
 
+#: A stored baseline of another version, source or scope is not carried on.
+BASELINE_VERSION, BASELINE_SCOPE = 1, "default"
+BASELINE_FIELDS = "layer string, field string, first_seen_at string, last_seen_at string, sample_count long, status string"
+BASELINE_SCHEMA = "version int, actor string, scope string, " + BASELINE_FIELDS
+
+
+def stored_baseline(report: DataFrame, actor: str, scope: str = BASELINE_SCOPE) -> DataFrame:
+    """A report of :func:`schema_drift` as it is kept for the next run."""
+    names = [part.split()[0] for part in BASELINE_FIELDS.split(", ")]
+    return report.select(F.lit(BASELINE_VERSION).alias("version"), F.lit(actor).alias("actor"), F.lit(scope).alias("scope"), *names)
+
+
+def adopted_baseline(kept: DataFrame, actor: str, scope: str = BASELINE_SCOPE) -> DataFrame:
+    """The fields of the stored baseline of this version, source and scope; none of any other."""
+    own = kept.where((F.col("version") == BASELINE_VERSION) & (F.col("actor") == actor) & (F.col("scope") == scope))
+    return own.drop("version", "actor", "scope")
+
+
+def layer_fields(spark: SparkSession, layers: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(layer, field) rows of a catalog of layers."""
+    return spark.createDataFrame([(layer, field) for layer, fields in layers.items() for field in fields], "layer string, field string")
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """Rows as JSON records (column record) for :func:`field_census`, nulls included."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("record"))
+
+
 def schema_drift(census: DataFrame, baseline: DataFrame, mapped: DataFrame, ignored: DataFrame, now: str,
                  most: int = MAX_NEW_FIELDS) -> DataFrame:
     """The new baseline with a verdict on each field: (layer, field, first_seen_at, last_seen_at, sample_count, status,

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import time
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing as H
+from tidemark.functions import text as T
 from tidemark.operators import changes as C
 from tidemark.operators import html as HT
 from tidemark.operators import postings as P
+from tidemark.operators import statistics as S
 from tidemark.plans.spec import RunSpec
 from tidemark.sources import landing, state
 
@@ -25,15 +29,35 @@ class Landed:
     related: DataFrame | None = None
 
 
+class AllTargetsFailed(RuntimeError):
+    """Every search of a run has failed and nothing was collected."""
+
+
+class RunFailed(RuntimeError):
+    """A run that did not end well; kind says of what sort the failure is."""
+
+    def __init__(self, kind: str, message: str) -> None:
+        super().__init__(message)
+        self.kind = kind
+
+
 @dataclass
 class RunResult:
-    """Rows to write, in order of emit_order, and how the run went."""
+    """Rows to write, in order of emit_order, and how the run went.
+
+    The parsed pages are kept in executors' memory and disk until :meth:`release`; rows and state are lazy.
+    """
 
     rows: DataFrame
     coverage: C.Coverage
     counts: dict = field(default_factory=dict)
     changes: DataFrame | None = None
     state: DataFrame | None = None
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
 
 
 def _filters(spec: RunSpec) -> P.PostingFilters:
@@ -42,30 +66,43 @@ def _filters(spec: RunSpec) -> P.PostingFilters:
         spec.salaryIncludeUnknown)
 
 
-def _among_first(items: DataFrame, n: int) -> Column | None:
-    """Whether a row is among the first n of the scan; None if all are."""
-    if n <= 0:
-        return None
+def _among_first(items: DataFrame, n: int) -> Column:
+    """Whether a row is among the first n of the scan; items are persisted, so they are not parsed for it again."""
     last = items.select("scan_ordinal").orderBy("scan_ordinal").limit(n).agg(F.max("scan_ordinal")).first()[0]
     return F.col("scan_ordinal") <= F.lit(-1 if last is None else last)
 
 
-def items_of(spec: RunSpec, landed: Landed, scraped_at: str, salary_stage: str = "detail") -> DataFrame:
+def _outcome(landed: Landed, cap: int) -> Row:
+    """How the searches went; a run of which all have failed is an error, not a run without results."""
+    found = C.coverage_summary(landing.query_outcomes(landed.pages, cap), "rows").first()
+    if C.all_targets_failed(found.queries, found.failed_queries, found.collected):
+        raise AllTargetsFailed("all search targets failed")
+    return found
+
+
+def items_of(spec: RunSpec, landed: Landed, scraped_at: str, salary_stage: str = "detail", held: list[DataFrame] | None = None,
+             as_searched: bool = False) -> DataFrame:
     """Postings of a run with scan_ordinal: projected, filtered, enriched.
 
-    Details are looked up for the first maxResults rows.  Pay is known from details only, so the salary
+    held takes what the caller must unpersist at the end.  as_searched holds the postings to what the spec asks of the
+    source, for pages that do not come from its own searches.  Details are looked up for the first maxResults rows.  Pay is known from details only, so the salary
     filter stands behind them; salary_stage='card' puts it before, where all pay is unknown.
     """
     cap = C.scan_cap(spec.incrementalMode, spec.maxResults)
-    cards = landing.scan_cards(landed.pages, cap, landed.related if spec.discoverRelated else None)
+    cards = landing.scan_cards(landed.pages, cap, landed.related if spec.discoverRelated else None, spec.relatedSeedCount)
     items = P.filtered(P.transform_cards(cards, scraped_at, "scan_ordinal"), _filters(spec), salary_stage == "card")
     if spec.enrichDetails and landed.details is not None:
-        items = P.with_details(items, HT.details(landed.details), spec.phoneExtractionMode, _among_first(items, spec.maxResults))
+        first = None
+        if spec.maxResults > 0:
+            items = items.persist()
+            (held if held is not None else []).append(items)
+            first = _among_first(items, spec.maxResults)
+        items = P.with_details(items, HT.details(landed.details), spec.phoneExtractionMode, first)
     if salary_stage != "card":
         items = items.where(P.within_salary(_filters(spec)))
     if spec.scrapeCompany and landed.companies is not None:
         items = P.with_companies(items, HT.organisations(landed.companies))
-    return items
+    return items.where(P.as_searched(asdict(spec), scraped_at)) if as_searched else items
 
 
 def _shaped(rows: DataFrame, spec: RunSpec) -> DataFrame:
@@ -81,14 +118,15 @@ def _empty(spark: SparkSession) -> DataFrame:
 
 def run_once(spec: RunSpec, landed: Landed, scraped_at: str) -> RunResult:
     """A run without state: the first maxResults postings."""
-    outcome = C.coverage_summary(landing.query_outcomes(landed.pages, C.scan_cap(False, spec.maxResults))).first()
-    coverage = C.Coverage(True).after_scan(capped=outcome.any_capped, failed_pages=outcome.failed_queries)
     if not spec.has_target():
         return RunResult(_empty(landed.pages.sparkSession), C.Coverage(True), {"targets": 0})
-    items = items_of(spec, landed, scraped_at)
+    outcome = _outcome(landed, C.scan_cap(False, spec.maxResults))
+    coverage = C.Coverage(True).after_scan(capped=outcome.any_capped, failed_pages=outcome.failed_queries)
+    held: list[DataFrame] = []
+    items = items_of(spec, landed, scraped_at, held=held)
     first = C.first_rows(items, spec.maxResults, "scan_ordinal")
     rows = P.truncated(first, spec.descriptionMaxLength).withColumnRenamed("scan_ordinal", "emit_order")
-    return RunResult(_shaped(rows, spec), coverage, {"failed_queries": outcome.failed_queries})
+    return RunResult(_shaped(rows, spec), coverage, {"failed_queries": outcome.failed_queries}, held=held)
 
 
 def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataFrame, known: C.Coverage,
@@ -99,14 +137,17 @@ def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataF
     beyond that still count as seen, unless commit_only_emitted is set.
     """
     cap = C.scan_cap(True, spec.maxResults)
-    outcome = C.coverage_summary(landing.query_outcomes(landed.pages, cap)).first()
+    outcome = _outcome(landed, cap)
     coverage = known.after_scan(capped=outcome.any_capped, failed_pages=outcome.failed_queries)
     # The parsed pages feed both outputs; kept in executors' memory and disk, recomputed if lost.
-    items = items_of(spec, landed, scraped_at).persist()
+    held: list[DataFrame] = []
+    items = items_of(spec, landed, scraped_at, held=held).persist()
+    held.append(items)
     current = items.select(
         F.col("jobId").alias("job_id"), F.col("contentHash").alias("content_hash"),
-        H.tracked_hash().alias("tracked_hash"), "scan_ordinal")
-    changes = C.classified(current, prior, scraped_at, coverage)
+        H.tracked_hash().alias("tracked_hash"), "scan_ordinal", *C.SNAPSHOT_FIELDS)
+    both = C.compared(current, prior, scraped_at, coverage)
+    changes = C.changes_of(both)
     policy = C.emitted(changes, spec.outputMode, spec.emitUnchanged, spec.emitExpired)
     found = C.reposts(current, prior).select("job_id", "repost_of_id")
     kinds = policy.where("change_type <> 'EXPIRED'").select("job_id", "change_type", "first_seen_at", "last_seen_at", "previous_seen_at")
@@ -123,29 +164,71 @@ def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataF
     })
     active = active.withColumnRenamed("scan_ordinal", "emit_order").select("emit_order", *P.POSTING_FIELDS)
     gone = C.expired_stubs(policy, scraped_at).select(F.lit(-1).cast("long").alias("emit_order"), *P.POSTING_FIELDS)
-    seen = changes
-    if commit_only_emitted:
-        out = active.select(F.col("jobId").alias("job_id"))
-        seen = changes.join(out, "job_id", "left_semi").unionByName(changes.where("change_type = 'EXPIRED'"))
-    snapshots = items.withColumn("job_id", F.col("jobId"))
-    after = C.updated_state(seen, prior, snapshots, scraped_at)
-    return RunResult(_shaped(gone.unionByName(active), spec), coverage, {"failed_queries": outcome.failed_queries}, changes, after)
+    out = active.select(F.col("jobId").alias("job_id")) if commit_only_emitted else None
+    after = C.updated_state(both, prior, scraped_at, committed=out)
+    return RunResult(_shaped(gone.unionByName(active), spec), coverage, {"failed_queries": outcome.failed_queries}, changes, after, held)
 
 
 def run_and_commit(spec: RunSpec, landed: Landed, scraped_at: str, store: state.Store, key: str, fingerprint: str, run_id: str,
-                   out: str, kind: str = "parquet") -> dict:
-    """Take the lease, run, write the rows, then move the state, if the lease still holds."""
-    held, why = state.acquire(store, key, run_id)
+                   out: str, kind: str = "parquet", price: float = 0.0) -> dict:
+    """Take the lease, run, write the rows, then move the state, if the lease still holds.
+
+    Returns how it went: status, coverage, changes by kind, the run's summary and, with a price for each row, what
+    skipping unchanged rows has saved.  A state that can't be opened fails the run, or lets it go on without one if
+    the spec allows that.  Failures are raised as :class:`RunFailed` with their kind.
+    """
+    begin = time.monotonic()
+    spark = landed.pages.sparkSession
+    try:
+        held, why = state.acquire(store, key, run_id)
+    except Exception as error:
+        return _without_state(spec, landed, scraped_at, out, kind, begin, error)
     if not held:
         return {"status": "busy", "reason": why}
+    result = None
     try:
-        prior, known = state.load(store, key, fingerprint)
+        try:
+            prior, known = state.load(store, key, fingerprint)
+        except Exception as error:
+            return _without_state(spec, landed, scraped_at, out, kind, begin, error)
         result = run_incremental(spec, landed, scraped_at, prior, known)
-        result.rows.write.format(kind).mode("overwrite").save(out)
+        emitted = _written(result.rows, out, kind)
         if not state.holds(store, key, run_id):
             raise RuntimeError("state lock lost during run")
         state.commit(store, key, fingerprint, result.state, scraped_at)
         counts = {r.change_type: r["count"] for r in result.changes.groupBy("change_type").count().collect()}
-        return {"status": "ok", "coverage": result.coverage, "changes": counts}
+        skipped = 0 if spec.emitUnchanged and spec.outputMode == "all" else counts.get("UNCHANGED", 0)
+        return {"status": "ok", "coverage": result.coverage, "changes": counts,
+                "summary": S.run_summary(emitted, skipped, int((time.monotonic() - begin) * 1000)),
+                "savings": S.savings(emitted, skipped, price)}
+    except Exception as error:
+        raise RunFailed(_kind_of(spark, T.run_error, error), str(error)) from error
     finally:
+        if result is not None:
+            result.release()
         state.release(store, key, run_id)
+
+
+def _written(rows: DataFrame, out: str, kind: str) -> int:
+    """Write rows; how many they are is counted on the way."""
+    counted = Observation()
+    rows.observe(counted, F.count(F.lit(1)).alias("rows")).write.format(kind).mode("overwrite").save(out)
+    return counted.get["rows"]
+
+
+def _kind_of(spark: SparkSession, classify: Callable[[Column], Column], error: Exception) -> str:
+    return spark.range(1).select(classify(F.lit(str(error)))).first()[0]
+
+
+def _without_state(spec: RunSpec, landed: Landed, scraped_at: str, out: str, kind: str, begin: float, error: Exception) -> dict:
+    """What becomes of a run whose state can't be opened."""
+    why = _kind_of(landed.pages.sparkSession, T.open_error, error)
+    if state.open_decision("unavailable", spec.allowNonIncrementalFallback) == "fail":
+        raise RunFailed(why, str(error)) from error
+    result = run_once(spec, landed, scraped_at)
+    try:
+        emitted = _written(result.rows, out, kind)
+    finally:
+        result.release()
+    return {"status": "degraded", "reason": why, "coverage": result.coverage,
+            "summary": S.run_summary(emitted, 0, int((time.monotonic() - begin) * 1000)), "savings": None}

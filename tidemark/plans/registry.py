@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tidemark.plans import change_queries, text_queries  # noqa: F401
+    from tidemark.plans import change_queries, run_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

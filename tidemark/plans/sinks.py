@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import reference_data as ref
 from tidemark.functions import text as T
 from tidemark.functions.patterns import filled
 
@@ -188,6 +189,19 @@ def markdown_table(rows: list[dict[str, str]], columns: list[tuple[str, str]] |
     return "\n".join(lines)
 
 
+def export_once(store, marker: str, records: list[dict], *args, now: str, **kwargs) -> dict:
+    """:func:`export`, unless the marker in the store says that these records were sent before.
+
+    The marker is set when something was sent and nothing failed, so that a run that is resumed sends nothing twice.
+    """
+    if store.read(marker):
+        return {"exported": 0, "errors": 0, "skipped": len(records), "target": "done"}
+    result = export(records, *args, **({"columns": list(ref.CONNECTOR_COLUMNS)} | kwargs))
+    if result["exported"] > 0 and result["errors"] == 0:
+        store.write(marker, {"at": now})
+    return result
+
+
 def export(records: list[dict], tools: Iterable[str], call: Callable[[str, dict], object], noun: str = "records", term: str | None = None,
            place: str | None = None, columns: list[tuple[str, str]] | None = None, cap: int = EXPORT_CAP, team: str | None = None,
            channel: str | None = None) -> dict:

@@ -19,14 +19,14 @@ DATE_POSTED = {"lastHour": "r3600", "last24h": "r86400", "last7d": "r604800", "l
 WORK_TYPE = {"onsite": "1", "remote": "2", "hybrid": "3"}
 EXPERIENCE = {"internship": "1", "entry": "2", "associate": "3", "mid_senior": "4", "director": "5", "executive": "6"}
 JOB_TYPE = {"fulltime": "F", "parttime": "P", "contract": "C", "temporary": "T", "internship": "I", "volunteer": "V", "other": "O"}
-SALARY_STEPS = (40_000, 60_000, 80_000, 100_000, 120_000, 140_000, 160_000)
+SALARY_STEPS = ref.SALARY_STEPS
 QUERY_ALIASES = ("query", "keyword", "keywords", "searchQuery", "searchQueries", "queries", "searches", "search", "searchString")
 START_URL_ALIASES = ("startUrls", "urls", "searchUrls", "links", "url")
 LOCATION_ALIASES = ("location", "locations", "place", "city")
 DEFAULT_LANGUAGE, DEFAULT_HOST, HOST_SUFFIX = "en-US,en;q=0.9", "www", "linkedin.com"
 SEARCH_PATH = "/jobs-guest/jobs/api/seeMoreJobPostings/search"
 LONGEST_KEY, READABLE = 256, 64
-SECRET = re.compile(r"token|secret|password|api.?key|authorization|cookie|webhook|headers", re.I)
+SECRET = re.compile(r"token|secret|password|api.?key|authorization|cookie|webhook|headers|session.?state|storage.?state|jwt", re.I)
 
 
 def clean(value: Any) -> str | None:

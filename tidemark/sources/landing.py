@@ -6,7 +6,7 @@ with the columns named here.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import changes as C
@@ -15,6 +15,8 @@ from tidemark.operators import html as H
 PAGE_SCHEMA = "query_ordinal int, start int, http_status int, country_hint string, html string"
 DETAIL_SCHEMA = "sourceJobId string, html string"
 COMPANY_SCHEMA = "slug string, html string"
+#: Lists of postings like another one; seed_id is the source's id of that one.
+RELATED_SCHEMA = "seed_id string, html string"
 #: Statuses that a crawler tries again, and that end a query.
 RETRIED = (429, 502, 503, 504, 520, 521, 522, 523, 524, 590)
 HARD_CAP = 1000
@@ -47,20 +49,28 @@ def query_outcomes(pages: DataFrame, cap: int = 0) -> DataFrame:
                          "failed", F.coalesce("drifted", F.lit(False)).alias("drifted"))
 
 
-def scan_cards(pages: DataFrame, cap: int = 0, related: DataFrame | None = None) -> DataFrame:
+def scan_cards(pages: DataFrame, cap: int = 0, related: DataFrame | None = None, seeds: int | None = None) -> DataFrame:
     """Cards of all queries, the first of each id: by query, page and place; related ones come last.
 
-    A card has countryHint and scan_ordinal, which orders the scan.
+    A card has countryHint and scan_ordinal, which orders the scan.  Of related pages with a seed_id those of the
+    first seeds cards of the scan are taken, in the order of the seeds; None takes all.
     """
     rows = H.cards(usable(pages)).withColumnRenamed("country_hint", "countryHint")
     if cap > 0:
         rows = C.capped_per_query(rows, cap)
-    if related is not None:
+    order = F.col("query_ordinal").cast("long") * (HARD_CAP * 100) + F.col("start") * 100 + F.col("pos")
+    rows = rows.withColumn("scan_ordinal", order)
+    if related is not None and seeds != 0:
+        start = F.lit(0)
+        if seeds is not None and "seed_id" in related.columns:
+            first = C.first_of(rows, ["sourceJobId"], "scan_ordinal").select(F.col("sourceJobId").alias("seed_id"), "scan_ordinal")
+            # A few rows: their ranks are counted in one task.
+            first = C.first_rows(first, seeds, "scan_ordinal")
+            rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("scan_ordinal")) - 1
+            related, start = related.join(first.select("seed_id", rank.alias("_rank")), "seed_id"), F.col("_rank")
         more = H.cards(related).withColumns({
-            "query_ordinal": F.lit(RELATED_ORDINAL), "start": F.lit(0), "http_status": F.lit(200),
-            "countryHint": F.lit(None).cast("string"),
+            "query_ordinal": F.lit(RELATED_ORDINAL), "start": start, "http_status": F.lit(200),
+            "countryHint": F.lit(None).cast("string"), "scan_ordinal": F.lit(RELATED_ORDINAL * HARD_CAP * 100) + start * 100 + F.col("pos"),
         })
         rows = rows.unionByName(more.select(rows.columns))
-    order = F.col("query_ordinal").cast("long") * (HARD_CAP * 100) + F.col("start") * 100 + F.col("pos")
-    rows = rows.withColumn("scan_ordinal", order)
     return C.first_of(rows, ["sourceJobId"], "scan_ordinal")

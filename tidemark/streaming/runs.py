@@ -23,7 +23,10 @@ def stream_runs(spark: SparkSession, landed: str, spec: RunSpec, store: state.St
     pages = spark.readStream.format(kind).schema(landing.PAGE_SCHEMA).option("maxFilesPerTrigger", 1).load(landed)
 
     def one_run(batch: DataFrame, number: int) -> None:
-        run_and_commit(spec, Landed(batch.persist()), now(number), store, key, fingerprint, f"batch-{number}", f"{out}/batch={number}")
-        batch.unpersist()
+        batch = batch.persist()
+        try:
+            run_and_commit(spec, Landed(batch), now(number), store, key, fingerprint, f"batch-{number}", f"{out}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return pages.writeStream.foreachBatch(one_run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
