@@ -133,7 +133,7 @@ def _asked(sets: list[np.ndarray], mask: np.uint64) -> tuple[np.ndarray, np.ndar
 
 
 def _frequencies(table: DataFrame, width: int, mask: np.uint64, buckets: int) -> DataFrame:
-    """(block, bucket, blob): in how many documents of the corpus each shingle of a block is, up to 255.
+    """(block, bucket, blob): in how many documents of the corpus each shingle of a block is.
 
     Shingles are shortened; the few that become equal are counted together, which only makes them look
     more common than they are.
@@ -156,8 +156,8 @@ def _frequencies(table: DataFrame, width: int, mask: np.uint64, buckets: int) ->
         ranked = keys[order]
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         sums = np.add.reduceat(np.concatenate([c for _, c in parts])[order].astype(np.int64), first)
-        each = np.empty(len(keys), np.uint8)
-        each[order] = np.repeat(np.minimum(sums, 255), np.diff(np.append(first, len(keys)))).astype(np.uint8)
+        each = np.empty(len(keys), "<u8")
+        each[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
         ends = np.cumsum([len(k) for k, _ in parts])
         return pa.Table.from_batches([rows([
             (n, b, B.pack(each[e - len(k) : e])) for n, b, e, (k, _) in zip(
@@ -313,8 +313,8 @@ def _candidate_edges(table: DataFrame, nodes: DataFrame, width: int, t: Threshol
                 block = B.read_block(row, lower=True, lanes=1)
                 sets = shingle_sets(block, width)
                 known, _ = _asked(sets, mask)
-                common = [B.unpack(a["blob"], "u1")[0] for a in sorted(row["answers0"] or (), key=lambda a: a["bucket"])]
-                common = np.concatenate(common) if common else np.empty(0, np.uint8)
+                common = [B.unpack(a["blob"], "<u8")[0] for a in sorted(row["answers0"] or (), key=lambda a: a["bucket"])]
+                common = np.concatenate(common) if common else np.empty(0, np.uint64)
                 keys, nodes, sizes, profiles = [], [], [], []
                 for place in sorted(a["place"] for a in row["asked"]):
                     own = sets[place]
