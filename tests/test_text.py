@@ -1,5 +1,8 @@
 """Literal cases of the text functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +82,30 @@ def test_dates_and_money(spark):
 ])
 def test_error_class(spark, text, expected):
     assert value(spark, T.error_class, text) == expected
+
+
+def plain_phones(text):
+    """The numbers of a text by one search for each prefix, link and international form."""
+    flags = lambda p: re.compile(p.replace(r"\z", r"\Z"))
+    for noise in (r"(?i)\b(?:ATU|DE|FR)[0-9]{8,12}\b", r"(?a)\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", r"(?a)\b[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{2,4}\b"):
+        text = re.sub(noise, " ", text, flags=re.ASCII)
+    found = [m.group() for m in flags(T.PHONE_INTERNATIONAL).finditer(text)] + [m[1] for m in flags(T.PHONE_SCHEME).finditer(text)]
+    for prefix in T.PHONE_PREFIXES:
+        found += [m.group(m.re.groups) for m in flags(prefix + T._BODY).finditer(text)]
+    tidy = {re.sub(r"\.+$", "", re.sub(r"\s+", " ", p).strip()) for p in found}
+    good = lambda p: 7 <= len(re.sub("[^0-9]", "", p)) <= 15 and not re.fullmatch(r"[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}", p)
+    return sorted(filter(good, tidy))
+
+
+def test_phones_in_one_pass_equal_one_search_for_each_prefix(spark):
+    draw = random.Random(7)
+    words = ["Tel", "tel:", "Telefon", "TÉLÉPHONE", "Mobile", "contact", "Contact us at", "call", "dial on", "M:", "(WA: ", "HP：", "טל.", "电话：", "联系电话", "هاتف", "الجوال", "تماس",
+             "شماره تماس:", "Тел.", "МОБ", "звоните", "전화:", "電話：", "फोन", "ĐT:", "Số điện thoại", "SĐT", "Fale conosco", "İrtibat", "wa.me/", "Kontakt T:", "xTel", "cep",
+             "rückfragen", ":", ".", " ", "\n", "-", ",", "and", "DE123456789", "2024-01-02", "12.03.2024", "(", ")", "+", "00"]
+    number = lambda: "".join(draw.choice("0123456789") + draw.choice(["", "", "", " ", "-", "/", ". ", " ("]) for _ in range(draw.randint(3, 18)))
+    texts = ["".join(draw.choice([draw.choice(words) + draw.choice([" ", "", ": "]), number() + " "]) for _ in range(draw.randint(1, 9))) for _ in range(3000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    found = {r.text: r.phones for r in rows.select("text", T.phones(F.col("text")).alias("phones")).collect()}
+    wrong = [(t, found[t], plain_phones(t)) for t in texts if sorted(found[t]) != plain_phones(t)]
+    assert not wrong, wrong[:3]
+    assert sum(map(bool, found.values())) > 500

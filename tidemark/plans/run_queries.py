@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from tidemark.plans.postings import NOW, RUNS_SQL, SQL, current_run, postings, p
 from tidemark.plans.registry import query
 from tidemark.plans.spec import RunSpec
 from tidemark.plans.text_queries import card_pages, detail_pages
-from tidemark.sources import landing
+from tidemark.sources import landing, state
 
 SCRAPED = "2024-01-01T00:00:00.000Z"
 #: The cards of card_pages in SQL: page, place in the page, key.
@@ -257,6 +260,43 @@ def searched_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(P.as_searched(asked, "1997-06-01T00:00:00.000Z")).select("k")
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all machines see; in a local session without a shared one, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster see")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
+@query(f"""WITH {RUNS_SQL} SELECT job_id, content_hash, tracked_hash, first_seen_at, last_seen_at, active, expired_at, title, ordinal FROM prior""")
+def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state under a lease: an empty version first, then all rows; what is loaded is what the pointer names."""
+    store = state.Store(spark, _folder(spark))
+    state.acquire(store, "feeds", "run")
+    state.commit(store, "feeds", "f", C.empty_state(spark), NOW)
+    state.commit(store, "feeds", "f", prior_state(spark, sf_dir), NOW)
+    state.release(store, "feeds", "run")
+    found, coverage = state.load(store, "feeds", "f")
+    if not coverage.complete or state.holds(store, "feeds", "run"):
+        raise ValueError("the state is not the one that was committed")
+    return found.select("job_id", "content_hash", "tracked_hash", "first_seen_at", "last_seen_at", "active", "expired_at",
+                        F.col("snapshot.title").alias("title"), "ordinal")
+
+
+@query(f"""WITH {SQL} SELECT "sourceJobId", title, coalesce(description, '-') AS description, coalesce("salaryMin", -1) AS "salaryMin", 'SQL|Spark' AS skills FROM base""")
+def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings written as JSON, nulls left out, and read again; arrays stay arrays."""
+    known = {c: F.col(c) for c in ("sourceJobId", "title", "description", "salaryMin")} | {"skills": F.array(F.lit("SQL"), F.lit("Spark"))}
+    rows = P.as_postings(postings(spark, sf_dir), known)
+    out = _folder(spark)
+    sinks.write(rows, out, "json")
+    found = spark.read.schema(rows.schema).json(out)
+    return found.select("sourceJobId", "title", _or_dash("description", "description"), F.coalesce("salaryMin", F.lit(-1)).alias("salaryMin"),
+                        F.array_join("skills", "|").alias("skills"))
+
+
 @query(f"""WITH {_CARDS_SQL}, n AS (SELECT count(*)::BIGINT AS n, count(*) FILTER (description IS NOT NULL)::BIGINT AS d FROM base),
 fields AS (SELECT 'apiJob' AS layer, unnest(['jobId', 'urn', 'title', 'company', 'companyUrl', 'location', 'postedAtIso', 'jobUrl', 'trackingId', 'isPromoted',
     'isEasyApplyOnCard', 'postingBenefits', 'badge']) AS field
