@@ -281,6 +281,107 @@ def test_lm_scores(spark, small, odd, none):
     assert lm_score.score_documents(none).count() == 0
 
 
+def scores(df):
+    return sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in df.collect())
+
+
+def test_trained_model_scores_texts(spark, small, odd, none, tmp_path):
+    """A stored model gives what the corpus gives itself, and scores texts that it has not seen."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    lm_score.train_model(docs).save(str(tmp_path / "model"))
+    model = lm_score.LanguageModel.load(spark, str(tmp_path / "model"))
+    own = registry.op1_lm_score(spark, small)
+    assert scores(lm_score.score_with(docs, model)) == scores(own)
+    check_scores(rows_of(spark, small), lm_score.score_with(docs, model, block_bytes=20_000).collect())
+    texts = {"1": "the of and", "2": "zzzz qqqq xxxx", "3": None}
+    other = {r.doc_id: r for r in lm_score.score_with(spark.createDataFrame(list(texts.items()), "doc_id string, text string"), model).collect()}
+    assert other[1].n_known > other[2].n_known == 1 and other[1].score > other[2].score and other[3].n_tokens == 1
+    assert sum(10 ** r.score for r in other.values()) < 1
+    assert {r.train_tokens for r in other.values()} == {own.first().train_tokens}
+    assert lm_score.score_with(none, model).count() == 0 and lm_score.score_with(odd, lm_score.train_model(none)).count() == len(ODD_ROWS)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.tuples(st.integers(0, 40), st.integers(0, 3)), st.integers(1, 10**6), max_size=40),
+       st.lists(st.tuples(st.integers(0, 45), st.integers(0, 4)), max_size=20), st.sampled_from([0, 24]))
+def test_levels_of_a_model(known, asked, shift):
+    """Keys that are alike are told apart by their other bits."""
+    rows = sorted(known)
+    array = lambda values, kind: np.array(values, kind)
+    keys, more = array([k << shift for k, _ in rows], np.uint64), array([m for _, m in rows], "<u8")
+    level = lm_score._packed_level(keys, more, array([known[r] for r in rows], np.int64), shift)
+    found = lm_score._found_counts(level, array([k << shift for k, _ in asked], np.uint64), array([m for _, m in asked], "<u8"), shift)
+    assert found.tolist() == [known.get(a, 0) for a in asked]
+
+
+def exact_scores(rows):
+    """Scores in plain numbers, with smoothing of its own: masses by bisection over the counts themselves."""
+    texts = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
+    one, two, three = Counter(), Counter(), Counter()
+    for i, w in texts:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            one.update(w)
+            two.update(zip(w, w[1:], strict=False))
+            three.update(zip(w, w[1:], w[2:], strict=False))
+    total, once, twice = sum(one.values()), sum(c == 1 for c in one.values()), sum(c == 2 for c in one.values())
+    discount = once / (once + 2 * twice) if once else 0.5
+
+    def mass(lower, upper):
+        bins = {}
+        for c in lower.values():
+            n, s = bins.get(c.bit_length(), (0, 0))
+            bins[c.bit_length()] = (n + 1, s + c)
+        single, low, high = sum(c == 1 for c in upper.values()), 1e-3, 1e9
+        for _ in range(100):
+            middle = math.sqrt(low * high)
+            if sum(s * middle / (s / n + middle) for n, s in bins.values()) < single:
+                low = middle
+            else:
+                high = middle
+        return low
+
+    m, k = mass(one, two), mass(two, three)
+    out = {}
+    for i, w in texts:
+        score = 0.0
+        for a, x in enumerate(w):
+            p = max(one[x] - discount, 0) / total + discount * len(one) / total / (len(one) + 1)
+            if a >= 1:
+                p = (two[w[a - 1], x] + m * p) / (one[w[a - 1]] + m)
+            if a >= 2 and two[w[a - 2], w[a - 1]]:
+                p = (three[w[a - 2], w[a - 1], x] + k * p) / (two[w[a - 2], w[a - 1]] + k)
+            score += math.log10(p)
+        out[i] = score
+    return out
+
+
+def test_lm_scores_are_exact_before_quantisation(spark, small, monkeypatch):
+    """One block of documents in this process, with weights as they are instead of one byte each."""
+    from tidemark.llm import blocks as B
+
+    def whole(values, to):
+        levels, codes = np.unique(values, return_inverse=True)
+        to.put(codes.astype(np.int64))
+        to.put(levels if len(levels) else np.ones(1))
+
+    monkeypatch.setattr(elias_fano, "_quantised", whole)
+    rows = rows_of(spark, small)[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    block = B.read_block(B.pack_blocks(docs, block_bytes=1 << 30).first().asDict(), lower=True)
+    t = lm_score.tokens_of(block, np.uint64(2**64 - 2**20))
+    train = ~t.unknown
+    one = np.bincount(t.words[train], minlength=t.hashes.shape[1])
+    counts, stats = [], [lm_score._statistics(one)]
+    for keys, least in zip(t.keys, (1, 2), strict=True):
+        own = t.depth >= least
+        names, number = np.unique(keys[own], return_inverse=True)
+        counts.append(np.bincount(number[train[own]], minlength=len(names)))
+        stats.append(lm_score._statistics(counts[-1]))
+    logs = np.log10(lm_score._scored(t, one, counts, lm_score.Smoothing.of(np.stack(stats))))
+    found, expected = np.add.reduceat(logs, t.starts[:-1]), exact_scores(rows)
+    assert np.allclose(found, [expected[i] for i in block.ids], rtol=1e-9, atol=1e-7)
+
+
 # --- pipeline
 
 def test_pipeline_stages(spark, small, tmp_path):

@@ -6,9 +6,12 @@ corpus' counts of its own n-grams, and from the answers builds the part of the t
 need.  So neither a machine nor the driver ever holds the model of the whole corpus, and what is
 shuffled grows with the input: one packed entry for each distinct n-gram of a block.
 
+The counts can be kept as a model, a table of key ranges whose levels are Elias-Fano lists, and score other
+texts: their blocks ask it in the same way.
+
 Smoothing is Dirichlet: p(w | h) = (c(hw) + m p(w | h')) / (c(h) + m), where h' is h without its first
 word.  m is set for each order so that the mass for unseen words equals the share of n-grams seen once.
-Words discount n1 / (n1 + 2 n2) of a count, which is the probability of an unknown word.
+Words discount n1 / (n1 + 2 n2) of a count; all known words and one unknown word share what that leaves.
 """
 
 from __future__ import annotations
@@ -20,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import blocks as B
-from tidemark.llm.elias_fano import NgramTrie
-from tidemark.llm.shared import stored
+from tidemark.llm.elias_fano import Buffer, EliasFano, NgramTrie
+from tidemark.llm.shared import session_of, stored
 
 #: The end of a text as a word: white space can't be part of any.
 END = hashlib.blake2b(b"\n", digest_size=16).digest()
@@ -158,11 +161,15 @@ class Smoothing:
         return Smoothing(int(stats[0, 2 + BINS :].sum()), int(stats[0, 2 : 2 + BINS].sum()), discount, tuple(masses))
 
     def word(self, counts: np.ndarray) -> np.ndarray:
-        """Probabilities of words by their counts; all unknown words are one."""
+        """Probabilities of words by their counts.
+
+        What the discounts leave is shared evenly by all known words and one unknown word, so that no unknown word is
+        likelier than one that was seen.
+        """
         if not self.total:
             return np.ones(len(counts))
-        unknown = self.discount * self.types / self.total
-        return np.where(counts > 0, np.maximum(counts - self.discount, 1e-9) / self.total, unknown)
+        shared = self.discount * self.types / self.total / (self.types + 1)
+        return np.maximum(counts - self.discount, 0) / self.total + shared
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.types + 1)))
@@ -211,24 +218,17 @@ def _scored(t: Tokens, one: np.ndarray, counts: list[np.ndarray], s: Smoothing)
     return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+NAMES = ["block", "bucket", "one", "two", "three"]
+SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    Words are what stands between ASCII white space, lower-cased (A-Z); the end of a text is a token.
-    Rows with crc32(id) mod 5 = 1 are held out, all others train; a null id trains.  base_score is the
-    add-a-half unigram score, score the trigram model's, both as log10.  Null and empty texts are the
-    end token alone; repeated rows each count and get their row; without training rows both scores
-    are 0.  Ids are integers, or texts that
-    Spark casts to long; other texts are an error.  Other columns are not read; an empty table gives an empty result.
-    """
-    table = B.pack_blocks(docs, id_col, text_col, block_bytes)
-    buckets = B.bucket_count(table)
-    mask = B.key_mask(table)
-    names = ["block", "bucket", "one", "two", "three"]
+
+def _rows(values: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)], names=NAMES)
+
 
-    def rows(values: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v[i] for v in values], k) for i, k in enumerate(kinds)], names=names)
+def _asked(table: DataFrame, buckets: int, mask: np.uint64) -> DataFrame:
+    """(block, bucket, one, two, three): each block's distinct n-grams, with their counts in its training rows."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,28 +246,19 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     for b, s in B.cuts(names_, buckets):
                         blob = B.pack_keys(names_[s], count[s].astype("<u4"))
                         parts.setdefault(b, [None, None, None])[i + 1] = blob
-                yield rows([(block.number, b, *blobs) for b, blobs in parts.items()])
+                yield _rows([(block.number, b, *blobs) for b, blobs in parts.items()])
+
+    return table.mapInArrow(send, ANSWER)
+
+
+def _questions(bucket: pa.Table, level: int) -> list[tuple[int, list[np.ndarray]]]:
+    """(row, keys, what else the keys have, counts) of the rows of a bucket that ask at this level."""
+    kinds = ["<u4", "<u4"] if level == 0 else ["<u4"]
+    return [(j, B.unpack_keys(x, *kinds)) for j, x in enumerate(bucket.column(NAMES[2 + level]).to_pylist()) if x is not None]
 
-    def total(bucket: pa.Table) -> pa.Table:
-        """Each block's counts in the order it asked, and a row of statistics."""
-        numbers, own = bucket.column("block").to_pylist(), bucket.column("bucket").to_pylist()
-        answers: list[list] = [[n, b, None, None, None] for n, b in zip(numbers, own, strict=True)]
-        stats = np.zeros((3, 2 + 2 * BINS), np.int64)
-        for i, name in enumerate(names[2:]):
-            asked = [(j, B.unpack_keys(x, *(["<u4", "<u4"] if i == 0 else ["<u4"])))
-                     for j, x in enumerate(bucket.column(name).to_pylist()) if x is not None]
-            if asked:
-                columns = [np.concatenate([a[c] for _, a in asked]) for c in range(len(asked[0][1]))]
-                each, sums = _summed(columns[:-1], columns[-1].astype(np.int64))
-                stats[i] = _statistics(sums)
-                at = 0
-                for j, a in asked:
-                    answers[j][2 + i] = B.pack(each[at : at + len(a[0])].astype("<u8"))
-                    at += len(a[0])
-        answers.append([-1, own[0], stats.tobytes(), None, None])
-        return pa.Table.from_batches([rows([tuple(a) for a in answers])])
 
-    answers = stored(table.mapInArrow(send, ANSWER).groupBy("bucket").applyInArrow(total, ANSWER), "counts", codec="uncompressed")
+def _smoothing(stats: DataFrame) -> Smoothing:
+    """From a row (one) of statistics for each bucket: their sums, which are of a fixed size, come to the driver."""
     width = 2 + 2 * BINS
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,11 +268,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sums += np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(range(3 * width)), pa.array(sums)], names=["place", "n"])
 
-    stats = answers.where("block = -1").select("one").mapInArrow(added, "place long, n long")
     found = np.zeros(3 * width, np.int64)
-    for r in stats.groupBy("place").agg(F.sum("n").alias("n")).collect():
+    for r in stats.mapInArrow(added, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect():
         found[r.place] = r.n
-    smoothing = Smoothing.of(found.reshape(3, width))
+    return Smoothing.of(found.reshape(3, width))
+
+
+def _scores(table: DataFrame, answers: DataFrame, mask: np.uint64, smoothing: Smoothing, id_col: str) -> DataFrame:
+    """The scores of a table of blocks, from the corpus' counts of what each of them asked."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,7 +283,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 block = B.read_block(row, lower=True)
                 t = tokens_of(block, mask)
                 own = sorted(row["answers"], key=lambda a: a["bucket"])
-                counts = [[B.unpack(a[name], "<u8")[0] for a in own if a[name] is not None] for name in names[2:]]
+                counts = [[B.unpack(a[name], "<u8")[0] for a in own if a[name] is not None] for name in NAMES[2:]]
                 counts = [np.concatenate(c).astype(np.int64) if c else np.empty(0, np.int64) for c in counts]
                 one = counts[0]
                 logs = np.log10(_scored(t, one, counts[1:], smoothing))
@@ -302,8 +296,177 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    given = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct(*names[1:])).alias("answers"))
-    out = B.joined(table, given).mapInArrow(
-        score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
-    return out.withColumnRenamed("id", id_col)
+    given = answers.groupBy("block").agg(F.collect_list(F.struct(*NAMES[1:])).alias("answers"))
+    return B.joined(table, given).mapInArrow(score, SCORED).withColumnRenamed("id", id_col)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Words are what stands between ASCII white space, lower-cased (A-Z); the end of a text is a token.
+    Rows with crc32(id) mod 5 = 1 are held out, all others train; a null id trains.  base_score is the
+    add-a-half unigram score, score the trigram model's, both as log10.  Null and empty texts are the
+    end token alone; repeated rows each count and get their row; without training rows both scores
+    are 0.  Ids are integers, or texts that Spark casts to long; other texts are an error.  Other columns are
+    not read; an empty table gives an empty result.
+
+    The scores are those of :func:`train_model` and :func:`score_with` one after the other.  As the corpus scores
+    itself here, its n-grams are sent once for both: what trains the model is also what asks it.
+    """
+    table = B.pack_blocks(docs, id_col, text_col, block_bytes)
+    buckets, mask = B.bucket_count(table), B.key_mask(table)
+
+    def total(bucket: pa.Table) -> pa.Table:
+        """Each block's counts in the order it asked, and a row of statistics."""
+        numbers, own = bucket.column("block").to_pylist(), bucket.column("bucket").to_pylist()
+        answers: list[list] = [[n, b, None, None, None] for n, b in zip(numbers, own, strict=True)]
+        stats = np.zeros((3, 2 + 2 * BINS), np.int64)
+        for i in range(3):
+            asked = _questions(bucket, i)
+            if asked:
+                columns = [np.concatenate([a[c] for _, a in asked]) for c in range(len(asked[0][1]))]
+                each, sums = _summed(columns[:-1], columns[-1].astype(np.int64))
+                stats[i] = _statistics(sums)
+                at = 0
+                for j, a in asked:
+                    answers[j][2 + i] = B.pack(each[at : at + len(a[0])].astype("<u8"))
+                    at += len(a[0])
+        answers.append([-1, own[0], stats.tobytes(), None, None])
+        return pa.Table.from_batches([_rows([tuple(a) for a in answers])])
+
+    answers = stored(_asked(table, buckets, mask).groupBy("bucket").applyInArrow(total, ANSWER), "counts", codec="uncompressed")
+    smoothing = _smoothing(answers.where("block = -1"))
+    return _scores(table, answers.where("block >= 0"), mask, smoothing, id_col)
+
+
+@dataclass(frozen=True)
+class LanguageModel:
+    """A trained model: a table with a row for each range of keys, and what is known of the corpus as a whole.
+
+    A row has three levels, words, bigrams and trigrams: the keys as an Elias-Fano list, and their counts.  The table
+    is as large as the corpus has n-grams and stays on the executors; all else is of a fixed size.
+    """
+
+    levels: DataFrame
+    buckets: int
+    mask: int
+    smoothing: Smoothing
+
+    def save(self, path: str) -> None:
+        """Write the model to a folder of any Hadoop file system."""
+        s = self.smoothing
+        self.levels.write.parquet(f"{path}/levels")
+        row = [(self.buckets, str(self.mask), s.total, s.types, s.discount, *s.masses)]
+        session_of(self.levels).createDataFrame(row, META).coalesce(1).write.parquet(f"{path}/meta")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> LanguageModel:
+        r = spark.read.parquet(f"{path}/meta").first()
+        smoothing = Smoothing(r.total, r.types, r.discount, (r.mass_one, r.mass_two))
+        return LanguageModel(spark.read.parquet(f"{path}/levels"), r.buckets, int(r.mask), smoothing)
+
+
+META = "buckets long, mask string, total long, types long, discount double, mass_one double, mass_two double"
+
+
+def _low_bit(mask: int) -> int:
+    """How many low bits no key has."""
+    return (mask & -mask).bit_length() - 1
+
+
+def _packed_level(keys: np.ndarray, more: np.ndarray | None, counts: np.ndarray, shift: int) -> bytes:
+    """A level of a range of keys: its least key, the steps from there as an Elias-Fano list, and the counts."""
+    out = Buffer()
+    base = keys[:1]
+    steps = (keys - base[0]) >> np.uint64(shift) if len(keys) else keys
+    out.put(base)
+    EliasFano.put(steps.astype(np.int64), out)
+    out.put(counts.astype(np.min_scalar_type(int(counts.max(initial=0)))))
+    out.put(more if more is not None else np.empty(0, "<u4"))
+    return b"".join(out.parts)
+
+
+def _found_counts(level: bytes | None, keys: np.ndarray, more: np.ndarray | None, shift: int) -> np.ndarray:
+    """The counts that a level has of these keys, 0 where it has none."""
+    out = np.zeros(len(keys), np.int64)
+    if level is None or not len(keys):
+        return out
+    source = Buffer(memoryview(level))
+    base, steps = source.take(), EliasFano.take(source)
+    counts, others = source.take(), source.take()
+    inside = np.flatnonzero(keys >= base[0]) if len(base) else np.empty(0, np.int64)
+    place = steps.search(((keys[inside] - base[0]) >> np.uint64(shift)).astype(np.int64))
+    inside, place = inside[place >= 0], place[place >= 0]
+    if more is None:
+        out[inside] = counts[place]
+        return out
+    # Words are known by more bits than their place in the list; words of equal keys follow each other.
+    while len(inside):
+        same = others[place] == more[inside]
+        out[inside[same]] = counts[place[same]]
+        inside, place = inside[~same], place[~same] + 1
+        on = place < len(counts)
+        inside, place = inside[on], place[on]
+        on = steps.access(place) == ((keys[inside] - base[0]) >> np.uint64(shift)).astype(np.int64)
+        inside, place = inside[on], place[on]
+    return out
+
+
+#: Bits by which the keys of words are shortened in a level; the rest of a word's bits is held beside it.
+WORD_SHIFT = 24
+
+
+def train_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> LanguageModel:
+    """The trigram model of the rows that train (see :func:`score_documents`), as a stored table."""
+    table = B.pack_blocks(docs, id_col, text_col, block_bytes)
+    buckets, mask = B.bucket_count(table), B.key_mask(table)
+    shifts = (WORD_SHIFT, *[_low_bit(int(mask))] * 2)
+
+    def summed(bucket: pa.Table) -> pa.Table:
+        stats, levels = np.zeros((3, 2 + 2 * BINS), np.int64), []
+        for i, shift in enumerate(shifts):
+            asked = _questions(bucket, i)
+            columns = [np.concatenate([a[c] for _, a in asked]) for c in range(3 if i == 0 else 2)] if asked else []
+            if not asked:
+                levels.append(None)
+                continue
+            *keys, counts = columns
+            order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort((keys[1], keys[0]))
+            new = np.any([np.diff(k[order]) != 0 for k in keys], axis=0)
+            first = np.flatnonzero(np.concatenate([[True], new]))
+            sums = np.add.reduceat(counts[order].astype(np.int64), first)
+            stats[i] = _statistics(sums)
+            first, sums = order[first][sums > 0], sums[sums > 0]
+            more = None
+            if i == 0:
+                # The bits that the shortened key lacks go first, so that words are told apart as well as before.
+                more = keys[1][first].astype("<u8") | (keys[0][first] & np.uint64((1 << WORD_SHIFT) - 1)) << np.uint64(32)
+            levels.append(_packed_level(keys[0][first] >> np.uint64(shift) << np.uint64(shift), more, sums, shift))
+        number = bucket.column("bucket")[0].as_py()
+        return pa.Table.from_batches([_rows([(0, number, *levels), (-1, number, stats.tobytes(), None, None)])])
+
+    out = stored(_asked(table, buckets, mask).groupBy("bucket").applyInArrow(summed, ANSWER), "model", codec="uncompressed")
+    return LanguageModel(out.where("block = 0").drop("block"), buckets, int(mask), _smoothing(out.where("block = -1")))
+
+
+def score_with(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text",
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Score documents, of whatever corpus, with a trained model; columns and cases as in :func:`score_documents`."""
+    table = B.pack_blocks(docs, id_col, text_col, block_bytes)
+    mask, shifts = np.uint64(model.mask), (WORD_SHIFT, *[_low_bit(model.mask)] * 2)
+
+    def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
+        answers: list[list] = [[n, b, None, None, None] for n, b in zip(asked.column("block").to_pylist(), asked.column("bucket").to_pylist(), strict=True)]
+        for i, shift in enumerate(shifts):
+            level = known.column(NAMES[2 + i])[0].as_py() if known.num_rows else None
+            for j, (keys, *rest) in _questions(asked, i):
+                more = None
+                if i == 0:
+                    more = rest[0].astype("<u8") | (keys & np.uint64((1 << WORD_SHIFT) - 1)) << np.uint64(32)
+                short = keys >> np.uint64(shift) << np.uint64(shift)
+                answers[j][2 + i] = B.pack(_found_counts(level, short, more, shift).astype("<u8"))
+        return pa.Table.from_batches([_rows([tuple(a) for a in answers])])
+
+    asked = _asked(table, model.buckets, mask).groupBy("bucket")
+    answers = asked.cogroup(model.levels.groupBy("bucket")).applyInArrow(look_up, ANSWER)
+    return _scores(table, stored(answers, "counts", codec="uncompressed"), mask, model.smoothing, id_col)
