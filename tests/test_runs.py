@@ -1,6 +1,7 @@
 """Whole runs over landed pages, state on disk, streams, specs and sinks."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,8 @@ def test_messages():
     assert [len(b["embeds"]) for b in batches] == [10, 10, 3] and batches[0]["embeds"][0]["description"].endswith("…")
     sent, failed = sinks.notify([row], {"slack": lambda p: None, "webhook": lambda p: 1 / 0}, "x", 1)
     assert sent == ["slack"] and "division" in failed["webhook"]
+    sent, failed = sinks.notify([row], {"slack": lambda p: time.sleep(2), "webhook": lambda p: None}, "x", 1, seconds=0.3)
+    assert sent == ["webhook"] and "no answer" in failed["slack"]
     assert max(map(len, sinks.whatsapp([row | {"title": "t" * 5000}]))) == 4096
 
 

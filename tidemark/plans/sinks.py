@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor, wait
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tidemark.functions.patterns import filled
 
 EXPORT_CAP, DIGEST_ROWS, CELL, TITLE, BODY = 500, 5, 300, 200, 100_000
 EMBEDS_A_MESSAGE, CHARS_A_MESSAGE = 10, 4096
+SEND_SECONDS = 15.0
 COLORS = {"NEW": 0x22C55E, "UPDATED": 0xF59E0B}
 OTHER_COLOR = 0x3B82F6
 #: Which tools an export may use, in order of preference; read-only and destructive names are never used.
@@ -122,15 +124,23 @@ def webhook(rows: list[dict], label: str | None = None, total: int = 0) -> dict:
 FORMATS: dict[str, Callable] = {"telegram": telegram, "discord": discord, "slack": slack, "whatsapp": whatsapp, "webhook": webhook}
 
 
-def notify(rows: list[dict], senders: dict[str, Callable[[object], None]], label: str | None, total: int) -> tuple[list[str], dict[str, str]]:
-    """(sent, failed): each platform's payload goes to its sender; one that fails does not stop the others."""
+def notify(rows: list[dict], senders: dict[str, Callable[[object], None]], label: str | None, total: int,
+           seconds: float = SEND_SECONDS) -> tuple[list[str], dict[str, str]]:
+    """(sent, failed): each platform's payload goes to its sender, all at once; one that fails or takes longer than
+    seconds does not stop the others."""
     sent, failed = [], {}
-    for platform, send in senders.items() if rows else ():
-        try:
-            send(FORMATS[platform](rows, label, total))
+    if not rows or not senders:
+        return sent, failed
+    pool = ThreadPoolExecutor(len(senders))
+    running = {p: pool.submit(lambda p=p, send=send: send(FORMATS[p](rows, label, total))) for p, send in senders.items()}
+    wait(running.values(), seconds)
+    for platform, future in running.items():
+        error = future.exception() if future.done() else TimeoutError(f"no answer in {seconds:g} seconds")
+        if error is None:
             sent.append(platform)
-        except Exception as error:
+        else:
             failed[platform] = str(error)
+    pool.shutdown(wait=False)
     return sent, failed
 
 
