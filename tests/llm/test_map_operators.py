@@ -459,6 +459,8 @@ def test_quality_odd_rows(spark, odd, none):
     assert len(rows) == len(ODD_ROWS) and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in quality.score_quality(odd, labels.limit(0)).collect()} == {1.0}
     assert quality.score_quality(none, labels).count() == 0
+    whole, _ = quality.fit_quality(odd, labels)
+    assert np.allclose(quality.fit_labelled(odd, labels).ridge, whole.ridge)
     model, _ = quality.fit_quality(odd, labels.limit(0))
     assert quality.good_only(odd, model).columns == odd.columns and quality.good_only(odd, model).count() == len(ODD_ROWS)
 

@@ -230,18 +230,28 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled(table: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(id, x, y) of the training rows; of several labels of an id the lowest counts, nulls don't."""
+def training_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id, y): the labels that may be learned; of several labels of an id the lowest counts, nulls don't."""
     marks = labels.where(F.col(label_col).isNotNull() & training_part(id_col))
-    marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
-    return table.join(marks, "id")
+    return marks.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
+
+
+def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 label_col: str = "quality") -> QualityModel:
+    """The model of :func:`fit_quality`; statistics are made of the labelled rows alone.
+
+    Spark sends few labels to the documents, and sorts and merges both sides where there are many.
+    """
+    marks = training_labels(labels, id_col, label_col)
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(marks.select("id"), "id", "left_semi")
+    return fit(stored(with_statistics(texts, "id", "text").join(marks, "id"), "training"))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 label_col: str = "quality") -> tuple[QualityModel, DataFrame]:
     """The model, and the statistics of all rows (id, x)."""
     table = with_statistics(docs, id_col, text_col)
-    return fit(stored(labelled(table, labels, id_col, label_col), "training")), table
+    return fit(stored(table.join(training_labels(labels, id_col, label_col), "id"), "training")), table
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
