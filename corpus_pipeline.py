@@ -39,7 +39,7 @@ def stage(function: Stage) -> Stage:
 @stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    model, _ = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    model = quality.fit_labelled(docs, table(spark, sf_dir, "labels"))
     return quality.good_only(docs, model)
 
 
