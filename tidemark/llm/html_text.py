@@ -109,18 +109,21 @@ class Node:
 
 
 def _element(name: str, raw: str, parent: Node) -> Node:
-    attrs = {}
+    words, gone = "", name in DROPPED
     if raw and not raw.isspace():
+        attrs = {}
         for key, a, b, c in ATTRIBUTE.findall(raw):
             attrs.setdefault(key.lower(), a or b or c)
-    words = CAMEL.sub("-", LAYOUT.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}").strip())
-    gone = (
-        name in DROPPED
-        or attrs.get("role", "").lower() in DROPPED_ROLES
-        or "hidden" in attrs
-        or attrs.get("aria-hidden", "").lower() == "true"
-        or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
-    )
+        words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+        if words:
+            words = CAMEL.sub("-", LAYOUT.sub("", words).strip())
+        gone = (
+            gone
+            or attrs.get("role", "").lower() in DROPPED_ROLES
+            or "hidden" in attrs
+            or attrs.get("aria-hidden", "").lower() == "true"
+            or ("style" in attrs and re.search(r"display\s*:\s*none", attrs["style"], re.I) is not None)
+        )
     node = Node(name, parent, words, gone, name not in ("html", "body", *WHOLE) and _unlikely(words))
     # A header is the page's unless it is part of an article or main element.
     if name == "header" and not node.inside and not gone:
@@ -168,12 +171,13 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if found["close"] or found["close2"]:
-            depth = last((name,))
+            own = places.get(name)
+            depth = own[-1] if own else 0
             # An inline end tag ends nothing outside of the block that it stands in.
             if depth and (name in BLOCK or not blocks or blocks[-1] < depth):
                 close(depth)
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and places.get("p"):
             depth = last(("p", "td", "th", "button", "table"))
             if open_[depth].name == "p":
                 close(depth)
