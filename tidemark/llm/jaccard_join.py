@@ -405,7 +405,8 @@ def _slices(members: DataFrame, found: DataFrame) -> DataFrame:
         F.ceil(F.coalesce("m.n", F.lit(0)) / WIDE).alias("cores"),
         F.ceil((F.col("texts") - F.coalesce("m.n", F.lit(0))) / WIDE).alias("rests"),
     )
-    rows = own.join(size, "component").withColumn("inner", F.coalesce(F.col("part") == F.col("core"), F.lit(False)))
+    # Stored for the same reason as the best rows of components: a wide cluster's texts may be split.
+    rows = own.join(stored(size, "wide-sizes"), "component").withColumn("inner", F.coalesce(F.col("part") == F.col("core"), F.lit(False)))
     hashed = F.xxhash64("node")
     rows = rows.where("rests > 0").withColumn(
         "slice", F.when(F.col("inner"), F.col("rests") + F.pmod(hashed, F.col("cores"))).otherwise(F.pmod(hashed, F.col("rests")))
@@ -484,7 +485,8 @@ def _components(table: DataFrame, width: int, t: Threshold) -> DataFrame:
     tasks = max(buckets, 4 * shuffle_partitions(session_of(table)))
     links = connected_components(_links(table, clusters, width, t, tasks))
     roots = classes.join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    best = roots.groupBy("root").agg(F.min("least").alias("best"))
+    # Stored, so that both sides of the join come straight from a shuffle and Spark splits a large component's.
+    best = stored(roots.groupBy("root").agg(F.min("least").alias("best")), "best")
     known = roots.join(best, "root").select("key", "best")
     return rows.join(known, "key", "left").select("node", "id", "n", "best")
 
