@@ -349,7 +349,8 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shares = asks.groupBy("block").agg(F.ceil(F.sum("size") / ASK_BYTES).alias("shares"))
     share = F.pmod(F.xxhash64("asker"), F.col("shares")).alias("share")
     by_share = asks.join(shares, "block").select("block", share, F.struct("asker", "runs", "lens", "words").alias("ask"))
-    by_share = by_share.groupBy("block", "share").agg(F.collect_list("ask").alias("asks"))
+    # Dealt by both before they are gathered; a block alone would do for Spark, and bring all shares of it to one task.
+    by_share = by_share.repartition("block", "share").groupBy("block", "share").agg(F.collect_list("ask").alias("asks"))
     reference = table.join(shares, "block").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)))
     extended = reference.join(by_share.hint("merge"), ["block", "share"]).mapInArrow(extend, ANSWER)
     out = B.with_answers(table, shared, sources, stored(extended, "extensions", codec="uncompressed")).mapInArrow(
