@@ -163,14 +163,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     # At most sample ids and labels, so that they can go to every task.
     marks = F.broadcast(training_labels(labels, id_col, label_col, sample))
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(marks, "id").select("y", "text")
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(marks, "id").select(F.xxhash64("id").alias("deal"), "y", "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [terms(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["y", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("deal"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["deal", "y", "terms"])
 
-    table = stored(rows.mapInArrow(scan, "y double, terms array<int>"), "toxicity")
+    table = stored(rows.mapInArrow(scan, "deal long, y double, terms array<int>"), "toxicity")
     count, toxic = table.agg(F.count("*"), F.sum("y")).first()
     if not count or toxic in (0, count):
         odds = 30.0 if count and toxic else -30.0
@@ -183,8 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(kept):
         return model
     parts = max(1, min(PARTS, count // PART_ROWS))
-    # The rows of a part are the same on every attempt, so a lost executor changes nothing.
-    dealt = table.repartitionByRange(parts, F.xxhash64("terms"), "y").sortWithinPartitions(F.xxhash64("terms"), "y")
+    # By the hash of the id, so copies of a text are spread, and a part has the same rows in the same order on every attempt.
+    dealt = table.repartitionByRange(parts, "deal").sortWithinPartitions("deal", F.xxhash64("terms"), "y")
     shape = "n double, bias double, weights binary, vectors binary"
     for turn in range(ROUNDS):
         def steps(batches: Iterator[pa.RecordBatch], model: ToxicityModel = model, seed: int = SEED + turn) -> Iterator[pa.RecordBatch]:
