@@ -394,7 +394,9 @@ def _found_counts(level: bytes | None, keys: np.ndarray, more: np.ndarray | None
     source = Buffer(memoryview(level))
     base, steps = source.take(), EliasFano.take(source)
     counts, others = source.take(), source.take()
-    inside = np.flatnonzero(keys >= base[0]) if len(base) else np.empty(0, np.int64)
+    if not len(base):
+        return out
+    inside = np.flatnonzero(keys >= base[0])
     place = steps.search(((keys[inside] - base[0]) >> np.uint64(shift)).astype(np.int64))
     inside, place = inside[place >= 0], place[place >= 0]
     if more is None:

@@ -148,10 +148,15 @@ def _open_runs(runs: Runs) -> np.ndarray:
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading elements are the same."""
+    """How many leading elements are the same; compared in growing pieces, so that a short run costs little in a long text."""
     n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    return int(differ[0]) if len(differ) else n
+    at, size = 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at : min(n, at + size)] != b[at : min(n, at + size)])
+        if len(differ):
+            return at + int(differ[0])
+        at, size = at + size, 2 * size
+    return n
 
 
 def greedy_factors(begin: int, end: int, start: np.ndarray, back: np.ndarray, length: np.ndarray, width: int) -> list[tuple[int, int, int]]:
