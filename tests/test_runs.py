@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import changes as C
 from tidemark.operators import html as H
 from tidemark.operators import statistics as S
-from tidemark.plans import sinks, spec
-from tidemark.plans.pipeline import AllTargetsFailed, Landed, RunFailed, run_and_commit, run_once
+from tidemark.functions import reference_data as ref
+from tidemark.plans import registry, sinks, spec
+from tidemark.plans.pipeline import AllTargetsFailed, Landed, RunFailed, run_and_commit, run_incremental, run_once
 from tidemark.sources import landing, state
 from tidemark.streaming.runs import stream_runs
 
@@ -154,7 +155,12 @@ def test_all_failed_targets_fail_the_run(spark, tmp_path):
     assert run_once(SPEC, empty, "2024-01-03T00:00:00.000Z").rows.count() == 0
 
 
+def persisted(spark):
+    return set(spark.sparkContext._jsc.getPersistentRDDs())
+
+
 def test_a_run_says_how_it_went(spark, tmp_path):
+    before = persisted(spark)
     store = state.Store(spark, f"file://{tmp_path}/state")
     run = spec.RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 0})
     landed = Landed(pages(spark, *((q, 0, 200, [card(10 * q + i) for i in range(10)]) for q in range(3))))
@@ -162,10 +168,36 @@ def test_a_run_says_how_it_went(spark, tmp_path):
     assert one["summary"].items() >= {"emitted": 30, "unchangedSkipped": 0, "totalReviews": 30, "ok": True}.items() and one["savings"] is None
     two = run_and_commit(run, landed, "2024-01-04T00:00:00.000Z", store, "k", "f", "r2", f"{tmp_path}/two", price=0.1)
     assert two["summary"]["emitted"] == 0 and two["savings"] == {"saved": 3.0, "percent": 100, "skipped": 30}
-    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert persisted(spark) <= before
     assert S.run_summary(0, 0, 5)["reason"] == "no_results" and S.savings(5, 5, 0.1) is None
 
 
+@pytest.mark.parametrize("name", ["enrichment_limit", "run_sequence", "run_over_other_pages"])
+def test_queries_on_runs_leave_nothing_persisted(spark, small, name):
+    before = persisted(spark)
+    registry.queries()[name](spark, small).count()
+    assert persisted(spark) <= before
+
+
+def test_pages_of_other_origin_are_held_to_the_spec(spark):
+    """The newest day comes first, then the order of the scan; what is too old or of another region goes."""
+    def dated(i, day, place="Berlin, Germany"):
+        return card(i).replace("2024-01-02", day).replace("Berlin, Germany", place)
+
+    landed = pages(spark, (0, 0, 200, [dated(1, "2024-01-01"), dated(2, "2024-01-05"), dated(3, "2023-11-01")]),
+                   (1, 0, 200, [dated(4, "2024-01-05"), dated(5, "2024-01-05", "Paris, France"), dated(6, "2024-01-05", "Nowhere")]))
+    run = spec.RunSpec.from_dict({"keywords": "x", "datePosted": "last30d", "regions": ["DE"], "geoIds": [ref.GEO_IDS["DE"]], "maxResults": 0})
+    for incremental in (False, True):
+        own = Landed(landed, own=False)
+        result = run_incremental(run, own, "2024-01-10T00:00:00.000Z", C.empty_state(spark), C.Coverage(True)) if incremental else run_once(run, own, "2024-01-10T00:00:00.000Z")
+        assert [(r.emit_order, r.sourceJobId) for r in result.rows.orderBy("emit_order").collect()] == [(0, "2"), (1, "4"), (2, "6"), (3, "1")]
+        result.release()
+    relevant = spec.RunSpec.from_dict({"keywords": "x", "sortBy": "relevant", "maxResults": 2})
+    result = run_once(relevant, Landed(landed, own=False), "2024-01-10T00:00:00.000Z")
+    assert [r.sourceJobId for r in result.rows.orderBy("emit_order").collect()] == ["1", "2"]
+    result.release()
+
+
 class Unopened:
     """A store that can't be read."""
 
@@ -175,6 +207,8 @@ class Unopened:
     def write(self, *args, **kwargs):
         raise OSError(self.message)
 
+    names = read = write
+
 
 def test_a_state_that_cannot_be_opened(spark, tmp_path):
     landed = Landed(pages(spark, (0, 0, 200, [card(1)])))

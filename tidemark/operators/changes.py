@@ -17,6 +17,7 @@ STATE_SCHEMA = (
 )
 SNAPSHOT_FIELDS = ("sourceJobId", "title", "company", "location", "jobUrl", "postedAt")
 RETENTION_DAYS = 30
+KINDS = ("NEW", "REAPPEARED", "UPDATED", "UNCHANGED", "EXPIRED")
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 

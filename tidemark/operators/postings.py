@@ -206,10 +206,11 @@ def salary_step(amount: Column) -> Column:
 
 
 def as_searched(asked: dict, now: str) -> Column:
-    """Whether a posting fits what a search asks of the source: age, kind of workplace, experience and employment.
+    """Whether a posting fits what a search asks of the source: age, workplace, experience, employment, region, pay and easy application.
 
     Landed pages come from searches that have asked this already; tables of other origin can be held to the same.
-    A posting that does not say passes, as only its detail page would.
+    A posting that does not say passes, as only its detail page would.  Regions are compared by country, pay by the source's
+    steps.  Distance and numbers of companies are not on postings: pages are chosen by them (``sources.searched``).
     """
     c, out = F.col, F.lit(True)
     seconds = ref.DATE_POSTED_SECONDS.get(asked.get("datePosted") or "")
@@ -223,12 +224,30 @@ def as_searched(asked: dict, now: str) -> Column:
             out = out & F.coalesce(F.lower(c(column)).isin(*(w.lower() for w in wanted)), F.lit(True))
     if asked.get("easyApply"):
         out = out & F.coalesce(c("easyApply"), F.lit(False))
+    ids = {*(asked.get("geoIds") or ()), *([asked["geoId"]] if asked.get("geoId") else ())}
+    countries = [code for code, geo in ref.GEO_IDS.items() if geo in ids]
+    # An id that is no country's says nothing about one.
+    if countries and len(countries) == len(ids):
+        out = out & F.coalesce(c("country").isin(*countries), F.lit(True))
+    reached = [s for s in ref.SALARY_STEPS if s <= (asked.get("salaryMin") or 0)]
+    if reached:
+        out = out & F.coalesce(F.coalesce(c("salaryMax"), c("salaryMin")) >= reached[-1], F.lit(True))
     return out
 
 
+#: Days before this one are told apart in source_rank, with so many places of a scan each; their product fits a bigint.
+_LAST_DAY, _PLACES = 32_000, 2**48
+
+
 def source_order(asked: dict) -> list[Column]:
-    """The order in which a search by date brings its postings: the newest first, then as scanned."""
-    return [F.col("scan_ordinal")] if asked.get("sortBy") == "relevant" else [F.desc_nulls_last("postedAt"), F.col("scan_ordinal")]
+    """The order in which a search by date brings its postings: the newest day first, then as scanned."""
+    return [F.col("scan_ordinal")] if asked.get("sortBy") == "relevant" else [F.desc_nulls_last(F.left("postedAt", F.lit(10))), F.col("scan_ordinal")]
+
+
+def source_rank() -> Column:
+    """A number that grows in the order by date of :func:`source_order`; postings without a date come last."""
+    day = F.coalesce(F.unix_date(F.try_to_date(F.left("postedAt", F.lit(10)))), F.lit(0))
+    return (F.lit(_LAST_DAY) - F.least(day, F.lit(_LAST_DAY))).cast("long") * _PLACES + F.col("scan_ordinal")
 
 
 def filtered(items: DataFrame, f: PostingFilters, salary: bool = True) -> DataFrame:

@@ -13,6 +13,7 @@ from tidemark.functions import hashing as H
 from tidemark.functions import text as T
 from tidemark.operators import changes as C
 from tidemark.operators import html as HT
+from tidemark.operators import ordering as O  # noqa: E741
 from tidemark.operators import postings as P
 from tidemark.operators import statistics as S
 from tidemark.plans.spec import RunSpec
@@ -21,12 +22,17 @@ from tidemark.sources import landing, state
 
 @dataclass(frozen=True)
 class Landed:
-    """What a crawl has left: list pages, and pages of details, companies and related postings."""
+    """What a crawl has left: list pages, and pages of details, companies and related postings.
+
+    own: whether the pages come from the run's own searches.  Pages of other origin may hold anything, so
+    their postings are held to the spec, and come in the order in which the source would bring them.
+    """
 
     pages: DataFrame
     details: DataFrame | None = None
     companies: DataFrame | None = None
     related: DataFrame | None = None
+    own: bool = True
 
 
 class AllTargetsFailed(RuntimeError):
@@ -54,6 +60,11 @@ class RunResult:
     changes: DataFrame | None = None
     state: DataFrame | None = None
     held: list[DataFrame] = field(default_factory=list)
+    counted: Observation | None = None
+
+    def changes_by_kind(self) -> dict[str, int]:
+        """How many postings of each kind of change there were, as counted when the state was written."""
+        return {k: n for k, n in self.counted.get.items() if n} if self.counted is not None else {}
 
     def release(self) -> None:
         while self.held:
@@ -80,13 +91,12 @@ def _outcome(landed: Landed, cap: int) -> Row:
     return found
 
 
-def items_of(spec: RunSpec, landed: Landed, scraped_at: str, salary_stage: str = "detail", held: list[DataFrame] | None = None,
-             as_searched: bool = False) -> DataFrame:
+def items_of(spec: RunSpec, landed: Landed, scraped_at: str, held: list[DataFrame], salary_stage: str = "detail") -> DataFrame:
     """Postings of a run with scan_ordinal: projected, filtered, enriched.
 
-    held takes what the caller must unpersist at the end.  as_searched holds the postings to what the spec asks of the
-    source, for pages that do not come from its own searches.  Details are looked up for the first maxResults rows.  Pay is known from details only, so the salary
-    filter stands behind them; salary_stage='card' puts it before, where all pay is unknown.
+    held takes what is persisted on the way; the caller unpersists it when the postings are written.  Details are looked up
+    for the first maxResults rows.  Pay is known from details only, so the salary filter stands behind them;
+    salary_stage='card' puts it before, where all pay is unknown.
     """
     cap = C.scan_cap(spec.incrementalMode, spec.maxResults)
     cards = landing.scan_cards(landed.pages, cap, landed.related if spec.discoverRelated else None, spec.relatedSeedCount)
@@ -95,14 +105,23 @@ def items_of(spec: RunSpec, landed: Landed, scraped_at: str, salary_stage: str =
         first = None
         if spec.maxResults > 0:
             items = items.persist()
-            (held if held is not None else []).append(items)
+            held.append(items)
             first = _among_first(items, spec.maxResults)
         items = P.with_details(items, HT.details(landed.details), spec.phoneExtractionMode, first)
     if salary_stage != "card":
         items = items.where(P.within_salary(_filters(spec)))
     if spec.scrapeCompany and landed.companies is not None:
         items = P.with_companies(items, HT.organisations(landed.companies))
-    return items.where(P.as_searched(asdict(spec), scraped_at)) if as_searched else items
+    return items if landed.own else items.where(P.as_searched(asdict(spec), scraped_at))
+
+
+def _in_order(items: DataFrame, spec: RunSpec, landed: Landed) -> DataFrame:
+    """The first maxResults rows, with emit_order: as scanned, or in the source's order for pages of other origin."""
+    order = P.source_order(asdict(spec) if not landed.own else {"sortBy": "relevant"})
+    first = C.first_rows(items, spec.maxResults, *order)
+    if len(order) == 1:
+        return first.withColumnRenamed("scan_ordinal", "emit_order")
+    return O.numbered(first.withColumn("emit_order", P.source_rank()), "emit_order", "emit_order").drop("scan_ordinal")
 
 
 def _shaped(rows: DataFrame, spec: RunSpec) -> DataFrame:
@@ -123,9 +142,11 @@ def run_once(spec: RunSpec, landed: Landed, scraped_at: str) -> RunResult:
     outcome = _outcome(landed, C.scan_cap(False, spec.maxResults))
     coverage = C.Coverage(True).after_scan(capped=outcome.any_capped, failed_pages=outcome.failed_queries)
     held: list[DataFrame] = []
-    items = items_of(spec, landed, scraped_at, held=held)
-    first = C.first_rows(items, spec.maxResults, "scan_ordinal")
-    rows = P.truncated(first, spec.descriptionMaxLength).withColumnRenamed("scan_ordinal", "emit_order")
+    items = items_of(spec, landed, scraped_at, held)
+    if not landed.own:
+        items = items.persist()
+        held.append(items)
+    rows = P.truncated(_in_order(items, spec, landed), spec.descriptionMaxLength)
     return RunResult(_shaped(rows, spec), coverage, {"failed_queries": outcome.failed_queries}, held=held)
 
 
@@ -141,11 +162,13 @@ def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataF
     coverage = known.after_scan(capped=outcome.any_capped, failed_pages=outcome.failed_queries)
     # The parsed pages feed both outputs; kept in executors' memory and disk, recomputed if lost.
     held: list[DataFrame] = []
-    items = items_of(spec, landed, scraped_at, held=held).persist()
+    items = items_of(spec, landed, scraped_at, held).persist()
     held.append(items)
     current = items.select(
         F.col("jobId").alias("job_id"), F.col("contentHash").alias("content_hash"),
         H.tracked_hash().alias("tracked_hash"), "scan_ordinal", *C.SNAPSHOT_FIELDS)
+    # The state's order grows by the rows of a run, not by the places that a scan has for them.
+    current = O.numbered(current, "scan_ordinal", "scan_ordinal")
     both = C.compared(current, prior, scraped_at, coverage)
     changes = C.changes_of(both)
     policy = C.emitted(changes, spec.outputMode, spec.emitUnchanged, spec.emitExpired)
@@ -155,18 +178,21 @@ def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataF
         found, F.col("jobId") == found["job_id"], "left").drop("job_id")
     if spec.skipReposts:
         active = active.where("repost_of_id is null")
-    active = C.first_rows(active, spec.maxResults, "scan_ordinal")
+    active = _in_order(active, spec, landed)
     again = F.col("repost_of_id").isNotNull()
     active = P.truncated(active, spec.descriptionMaxLength).withColumns({
         "changeType": F.col("change_type"), "firstSeenAt": F.col("first_seen_at"), "lastSeenAt": F.col("last_seen_at"),
         "previousSeenAt": F.col("previous_seen_at"), "isRepost": again, "repostOfId": F.col("repost_of_id"),
         "repostDetectedAt": F.when(again, F.lit(scraped_at)),
     })
-    active = active.withColumnRenamed("scan_ordinal", "emit_order").select("emit_order", *P.POSTING_FIELDS)
+    active = active.select("emit_order", *P.POSTING_FIELDS)
     gone = C.expired_stubs(policy, scraped_at).select(F.lit(-1).cast("long").alias("emit_order"), *P.POSTING_FIELDS)
     out = active.select(F.col("jobId").alias("job_id")) if commit_only_emitted else None
-    after = C.updated_state(both, prior, scraped_at, committed=out)
-    return RunResult(_shaped(gone.unionByName(active), spec), coverage, {"failed_queries": outcome.failed_queries}, changes, after, held)
+    counted = Observation()
+    kind = F.col("change_type")
+    watched = both.observe(counted, *(F.count_if(kind == k).alias(k) for k in C.KINDS))
+    after = C.updated_state(watched, prior, scraped_at, committed=out)
+    return RunResult(_shaped(gone.unionByName(active), spec), coverage, {"failed_queries": outcome.failed_queries}, changes, after, held, counted)
 
 
 def run_and_commit(spec: RunSpec, landed: Landed, scraped_at: str, store: state.Store, key: str, fingerprint: str, run_id: str,
@@ -188,17 +214,15 @@ def run_and_commit(spec: RunSpec, landed: Landed, scraped_at: str, store: state.
     result = None
     try:
         try:
-            prior, known = state.load(store, key, fingerprint)
+            found = state.load_with_migration(store, key, fingerprint)
         except Exception as error:
             return _without_state(spec, landed, scraped_at, out, kind, begin, error)
-        result = run_incremental(spec, landed, scraped_at, prior, known)
+        result = run_incremental(spec, landed, scraped_at, found.rows, found.coverage)
         emitted = _written(result.rows, out, kind)
-        if not state.holds(store, key, run_id):
-            raise RuntimeError("state lock lost during run")
-        state.commit(store, key, fingerprint, result.state, scraped_at)
-        counts = {r.change_type: r["count"] for r in result.changes.groupBy("change_type").count().collect()}
+        state.commit(store, key, fingerprint, result.state, scraped_at, run_id)
+        counts = result.changes_by_kind()
         skipped = 0 if spec.emitUnchanged and spec.outputMode == "all" else counts.get("UNCHANGED", 0)
-        return {"status": "ok", "coverage": result.coverage, "changes": counts,
+        return {"status": "ok", "coverage": result.coverage, "changes": counts, "migrated_from": found.migrated_from,
                 "summary": S.run_summary(emitted, skipped, int((time.monotonic() - begin) * 1000)),
                 "savings": S.savings(emitted, skipped, price)}
     except Exception as error:

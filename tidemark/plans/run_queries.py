@@ -12,6 +12,7 @@ from tidemark.functions import reference_data as ref
 from tidemark.functions import text as T
 from tidemark.operators import changes as C
 from tidemark.operators import html as H
+from tidemark.operators import ordering
 from tidemark.operators import postings as P
 from tidemark.operators import statistics as S
 from tidemark.plans import pipeline, sinks
@@ -19,7 +20,7 @@ from tidemark.plans.postings import NOW, RUNS_SQL, SQL, current_run, postings, p
 from tidemark.plans.registry import query
 from tidemark.plans.spec import RunSpec
 from tidemark.plans.text_queries import card_pages, detail_pages
-from tidemark.sources import landing, state
+from tidemark.sources import landing, migration, searched, state
 
 SCRAPED = "2024-01-01T00:00:00.000Z"
 #: The cards of card_pages in SQL: page, place in the page, key.
@@ -28,6 +29,27 @@ _CARDS_SQL = f"""{SQL}, cards AS (
 )"""
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all machines see, which goes when the JVM ends; in a local session without a shared one, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster see")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _written(rows: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """The rows, written and read again, so that nothing stays persisted for them."""
+    out = _folder(rows.sparkSession)
+    rows.write.parquet(out)
+    while held:
+        held.pop().unpersist()
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
+
+
 def _choice(key: Column, values: list[Column]) -> Column:
     """One of the values, by the key."""
     out = values[-1]
@@ -73,7 +95,9 @@ def enrichment_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Details are looked up for the first 200 postings of the scan."""
     run = RunSpec.from_dict({"keywords": "x", "enrichDetails": True, "maxResults": 200})
     landed = pipeline.Landed(card_pages(spark, sf_dir), detail_pages(spark, sf_dir))
-    return pipeline.items_of(run, landed, SCRAPED).select("sourceJobId", F.col("description").isNotNull().alias("enriched"))
+    held: list[DataFrame] = []
+    items = pipeline.items_of(run, landed, SCRAPED, held)
+    return _written(items.select("sourceJobId", F.col("description").isNotNull().alias("enriched")), held)
 
 
 @query(f"""WITH {_CARDS_SQL}, new AS (SELECT page * 100000 + pos AS emit_order, "sourceJobId", 'NEW' AS "changeType" FROM cards WHERE page % 3 = 0
@@ -86,8 +110,9 @@ def run_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 0})
     two = RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 50, "emitExpired": True})
     first = pipeline.run_incremental(one, pipeline.Landed(pages.where(part != 0)), SCRAPED, C.empty_state(spark), C.Coverage(False, "no_prior_state"))
-    second = pipeline.run_incremental(two, pipeline.Landed(pages.where(part != 1)), NOW, first.state, C.Coverage(True))
-    return second.rows.select("emit_order", "sourceJobId", "changeType")
+    known = _written(first.state, first.held)
+    second = pipeline.run_incremental(two, pipeline.Landed(pages.where(part != 1)), NOW, known, C.Coverage(True))
+    return _written(second.rows.select("emit_order", "sourceJobId", "changeType"), second.held)
 
 
 @query("""WITH r AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'max_results_cap' WHEN event_id % 5 = 0 THEN 'page_cap' WHEN event_id % 3 > 0 THEN 'failed_pages'
@@ -139,9 +164,6 @@ def unit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.unit_verdict(tests).select("km_votes", "mile_votes", "unit")
 
 
-
-
-
 @query(f"""WITH {SQL}, m AS (SELECT *, CASE k % 8 WHEN 0 THEN '€' WHEN 4 THEN 'kr ' ELSE '$' END AS sign FROM base)
 SELECT k, replace(title, '(', '[') || '_*' AS title, replace(replace(replace(title, '(', '\\['), '_', '\\_'), '*', '\\*') || '\\_\\*' AS title_md,
   'A &amp; &lt;' || company || '&gt;' AS company_slack,
@@ -260,16 +282,6 @@ def searched_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(P.as_searched(asked, "1997-06-01T00:00:00.000Z")).select("k")
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all machines see; in a local session without a shared one, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster see")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {RUNS_SQL} SELECT job_id, content_hash, tracked_hash, first_seen_at, last_seen_at, active, expired_at, title, ordinal FROM prior""")
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state under a lease: an empty version first, then all rows; what is loaded is what the pointer names."""
@@ -355,3 +367,93 @@ def detail_enrichment_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined("extractedUrls", "urls"), "seniorityLevel", "employmentType", "jobFunction", "industry", "applicantCount", "salaryMax", "salaryCurrency",
         "salaryPeriod", *(_or_dash(c, c) for c in ("recruiterName", "contactName", "recruiterTitle", "recruiterUrl", "recruiterPhoto")),
         "title", "company", "location", "postedAt", "applyType", "contentHash")
+
+
+@query(f"""WITH {_CARDS_SQL} SELECT page, "sourceJobId" FROM cards WHERE page % 4 IN (0, 1, 3) AND page % 5 IN (0, 1)
+  AND (page % 3 <> 2) AND substr("postedAt", 1, 10) >= '1996-03-02'""")
+def searched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remote postings of two levels since a day, from landed pages; files of searches that asked for others are not opened."""
+    pages = card_pages(spark, sf_dir)
+    page = F.col("query_ordinal")
+    asked = {c: F.lit(searched.ANY) for c in searched.ASKED} | {
+        "work_type": F.when(page % 4 == 0, "2").when(page % 4 == 1, "2,3").when(page % 4 == 2, "1").otherwise(searched.ANY),
+        "experience": F.when(page % 5 == 0, "2").when(page % 5 == 1, "2,4").otherwise("6"),
+        "company": F.when(page % 3 == 2, "17").otherwise(searched.ANY)}
+    root = _folder(spark)
+    searched.land(pages, pages.select("query_ordinal", *(c.alias(n) for n, c in asked.items())), root)
+    wanted = {"workType": ["remote"], "experienceLevel": ["entry", "mid_senior"], "companies": ["18"]}
+    found = searched.for_search(spark, root, wanted, "1996-04-01T00:00:00.000Z", 30 * 86_400)
+    cards = H.cards(found.select(page.cast("long").alias("page"), "html"))
+    return cards.where(F.col("postedAtIso") >= "1996-03-02").select("page", "sourceJobId")
+
+
+@query(f"""WITH {_CARDS_SQL}, f AS (SELECT "sourceJobId", substr("postedAt", 1, 10) AS day, page * 100000 + pos AS scan FROM cards
+  WHERE epoch(TIMESTAMP '1998-06-01 00:00:00') - epoch(substr("postedAt", 1, 10)::TIMESTAMP) <= 2592000
+    AND k % 6 IN (0, 1, 2, 5))
+SELECT row_number() OVER (ORDER BY day DESC, scan) - 1 AS emit_order, "sourceJobId" FROM f ORDER BY day DESC, scan LIMIT 120""")
+def run_over_other_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over pages that its own searches have not brought: by age and region, newest first; two of six places have no country, and pass."""
+    geo = [ref.GEO_IDS[c] for c in ("DE", "AT")]
+    run = RunSpec.from_dict({"keywords": "x", "datePosted": "last30d", "geoIds": geo, "maxResults": 120})
+    result = pipeline.run_once(run, pipeline.Landed(card_pages(spark, sf_dir), own=False), "1998-06-01T00:00:00.000Z")
+    return _written(result.rows.select("emit_order", "sourceJobId"), result.held)
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS number FROM orders")
+def scan_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders numbered from the last to the first."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (-F.col("o_orderkey")).alias("place"))
+    return ordering.numbered(rows, "place").select("o_orderkey", "number")
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(asked states, stored records) made of suppliers and the customers of their nations."""
+    key = F.col("s_suppkey")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name", F.concat(F.lit("feeds/"), "s_name").alias("state_key"),
+                                                       F.md5("s_name").alias("fingerprint"))
+    # A record holds what a key-value store holds of one search: here three entries for each supplier.
+    entry = lambda i: F.struct(
+        F.concat(F.lit(f"job-{2 - i}-"), key.cast("string")).alias("jobId"), F.md5(F.concat("s_name", F.lit(f"c{i}"))).alias("contentHash"),
+        F.md5(F.concat("s_name", F.lit(f"t{i}"))).alias("trackedHash"), F.lit("2023-12-01T00:00:00.000Z").alias("firstSeenAt"),
+        F.lit("2023-12-31T00:00:00.000Z").alias("lastSeenAt"), F.lit(i != 1).alias("active"),
+        F.lit("2023-12-31T00:00:00.000Z" if i == 1 else None).alias("expiredAt"),
+        F.when(F.lit(i > 0), F.struct(F.concat(F.lit(f"{i}"), key.cast("string")).alias("linkedinJobId"), F.col("s_name").alias("title"))).alias("snapshot"))
+    jobs = F.map_from_arrays(F.array(*(F.concat(F.lit(f"job-{2 - i}-"), key.cast("string")) for i in range(3))), F.array(*map(entry, range(3))))
+    one, two = migration.legacy_names(F.col("state_key"))
+    own = migration.scoped_name(F.col("state_key"), F.col("fingerprint"))
+    legacy = F.to_json(F.struct(F.when(key % 2 == 0, F.lit(1)).alias("version"), F.col("state_key").alias("stateKey"), jobs.alias("jobs")))
+    current = F.to_json(F.struct(F.lit(2).alias("version"), F.col("state_key").alias("stateKey"), F.when(key % 16 == 1, "other").otherwise(
+        F.col("fingerprint")).alias("queryFingerprint"), jobs.alias("jobs")))
+    odd = F.concat(F.lit('{"version": "1", "stateKey": "'), "state_key", F.lit('", "jobs": {}}'))
+    kept = {0: [(one, legacy)], 1: [(own, current)], 2: [(two, legacy)], 3: [(one, legacy), (two, legacy)], 4: [(one, odd), (two, legacy)],
+            5: [(own, F.lit("{not json")), (one, legacy)], 6: [(one, odd)], 7: []}
+    rows = F.array(*(F.struct(name.alias("name"), F.when(key % 8 == k, value).alias("value")) for k, found in kept.items() for name, value in found))
+    records = supplier.select(F.inline(F.filter(rows, lambda r: r["value"].isNotNull())))
+    return supplier, records
+
+
+_STATE_KEY = "'feeds/' || s_name"
+_OWN = f"'state__' || rtrim(replace(replace(to_base64(({_STATE_KEY})::BLOB), '+', '-'), '/', '_'), '=') || '__' || md5(s_name)"
+
+
+@query(f"""SELECT {_STATE_KEY} AS state_key, CASE WHEN s_suppkey % 8 = 1 AND s_suppkey % 16 <> 1 THEN {_OWN} ELSE '-' END AS adopted,
+  CASE WHEN s_suppkey % 16 = 9 THEN '-' WHEN s_suppkey % 8 IN (1, 5) THEN 'state_corruption_detected' ELSE 'no_prior_state' END AS reason,
+  CASE WHEN s_suppkey % 8 IN (0, 3) THEN 'state_' || {_STATE_KEY} WHEN s_suppkey % 8 IN (2, 4) THEN 'state/' || {_STATE_KEY} ELSE '-' END AS migrated_from
+FROM supplier""")
+def state_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the first layout are reported and not adopted, under either name; damaged ones stop the search for others."""
+    asked, records = _records(spark, sf_dir)
+    found = migration.openings(asked.select("state_key", "fingerprint"), records)
+    return found.select("state_key", _or_dash("adopted", "adopted"), _or_dash("reason", "reason"), _or_dash("migrated_from", "migrated_from"))
+
+
+@query(f"""WITH r AS (SELECT *, unnest(CASE s_suppkey % 8 WHEN 0 THEN ['state_' || {_STATE_KEY}] WHEN 1 THEN [{_OWN}] WHEN 2 THEN ['state/' || {_STATE_KEY}]
+    WHEN 3 THEN ['state_' || {_STATE_KEY}, 'state/' || {_STATE_KEY}] WHEN 4 THEN ['state/' || {_STATE_KEY}] WHEN 5 THEN ['state_' || {_STATE_KEY}] ELSE [] END) AS name FROM supplier)
+SELECT name, {_STATE_KEY} AS state_key, 'job-' || (2 - i) || '-' || s_suppkey AS job_id, md5(s_name || 'c' || i) AS content_hash, i <> 1 AS active,
+  CASE WHEN i = 1 THEN '2023-12-31T00:00:00.000Z' ELSE '-' END AS expired_at, CASE WHEN i > 0 THEN i || s_suppkey::VARCHAR ELSE '-' END AS "sourceJobId",
+  CASE WHEN i > 0 THEN s_name ELSE '-' END AS title, i AS ordinal FROM r, (SELECT unnest(range(3)) AS i)""")
+def state_record_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of stored records as a state table, in the order of the record."""
+    found = migration.entries(_records(spark, sf_dir)[1])
+    return found.select("name", "state_key", "job_id", "content_hash", "active", _or_dash("expired_at", "expired_at"),
+                        _or_dash("snapshot.sourceJobId", "sourceJobId"), _or_dash("snapshot.title", "title"), "ordinal")
