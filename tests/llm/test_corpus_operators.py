@@ -35,7 +35,7 @@ def test_words_are_those_of_split(raw):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_operators_equal_sql(spark, small, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     found = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in found.description]
@@ -314,6 +314,18 @@ def test_levels_of_a_model(known, asked, shift):
     assert found.tolist() == [known.get(a, 0) for a in asked]
 
 
+def test_texts_that_ask_for_what_only_held_out_rows_have(spark):
+    """All n-grams of the corpus come from held-out rows, so every level is empty but for what no text asks."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5 == 1][:5]
+    docs = spark.createDataFrame([(i, f"only here {i} and nowhere else") for i in held], "doc_id long, text string")
+    model = lm_score.train_model(docs)
+    got = lm_score.score_with(docs, model).collect()
+    assert len(got) == 5 and all(r.n_known == 0 and r.train_tokens == 0 for r in got)
+    one = spark.createDataFrame([(held[0], "seen by nobody"), (0 if 0 not in held else 2, "known words")], "doc_id long, text string")
+    mixed = lm_score.train_model(docs.union(one))
+    assert lm_score.score_with(docs, mixed).count() == 5
+
+
 def exact_scores(rows):
     """Scores in plain numbers, with smoothing of its own: masses by bisection over the counts themselves."""
     texts = [(i, (t or "").encode().lower().split() + [b"\n"]) for i, t in rows]
