@@ -145,6 +145,32 @@ def test_html_wrappers_with_unlikely_names(page, blocks):
     assert html_text.main_text(page).split("\n") == blocks
 
 
+LINKS = "<ul><li><a href=a>One thing</a></li><li><a href=b>Another thing</a></li></ul>"
+
+
+@pytest.mark.parametrize(("page", "blocks"), [
+    (f"<body><form id=aspnetForm><input name=q><label>Search</label><div class=content><h1>T</h1>{THREE}</div></form></body>", ["T", *[PARA] * 3]),
+    (f"<body><form id=f><select><option>a</select><article>{THREE}</article></form></body>", [PARA] * 3),
+    (f"<body><article>{TEN}<form><p>Write to us, now</p><textarea>x</textarea></form></article></body>", [PARA] * 10),
+    ("<body><form><p>Name</p><input></form></body>", [""]),
+    (f"<body><div role=form>{TEN}</div></body>", [PARA] * 10),
+    *((f"<body><article>{TEN}<section {name}><h2>Part</h2><p>{PARA}</p></section></article></body>", [*[PARA] * 10, "Part", PARA]) for name in (
+        "class=legal", "id=related-work", "id=social-history", "class=side-by-side", "class=ad-hoc-note", "class=widget-theory", "id=header-files")),
+    (f"<body><main><div class='elementor-widget elementor-widget-heading'><h2>Head</h2></div><div class='elementor-widget elementor-widget-text'>{THREE}</div></main></body>",
+     ["Head", *[PARA] * 3]),
+    *((f"<body><article>{TEN}<div class={name}><h3>See also</h3>{LINKS}</div></article></body>", [PARA] * 10) for name in ("related", "social", "side", "legal")),
+    *((f"<body><article>{TEN}<div class={name}><p>Buy, read or write this</p></div></article></body>", [PARA] * 10) for name in (
+        "ad", "newsletter", "cookie-notice", "comments", "comment-list", "share", "sponsored", "entry-footer", "'x sidebar'")),
+    (f"<body><div id=wrap><div class=top>Site Name | Home | Contact</div>{THREE}<div class=bottom>Copyright 2024 Acme. All rights reserved</div></div></body>", [PARA] * 3),
+    (f"<body><div>Site | Home | Help</div>{THREE}<div>© 2024 Acme</div></body>", [PARA] * 3),
+    (f"<body><div id=wrap><div>A, b | c</div>{THREE}<div>The end.</div></div></body>", ["A, b | c", *[PARA] * 3, "The end."]),
+    (f"<body><div id=wrap>{THREE}<div>a | b | c</div><p>{PARA}</p></div></body>", [*[PARA] * 3, "a | b | c", PARA]),
+    (f"<body><div id=wrap><div><p>Copyright law, © and more</p></div>{THREE}</div></body>", ["Copyright law, © and more", *[PARA] * 3]),
+])
+def test_html_forms_parts_and_bars(page, blocks):
+    assert html_text.main_text(page).split("\n") == blocks
+
+
 def test_html_pages(spark, small):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     for r in registry.op10_html_extraction(spark, small).collect():

@@ -48,9 +48,9 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 #: Elements without main text.
-DROPPED = RAW | frozenset("head nav aside footer form button select input menu dialog annotation annotation-xml".split())
+DROPPED = RAW | frozenset("head nav aside footer button select input menu dialog annotation annotation-xml".split())
 DROPPED_ROLES = frozenset(
-    "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split()
+    "navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split()
 )
 #: Parts of class and id values.
 UNLIKELY = re.compile(
@@ -66,6 +66,18 @@ NEVER_TEXT = re.compile(
     r"|(?:^|[\s_-])(?:nav|navbar|navigation|menu|share|sharing|related)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Whole names of parts of an article that are not its text; other unlikely names there count only on lists of links.
+NEVER_INSIDE = re.compile(
+    r"(?:^|\s)(?:(?:article|entry|post|page|site)[-_])?(?:ads?|adsbygoogle|ad[-_](?:banner|box|container|slot|unit|wrapper)|advert\w*|sponsor\w*|"
+    r"promo\w*|banner|cookies?(?:[-_](?:banner|bar|consent|notice))?|consent|gdpr|popup|modal|overlay|newsletter(?:[-_]\w+)*|subscribe(?:[-_]\w+)*|"
+    r"signup|login|comments?(?:[-_]?(?:area|list|section))?|commentlist|disqus(?:_thread)?|respond|replies|sidebar|menu|navbar|nav|navigation|"
+    r"breadcrumbs?|pagination|pager|footer|masthead|toolbar|share(?:[-_](?:bar|buttons?|links|tools))?|sharing|skip(?:[-_]links?)?|copyright|teaser|"
+    r"notice|notification)(?:$|\s)",
+    re.I,
+)
+#: What a bar above or below a text says where no element tells.
+BAR = re.compile(r"[|»·•›].*[|»·•›]|©|\(c\)\s*(?:19|20)\d\d|\bcopyright\b|all rights reserved", re.I | re.S)
+BAR_SIZE = 300
 #: Where words of a name in camel case meet.
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post|story|body|text|page)(?:$|[\s_-]|\d)", re.I)
@@ -95,7 +107,7 @@ LEVELS = 8
 class Node:
     """An element: its children are nodes and strings, in order."""
 
-    __slots__ = ("name", "words", "parent", "children", "dropped", "doubtful", "banner", "inside", "holds", "above",
+    __slots__ = ("name", "words", "parent", "children", "dropped", "doubtful", "linky", "form", "banner", "inside", "holds", "above",
                  "points", "size", "linked")
 
     def __init__(self, name: str, parent: Node | None, words: str = "", dropped: bool = False, doubtful: bool = False) -> None:
@@ -103,13 +115,14 @@ class Node:
         self.children: list[Node | str] = []
         # Inside of an article or main element; holding one; the nearest element above that takes points.
         self.inside = name in WHOLE or (parent is not None and parent.inside)
-        self.banner = self.holds = False
+        self.form = name == "form" or (parent is not None and parent.form)
+        self.banner = self.holds = self.linky = False
         self.above: Node | None = None
         self.points, self.size, self.linked = 0.0, 0, 0
 
 
 def _element(name: str, raw: str, parent: Node) -> Node:
-    words, gone = "", name in DROPPED
+    words, role, gone = "", "", name in DROPPED or (parent.form and name in ("label", "legend"))
     if raw and not raw.isspace():
         attrs = {}
         for key, a, b, c in ATTRIBUTE.findall(raw):
@@ -117,14 +130,19 @@ def _element(name: str, raw: str, parent: Node) -> Node:
         words = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         if words:
             words = CAMEL.sub("-", LAYOUT.sub("", words).strip())
+        role = attrs.get("role", "").lower()
         gone = (
             gone
-            or attrs.get("role", "").lower() in DROPPED_ROLES
+            or role in DROPPED_ROLES
             or "hidden" in attrs
             or attrs.get("aria-hidden", "").lower() == "true"
             or ("style" in attrs and re.search(r"display\s*:\s*none", attrs["style"], re.I) is not None)
         )
-    node = Node(name, parent, words, gone, name not in ("html", "body", *WHOLE) and _unlikely(words))
+    unlikely = name not in ("html", "body", *WHOLE) and _unlikely(words)
+    # In an article, a word of a name may be its subject.
+    within = unlikely and parent.inside and not NEVER_INSIDE.search(words)
+    node = Node(name, parent, words, gone, name == "form" or role == "form" or (unlikely and not within))
+    node.linky = within
     # A header is the page's unless it is part of an article or main element.
     if name == "header" and not node.inside and not gone:
         node.banner = node.dropped = True
@@ -259,7 +277,7 @@ def _settle(root: Node) -> None:
         home = max(in_whole, in_likely) if comments else in_whole
         rest = home <= (0.0 if comments else SIBLING_SHARE * total[area])
         # A notice on a page of a few words is not its text.
-        most = total[area] > total[root] / 2 and (total[area] >= SIBLING_LEAST or total[area] == total[root])
+        most = total[area] > total[root] / 2 and (total[area] >= SIBLING_LEAST or (total[area] == total[root] and area.name != "form"))
         area.dropped = not (area in mains or (area in articles and (rest or most)) or (most and rest))
 
 
@@ -281,7 +299,13 @@ def _measure(root: Node) -> list[Node]:
                 node.linked += child.linked
         if node.name == "a":
             node.linked = node.size
-    return order
+        # The sizes above it are still to be summed, so what goes here does not count in them.
+        node.dropped = node.dropped or (node.linky and _density(node) >= LINKY)
+    gone: set[Node] = set()
+    for node in order:
+        if node.dropped or node.parent in gone:
+            gone.add(node)
+    return [node for node in order if node not in gone] if gone else order
 
 
 def _takes_points(node: Node) -> bool:
@@ -348,6 +372,8 @@ def _best(root: Node) -> list[Node]:
             best = up
         up = up.parent
     # A container that only wraps the best one's equals, such as several articles, is no better.
+    if not best.inside:
+        _drop_bars(best)
     if best.parent is None or best.name == "body":
         return [best]
     kept = []
@@ -364,6 +390,33 @@ def _best(root: Node) -> list[Node]:
     return kept
 
 
+def _drop_bars(top: Node) -> None:
+    """Drops bars of links, names or rights before the first and after the last text of a container that is no article."""
+    for children in (top.children, reversed(top.children)):
+        for child in children:
+            if isinstance(child, str):
+                if child.strip():
+                    break
+            elif child.size and not child.dropped:
+                if child.name not in BLOCK or child.name == "p" or child.name in HEADINGS or _has_prose(child):
+                    break
+                text = _squeezed(list(_all_text(child)))
+                if len(text) > BAR_SIZE or not (BAR.search(text) or _density(child) >= LINKY):
+                    break
+                child.dropped = True
+
+
+def _all_text(node: Node) -> Iterator[str]:
+    stack: list[Node | str] = [node]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, str):
+            yield node
+        elif not node.dropped:
+            yield " "
+            stack += reversed(node.children)
+
+
 def _has_prose(node: Node) -> bool:
     """Whether the node is or has a paragraph, heading, list or table with text."""
     stack = [node]
