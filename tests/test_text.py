@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.functions import urls
 
 
 def value(spark, function, *args):
@@ -109,3 +110,35 @@ def test_phones_in_one_pass_equal_one_search_for_each_prefix(spark):
     wrong = [(t, found[t], plain_phones(t)) for t in texts if sorted(found[t]) != plain_phones(t)]
     assert not wrong, wrong[:3]
     assert sum(map(bool, found.values())) > 500
+
+
+@pytest.mark.parametrize(("raw", "found"), [
+    ("Tue, 05 Mar 2024 10:00:00 GMT", "2024-03-05T10:00:00.000Z"), ("Mar 5, 2024 10:00 GMT+2", "2024-03-05T08:00:00.000Z"), ("2024/3/5", "2024-03-05T00:00:00.000Z"),
+    ("5 March 2024", "2024-03-05T00:00:00.000Z"), ("march 5 2024", "2024-03-05T00:00:00.000Z"), ("3/5/2024 12:30 AM", "2024-03-05T00:30:00.000Z"),
+    ("3/5/99", "1999-03-05T00:00:00.000Z"), ("5-Mar-24 12:00 PM PST", "2024-03-05T20:00:00.000Z"), ("Sept 5, 2024 at 7:05:09.5 -03:30", "2024-09-05T10:35:09.500Z"),
+    ("Tue Mar 05 2024 10:00:00 GMT+0200 (CEST)", "2024-03-05T08:00:00.000Z"), ("Feb 31 2024", "2024-03-02T00:00:00.000Z"), ("Mon. Jan. 1, 2024", "2024-01-01T00:00:00.000Z"),
+    ("2024-03-05", "2024-03-05T00:00:00.000Z"), ("2024-03-05T10:00:00+02:00", "2024-03-05T08:00:00.000Z"),
+    ("Mar 2024", None), ("soon", None), ("", None), ("32 Mar 2024", None), ("13/5/2024", None), ("0/5/2024", None), ("Mar 5, 2024 13:00 PM", None), ("Mar 5, 2024 10:60", None),
+    ("Mar 5, 2024 extra", None), ("Foo 5, 2024", None), ("5/6/7/8", None), ("2024/3/5/1", None), ("Mar 5, 2024 +99", None), (None, None),
+])
+def test_dates_in_other_forms(spark, raw, found):
+    row = spark.createDataFrame([(raw,)], "x string").select(T.date_of(F.col("x")).alias("y"))
+    assert row.first().y == found
+
+
+def test_punycode_equals_the_codec(spark):
+    draw = random.Random(11)
+    pool = "abz09-" + "äößéñ" + "жшя" + "例日本" + "ليه" + "😀𝒳"
+    labels = sorted({"".join(draw.choice(pool) for _ in range(draw.randint(1, 30))) for _ in range(400)} - {""})
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select("x", urls.punycode(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in got if any(ord(c) > 127 for c in r.x)} == {x: x.encode("punycode").decode() for x in labels if any(ord(c) > 127 for c in x)}
+
+
+@pytest.mark.parametrize(("raw", "found"), [
+    ("http://A.example/../../b/./c/..", "http://a.example/b"), ("http://a.example/a/%2E%2e/b", "http://a.example/b"), ("http://a.example/.a/..b/...", "http://a.example/.a/..b/..."),
+    ("http://a.example/a\\b c`{}", "http://a.example/a/b%20c%60%7B%7D"), ("https://a.example:443?x='\"<", "https://a.example/?x=%27%22%3C"), ("http://a.example:/", "http://a.example"),
+    ("https://u:P@A.example/", "https://u:P@a.example"), ("http://faß.example/%zz", "http://xn--fa-hia.example/%zz"), ("ftp://A.example/", "ftp://A.example"), ("", ""),
+    ("http://" + "ä" * 50 + ".example/" + "é" * 3_000, "http://" + "xn--" + ("ä" * 50).encode("punycode").decode() + ".example/" + "%C3%A9" * 3_000),
+])
+def test_urls_as_browsers_write_them(spark, raw, found):
+    assert spark.createDataFrame([(raw,)], "x string").select(urls.normal_url(F.col("x")).alias("y")).first().y == found

@@ -8,7 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import reference_data as ref
+from tidemark.functions.dates import date_of, iso_date  # noqa: F401
 from tidemark.functions.patterns import S, WS, B, all_matches, captured, empty_strings, filled, let, literals, squeezed, trimmed
+from tidemark.functions.urls import ascii_host, normal_url
 
 # The patterns that define what is extracted.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?(?:\.[a-zA-Z]{2,})+"
@@ -135,20 +137,9 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def normal_url(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, no fragment, no slash at the end.
-
-    Paths are left as they are: nothing is percent-encoded, and hosts keep their own script.
-    """
-    head = F.lower(F.regexp_extract(url, r"(?i)^(https?://(?:[^/?#@]*@)?[^/?#]*)", 1))
-    tail = F.regexp_replace(F.substring(url, F.length(head) + 1, F.length(url)), r"(?s)#.*\z", "")
-    head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80\z", "$1"), r"^(https://.*):443\z", "$1")
-    return F.regexp_replace(F.concat(head, F.when(F.startswith(tail, F.lit("?")), F.lit("/")).otherwise(""), tail), r"/+\z", "")
-
-
 def _urls_in_order(text: Column, exclude: tuple[str, ...]) -> Column:
     found = F.transform(all_matches(text, URL), lambda u: F.regexp_replace(u, r"[.,;:!?)\]]+\z", ""))
-    pairs = F.transform(found, lambda u: F.struct(url_host(u).alias("host"), normal_url(u).alias("url")))
+    pairs = F.transform(found, lambda u: F.struct(ascii_host(url_host(u)).alias("host"), normal_url(u).alias("url")))
 
     def wanted(p: Column) -> Column:
         own = F.array_contains(literals(*(h.lower() for h in exclude)), p["host"]) if exclude else F.lit(False)
@@ -363,12 +354,6 @@ def country_hint(location: Column) -> Column:
     )
 
 
-def iso_date(raw: Column) -> Column:
-    """An ISO date or time as UTC with milliseconds, null where it is none."""
-    stamp = F.when(F.regexp_like(raw, F.lit(r"^[0-9]{4}-[0-9]{2}(?:-[0-9]{2}.*)?\z")), F.try_to_timestamp(raw))
-    return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-
-
 def company_segment(url: Column) -> Column:
     """The part after /company/, decoded; a plus stays a plus."""
     segment = captured(url, r"(?i)/company/([^/?#]+)")

@@ -57,7 +57,7 @@ def as_postings(df: DataFrame, known: dict[str, Column], *extra: str) -> DataFra
 def transform_cards(cards: DataFrame, scraped_at: str, *extra: str, source: str = H.SOURCE_NAME) -> DataFrame:
     """Cards (with countryHint) as postings."""
     c = F.col
-    posted = T.iso_date(c("postedAtIso"))
+    posted = T.date_of(c("postedAtIso"))
     none = F.lit(None).cast("string")
     return as_postings(cards, {
         "scrapedAt": F.lit(scraped_at), "portalUrl": F.lit(PORTAL_URL), "source": F.lit(SOURCE),

@@ -6,19 +6,35 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import ranks as R
+from tidemark.operators.ordering import numbered
+from tidemark.sources.shared import written
 
 ERROR_CLASSES = ("rate_limit", "server_error", "timeout", "network", "parse_fail", "other")
 MAX_NEW_FIELDS = 500
 EARTH_KM = 6371.0
 
 
-def nearest_rank(value: str | Column, prefix: str = "") -> list[Column]:
-    """avg (rounded), p50, p95 (nearest rank), min and max of a column; zeros without values."""
-    v = F.col(value) if isinstance(value, str) else value
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by {value})")
-    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(prefix + name)
-    return [zero(F.floor(F.avg(v) + 0.5).cast("double"), "avg"), zero(rank(0.5).cast("double"), "p50"),
-            zero(rank(0.95).cast("double"), "p95"), zero(F.min(v).cast("double"), "min"), zero(F.max(v).cast("double"), "max")]
+def nearest_rank(rows: DataFrame, value: str, *keys: str, prefix: str = "") -> DataFrame:
+    """(keys, avg (rounded), p50, p95 (nearest rank), min and max) of the values of each group; zeros without values.
+
+    Of groups of a bounded number of values Spark sorts them; of others the ranks are found by narrowing.
+    """
+    v = F.col(value)
+    sums = [F.floor(F.avg(v) + 0.5).cast("double").alias("avg"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max")]
+    shares = {"p50": 0.5, "p95": 0.95}
+    most = rows.groupBy(*keys).agg(F.count(v).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= R.FEW:
+        out = rows.groupBy(*keys).agg(*sums, *(F.expr(f"percentile_disc({p}) within group (order by `{value}`)").alias(name) for name, p in shares.items()))
+    else:
+        found = R.exact_ranks(rows, value, {name: R.nearest(p, F.col("n")) for name, p in shares.items()}, *keys)
+        other = rows.groupBy(*keys).agg(*sums).withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = found.join(other, same)
+    names = ("avg", "p50", "p95", "min", "max")
+    return out.select(*keys, *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(prefix + n) for n in names))
 
 
 def batch_statistics(outcomes: DataFrame, *keys: str) -> DataFrame:
@@ -27,12 +43,16 @@ def batch_statistics(outcomes: DataFrame, *keys: str) -> DataFrame:
     outcomes: status (success, empty, error), error_class, fetch_ms.
     """
     ok = outcomes.withColumn("_ms", F.when(F.col("status") != "error", F.col("fetch_ms")))
-    return ok.groupBy(*keys).agg(
+    counts = ok.groupBy(*keys).agg(
         F.count("*").alias("total"),
         *(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("success", "empty", "error")),
         *(F.count_if((F.col("status") == "error") & (F.col("error_class") == c)).alias(c) for c in ERROR_CLASSES),
-        *nearest_rank("_ms", "fetch_"),
     )
+    times = nearest_rank(ok, "_ms", *keys, prefix="fetch_").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return counts.join(times, same).drop(*(f"_{k}" for k in keys))
 
 
 def with_error_class(log: DataFrame, message: str = "message") -> DataFrame:
@@ -154,16 +174,24 @@ def slope(x: str, y: str) -> Column:
 
 
 def mean_step_slope(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """Mean of the slopes between neighbours in the order of x, by keys (few points each: a sweep's)."""
-    w = Window.partitionBy(*keys).orderBy(x) if keys else Window.partitionBy(F.lit(0)).orderBy(x)
-    step = (F.col(y) - F.lag(y).over(w)) / F.nullif(F.col(x) - F.lag(x).over(w), F.lit(0))
-    return points.withColumn("_step", step).groupBy(*keys).agg(F.avg("_step").alias("mean_step_slope"))
+    """Mean of the slopes between neighbours in the order of x: by keys (few points each: a sweep's), or over all points.
 
-
-def floor_rank(value: str, share: float) -> Column:
-    """The value at index floor(n * share) of the sorted values of a group that is small by nature (a sweep)."""
-    rows = F.array_sort(F.collect_list(value))
-    return F.element_at(rows, F.floor(F.size(rows) * F.lit(share)).cast("int") + 1)
+    Without keys points are numbered in order and meet their neighbours by number, so there may be any number of them.
+    """
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(x)
+        steps = points.select(*keys, (F.col(x) - F.lag(x).over(w)).alias("_dx"), (F.col(y) - F.lag(y).over(w)).alias("_dy"))
+    else:
+        # Neighbours must be the same points in both sides, so the numbers are written once.
+        placed = written(numbered(points.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null"), "_x", "_n"))
+        before = placed.select((F.col("_n") + 1).alias("_n"), F.col("_x").alias("_px"), F.col("_y").alias("_py"))
+        steps = placed.join(before, "_n").select((F.col("_x") - F.col("_px")).alias("_dx"), (F.col("_y") - F.col("_py")).alias("_dy"))
+    return steps.groupBy(*keys).agg(F.avg(F.col("_dy") / F.nullif("_dx", F.lit(0))).alias("mean_step_slope"))
+
+
+def floor_rank(points: DataFrame, value: str, share: float, *keys: str, name: str = "value") -> DataFrame:
+    """(keys, name): the value at index floor(n * share) of the sorted values of each group."""
+    return R.exact_ranks(points, value, {name: R.floored(share, F.col("n"))}, *keys)
 
 
 def unit_verdict(tests: DataFrame, km: str = "km_ok", miles: str = "miles_ok", slope_col: str = "slope") -> DataFrame:

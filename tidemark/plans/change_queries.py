@@ -234,7 +234,7 @@ def schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, floor(avg(value) + 0.5)::DOUBLE AS avg, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95,
   min(value) AS min, max(value) AS max FROM events GROUP BY event_type""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*S.nearest_rank("value"))
+    return S.nearest_rank(table(spark, sf_dir, "events"), "value", "event_type")
 
 
 @query("""WITH o AS (SELECT event_type, value, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'empty' ELSE 'success' END AS status,
@@ -295,9 +295,9 @@ SELECT a.event_type, round(a.slope, 6) AS slope, round(b.mean_step_slope, 6) AS
   JOIN (SELECT event_type, avg(step) AS mean_step_slope FROM t GROUP BY event_type) b USING (event_type)""")
 def sweep_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sweep = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 50).alias("x")).agg(F.avg("value").alias("v"))
-    whole = sweep.groupBy("event_type").agg(S.slope("x", "v").alias("slope"), S.floor_rank("v", 0.75).alias("p75"))
+    whole = sweep.groupBy("event_type").agg(S.slope("x", "v").alias("slope"))
     steps = S.mean_step_slope(sweep, "x", "v", "event_type")
-    return whole.join(steps, "event_type").select(
+    return whole.join(steps, "event_type").join(S.floor_rank(sweep, "v", 0.75, "event_type", name="p75"), "event_type").select(
         "event_type", *(F.round(c, 6).alias(c) for c in ("slope", "mean_step_slope", "p75")))
 
 

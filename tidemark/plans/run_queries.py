@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +18,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.spec import RunSpec
 from tidemark.plans.text_queries import card_pages, detail_pages
 from tidemark.sources import landing, migration, searched, state
+from tidemark.sources.shared import new_folder, written
 
 SCRAPED = "2024-01-01T00:00:00.000Z"
 #: The cards of card_pages in SQL: page, place in the page, key.
@@ -29,27 +27,6 @@ _CARDS_SQL = f"""{SQL}, cards AS (
 )"""
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all machines see, which goes when the JVM ends; in a local session without a shared one, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster see")
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
-def _written(rows: DataFrame, held: list[DataFrame]) -> DataFrame:
-    """The rows, written and read again, so that nothing stays persisted for them."""
-    out = _folder(rows.sparkSession)
-    rows.write.parquet(out)
-    while held:
-        held.pop().unpersist()
-    return rows.sparkSession.read.schema(rows.schema).parquet(out)
-
-
 def _choice(key: Column, values: list[Column]) -> Column:
     """One of the values, by the key."""
     out = values[-1]
@@ -97,7 +74,7 @@ def enrichment_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = pipeline.Landed(card_pages(spark, sf_dir), detail_pages(spark, sf_dir))
     held: list[DataFrame] = []
     items = pipeline.items_of(run, landed, SCRAPED, held)
-    return _written(items.select("sourceJobId", F.col("description").isNotNull().alias("enriched")), held)
+    return written(items.select("sourceJobId", F.col("description").isNotNull().alias("enriched")), held)
 
 
 @query(f"""WITH {_CARDS_SQL}, new AS (SELECT page * 100000 + pos AS emit_order, "sourceJobId", 'NEW' AS "changeType" FROM cards WHERE page % 3 = 0
@@ -110,9 +87,9 @@ def run_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 0})
     two = RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 50, "emitExpired": True})
     first = pipeline.run_incremental(one, pipeline.Landed(pages.where(part != 0)), SCRAPED, C.empty_state(spark), C.Coverage(False, "no_prior_state"))
-    known = _written(first.state, first.held)
+    known = written(first.state, first.held)
     second = pipeline.run_incremental(two, pipeline.Landed(pages.where(part != 1)), NOW, known, C.Coverage(True))
-    return _written(second.rows.select("emit_order", "sourceJobId", "changeType"), second.held)
+    return written(second.rows.select("emit_order", "sourceJobId", "changeType"), second.held)
 
 
 @query("""WITH r AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'max_results_cap' WHEN event_id % 5 = 0 THEN 'page_cap' WHEN event_id % 3 > 0 THEN 'failed_pages'
@@ -285,7 +262,7 @@ def searched_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {RUNS_SQL} SELECT job_id, content_hash, tracked_hash, first_seen_at, last_seen_at, active, expired_at, title, ordinal FROM prior""")
 def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state under a lease: an empty version first, then all rows; what is loaded is what the pointer names."""
-    store = state.Store(spark, _folder(spark))
+    store = state.Store(spark, new_folder(spark))
     state.acquire(store, "feeds", "run")
     state.commit(store, "feeds", "f", C.empty_state(spark), NOW)
     state.commit(store, "feeds", "f", prior_state(spark, sf_dir), NOW)
@@ -302,7 +279,7 @@ def sink_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings written as JSON, nulls left out, and read again; arrays stay arrays."""
     known = {c: F.col(c) for c in ("sourceJobId", "title", "description", "salaryMin")} | {"skills": F.array(F.lit("SQL"), F.lit("Spark"))}
     rows = P.as_postings(postings(spark, sf_dir), known)
-    out = _folder(spark)
+    out = new_folder(spark)
     sinks.write(rows, out, "json")
     found = spark.read.schema(rows.schema).json(out)
     return found.select("sourceJobId", "title", _or_dash("description", "description"), F.coalesce("salaryMin", F.lit(-1)).alias("salaryMin"),
@@ -379,7 +356,7 @@ def searched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "work_type": F.when(page % 4 == 0, "2").when(page % 4 == 1, "2,3").when(page % 4 == 2, "1").otherwise(searched.ANY),
         "experience": F.when(page % 5 == 0, "2").when(page % 5 == 1, "2,4").otherwise("6"),
         "company": F.when(page % 3 == 2, "17").otherwise(searched.ANY)}
-    root = _folder(spark)
+    root = new_folder(spark)
     searched.land(pages, pages.select("query_ordinal", *(c.alias(n) for n, c in asked.items())), root)
     wanted = {"workType": ["remote"], "experienceLevel": ["entry", "mid_senior"], "companies": ["18"]}
     found = searched.for_search(spark, root, wanted, "1996-04-01T00:00:00.000Z", 30 * 86_400)
@@ -396,7 +373,7 @@ def run_over_other_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     geo = [ref.GEO_IDS[c] for c in ("DE", "AT")]
     run = RunSpec.from_dict({"keywords": "x", "datePosted": "last30d", "geoIds": geo, "maxResults": 120})
     result = pipeline.run_once(run, pipeline.Landed(card_pages(spark, sf_dir), own=False), "1998-06-01T00:00:00.000Z")
-    return _written(result.rows.select("emit_order", "sourceJobId"), result.held)
+    return written(result.rows.select("emit_order", "sourceJobId"), result.held)
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) - 1 AS number FROM orders")
@@ -457,3 +434,41 @@ def state_record_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = migration.entries(_records(spark, sf_dir)[1])
     return found.select("name", "state_key", "job_id", "content_hash", "active", _or_dash("expired_at", "expired_at"),
                         _or_dash("snapshot.sourceJobId", "sourceJobId"), _or_dash("snapshot.title", "title"), "ordinal")
+
+
+#: URLs in texts and as browsers write them; {k} is a key.
+_WRITTEN_URLS = (
+    ("HTTPS://Bücher.Example:443/Straße/{k}?q=ä#teil", "https://xn--bcher-kva.example/Stra%C3%9Fe/{k}?q=%C3%A4"),
+    ("http://пример.рф/путь/{k}", "http://xn--e1afmkfd.xn--p1ai/%D0%BF%D1%83%D1%82%D1%8C/{k}"),
+    ("http://a.example/x/../y/./z/../{k}", "http://a.example/y/{k}"), ("http://例え。jp:80/{k}/é%20é", "http://xn--r8jz45g.jp/{k}/%C3%A9%20%C3%A9"),
+    ("https://A.example:8443/{{{k}}}|b", "https://a.example:8443/%7B{k}%7D|b"), ("http://b.example/%2e%2E/{k}/.?x=😀", "http://b.example/{k}/?x=%F0%9F%98%80"),
+    ("http://pročprostě.example?k={k}", "http://xn--proprost-mbb9l.example/?k={k}"), ("https://c.example\\d\\{k}/", "https://c.example/d/{k}"),
+)
+
+
+@query("SELECT o_orderkey, replace(url, '{k}', o_orderkey::VARCHAR) AS url FROM orders JOIN (VALUES "
+       + ", ".join(f"({i}, '{url}')" for i, (_, url) in enumerate(_WRITTEN_URLS)).replace("{{", "{").replace("}}", "}")
+       + f") AS t(i, url) ON o_orderkey % {len(_WRITTEN_URLS)} = i")
+def written_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts and paths in other scripts, dot segments, default ports, and characters that are not written plainly."""
+    key = F.col("o_orderkey")
+    raw = _choice(key, [F.lit(u.replace("{{", "{").replace("}}", "}")) for u, _ in _WRITTEN_URLS])
+    text = F.concat(F.lit("see "), F.replace(raw, F.lit("{k}"), key.cast("string")), F.lit(" ."))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return rows.select("o_orderkey", F.array_join(T.urls(F.col("text")), " ").alias("url"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 10 WHEN 0 THEN day || 'T08:00:05.000Z' WHEN 1 THEN day || 'T08:00:00.000Z' WHEN 2 THEN day || 'T00:00:00.000Z'
+  WHEN 3 THEN day || 'T00:00:00.000Z' WHEN 4 THEN day || 'T13:05:00.000Z' WHEN 5 THEN day || 'T11:30:00.000Z'
+  WHEN 6 THEN strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') || 'T04:59:00.000Z' ELSE '-' END AS posted
+FROM (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)""")
+def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in seven forms that are not ISO, and three that are none."""
+    d = F.col("o_orderdate")
+    of = lambda pattern, end="": F.concat(F.date_format(d, pattern), F.lit(end))
+    raw = _choice(F.col("o_orderkey"), [
+        of("EEE, dd MMM yyyy", " 10:00:05 +0200"), of("MMMM d, yyyy", " 10:00 GMT+2"), of("yyyy/M/d"), of("d MMM yyyy"), of("MM/dd/yyyy", " 1:05 PM"),
+        of("EEE MMM dd yyyy", " 10:00:00 GMT-0130 (some time)"), of("dd-MMM-yy", " 23:59 EST"), F.concat(F.lit("on "), of("MMMM d")), F.concat(F.lit("13/"), of("dd/yyyy")),
+        of("MMM d, yyyy", " 25:00")])
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    return rows.select("o_orderkey", _or_dash(T.date_of(F.col("raw")), "posted"))
