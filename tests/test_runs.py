@@ -2,6 +2,7 @@
 
 import json
 import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidemark.operators import statistics as S
 from tidemark.functions import reference_data as ref
 from tidemark.plans import registry, sinks, spec
 from tidemark.plans.pipeline import AllTargetsFailed, Landed, RunFailed, run_and_commit, run_incremental, run_once
-from tidemark.sources import landing, state
+from tidemark.sources import landing, runs, state
 from tidemark.streaming.runs import stream_runs
 
 
@@ -179,6 +180,28 @@ def test_queries_on_runs_leave_nothing_persisted(spark, small, name):
     assert persisted(spark) <= before
 
 
+def test_all_runs_are_logged(spark, tmp_path):
+    """Good, busy, failed and degraded runs, with what they counted while they wrote."""
+    store, log = state.Store(spark, f"file://{tmp_path}/state"), f"{tmp_path}/log"
+    landed = Landed(pages(spark, (0, 0, 200, [card(1), card(2)])))
+    go = lambda n, store, run=SPEC, landed=landed: run_and_commit(
+        run, landed, f"2024-01-0{n}T00:00:00.000Z", store, "k", "f", f"r{n}", f"{tmp_path}/out{n}", log=log)
+    go(3, store)
+    go(4, store)
+    assert state.acquire(store, "k", "other") == (True, "ok")
+    go(5, store)
+    with pytest.raises(RunFailed):
+        go(5, Unopened("HTTP status 503"))
+    go(5, Unopened("HTTP status 503"), replace(SPEC, allowNonIncrementalFallback=True))
+    found = [(r.day, r.run_id, r.status, r.kind, r.coverage_reason, r.emitted, r.skipped, r.new, r.unchanged) for r in runs.read(spark, log).orderBy("day", "status").collect()]
+    assert found == [
+        ("2024-01-03", "r3", "ok", None, "no_prior_state", 2, 0, 2, None), ("2024-01-04", "r4", "ok", None, None, 2, 0, None, 2),
+        ("2024-01-05", "r5", "busy", "conflict", None, None, None, None, None), ("2024-01-05", "r5", "degraded", "platform", None, 2, 0, None, None),
+        ("2024-01-05", "r5", "failed", "platform", None, None, None, None, None)]
+    days = {r.day: (r.runs, r.ok, r.success_share, r.failures, r.emitted) for r in runs.by_day(runs.read(spark, log)).collect()}
+    assert days == {"2024-01-03": (1, 1, 1.0, "", 2), "2024-01-04": (1, 1, 1.0, "", 2), "2024-01-05": (3, 0, 0.0, "platform=1", 2)}
+
+
 def test_pages_of_other_origin_are_held_to_the_spec(spark):
     """The newest day comes first, then the order of the scan; what is too old or of another region goes."""
     def dated(i, day, place="Berlin, Germany"):

@@ -17,7 +17,7 @@ from tidemark.operators import ordering as O  # noqa: E741
 from tidemark.operators import postings as P
 from tidemark.operators import statistics as S
 from tidemark.plans.spec import RunSpec
-from tidemark.sources import landing, state
+from tidemark.sources import landing, runs, state
 
 
 @dataclass(frozen=True)
@@ -196,7 +196,28 @@ def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataF
 
 
 def run_and_commit(spec: RunSpec, landed: Landed, scraped_at: str, store: state.Store, key: str, fingerprint: str, run_id: str,
-                   out: str, kind: str = "parquet", price: float = 0.0) -> dict:
+                   out: str, kind: str = "parquet", price: float = 0.0, log: str | None = None) -> dict:
+    """:func:`_run_and_commit`, with a row for it in the log of runs (a folder), whatever becomes of it."""
+    begin, spark = time.monotonic(), landed.pages.sparkSession
+
+    def logged(**values) -> None:
+        if log is not None:
+            runs.record(spark, log, run_id=run_id, state_key=key, started_at=scraped_at, seconds=time.monotonic() - begin, **values)
+
+    try:
+        done = _run_and_commit(spec, landed, scraped_at, store, key, fingerprint, run_id, out, kind, price)
+    except RunFailed as error:
+        logged(status="failed", kind=error.kind)
+        raise
+    counts = {k.lower(): n for k, n in done.get("changes", {}).items()}
+    summary, coverage = done.get("summary") or {}, done.get("coverage")
+    logged(status=done["status"], kind=done.get("reason"), coverage_reason=coverage.reason if coverage else None, migrated_from=done.get("migrated_from"),
+           emitted=summary.get("emitted"), skipped=summary.get("unchangedSkipped"), **counts)
+    return done
+
+
+def _run_and_commit(spec: RunSpec, landed: Landed, scraped_at: str, store: state.Store, key: str, fingerprint: str, run_id: str,
+                    out: str, kind: str, price: float) -> dict:
     """Take the lease, run, write the rows, then move the state, if the lease still holds.
 
     Returns how it went: status, coverage, changes by kind, the run's summary and, with a price for each row, what

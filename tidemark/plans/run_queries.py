@@ -17,7 +17,7 @@ from tidemark.plans.postings import NOW, RUNS_SQL, SQL, current_run, postings, p
 from tidemark.plans.registry import query
 from tidemark.plans.spec import RunSpec
 from tidemark.plans.text_queries import card_pages, detail_pages
-from tidemark.sources import landing, migration, searched, state
+from tidemark.sources import landing, migration, runs, searched, state
 from tidemark.sources.shared import new_folder, written
 
 SCRAPED = "2024-01-01T00:00:00.000Z"
@@ -472,3 +472,28 @@ def written_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("MMM d, yyyy", " 25:00")])
     rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
     return rows.select("o_orderkey", _or_dash(T.date_of(F.col("raw")), "posted"))
+
+
+@query("""WITH r AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CASE event_id % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'busy' WHEN 2 THEN 'degraded' ELSE 'ok' END AS status,
+  CASE event_id % 3 WHEN 0 THEN 'rate_limit' WHEN 1 THEN 'lock_lost' ELSE 'unknown' END AS kind, value FROM events),
+k AS (SELECT day, string_agg(kind || '=' || n, ',' ORDER BY kind || '=' || n) AS failures FROM (
+  SELECT day, kind, count(*) AS n FROM r WHERE status = 'failed' GROUP BY ALL) GROUP BY day),
+d AS (SELECT day, count(*)::BIGINT AS runs, count(*) FILTER (status = 'ok')::BIGINT AS ok, round(count(*) FILTER (status = 'ok') / count(*) FILTER (status <> 'busy'), 6) AS success_share,
+  sum(event_id % 50) FILTER (status IN ('ok', 'degraded'))::BIGINT AS emitted, quantile_disc(value, 0.5) FILTER (status = 'ok') AS seconds_p50,
+  quantile_disc(value, 0.95) FILTER (status = 'ok') AS seconds_p95, max(value) FILTER (status = 'ok') AS seconds_max FROM r GROUP BY day)
+SELECT d.*, coalesce(failures, '') AS failures FROM d LEFT JOIN k ON k.day = d.day""")
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of runs, written and read: how those of each day went."""
+    e = F.col("event_id")
+    status = F.when(e % 7 == 0, "failed").when(e % 7 == 1, "busy").when(e % 7 == 2, "degraded").otherwise("ok")
+    kind = F.when(e % 3 == 0, "rate_limit").when(e % 3 == 1, "lock_lost")
+    none = lambda c, kind="string": F.lit(None).cast(kind).alias(c)
+    rows = table(spark, sf_dir, "events").select(
+        e.cast("string").alias("run_id"), F.lit("k").alias("state_key"), F.date_format("ts", C.STAMP).alias("started_at"), status.alias("status"),
+        F.when(status == "failed", kind).alias("kind"), none("coverage_reason"), none("migrated_from"),
+        F.when(status.isin("ok", "degraded"), e % 50).cast("long").alias("emitted"), none("skipped", "bigint"), *(none(c, "bigint") for c in runs.COUNTS),
+        F.col("value").cast("double").alias("seconds"))
+    root = new_folder(spark)
+    runs.append(rows.repartition(F.to_date("started_at")), root)
+    return runs.by_day(runs.read(spark, root)).select(
+        "day", "runs", "ok", F.round("success_share", 6).alias("success_share"), "emitted", "seconds_p50", "seconds_p95", "seconds_max", "failures")
