@@ -61,14 +61,15 @@ def site_line_dedup(
     )
     key = lambda x: F.unhex(F.md5(F.concat("host", F.lit("\n"), x)))
     rows = stored(rows.select("*", F.transform("lines", key).alias("keys"), F.xxhash64("host", "lines").alias("row")), "lines")
-    totals = rows.groupBy("host").agg(F.count_distinct("id").alias("host_pages"))
+    # The sides without hot keys are stored, so that Spark broadcasts them if they are small and else splits the other side.
+    totals = stored(rows.groupBy("host").agg(F.count_distinct("id").alias("host_pages")), "hosts")
     seen = (
         rows.select("id", "host", F.explode(F.array_distinct("keys")).alias("key"))
         .groupBy("key", "host")
         .agg(F.count_distinct("id").alias("pages"))
         .where(F.col("pages") >= min_pages)
     )
-    common = seen.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages")).select("key")
+    common = stored(seen.join(totals, "host").where(F.col("pages") > ratio * F.col("host_pages")).select("key"), "common")
     each = rows.select("id", "row", F.posexplode("keys").alias("idx", "key"))
     # A repeated row gives the same places again; the set takes them once.
     gone = each.join(common, "key").groupBy("id", "row").agg(F.collect_set("idx").alias("gone"))
