@@ -305,8 +305,3 @@ def sweep_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enum_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.value_census(table(spark, sf_dir, "events"), "event_type")
     return found.select(F.array_join("values", "|").alias("values"), "nulls")
-
-
-def country_table(spark: SparkSession) -> DataFrame:
-    """Country names and codes as a table, for joins."""
-    return spark.createDataFrame(list(ref.COUNTRY_NAMES.items()), "name string, iso2 string")

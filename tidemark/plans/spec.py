@@ -262,10 +262,6 @@ def state_key(keyword: str | None, location: str | None, dimensions: dict | None
     return "_".join([prefix, *(p for p in (part(keyword), part(location)) if p), print_])
 
 
-def canonical_part(values: list[str | None] | None) -> str | None:
-    return "+".join(sorted(v.strip() for v in values or () if isinstance(v, str) and v.strip())) or None
-
-
 def _ordered(value: Any) -> Any:
     if isinstance(value, dict):
         return {k: _ordered(value[k]) for k in sorted(value, key=lambda k: (k.casefold(), k.swapcase()))}
