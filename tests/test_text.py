@@ -142,3 +142,12 @@ def test_punycode_equals_the_codec(spark):
 ])
 def test_urls_as_browsers_write_them(spark, raw, found):
     assert spark.createDataFrame([(raw,)], "x string").select(urls.normal_url(F.col("x")).alias("y")).first().y == found
+
+
+@pytest.mark.parametrize(("raw", "found"), [
+    ("https://A.example/p?b=2&utm_source=x&a=1#f", "https://a.example/p?a=1&b=2"), ("https://a.example/p/?trk=1", "https://a.example/p/"), ("https://a.example?", "https://a.example/"),
+    ("https://a.example/?q=a%20b+c&q=%zz&&x", "https://a.example/?q=a+b+c&q=%25zz&x="), ("https://a.example/?a=b=c&A=1&B=2&á=3", "https://a.example/?a=b%3Dc&A=1&%C3%A1=3&B=2"),
+    ("junk", "junk"), ("", ""),
+])
+def test_canonical_urls(spark, raw, found):
+    assert spark.createDataFrame([(raw,)], "x string").select(urls.canonical_url(F.col("x")).alias("y")).first().y == found

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.reference_data import URL_TRACKING_PARAMS
+
 #: Characters that stay as they are in each part; what is already percent-encoded stays too.
 PATH_KEPT = r"[!$%&'()*+,\-./0-9:;=@A-Z\[\]\\_a-z|~]"
 QUERY_KEPT = r"[!$%&()*+,\-./0-9:;=?@A-Z\[\]\\^_`a-z{|}~]"
@@ -131,16 +133,44 @@ def ascii_host(host: Column) -> Column:
     return F.when(F.regexp_like(low, F.lit(other)), F.array_join(coded, ".")).otherwise(low)
 
 
-def normal_url(url: Column) -> Column:
-    """An http or https URL as browsers write it, without default port, fragment and slashes at the end.
-
-    Backslashes in the path count as slashes.  What has no host is left as it is, but for slashes at its end.
-    """
+def _whole(url: Column, query_of) -> Column:
+    """A URL as browsers write it, without fragment and default port, its query by a function of that; unchanged if it has no host."""
     part = lambda i: F.regexp_extract(url, r"(?is)^(https?)://((?:[^/?#\\@]*@)?)([^/?#\\:]+)((?::[0-9]*)?)([^?#]*)((?:\?[^#]*)?)", i)
     scheme, user, host, port, path, query = F.lower(part(1)), part(2), part(3), part(4), part(5), part(6)
     default = F.when(scheme == "http", ":80").otherwise(":443")
     port = F.when((port == default) | (port == ":"), "").otherwise(port)
     path = without_dots(F.replace(path, F.lit("\\"), F.lit("/")))
     path = F.when(path == "", "/").otherwise(percent_encoded(path, PATH_KEPT))
-    whole = F.concat(scheme, F.lit("://"), user, ascii_host(host), port, path, percent_encoded(query, QUERY_KEPT))
-    return F.regexp_replace(F.when(scheme != "", whole).otherwise(url), r"/+\z", "")
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), user, ascii_host(host), port, path, query_of(query))).otherwise(url)
+
+
+def normal_url(url: Column) -> Column:
+    """An http or https URL as browsers write it, without default port, fragment and slashes at the end.
+
+    Backslashes in the path count as slashes.  What has no host is left as it is, but for slashes at its end.
+    """
+    return F.regexp_replace(_whole(url, lambda query: percent_encoded(query, QUERY_KEPT)), r"/+\z", "")
+
+
+def canonical_url(url: Column, ignored: tuple[str, ...] = URL_TRACKING_PARAMS) -> Column:
+    """A URL by which searches are told apart: parameters in dictionary order (ICU's), without ignored ones and fragment.
+
+    Parameters of one name keep their order.  Names and values are decoded and encoded again, as forms do it; what
+    can't be decoded stays as it is.
+    """
+    def decoded(text: Column) -> Column:
+        return F.coalesce(F.try_url_decode(text), text)
+
+    def sorted_query(query: Column) -> Column:
+        pairs = F.filter(F.split(F.substring(query, F.lit(2), F.length(query)), "&"), lambda p: p != "")
+
+        def entry(p: Column, i: Column) -> Column:
+            name = decoded(F.substring_index(p, "=", 1))
+            value = F.when(F.contains(p, F.lit("=")), decoded(F.regexp_replace(p, r"(?s)^[^=]*=", ""))).otherwise("")
+            return F.struct(F.collate(name, "UNICODE").alias("key"), i.alias("place"), name.alias("name"), value.alias("value"))
+
+        kept = F.filter(F.transform(pairs, entry), lambda e: ~e["name"].isin(*ignored) if ignored else F.lit(True))
+        text = F.array_join(F.transform(F.array_sort(kept), lambda e: F.concat(F.url_encode(e["name"]), F.lit("="), F.url_encode(e["value"]))), "&")
+        return F.when(text != "", F.concat(F.lit("?"), text)).otherwise("")
+
+    return _whole(url, sorted_query)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import reference_data as ref
 from tidemark.operators import changes as C
 from tidemark.operators import postings as P
 from tidemark.operators import statistics as S

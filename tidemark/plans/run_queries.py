@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import reference_data as ref
 from tidemark.functions import text as T
+from tidemark.functions import urls as U
 from tidemark.operators import changes as C
 from tidemark.operators import html as H
 from tidemark.operators import ordering
@@ -497,3 +498,22 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs.append(rows.repartition(F.to_date("started_at")), root)
     return runs.by_day(runs.read(spark, root)).select(
         "day", "runs", "ok", F.round("success_share", 6).alias("success_share"), "emitted", "seconds_p50", "seconds_p95", "seconds_max", "failures")
+
+
+#: Addresses of searches, and what tells them apart; {k} is a key.
+_SEARCH_URLS = (
+    ("HTTPS://Portal.Example/jobs?keywords=a b{k}&utm_source=x&location=Wien#f", "https://portal.example/jobs?keywords=a+b{k}&location=Wien"),
+    ("https://p.example/?Zeit=1&ähre=2&apfel={k}&Ähre=3&zeit=4&Apfel=5", "https://p.example/?%C3%A4hre=2&%C3%84hre=3&apfel={k}&Apfel=5&zeit=4&Zeit=1"),
+    ("https://p.example?b=2&a={k}&b=1&a=%C3%A4", "https://p.example/?a={k}&a=%C3%A4&b=2&b=1"), ("https://p.example/x/../y?refId=1&trk=2", "https://p.example/y"),
+    ("https://p.example/?_x=1&a-b=2&ab={k}&a_b=3&1=4", "https://p.example/?_x=1&1=4&a_b=3&a-b=2&ab={k}"), ("not a url {k}", "not a url {k}"),
+    ("https://p.example/?é=1&e={k}&f&É=2&=3", "https://p.example/?=3&e={k}&%C3%A9=1&%C3%89=2&f="),
+)
+
+
+@query("SELECT o_orderkey, replace(url, '{k}', o_orderkey::VARCHAR) AS url FROM orders JOIN (VALUES "
+       + ", ".join(f"({i}, '{url}')" for i, (_, url) in enumerate(_SEARCH_URLS)) + f") AS t(i, url) ON o_orderkey % {len(_SEARCH_URLS)} = i")
+def search_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters with accents, of both cases and with signs, in dictionary order."""
+    key = F.col("o_orderkey")
+    raw = F.replace(_choice(key, [F.lit(u) for u, _ in _SEARCH_URLS]), F.lit("{k}"), key.cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", U.canonical_url(F.col("raw")).alias("url"))
