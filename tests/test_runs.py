@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.operators import changes as C
 from tidemark.operators import html as H
 from tidemark.operators import statistics as S
-from tidemark.functions import reference_data as ref
 from tidemark.plans import registry, sinks, spec
 from tidemark.plans.pipeline import AllTargetsFailed, Landed, RunFailed, run_and_commit, run_incremental, run_once
 from tidemark.sources import landing, runs, state
@@ -209,7 +208,7 @@ def test_pages_of_other_origin_are_held_to_the_spec(spark):
 
     landed = pages(spark, (0, 0, 200, [dated(1, "2024-01-01"), dated(2, "2024-01-05"), dated(3, "2023-11-01")]),
                    (1, 0, 200, [dated(4, "2024-01-05"), dated(5, "2024-01-05", "Paris, France"), dated(6, "2024-01-05", "Nowhere")]))
-    run = spec.RunSpec.from_dict({"keywords": "x", "datePosted": "last30d", "regions": ["DE"], "geoIds": [ref.GEO_IDS["DE"]], "maxResults": 0})
+    run = spec.RunSpec.from_dict({"keywords": "x", "datePosted": "last30d", "regions": ["DE"], "maxResults": 0})
     for incremental in (False, True):
         own = Landed(landed, own=False)
         result = run_incremental(run, own, "2024-01-10T00:00:00.000Z", C.empty_state(spark), C.Coverage(True)) if incremental else run_once(run, own, "2024-01-10T00:00:00.000Z")

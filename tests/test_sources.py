@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tests.test_runs import card, pages
 from tidemark.operators import changes as C
 from tidemark.operators import ordering
+from tidemark.plans.pipeline import Landed, run_and_commit, run_once
+from tidemark.plans.spec import RunSpec, asked_of
 from tidemark.sources import migration, searched, state
 
 NOW = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -90,6 +92,19 @@ def test_landing_again_adds_files(spark, tmp_path):
     assert searched.pages(spark, empty).count() == 0
 
 
+def test_a_run_over_what_was_landed(spark, tmp_path):
+    """Pages are chosen by what was asked, and postings by what they say."""
+    path = f"file://{tmp_path}/landed"
+    landed(spark, path)
+    run = RunSpec.from_dict({"keywords": "x", "workType": ["remote"], "datePosted": "last7d", "maxResults": 4})
+    chosen = searched.for_search(spark, path, asked_of(run), "2024-01-06T00:00:00.000Z")
+    assert taken(chosen) == [0, 1, 9]
+    result = run_once(run, Landed(chosen, own=False), "2024-01-06T00:00:00.000Z")
+    assert [(r.sourceJobId, r.postedAt[:10]) for r in result.rows.orderBy("emit_order").collect()] == [
+        ("0", "2024-01-05"), ("1", "2024-01-05"), ("2", "2024-01-05"), ("10", "2024-01-05")]
+    result.release()
+
+
 # --- leases and pointers
 
 def rows_of(spark, n):
@@ -252,11 +267,8 @@ def test_numbers_need_no_single_task(spark):
 
 def test_places_of_related_pages_do_not_grow_the_state(spark, tmp_path):
     """Many runs with related pages, whose places in a scan are far apart."""
-    from tidemark.plans import spec
-    from tidemark.plans.pipeline import Landed, run_and_commit
-
     store = state.Store(spark, f"file://{tmp_path}/state")
-    run = spec.RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 0, "discoverRelated": True})
+    run = RunSpec.from_dict({"keywords": "x", "incrementalMode": True, "maxResults": 0, "discoverRelated": True})
     related = spark.createDataFrame([("1", card(2)), ("1", card(3))], "seed_id string, html string")
     done = run_and_commit(run, Landed(pages(spark, (0, 0, 200, [card(1)])), related=related), "2024-01-03T00:00:00.000Z", store, "k", "f", "r", f"{tmp_path}/out")
     assert done["changes"] == {"NEW": 3} and done["migrated_from"] is None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from tidemark.operators import html as HT
 from tidemark.operators import ordering as O  # noqa: E741
 from tidemark.operators import postings as P
 from tidemark.operators import statistics as S
-from tidemark.plans.spec import RunSpec
+from tidemark.plans.spec import RunSpec, asked_of
 from tidemark.sources import landing, runs, state
 
 
@@ -112,12 +112,12 @@ def items_of(spec: RunSpec, landed: Landed, scraped_at: str, held: list[DataFram
         items = items.where(P.within_salary(_filters(spec)))
     if spec.scrapeCompany and landed.companies is not None:
         items = P.with_companies(items, HT.organisations(landed.companies))
-    return items if landed.own else items.where(P.as_searched(asdict(spec), scraped_at))
+    return items if landed.own else items.where(P.as_searched(asked_of(spec), scraped_at))
 
 
 def _in_order(items: DataFrame, spec: RunSpec, landed: Landed) -> DataFrame:
     """The first maxResults rows, with emit_order: as scanned, or in the source's order for pages of other origin."""
-    order = P.source_order(asdict(spec) if not landed.own else {"sortBy": "relevant"})
+    order = P.source_order(asked_of(spec) if not landed.own else {"sortBy": "relevant"})
     first = C.first_rows(items, spec.maxResults, *order)
     if len(order) == 1:
         return first.withColumnRenamed("scan_ordinal", "emit_order")

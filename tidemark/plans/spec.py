@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, replace
 from typing import Any
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
@@ -133,6 +133,12 @@ class RunSpec:
         return bool(self.keywords.strip() or self.geoIds or self.regions or self.regionPresets or self.location or self.startUrls)
 
 
+def asked_of(spec: RunSpec) -> dict:
+    """What a run asks of the source as one search, all its regions among the geo ids."""
+    ids, _ = resolve_regions(spec.regions, spec.regionPresets)
+    return asdict(spec) | {"geoIds": list(dict.fromkeys([*spec.geoIds, *ids]))}
+
+
 def resolve_regions(regions: list[str], preset: str | None) -> tuple[list[str], list[str]]:
     """(geo ids, codes without one): the preset's codes first, then the regions, each once."""
     codes = dict.fromkeys([*ref.REGION_PRESETS.get(preset or "", ()), *(r.strip().upper() for r in regions if r.strip())])

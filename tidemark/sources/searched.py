@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import reference_data as ref
 from tidemark.operators import html as H
 from tidemark.plans import spec as SP
 from tidemark.sources import landing
@@ -72,17 +73,17 @@ def _may_hold(column: str, codes: list[str]) -> Column:
 
 
 def for_search(spark: SparkSession, path: str, asked: dict, now: str, seconds: int | None = None) -> DataFrame:
-    """The landed pages that may hold postings for what is asked (a search or a spec as a dict); other files are not opened.
+    """The landed pages that may hold postings for what is asked (a search, or :func:`spec.asked_of`); other files are not opened.
 
     A page may, if its search has not asked about a matter, or for one of the values asked for.  What a page says of its
     postings is not looked at: hold them to the same with :func:`postings.as_searched`, as a run does with pages that
-    are not its own.  seconds: how old a posting may be.
+    are not its own.  seconds: how old a posting may be, if ``datePosted`` does not say.
     """
-    rows = pages(spark, path)
+    rows, seconds = pages(spark, path), ref.DATE_POSTED_SECONDS.get(asked.get("datePosted") or "", seconds)
     for column, codes in _codes(asked).items():
         if codes:
             rows = rows.where(_may_hold(column, codes))
     if seconds:
         oldest = F.to_timestamp(F.lit(now)) - F.make_interval(secs=F.lit(seconds))
         rows = rows.where(F.col("newest") >= F.date_format(oldest, "yyyy-MM-dd"))
-    return rows
+    return rows.select(*_names(landing.PAGE_SCHEMA))
