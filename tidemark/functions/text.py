@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions import reference_data as ref
 from tidemark.functions.dates import date_of, iso_date  # noqa: F401
-from tidemark.functions.patterns import S, WS, B, all_matches, captured, empty_strings, filled, let, literals, squeezed, trimmed
+from tidemark.functions.patterns import BU, S, SPACES, WS, B, all_matches, captured, empty_strings, filled, let, literals, squeezed, trimmed, until_space
 from tidemark.functions.urls import ascii_host, normal_url
 
 # The patterns that define what is extracted.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?(?:\.[a-zA-Z]{2,})+"
-LINK = rf"""(?i)https?://[^{WS}<>"'()]+"""
-URL = rf"""(?i)https?://[^{WS}<>"'`)\]]+"""
+LINK = "(?i)https?://" + until_space("<>\"'()")
+URL = "(?i)https?://" + until_space(r"""<>"'`)\]""")
 SOCIAL_ANYWHERE = (
     r"(?i)(?:linkedin\.com|twitter\.com|x\.com|facebook\.com|instagram\.com|youtube\.com|tiktok\.com|github\.com|xing\.com)"
 )
@@ -44,10 +45,10 @@ PHONE_INTERNATIONAL = rf"\+[0-9]{{1,3}}{_SEP}?[0-9]{{1,4}}{_SEP}?[0-9]{{2,4}}{_S
 PHONE_SCHEME = rf"(?i)(?=[tw])(?:tel:|wa\.me/|whatsapp://send\?phone=)([+0-9][0-9{WS}.\-/()]{{6,20}}[0-9])"
 #: What stands before a number, by language; in all but the third a look at the first letter spares the rest.
 PHONE_PREFIXES = (
-    rf"(?iu:{B}(?:Tel(?:ephone)?|Tel[ée]fon[oe]?|T[ée]l[ée]phone|Telefon|Telp|Tlp|Tlf|Mob(?:il(?:e)?)?|Cell(?:ular)?"
+    rf"(?iu:{BU}(?:Tel(?:ephone)?|Tel[ée]fon[oe]?|T[ée]l[ée]phone|Telefon|Telp|Tlp|Tlf|Mob(?:il(?:e)?)?|Cell(?:ular)?"
     rf"|Phone|Fon[e]?|Hotline|Direct|Office|Kontak[t]?|Contat[o]?|Contact|Cel(?:ular)?|R[üu]ckfragen|WhatsApp|GSM|Cep"
     rf"|İrtibat|Irtibat|Hubungi|Fale conosco){B}\.?{S}*:?{S}*)",
-    rf"(?i:{B}(?:call|contact|reach|dial|enquir(?:y|ies)|inquir(?:y|ies))(?:{S}+(?:us|on|at|out|me|to))?"
+    rf"(?i:{BU}(?:call|contact|reach|dial|enquir(?:y|ies)|inquir(?:y|ies))(?:{S}+(?:us|on|at|out|me|to))?"
     rf"{S}*(?:at|on)?[{WS}:,.\-]+)",
     rf"(?<![^{WS}>(\[])(?:HP|WA|M|T){S}*[:：=]{S}*",
     rf"(?:טלפון|טל\.?|נייד|לפרטים|ליצירת קשר){S}*:?{S}*",
@@ -107,7 +108,7 @@ def strip_tags(html: Column) -> Column:
 
 
 def _under(host: Column, domains: tuple[str, ...]) -> Column:
-    return F.exists(literals(*domains), lambda d: (host == d) | F.endswith(host, F.concat(F.lit("."), d)))
+    return F.regexp_like(host, F.lit(r"(?:^|\.)(?:" + "|".join(map(re.escape, domains)) + r")\z"))
 
 
 def emails(text: Column) -> Column:
@@ -192,7 +193,7 @@ def phones(text: Column, mode: str = "strict") -> Column:
     for noise in PHONE_NOISE:
         plain = F.regexp_replace(plain, noise, " ")
     tidy = F.transform(let(plain, matches), lambda p: F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(p, f"{S}+", " "), r"^ | \z", ""), r"\.+\z", ""))
+        F.regexp_replace(F.regexp_replace(p, SPACES, " "), r"^ | \z", ""), r"\.+\z", ""))
     found = F.array_sort(F.array_distinct(F.filter(tidy, _plausible)))
     return F.when(F.regexp_like(text, F.lit(PHONE_DIGITS)), found).otherwise(empty_strings())
 
@@ -209,7 +210,7 @@ _SKILL_PATTERN = "(?<= )(?:" + "|".join(re.escape(t) for t in ref.SKILL_TERMS) +
 
 def skills(text: Column) -> Column:
     """Labels of the known skills that stand in the text as whole words, in dictionary order."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^a-z0-9+#.]+", " "), F.lit(" "))
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{Alnum}+#.]+", " "), F.lit(" "))
     # One pass over the text; no term is another one followed by a dot, so matches don't hide each other.
     found = all_matches(plain, _SKILL_PATTERN)
     label = lambda t: _lookup(dict((term, label) for label, term in _SKILLS), t)
@@ -245,27 +246,26 @@ def _currency(symbol: Column) -> Column:
 
 def salary(text: Column) -> Column:
     """struct(min, max, currency, period) of the first range of pay, else of the first amount; null if none."""
-    def of_range(found: Column) -> Column:
-        part = lambda i: F.regexp_extract(found, SALARY_RANGE, i)
-        low, high = _amount(part(2), part(3)), _amount(part(5), part(6))
-        token = F.when(part(4) != "", part(4)).otherwise(part(7))
-        return F.struct(
-            F.least(low, high).alias("min"), F.greatest(low, high).alias("max"), _currency(part(1)).alias("currency"),
-            _period(token, F.greatest(low, high)).alias("period"),
-        )
+    def groups(found: Column, pattern: str, n: int, body: Callable[..., Column]) -> Column:
+        return let(F.array(*(F.regexp_extract(found, pattern, i + 1) for i in range(n))), lambda g: body(*(g[i] for i in range(n))))
 
-    def of_one(found: Column) -> Column:
-        part = lambda i: F.regexp_extract(found, SALARY_ONE, i)
-        value = _amount(part(2), part(3))
-        single = F.struct(
-            value.alias("min"), F.lit(None).cast("long").alias("max"), _currency(part(1)).alias("currency"),
-            _period(part(4), value).alias("period"),
-        )
-        return F.when((found != "") & ((part(4) != "") | (value >= 1000)), single)
+    def of_range(sign, low, low_suffix, period, high, high_suffix, other_period) -> Column:
+        amounts = F.array(_amount(low, low_suffix), _amount(high, high_suffix))
+        token = F.when(period != "", period).otherwise(other_period)
+        return let(amounts, lambda a: let(F.greatest(a[0], a[1]), lambda most: F.struct(
+            F.least(a[0], a[1]).alias("min"), most.alias("max"), _currency(sign).alias("currency"), _period(token, most).alias("period"))))
+
+    def of_one(sign, number, suffix, period) -> Column:
+        def single(value: Column) -> Column:
+            out = F.struct(value.alias("min"), F.lit(None).cast("long").alias("max"), _currency(sign).alias("currency"), _period(period, value).alias("period"))
+            return F.when((period != "") | (value >= 1000), out)
+
+        return let(_amount(number, suffix), single)
 
     # The text is searched once for a range, and once more for an amount if there is none; groups come from the match.
     first = lambda pattern: F.regexp_extract(text, pattern, 0)
-    pay = let(first(SALARY_RANGE), lambda r: F.when(r != "", of_range(r)).otherwise(let(first(SALARY_ONE), of_one)))
+    pay = let(first(SALARY_RANGE), lambda r: F.when(r != "", groups(r, SALARY_RANGE, 7, of_range)).otherwise(
+        let(first(SALARY_ONE), lambda o: F.when(o != "", groups(o, SALARY_ONE, 4, of_one)))))
     return F.when(F.regexp_like(text, F.lit("[$£€]")), pay)
 
 
@@ -315,10 +315,11 @@ def markdown(text: Column) -> Column:
     return filled(trimmed(F.regexp_replace(joined, r"\n{3,}", "\n\n")))
 
 
-def _tail(location: Column) -> tuple[Column, Column]:
-    """(last part, number of parts) of a place given as parts between commas."""
-    parts = F.filter(F.transform(F.split(location, ","), trimmed), lambda p: p != "")
-    return F.when(F.size(parts) > 0, F.element_at(parts, -1)), F.size(parts)
+def _tail(location: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of the last part that is not empty and whether there are others, of a place given as parts between commas."""
+    core = F.regexp_replace(location, rf"^[{WS},]+|(?![!-+])(?![.-~])(?<![{WS},])[{WS},]+\z", "")
+    parts = let(core, lambda c: F.struct(trimmed(F.substring_index(c, ",", -1)).alias("last"), F.contains(c, F.lit(",")).alias("others")))
+    return let(parts, lambda p: body(filled(p["last"]), p["others"]))
 
 
 def _lookup(values: dict[str, str], key: Column) -> Column:
@@ -331,27 +332,30 @@ _STATES = tuple(dict.fromkeys(ref.US_STATES + ref.CA_PROVINCES))
 
 def country(location: Column, hint: Column) -> Column:
     """ISO code of a posting's place; a hint wins, and a lone state code after other parts says nothing."""
-    tail, parts = _tail(location)
-    up = F.upper(tail)
-    code = F.regexp_like(tail, F.lit(r"(?i)^[A-Z]{2}\z"))
-    vague = (parts > 1) & F.array_contains(literals(*_STATES), up)
-    return (
-        F.when(filled(hint).isNotNull(), F.upper(hint))
-        .when(code & vague, F.lit(None).cast("string"))
-        .when(code, up)
-        .otherwise(_lookup(ref.COUNTRY_NAMES, F.lower(tail)))
-    )
+    def of(tail: Column, others: Column) -> Column:
+        up = F.upper(tail)
+        code = F.regexp_like(tail, F.lit(r"(?i)^[A-Z]{2}\z"))
+        vague = others & F.array_contains(literals(*_STATES), up)
+        return (
+            F.when(code & vague, F.lit(None).cast("string"))
+            .when(code, up)
+            .otherwise(_lookup(ref.COUNTRY_NAMES, F.lower(tail)))
+        )
+
+    return F.when(filled(hint).isNotNull(), F.upper(hint)).otherwise(_tail(location, of))
 
 
 def country_hint(location: Column) -> Column:
     """ISO code of a search's place: country names first, then states and provinces."""
-    tail, _ = _tail(location)
-    up = F.upper(tail)
-    return F.coalesce(
-        _lookup(ref.COUNTRY_NAMES, F.lower(tail)),
-        F.when(F.array_contains(literals(*ref.US_STATES), up), "US"),
-        F.when(F.array_contains(literals(*ref.CA_PROVINCES), up), "CA"),
-    )
+    def of(tail: Column, _: Column) -> Column:
+        up = F.upper(tail)
+        return F.coalesce(
+            _lookup(ref.COUNTRY_NAMES, F.lower(tail)),
+            F.when(F.array_contains(literals(*ref.US_STATES), up), "US"),
+            F.when(F.array_contains(literals(*ref.CA_PROVINCES), up), "CA"),
+        )
+
+    return _tail(location, of)
 
 
 def company_segment(url: Column) -> Column:

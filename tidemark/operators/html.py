@@ -10,32 +10,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions import text as T
-from tidemark.functions.patterns import S, B, all_matches, captured, filled, squeezed, trimmed
-
-# The markup that is read.
-CARD = r"""<li[\s\S]*?<div[^>]*data-entity-urn="urn:li:jobPosting:([0-9]+)"[\s\S]*?</li>"""
+from tidemark.functions.patterns import S, all_matches, captured, filled, squeezed, trimmed
+
+# The markup that is read.  Any character is a dot under (?s): a class like [\s\S] is two predicates, and of these
+# Java 17 writes to memory that all threads of a machine share, so that eight of them search no faster than one.  White space around what is captured goes later.
+CARD_HEAD = r"""(?s)^<li.*?<div[^>]*data-entity-urn="urn:li:jobPosting:([0-9]+)\""""
+CARD = r"""(?s)<li(?>.*?<div[^>]*data-entity-urn="urn:li:jobPosting:([0-9]+)").*?</li>"""
+#: A card, or all that is left where none follows: a failed search is not begun again at each list item and each card of the rest.
+CARD_OR_REST = r"""(?s)<li(?>.*?<div[^>]*data-entity-urn="urn:li:jobPosting:[0-9]+"|.*+)(?>.*?</li>|.*+)"""
 MARKER = r'data-entity-urn="urn:li:jobPosting:[0-9]+"'
-TITLE = rf'class="base-search-card__title"[^>]*>{S}*([\s\S]*?){S}*<'
-SUBTITLE = rf'class="base-search-card__subtitle"[\s\S]*?<a[^>]*href="([^"]+)"[^>]*>{S}*([\s\S]*?){S}*</a>'
-PLACE = rf'class="job-search-card__location"[^>]*>{S}*([\s\S]*?){S}*<'
+TITLE = r'class="base-search-card__title"[^>]*>([^<]*)<'
+SUBTITLE = r'(?s)class="base-search-card__subtitle".*?<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
+PLACE = r'class="job-search-card__location"[^>]*>([^<]*)<'
 STAMP = r'<time[^>]*datetime="([^"]+)"'
 FULL_LINK = r'<a[^>]*class="[^"]*base-card__full-link[^"]*"[^>]*href="([^"]+)"'
 TRACKING = r'data-tracking-id="([^"]*)"'
-PROMOTED = rf"{B}(?:Promoted|Promoveret|Förderat){B}"
-EASY_APPLY = rf"{B}(?:Easy Apply|Hurtig ansøgning){B}"
-BENEFIT = rf'class="[^"]*job-posting-benefits__text[^"]*"[^>]*>{S}*([\s\S]*?){S}*<'
-CRITERION = r'<li[^>]*class="[^"]*description__job-criteria-item[^"]*"[^>]*>([\s\S]*?)</li>'
-CRITERION_LABEL = rf'<h3[^>]*class="[^"]*description__job-criteria-subheader[^"]*"[^>]*>{S}*([\s\S]*?){S}*</h3>'
-CRITERION_VALUE = rf'<span[^>]*class="[^"]*description__job-criteria-text[^"]*"[^>]*>{S}*([\s\S]*?){S}*</span>'
-DESCRIPTION = rf'(?i)<div[^>]*class="[^"]*show-more-less-html__markup[^"]*"[^>]*>([\s\S]*?)</div>{S}*(?:<button|</section)'
-APPLICANTS = rf'<figcaption[^>]*class="[^"]*num-applicants__caption[^"]*"[^>]*>{S}*([\s\S]*?){S}*</figcaption>'
-POSTED_AGO = rf'<span[^>]*class="[^"]*posted-time-ago__text[^"]*"[^>]*>{S}*([\s\S]*?){S}*</span>'
+PROMOTED = r"(?<!\w)(?:Promoted|Promoveret|Förderat)(?!\w)"
+EASY_APPLY = r"(?<!\w)(?:Easy Apply|Hurtig ansøgning)(?!\w)"
+BENEFIT = r'class="[^"]*job-posting-benefits__text[^"]*"[^>]*>([^<]*)<'
+CRITERION = r'(?s)<li[^>]*class="[^"]*description__job-criteria-item[^"]*"[^>]*>(.*?)</li>'
+CRITERION_LABEL = r'(?s)<h3[^>]*class="[^"]*description__job-criteria-subheader[^"]*"[^>]*>(.*?)</h3>'
+CRITERION_VALUE = r'(?s)<span[^>]*class="[^"]*description__job-criteria-text[^"]*"[^>]*>(.*?)</span>'
+DESCRIPTION = rf'(?is)<div[^>]*class="[^"]*show-more-less-html__markup[^"]*"[^>]*>(.*?)</div>{S}*(?:<button|</section)'
+APPLICANTS = r'(?s)<figcaption[^>]*class="[^"]*num-applicants__caption[^"]*"[^>]*>(.*?)</figcaption>'
+POSTED_AGO = r'(?s)<span[^>]*class="[^"]*posted-time-ago__text[^"]*"[^>]*>(.*?)</span>'
 POSTER, POSTER_WINDOW = "message-the-recruiter", 2500
 POSTER_LINK = r'class="[^"]*base-card__full-link[^"]*"[^>]*href="([^"]+)"'
-POSTER_NAME = rf'class="[^"]*base-main-card__title[^"]*"[^>]*>{S}*([\s\S]*?){S}*</h3>'
-POSTER_TITLE = rf'class="[^"]*base-main-card__subtitle[^"]*"[^>]*>{S}*([\s\S]*?){S}*</h4>'
+POSTER_NAME = r'(?s)class="[^"]*base-main-card__title[^"]*"[^>]*>(.*?)</h3>'
+POSTER_TITLE = r'(?s)class="[^"]*base-main-card__subtitle[^"]*"[^>]*>(.*?)</h4>'
 POSTER_PHOTO = r'<img[^>]*data-delayed-url="([^"]+)"'
-JSON_LD = r'<script type="application/ld\+json">([\s\S]*?)</script>'
+JSON_LD = r'(?s)<script type="application/ld\+json">(.*?)</script>'
 
 PAGE_SIZE = 10
 #: Levels of lists and @graph nodes that are searched for an organisation by expressions; what lies deeper is rare
@@ -48,13 +52,15 @@ def _plain(captured_text: Column) -> Column:
 
 
 def card_blocks(html: Column) -> Column:
-    return all_matches(html, CARD)
+    """The matches of CARD; what is left behind the last one is found with them, once, and goes."""
+    whole = lambda b: F.endswith(b, F.lit("</li>")) & F.regexp_like(b, F.lit(CARD_HEAD))
+    return F.filter(all_matches(html, CARD_OR_REST), whole)
 
 
 def card_fields(block: Column) -> list[Column]:
     """The twelve fields of a list card."""
     words = F.regexp_replace(block, "<[^>]+>", " ")
-    source_id = F.regexp_extract(block, CARD, 1)
+    source_id = F.regexp_extract(block, CARD_HEAD, 1)
     benefits = F.filter(F.transform(all_matches(block, BENEFIT, 1), _plain), lambda b: b != "")
     return [
         source_id.alias("sourceJobId"),
@@ -81,13 +87,9 @@ def cards(pages: DataFrame, html: str = "html") -> DataFrame:
 
 def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Per page: n_cards, has_next, and drifted (cards in the markup that the pattern does not find)."""
-    n = F.size(card_blocks(F.col(html)))
-    return pages.select(
-        *(c for c in pages.columns if c != html),
-        n.alias("n_cards"),
-        (n == PAGE_SIZE).alias("has_next"),
-        ((n == 0) & F.regexp_like(html, F.lit(MARKER))).alias("drifted"),
-    )
+    others, n = [c for c in pages.columns if c != html], F.col("n_cards")
+    found = pages.select(*others, F.size(card_blocks(F.col(html))).alias("n_cards"), F.regexp_like(html, F.lit(MARKER)).alias("_marked"))
+    return found.select(*others, n, (n == PAGE_SIZE).alias("has_next"), ((n == 0) & F.col("_marked")).alias("drifted"))
 
 
 def criteria(html: Column) -> Column:
@@ -123,7 +125,7 @@ def poster(html: Column) -> Column:
     block = F.when(at > 0, F.substring(html, at, F.lit(POSTER_WINDOW)))
 
     def clean(c: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(c, r"<!--[\s\S]*?-->", ""), "<[^>]+>", "")
+        bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), "<[^>]+>", "")
         return filled(T.decode_entities(squeezed(T.decode_entities(bare))))
 
     name, url = clean(captured(block, POSTER_NAME)), captured(block, POSTER_LINK)
@@ -138,12 +140,11 @@ def details(pages: DataFrame, html: str = "html") -> DataFrame:
     """The eleven fields of each detail page, with the page's other columns."""
     others = [c for c in pages.columns if c != html]
     page = F.col(html)
-    inner = trimmed(captured(page, DESCRIPTION))
-    first = pages.select(
-        *others, page.alias("_page"), filled(inner).alias("descriptionHtml"),
-        filled(T.strip_tags(inner)).alias("description"), criteria(page).alias("_criteria"),
-        squeezed(T.decode_entities(captured(page, APPLICANTS))).alias("_applicants"),
-    )
+    # In steps, so that what is used more than once is computed once.
+    first = pages.select(*others, page.alias("_page"), trimmed(captured(page, DESCRIPTION)).alias("_inner"), criteria(page).alias("_criteria"),
+                         squeezed(T.decode_entities(captured(page, APPLICANTS))).alias("_applicants"))
+    first = first.select("*", filled(F.col("_inner")).alias("descriptionHtml"), T.strip_tags(F.col("_inner")).alias("_text"))
+    first = first.withColumn("description", filled(F.col("_text")))
     pairs, text = F.col("_criteria"), F.col("description")
     count = F.replace(captured(F.col("_applicants"), "([0-9][0-9,]*)"), F.lit(","), F.lit(""))
     return first.select(
