@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import patterns
 from tidemark.functions import text as T
+from tidemark.functions import urls
 from tidemark.operators import html as H
 
 CARD = r"""<li[\s\S]*?<div[^>]*data-entity-urn="urn:li:jobPosting:([0-9]+)"[\s\S]*?</li>"""
@@ -55,3 +56,9 @@ def test_links_end_at_white_space_of_all_kinds(spark):
     text = "a https://x.io/ä?b https://y.io/c\xa0(HTTP://z.io/d)﻿http://w.io/e\x85f"
     found = spark.createDataFrame([(text,)], "t string").select(T.all_matches(F.col("t"), T.URL).alias("u"), T.all_matches(F.col("t"), T.LINK).alias("l")).first()
     assert found.u == found.l == ["https://x.io/ä?b", "https://y.io/c", "HTTP://z.io/d", "http://w.io/e\x85f"]
+
+
+def test_kept_characters_are_one_set():
+    assert not re.search("[a-z0-9]-[a-z0-9]", urls.PATH_KEPT + urls.QUERY_KEPT)
+    for kept, plain in ((urls.PATH_KEPT, r"[!$%&'()*+,\-./0-9:;=@A-Z\[\]\\_a-z|~]"), (urls.QUERY_KEPT, r"[!$%&()*+,\-./0-9:;=?@A-Z\[\]\\^_`a-z{|}~]")):
+        assert all(bool(re.match(kept, chr(c))) == bool(re.match(plain, chr(c))) for c in range(300))

@@ -5,14 +5,19 @@ All of it is expressions.  The loops over characters are behind conditions, so a
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.patterns import let
 from tidemark.functions.reference_data import URL_TRACKING_PARAMS
 
 #: Characters that stay as they are in each part; what is already percent-encoded stays too.
-PATH_KEPT = r"[!$%&'()*+,\-./0-9:;=@A-Z\[\]\\_a-z|~]"
-QUERY_KEPT = r"[!$%&()*+,\-./0-9:;=?@A-Z\[\]\\^_`a-z{|}~]"
+#: Letters and digits are written out: Java looks characters up in one set then, and asks a chain of predicates for ranges.
+_WORD = string.ascii_letters + string.digits
+PATH_KEPT = r"[!$%&'()*+,\-./:;=@\[\]\\_|~" + _WORD + "]"
+QUERY_KEPT = r"[!$%&()*+,\-./:;=?@\[\]\\^_`{|}~" + _WORD + "]"
 # Parameters of Punycode (RFC 3492).
 BASE, T_MIN, T_MAX, SKEW, DAMP, FIRST_BIAS, FIRST_N = 36, 1, 26, 38, 700, 72, 128
 DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
@@ -34,7 +39,7 @@ def percent_encoded(text: Column, kept: str) -> Column:
     """The text with the UTF-8 bytes of all characters but the kept ones percent-encoded."""
     one = lambda c: F.when(F.regexp_like(c, F.lit(kept)), c).otherwise(
         F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", r"%$1"))
-    return F.when(F.regexp_like(text, F.lit(f"^(?:{kept})*\\z")), text).otherwise(F.array_join(F.transform(_characters(text), one), ""))
+    return F.when(F.regexp_like(text, F.lit(f"^{kept}*+\\z")), text).otherwise(F.array_join(F.transform(_characters(text), one), ""))
 
 
 def without_dots(path: Column) -> Column:
@@ -127,21 +132,27 @@ def ascii_host(host: Column) -> Column:
     composed, as they are written.
     """
     other = r"[^\x00-\x7F]"
-    low = F.lower(host)
-    labels = F.split(F.translate(low, STOPS, "." * len(STOPS)), r"\.")
-    coded = F.transform(labels, lambda x: F.when(F.regexp_like(x, F.lit(other)), F.concat(F.lit("xn--"), punycode(x))).otherwise(x))
-    return F.when(F.regexp_like(low, F.lit(other)), F.array_join(coded, ".")).otherwise(low)
+    def of(low: Column) -> Column:
+        labels = F.split(F.translate(low, STOPS, "." * len(STOPS)), r"\.")
+        coded = F.transform(labels, lambda x: F.when(F.regexp_like(x, F.lit(other)), F.concat(F.lit("xn--"), punycode(x))).otherwise(x))
+        return F.when(F.regexp_like(low, F.lit(other)), F.array_join(coded, ".")).otherwise(low)
+
+    return let(F.lower(host), of)
 
 
 def _whole(url: Column, query_of) -> Column:
     """A URL as browsers write it, without fragment and default port, its query by a function of that; unchanged if it has no host."""
-    part = lambda i: F.regexp_extract(url, r"(?is)^(https?)://((?:[^/?#\\@]*@)?)([^/?#\\:]+)((?::[0-9]*)?)([^?#]*)((?:\?[^#]*)?)", i)
-    scheme, user, host, port, path, query = F.lower(part(1)), part(2), part(3), part(4), part(5), part(6)
-    default = F.when(scheme == "http", ":80").otherwise(":443")
-    port = F.when((port == default) | (port == ":"), "").otherwise(port)
-    path = without_dots(F.replace(path, F.lit("\\"), F.lit("/")))
-    path = F.when(path == "", "/").otherwise(percent_encoded(path, PATH_KEPT))
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), user, ascii_host(host), port, path, query_of(query))).otherwise(url)
+    whole = r"(?is)^(https?)://((?:[^/?#\\@]*@)?)([^/?#\\:]+)((?::[0-9]*)?)([^?#]*)((?:\?[^#]*)?)"
+
+    def written(p: Column) -> Column:
+        scheme, port = F.lower(p[0]), p[3]
+        default = F.when(scheme == "http", ":80").otherwise(":443")
+        port = F.when((port == default) | (port == ":"), "").otherwise(port)
+        path = let(without_dots(F.replace(p[4], F.lit("\\"), F.lit("/"))), lambda c: F.when(c == "", "/").otherwise(percent_encoded(c, PATH_KEPT)))
+        return F.concat(scheme, F.lit("://"), p[1], ascii_host(p[2]), port, path, query_of(p[5]))
+
+    parts = F.array(*(F.regexp_extract(url, whole, i) for i in range(1, 7)))
+    return let(parts, lambda p: F.when(p[0] != "", written(p)).otherwise(url))
 
 
 def normal_url(url: Column) -> Column:

@@ -66,9 +66,9 @@ def urls_social(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("See https://X.com/q/#top, (https://github.com/u"), k, F.lit(") https://cdn.jsdelivr.net/x https://x.com/p"), k,
                     F.lit(". HTTPS://x.com/Q and https://www.linkedin.com/in/a"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
-    social = T.social_profiles(F.col("text"), T.OWN_HOSTS)
+    rows = rows.withColumn("social", T.social_profiles(F.col("text"), T.OWN_HOSTS, ("github", "twitter", "xing")))
     return rows.select("o_orderkey", _joined(T.urls(F.col("text"), T.OWN_HOSTS)).alias("urls"),
-                       *(_joined(social[p]).alias(p) for p in ("github", "twitter", "xing")))
+                       *(_joined(F.col("social")[p]).alias(p) for p in ("github", "twitter", "xing")))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^(https?://[^/?#]*)', 1)) || regexp_replace(
