@@ -92,6 +92,17 @@ def test_landing_again_adds_files(spark, tmp_path):
     assert searched.pages(spark, empty).count() == 0
 
 
+def test_queries_that_ask_alike_share_a_folder(spark, tmp_path):
+    """As many folders as kinds of searches and days, not as queries."""
+    path, days = f"file://{tmp_path}/landed", ("2024-01-05", "2024-01-02")
+    rows = pages(spark, *((q, s, 200, [card(100 * q + s).replace("2024-01-02", days[q % 2])]) for q in range(40) for s in (0, 10)))
+    searched.land(rows, searched.searches_table(spark, [{"workType": ["remote"]} if q % 4 else {} for q in range(40)]), path)
+    assert {f.name for f in (tmp_path / "landed").rglob("query=*")} == {"query=0", "query=1", "query=2"}
+    whole = searched.pages(spark, path)
+    assert sorted(whole.select("query_ordinal", "start", "html").collect()) == sorted(rows.select("query_ordinal", "start", "html").collect())
+    assert taken(whole.where("newest = '2024-01-05'")) == list(range(0, 40, 2)) and taken(whole.where("work_type = 'any'")) == list(range(0, 40, 4))
+
+
 def test_a_run_over_what_was_landed(spark, tmp_path):
     """Pages are chosen by what was asked, and postings by what they say."""
     path = f"file://{tmp_path}/landed"

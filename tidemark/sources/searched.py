@@ -1,8 +1,9 @@
 """Landed pages by what their searches have asked, so that a run opens only files that may hold its postings.
 
-Pages are landed as Parquet in folders by what a search has asked, by the newest posting it has brought and by query.  These
-are partition columns: filters on them are settled when a scan is planned, from the names of the folders, and files
-that can't have a row are never opened.  A query has a folder, and so some files, of its own.
+Pages are landed as Parquet in folders by what a search has asked and by the newest posting it has brought.  These are
+partition columns: filters on them are settled when a scan is planned, from the names of the folders, and files that can't
+have a row are never opened.  Queries that agree in both share a folder, named by the first of them, so that there are
+no more folders than kinds of searches and days, however many queries are landed.
 
 Filters are not pushed into a Python data source, which would know no more than the folders say: of Spark 4.1's, the reader
 keeps the filters of one plan for all others that are made from the same DataFrame.
@@ -46,16 +47,19 @@ def land(pages: DataFrame, searches: DataFrame, path: str) -> None:
     """Add pages to a folder, with what their searches ask.
 
     pages: columns of :data:`landing.PAGE_SCHEMA`; searches: (query_ordinal, columns of ASKED).  A page whose search is not
-    known has asked for nothing.  A query's pages are sorted by their place; a query with very many is split by Spark.
+    known has asked for nothing.  A query's pages are sorted by their place; a folder with very many is split by Spark.
     """
-    rows = pages.join(searches.select("query_ordinal", *ASKED), "query_ordinal", "left").fillna(ANY, list(ASKED))
     days = F.transform(F.regexp_extract_all("html", F.lit(H.STAMP), F.lit(1)), lambda s: F.left(s, F.lit(10)))
     # Of a query, not of a page: one that is undated hides what the others hold.
     newest = pages.groupBy("query_ordinal").agg(F.max(F.coalesce(F.array_max(days), F.lit(UNDATED))).alias("newest"))
-    rows = rows.join(newest.withColumnRenamed("query_ordinal", "_query"), F.col("query_ordinal").eqNullSafe(F.col("_query"))).drop("_query")
-    rows = rows.withColumn("query", F.coalesce("query_ordinal", F.lit(-1))).select(*_names(SCHEMA))
-    by = (*ASKED, "newest", "query")
-    rows.hint("rebalance", *by).sortWithinPartitions(*by, "start").write.mode("append").partitionBy(*by).parquet(path)
+    alike = (*ASKED, "newest")
+    # A row for each query; html meets them once.
+    queries = newest.join(searches.select("query_ordinal", *ASKED), "query_ordinal", "left").fillna(ANY, list(ASKED))
+    first = queries.groupBy(*alike).agg(F.min(F.coalesce("query_ordinal", F.lit(-1))).alias("query"))
+    queries = queries.join(first, list(alike)).withColumnRenamed("query_ordinal", "_query")
+    rows = pages.join(queries, F.col("query_ordinal").eqNullSafe(F.col("_query"))).select(*_names(SCHEMA))
+    by = (*alike, "query")
+    rows.hint("rebalance", *by).sortWithinPartitions(*by, "query_ordinal", "start").write.mode("append").partitionBy(*by).parquet(path)
 
 
 def _names(schema: str) -> list[str]:
