@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions import text as T
-from tidemark.functions.patterns import S, all_matches, captured, filled, squeezed, trimmed
+from tidemark.functions.patterns import S, all_matches, captured, filled, let, squeezed, trimmed
 
 # The markup that is read.  Any character is a dot under (?s): a class like [\s\S] is two predicates, and of these
 # Java 17 writes to memory that all threads of a machine share, so that eight of them search no faster than one.  White space around what is captured goes later.
@@ -18,6 +20,8 @@ CARD_HEAD = r"""(?s)^<li.*?<div[^>]*data-entity-urn="urn:li:jobPosting:([0-9]+)\
 CARD = r"""(?s)<li(?>.*?<div[^>]*data-entity-urn="urn:li:jobPosting:([0-9]+)").*?</li>"""
 #: A card, or all that is left where none follows: a failed search is not begun again at each list item and each card of the rest.
 CARD_OR_REST = r"""(?s)<li(?>.*?<div[^>]*data-entity-urn="urn:li:jobPosting:[0-9]+"|.*+)(?>.*?</li>|.*+)"""
+#: The id of the first card that begins in a text, or nothing; the text is read once.
+CARD_ID = r"""(?s)<li(?>.*?<div[^>]*data-entity-urn="urn:li:jobPosting:([0-9]+)"|.*+)"""
 MARKER = r'data-entity-urn="urn:li:jobPosting:[0-9]+"'
 TITLE = r'class="base-search-card__title"[^>]*>([^<]*)<'
 SUBTITLE = r'(?s)class="base-search-card__subtitle".*?<a[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
@@ -27,6 +31,8 @@ FULL_LINK = r'<a[^>]*class="[^"]*base-card__full-link[^"]*"[^>]*href="([^"]+)"'
 TRACKING = r'data-tracking-id="([^"]*)"'
 PROMOTED = r"(?<!\w)(?:Promoted|Promoveret|Förderat)(?!\w)"
 EASY_APPLY = r"(?<!\w)(?:Easy Apply|Hurtig ansøgning)(?!\w)"
+#: Parts without a gap of any match of the two, and of one of BENEFIT: a plain search for them tells most cards apart.
+PROMOTED_PARTS, EASY_APPLY_PARTS, BENEFIT_PART = ("Promoted", "Promoveret", "Förderat"), ("Easy", "Hurtig"), "job-posting-benefits__text"
 BENEFIT = r'class="[^"]*job-posting-benefits__text[^"]*"[^>]*>([^<]*)<'
 CRITERION = r'(?s)<li[^>]*class="[^"]*description__job-criteria-item[^"]*"[^>]*>(.*?)</li>'
 CRITERION_LABEL = r'(?s)<h3[^>]*class="[^"]*description__job-criteria-subheader[^"]*"[^>]*>(.*?)</h3>'
@@ -52,16 +58,30 @@ def _plain(captured_text: Column) -> Column:
 
 
 def card_blocks(html: Column) -> Column:
-    """The matches of CARD; what is left behind the last one is found with them, once, and goes."""
+    """The matches of CARD.
+
+    Where each list item that ends is a card or holds no other item's beginning, the matches are the items themselves, found by
+    their ends.  On other pages a match may run over ends, and the pattern is searched; what is left behind the last match is
+    found with them, once, and goes.
+    """
     whole = lambda b: F.endswith(b, F.lit("</li>")) & F.regexp_like(b, F.lit(CARD_HEAD))
-    return F.filter(all_matches(html, CARD_OR_REST), whole)
+    searched = F.filter(all_matches(html, CARD_OR_REST), whole)
+    first = lambda t: F.instr(t, "<li")
+    item = lambda t: F.struct(t.alias("text"), first(t).alias("at"), (F.regexp_extract(t, CARD_ID, 1) != "").alias("card"))
+    # What stands behind the last end is no item.
+    ended = let(F.split(html, "</li>"), lambda t: F.transform(F.slice(t, F.lit(1), F.size(t) - 1), item))
+    found = lambda items: F.transform(F.filter(items, lambda i: i["card"]), lambda i: F.concat(
+        F.substr(i["text"], i["at"]), F.lit("</li>")))
+    plain = lambda items: F.forall(items, lambda i: i["card"] | (i["at"] == 0))
+    return F.coalesce(let(ended, lambda items: F.when(plain(items), found(items))), searched)
 
 
 def card_fields(block: Column) -> list[Column]:
     """The twelve fields of a list card."""
     words = F.regexp_replace(block, "<[^>]+>", " ")
     source_id = F.regexp_extract(block, CARD_HEAD, 1)
-    benefits = F.filter(F.transform(all_matches(block, BENEFIT, 1), _plain), lambda b: b != "")
+    benefits = let(F.filter(F.transform(all_matches(block, BENEFIT, 1), _plain), lambda b: b != ""), lambda b: F.when(F.size(b) > 0, b))
+    has = lambda *parts: reduce(or_, (F.contains(block, F.lit(p)) for p in parts))
     return [
         source_id.alias("sourceJobId"),
         F.concat(F.lit("urn:li:jobPosting:"), source_id).alias("urn"),
@@ -72,9 +92,9 @@ def card_fields(block: Column) -> list[Column]:
         captured(block, STAMP).alias("postedAtIso"),
         T.without_query(captured(block, FULL_LINK)).alias("jobUrl"),
         captured(block, TRACKING).alias("trackingId"),
-        F.regexp_like(words, F.lit(PROMOTED)).alias("isPromoted"),
-        F.regexp_like(words, F.lit(EASY_APPLY)).alias("isEasyApplyOnCard"),
-        F.when(F.size(benefits) > 0, benefits).alias("postingBenefits"),
+        (has(*PROMOTED_PARTS) & F.regexp_like(words, F.lit(PROMOTED))).alias("isPromoted"),
+        (has(*EASY_APPLY_PARTS) & F.regexp_like(words, F.lit(EASY_APPLY))).alias("isEasyApplyOnCard"),
+        F.when(has(BENEFIT_PART), benefits).alias("postingBenefits"),
     ]
 
 
