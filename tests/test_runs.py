@@ -11,7 +11,7 @@ from tidemark.operators import changes as C
 from tidemark.operators import html as H
 from tidemark.operators import statistics as S
 from tidemark.plans import registry, sinks, spec
-from tidemark.plans.pipeline import AllTargetsFailed, Landed, RunFailed, run_and_commit, run_incremental, run_once
+from tidemark.plans.pipeline import AllTargetsFailed, Landed, RunFailed, items_of, run_and_commit, run_incremental, run_once
 from tidemark.sources import landing, runs, state
 from tidemark.streaming.runs import stream_runs
 
@@ -179,6 +179,18 @@ def test_queries_on_runs_leave_nothing_persisted(spark, small, name):
     assert persisted(spark) <= before
 
 
+def test_cards_are_kept_and_only_pages_of_the_first_are_joined(spark):
+    """Not all columns of all postings; and no posting loses its key in the join of details, where those without one would gather."""
+    run = spec.RunSpec.from_dict({"keywords": "x", "enrichDetails": True, "maxResults": 2})
+    details = spark.createDataFrame([(str(i), '<div class="show-more-less-html__markup">Text</div><button>') for i in range(9)], landing.DETAIL_SCHEMA)
+    landed, held = Landed(pages(spark, (0, 0, 200, [card(i) for i in (5, 3)]), (1, 0, 200, [card(i) for i in (5, 8, 7)])), details), []
+    items = items_of(run, landed, "2024-01-03T00:00:00.000Z", held)
+    assert {r.sourceJobId: r.description for r in items.collect()} == {"5": "Text", "3": "Text", "8": None, "7": None}
+    assert len(held) == 1 and "title" in held[0].columns and "skills" not in held[0].columns
+    assert "CASE WHEN" not in [line for line in items._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line][0]
+    held.pop().unpersist()
+
+
 def test_all_runs_are_logged(spark, tmp_path):
     """Good, busy, failed and degraded runs, with what they counted while they wrote."""
     store, log = state.Store(spark, f"file://{tmp_path}/state"), f"{tmp_path}/log"

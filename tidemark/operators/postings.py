@@ -74,20 +74,17 @@ def transform_cards(cards: DataFrame, scraped_at: str, *extra: str, source: str
     }, *extra)
 
 
-def with_details(items: DataFrame, details: DataFrame, phone_mode: str = "strict", when: Column | None = None) -> DataFrame:
+def with_details(items: DataFrame, details: DataFrame, phone_mode: str = "strict") -> DataFrame:
     """Postings with the fields of their detail pages (unique by sourceJobId); others stay as they are.
 
-    when: which postings are enriched at all.  Only the narrow detail side is matched; the new values
-    win over old ones where they are not null, and what is derived from the description is derived anew.
+    To enrich some postings only, give only their pages: keys made null for the others would gather these in one task of
+    the join.  The new values win over old ones where they are not null, and what is derived from the description is
+    derived anew.
     """
     extra = [c for c in items.columns if c not in POSTING_FIELDS]
     d = details.select("sourceJobId", F.struct(*(c for c in details.columns if c != "sourceJobId")).alias("_d"))
-    if when is not None:
-        items = items.withColumn("_key", F.when(when, F.col("sourceJobId")))
-    else:
-        items = items.withColumn("_key", F.col("sourceJobId"))
     d = d.withColumnRenamed("sourceJobId", "_source")
-    rows = items.join(d, F.col("_key") == F.col("_source"), "left")
+    rows = items.join(d, F.col("sourceJobId") == F.col("_source"), "left")
     c, new = F.col, lambda f: F.col("_d")[f]
     rows = rows.withColumns({
         "_desc": F.coalesce(new("description"), c("description")),

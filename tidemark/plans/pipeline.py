@@ -77,12 +77,6 @@ def _filters(spec: RunSpec) -> P.PostingFilters:
         spec.salaryIncludeUnknown)
 
 
-def _among_first(items: DataFrame, n: int) -> Column:
-    """Whether a row is among the first n of the scan; items are persisted, so they are not parsed for it again."""
-    last = items.select("scan_ordinal").orderBy("scan_ordinal").limit(n).agg(F.max("scan_ordinal")).first()[0]
-    return F.col("scan_ordinal") <= F.lit(-1 if last is None else last)
-
-
 def _outcome(landed: Landed, cap: int) -> Row:
     """How the searches went; a run of which all have failed is an error, not a run without results."""
     found = C.coverage_summary(landing.query_outcomes(landed.pages, cap), "rows").first()
@@ -91,37 +85,50 @@ def _outcome(landed: Landed, cap: int) -> Row:
     return found
 
 
-def items_of(spec: RunSpec, landed: Landed, scraped_at: str, held: list[DataFrame], salary_stage: str = "detail") -> DataFrame:
+def items_of(spec: RunSpec, landed: Landed, scraped_at: str, held: list[DataFrame], salary_stage: str = "detail",
+             often: bool = False) -> DataFrame:
     """Postings of a run with scan_ordinal: projected, filtered, enriched.
 
     held takes what is persisted on the way; the caller unpersists it when the postings are written.  Details are looked up
-    for the first maxResults rows.  Pay is known from details only, so the salary filter stands behind them;
-    salary_stage='card' puts it before, where all pay is unknown.
+    for the first maxResults rows, and of the detail pages only theirs are parsed.  Pay is known from details only, so the
+    salary filter stands behind them; salary_stage='card' puts it before, where all pay is unknown.  often: the postings
+    are read more than once.  What is kept for that are cards, which have a fourth of the columns, unless pages are joined.
     """
     cap = C.scan_cap(spec.incrementalMode, spec.maxResults)
     cards = landing.scan_cards(landed.pages, cap, landed.related if spec.discoverRelated else None, spec.relatedSeedCount)
+    enriched, by_company = spec.enrichDetails and landed.details is not None, spec.scrapeCompany and landed.companies is not None
+    if often or (enriched and spec.maxResults > 0):
+        cards = cards.persist()
+        held.append(cards)
     items = P.filtered(P.transform_cards(cards, scraped_at, "scan_ordinal"), _filters(spec), salary_stage == "card")
-    if spec.enrichDetails and landed.details is not None:
-        first = None
+    if enriched:
+        details = landed.details
         if spec.maxResults > 0:
-            items = items.persist()
-            held.append(items)
-            first = _among_first(items, spec.maxResults)
-        items = P.with_details(items, HT.details(landed.details), spec.phoneExtractionMode, first)
+            first = C.first_rows(items.select("sourceJobId", "scan_ordinal"), spec.maxResults, "scan_ordinal")
+            details = details.join(first.select("sourceJobId"), "sourceJobId", "left_semi")
+        items = P.with_details(items, HT.details(details), spec.phoneExtractionMode)
     if salary_stage != "card":
         items = items.where(P.within_salary(_filters(spec)))
-    if spec.scrapeCompany and landed.companies is not None:
+    if by_company:
         items = P.with_companies(items, HT.organisations(landed.companies))
+    if often and (enriched or by_company):
+        items = items.persist()
+        held.append(items)
     return items if landed.own else items.where(P.as_searched(asked_of(spec), scraped_at))
 
 
-def _in_order(items: DataFrame, spec: RunSpec, landed: Landed) -> DataFrame:
-    """The first maxResults rows, with emit_order: as scanned, or in the source's order for pages of other origin."""
+def _in_order(items: DataFrame, spec: RunSpec, landed: Landed, held: list[DataFrame]) -> DataFrame:
+    """The first maxResults rows, with emit_order: as scanned, or in the source's order for pages of other origin.
+
+    Those of the second kind are numbered, so they are read more than once: held takes them, and no row beyond the first ones.
+    """
     order = P.source_order(asked_of(spec) if not landed.own else {"sortBy": "relevant"})
     first = C.first_rows(items, spec.maxResults, *order)
     if len(order) == 1:
         return first.withColumnRenamed("scan_ordinal", "emit_order")
-    return O.numbered(first.withColumn("emit_order", P.source_rank()), "emit_order", "emit_order").drop("scan_ordinal")
+    ranked = first.withColumn("emit_order", P.source_rank()).persist()
+    held.append(ranked)
+    return O.numbered(ranked, "emit_order", "emit_order").drop("scan_ordinal")
 
 
 def _shaped(rows: DataFrame, spec: RunSpec) -> DataFrame:
@@ -143,10 +150,7 @@ def run_once(spec: RunSpec, landed: Landed, scraped_at: str) -> RunResult:
     coverage = C.Coverage(True).after_scan(capped=outcome.any_capped, failed_pages=outcome.failed_queries)
     held: list[DataFrame] = []
     items = items_of(spec, landed, scraped_at, held)
-    if not landed.own:
-        items = items.persist()
-        held.append(items)
-    rows = P.truncated(_in_order(items, spec, landed), spec.descriptionMaxLength)
+    rows = P.truncated(_in_order(items, spec, landed, held), spec.descriptionMaxLength)
     return RunResult(_shaped(rows, spec), coverage, {"failed_queries": outcome.failed_queries}, held=held)
 
 
@@ -162,8 +166,7 @@ def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataF
     coverage = known.after_scan(capped=outcome.any_capped, failed_pages=outcome.failed_queries)
     # The parsed pages feed both outputs; kept in executors' memory and disk, recomputed if lost.
     held: list[DataFrame] = []
-    items = items_of(spec, landed, scraped_at, held).persist()
-    held.append(items)
+    items = items_of(spec, landed, scraped_at, held, often=True)
     current = items.select(
         F.col("jobId").alias("job_id"), F.col("contentHash").alias("content_hash"),
         H.tracked_hash().alias("tracked_hash"), "scan_ordinal", *C.SNAPSHOT_FIELDS)
@@ -178,7 +181,7 @@ def run_incremental(spec: RunSpec, landed: Landed, scraped_at: str, prior: DataF
         found, F.col("jobId") == found["job_id"], "left").drop("job_id")
     if spec.skipReposts:
         active = active.where("repost_of_id is null")
-    active = _in_order(active, spec, landed)
+    active = _in_order(active, spec, landed, held)
     again = F.col("repost_of_id").isNotNull()
     active = P.truncated(active, spec.descriptionMaxLength).withColumns({
         "changeType": F.col("change_type"), "firstSeenAt": F.col("first_seen_at"), "lastSeenAt": F.col("last_seen_at"),
