@@ -319,6 +319,34 @@ def test_bpe_lexicon_counts_all_parts(spark):
     assert max(map(len, words)) <= bpe.LEXICON_WORD_BYTES
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.text(alphabet=" \n\t\xa0ab1s'.é²中<|", max_size=12)), max_size=8))
+def test_bpe_pieces_of_many_chunks_equal_the_pattern(texts):
+    chunks = [chunk for text in texts for chunk in bpe.CHUNK.findall(text)] + texts
+    pieces, many = bpe.pieces_of(pa.array(chunks, pa.string()), ["<|"])
+    want = [[c] if c == "<|" else bpe.PIECE.findall(c) for c in chunks]
+    assert many.tolist() == [len(w) for w in want]
+    assert [p.decode() for p in pieces.to_pylist()] == [p for w in want for p in w]
+
+
+def test_bpe_words_need_no_pattern_each(encoder, monkeypatch):
+    """A call of Python code for each new word is what op7 spent most of its time on."""
+    calls = []
+
+    class Counted:
+        def findall(self, text, pattern=bpe.PIECE):
+            calls.append(text)
+            return pattern.findall(text)
+
+    monkeypatch.setattr(bpe, "PIECE", Counted())
+    coder, _ = encoder
+    text = " ".join(f"w{k}, ({k * 7}) é{k}.\n{k}x" for k in range(3000)) + " don't"
+    ids, lens = coder.encode(pa.array([text, text], pa.string()))
+    want = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert (lens.tolist(), ids.tolist()) == ([len(want)] * 2, want * 2)
+    assert calls == [" don't"]
+
+
 # --- decontamination
 
 def edit_ends(p, t):

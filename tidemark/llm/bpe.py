@@ -21,7 +21,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +64,30 @@ PIECE = re.compile(
     rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
 
+#: The kinds of code points that the pattern knows; an apostrophe may begin a contraction.
+OTHER, LETTERS, NUMBERS, WHITES = range(4)
+SPACE, APOSTROPHE = ord(" "), ord("'")
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for kind, ranges in ((LETTERS, LETTER), (NUMBERS, NUMBER)):
+        for first, last in zip(ranges[::3], ranges[2::3], strict=True):
+            out[ord(first) : ord(last) + 1] = kind
+    out[[ord(c) for c in re.findall(f"[{WHITE}]", "".join(map(chr, range(0x3001))))]] = WHITES
+    return out
+
+
+KINDS = _kinds()
+
 LEXICON_SIZE = 65_536
 MIN_COUNT = 3
 #: Longer words are left to the exact merge, which bounds the lexicon that is broadcast.
 LEXICON_WORD_BYTES = 256
 #: Text bytes that a task holds as chunks at a time, and chunks that a task remembers.
 PART_BYTES = 2 << 20
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: Longer words are merged with a heap, one by one.
 SHORT = 48
 #: Words of up to so many bytes are merged together, to bound the padding.
@@ -140,14 +156,13 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ranks[at], self.NONE)
 
-    def _band(self, words: list[bytes], width: int) -> np.ndarray:
+    def _band(self, flat: np.ndarray, lens: np.ndarray, width: int) -> np.ndarray:
         """Token ids of words of up to width bytes, a row each, -1 behind the end."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.full((len(words), width + 1), -1, np.int64)
-        ids[np.arange(width + 1) < lens[:, None]] = self.single[np.frombuffer(b"".join(words), np.uint8)]
+        ids = np.full((len(lens), width + 1), -1, np.int64)
+        ids[np.arange(width + 1) < lens[:, None]] = self.single[flat]
         out = ids
         rank = self._rank(ids[:, :-1], ids[:, 1:])
-        rows, columns = np.arange(len(words)), np.arange(width)
+        rows, columns = np.arange(len(lens)), np.arange(width)
         while len(rows):
             at = rank.argmin(axis=1)
             best = rank[np.arange(len(rows)), at]
@@ -169,23 +184,23 @@ class Merger:
             rank[each, before] = np.where(at > 0, left, rank[each, before])
         return out
 
-    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def merge_all(self, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, lens): the tokens of word i are ids[starts[i] : starts[i] + lens[i]]."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat, begins, sizes = flat_of(words)
         starts, lens = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         parts, total, least = [], 0, 0
         for width in BANDS:
             own = np.flatnonzero((sizes > least) & (sizes <= width))
             least = width
             if len(own):
-                found = self._band([words[i] for i in own], width)
+                found = self._band(_gathered(flat, begins, sizes, own), sizes[own], width)
                 there = found >= 0
                 lens[own] = there.sum(axis=1)
                 starts[own] = total + np.cumsum(lens[own]) - lens[own]
                 parts.append(found[there].astype(np.uint32))
                 total += len(parts[-1])
         for i in np.flatnonzero(sizes > SHORT):
-            parts.append(np.array(_merge_long([int(x) for x in self.single[list(words[i])]], self.merges), np.uint32))
+            parts.append(np.array(_merge_long(self.single[flat[begins[i] : begins[i] + sizes[i]]].tolist(), self.merges), np.uint32))
             starts[i], lens[i] = total, len(parts[-1])
             total += len(parts[-1])
         return (np.concatenate(parts) if parts else np.empty(0, np.uint32)), starts, lens
@@ -300,16 +315,14 @@ class Transducer:
             file.flush()
             return Transducer(memoryview(mmap.mmap(file.fileno(), len(buffer), access=mmap.ACCESS_READ)))
 
-    def lookup(self, words: list[bytes]) -> np.ndarray:
+    def lookup(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """The number of each word, -1 for those that the lexicon does not have."""
+        flat, starts, lens = flat_of(words)
         out = np.full(len(words), -1, np.int64)
-        lens = np.fromiter(map(len, words), np.int64, len(words))
         live = np.flatnonzero((lens <= self.longest) & (lens > 0))
         if not len(live) or not len(self.keys):
             return out
-        flat = np.frombuffer(b"".join([words[i] for i in live]), np.uint8)
-        lens = lens[live]
-        starts = np.cumsum(lens) - lens
+        lens, starts = lens[live], starts[live]
         state = np.full(len(live), self.root, np.int64)
         number = np.zeros(len(live), np.int64)
         for step in range(int(lens.max())):
@@ -349,14 +362,47 @@ def cut_at_spaces(texts: pa.Array, special: Iterable[str]) -> tuple[np.ndarray,
     return which, lists.flatten(), lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
 
 
-def chunk_of(key: str) -> str:
+def chunks_of(keys: pa.Array) -> pa.Array:
     """Keys are ``' ' + chunk``, or a chunk without the one space that it begins with."""
-    return key[1:] if key[:1] == " " else " " + key
+    return pc.if_else(pc.starts_with(keys, " "), pc.utf8_slice_codeunits(keys, 1), pc.binary_join_element_wise("", keys, " "))
 
 
-def pieces_of(chunk: str) -> list[str]:
-    """The pieces of a chunk; a word of letters alone is one piece."""
-    return [chunk] if chunk[chunk[:1] == " " :].isalpha() else PIECE.findall(chunk)
+def pieces_of(chunks: pa.Array, special: Iterable[str]) -> tuple[pa.Array, np.ndarray]:
+    """(pieces, many): the pieces of all chunks in turn, as bytes, and how many each has.
+
+    A piece is a run of one kind.  The space that a chunk begins with goes with the run behind it, and of
+    white space that something follows the last one is a piece of its own.  Chunks that may have
+    contractions go through the pattern; special tokens are one piece.
+    """
+    data, starts, lens = flat_of(chunks.cast(pa.binary()))
+    data = data[starts[0] : starts[-1] + lens[-1]] if len(chunks) else data[:0]
+    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    place = np.flatnonzero((data & 0xC0) != 0x80)
+    edges = np.searchsorted(place, np.concatenate([[0], np.cumsum(lens)]))
+    first = np.zeros(len(codes) + 1, bool)
+    first[edges] = True
+    kind = KINDS[codes]
+    white = kind == WHITES
+    begin = first[:-1].copy()
+    inner = ~first[1:-1]
+    changed = kind[1:] != kind[:-1]
+    spaced = first[:-2] & (codes[:-1] == SPACE) & ~white[1:] if len(codes) > 1 else inner
+    last = white[1:-1] & ~white[2:] & ~first[2:-1]
+    begin[1:] |= inner & changed & ~spaced
+    begin[1:-1] |= inner[:-1] & white[:-2] & last
+    odd = codes == APOSTROPHE
+    odd[1:-1] |= ~first[1:-2] & (codes[1:-1] == SPACE) & last
+    whole = pc.is_in(chunks, value_set=pa.array(list(special), pa.string())).to_numpy(zero_copy_only=False)
+    chunk = np.searchsorted(edges, np.flatnonzero(odd), side="right") - 1
+    for i in np.unique(np.concatenate([chunk, np.flatnonzero(whole)])).tolist():
+        a, b = edges[i], edges[i + 1]
+        begin[a:b] = False
+        at = [a] if whole[i] else a + np.cumsum([0, *map(len, PIECE.findall(chunks[i].as_py()))])[:-1]
+        begin[at] = True
+    begins = np.flatnonzero(begin)
+    offsets = np.append(place[begins], len(data)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return pieces, np.diff(np.searchsorted(begins, edges))
 
 
 def _splitter(special: Iterable[str]) -> re.Pattern | None:
@@ -364,12 +410,12 @@ def _splitter(special: Iterable[str]) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
 
-class _Numbers(dict):
-    """Numbers keys as they are asked for."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
+def flat_of(words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(flat, starts, lens): the bytes of words, and where each one begins there."""
+    words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets or bytes(4), np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8), ends[:-1], np.diff(ends)
 
 
 def _gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -389,41 +435,41 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        none = np.empty(0, np.int64)
-        self.number = _Numbers()
-        # A key's pieces, and a piece's tokens: slices of flat arrays; and the tokens of a key.
-        self.pieces, self.first, self.many, self.tokens = none, none, none, none
-        self.ids, self.starts, self.lens = np.array(self.lexicon.ids), none, none
-
-    def _solve(self) -> None:
-        """Token ids of the keys that are new since the last call."""
-        new = list(islice(self.number, len(self.first), None))
+        # The keys that are known, and their tokens as slices of ids.
+        self.keys = pa.array([], pa.string())
+        self.ids, self.starts, self.lens = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _numbers(self, keys: pa.Array) -> np.ndarray:
+        """The numbers of distinct keys; those that are new get their tokens."""
+        out = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(out < 0)
+        out[new] = len(self.keys) + np.arange(len(new))
+        if len(new):
+            self._solve(keys.take(pa.array(new)))
+        return out
+
+    def _solve(self, keys: pa.Array) -> None:
         special = self.vocabulary.special
-        pieces, flat, many = _Numbers(), [], []
-        for key in new:
-            chunk = chunk_of(key)
-            split = [chunk] if chunk in special else pieces_of(chunk)
-            flat += map(pieces.__getitem__, split)
-            many.append(len(split))
-        words = [p.encode() for p in pieces]
+        pieces, many = pieces_of(chunks_of(keys), special)
+        coded = pieces.dictionary_encode()
+        words, flat = coded.dictionary, coded.indices.to_numpy()
         found = self.lexicon.lookup(words)
         unseen = np.flatnonzero(found < 0)
-        ids, starts, lens = self.merger.merge_all([words[i] for i in unseen])
+        ids, starts, lens = self.merger.merge_all(words.take(pa.array(unseen)))
         own = self.lexicon.offsets
         begin, size = np.array(own[found]), np.array(own[np.minimum(found + 1, len(own) - 1)] - own[found])
-        begin[unseen], size[unseen] = starts + len(self.ids), lens
-        for name in special.keys() & pieces.keys():
-            begin[pieces[name]], size[pieces[name]] = len(self.ids) + len(ids), 1
-            ids = np.append(ids, np.uint32(special[name]))
-        flat, many = np.array(flat, np.int64), np.array(many, np.int64)
+        ids = np.concatenate([self.lexicon.ids, ids])
+        begin[unseen], size[unseen] = starts + len(self.lexicon.ids), lens
+        names = pa.array([x.encode() for x in special], pa.binary())
+        for i in np.flatnonzero(pc.is_in(words, value_set=names).to_numpy(zero_copy_only=False)).tolist():
+            begin[i], size[i] = len(ids), 1
+            ids = np.append(ids, np.uint32(special[words[i].as_py().decode()]))
         ends = np.cumsum(many)
         sums = np.concatenate([[0], np.cumsum(size[flat])])
-        self.tokens = np.concatenate([self.tokens, sums[ends] - sums[ends - many]])
-        self.first = np.concatenate([self.first, len(self.pieces) + ends - many])
-        self.many = np.concatenate([self.many, many])
-        self.pieces = np.concatenate([self.pieces, flat + len(self.starts)])
-        self.ids = np.concatenate([self.ids, ids])
-        self.starts, self.lens = np.concatenate([self.starts, begin]), np.concatenate([self.lens, size])
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.starts = np.concatenate([self.starts, len(self.ids) + sums[ends - many]])
+        self.lens = np.concatenate([self.lens, sums[ends] - sums[ends - many]])
+        self.ids = np.concatenate([self.ids, _gathered(ids, begin, size, flat)])
 
     def _slow_keys(self, text: str) -> list[str]:
         out = []
@@ -433,26 +479,30 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, lens): the token ids of all texts in turn, and how many each has."""
-        if len(self.number) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._forget()
-        number = self.number.__getitem__
         which, parts, offsets = cut_at_spaces(texts, self.vocabulary.special)
         coded = parts.dictionary_encode()
-        names = np.fromiter(map(number, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
-        fast = names[coded.indices.to_numpy()]
-        heads = parts.take(pa.array(offsets[:-1])).to_pylist()
-        fast[offsets[:-1]] = np.fromiter((number(" " + x) for x in heads), np.int64, len(heads))
-        rows: list[np.ndarray] = [fast[:0]] * len(texts)
-        for i, a, b in zip(which, offsets, offsets[1:], strict=False):
-            rows[i] = fast[a:b]
-        for i in np.setdiff1d(np.arange(len(texts)), which):
-            keys = self._slow_keys(texts[i].as_py())
-            rows[i] = np.fromiter(map(number, keys), np.int64, len(keys))
-        self._solve()
-        lens = np.array([self.tokens[row].sum() for row in rows], np.int64)
-        keys = np.concatenate(rows) if rows else fast
-        pieces = _gathered(self.pieces, self.first, self.many, keys)
-        return _gathered(self.ids, self.starts, self.lens, pieces), lens
+        heads = pc.binary_join_element_wise("", parts.take(pa.array(offsets[:-1])), " ")
+        slow = np.setdiff1d(np.arange(len(texts)), which)
+        found = [self._slow_keys(texts[i].as_py()) for i in slow.tolist()]
+        more = pa.array([key for keys in found for key in keys], pa.string())
+        distinct = pa.concat_arrays([coded.dictionary, heads, more]).dictionary_encode()
+        number = self._numbers(distinct.dictionary)[distinct.indices.to_numpy()]
+        at = np.cumsum([len(coded.dictionary), len(heads)])
+        fast = number[coded.indices.to_numpy()]
+        fast[offsets[:-1]] = number[at[0] : at[1]]
+        # The keys of fast texts come first; rows puts all into the order of the texts.
+        begin, many = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        begin[which], many[which] = offsets[:-1], np.diff(offsets)
+        many[slow] = [len(keys) for keys in found]
+        begin[slow] = len(fast) + np.cumsum(many[slow]) - many[slow]
+        keys = np.concatenate([fast, number[at[1] :]])
+        if len(slow):
+            keys = _gathered(keys, begin, many, np.arange(len(texts)))
+        sums = np.concatenate([[0], np.cumsum(self.lens[keys])])
+        ends = np.cumsum(many)
+        return _gathered(self.ids, self.starts, self.lens, keys), sums[ends] - sums[ends - many]
 
 
 def decode(ids: np.ndarray, table: np.ndarray) -> bytes:
@@ -479,6 +529,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", special: Iterable[st
     holds for their sums.  Words of more than LEXICON_WORD_BYTES are not among them.
     """
     names = list(special)
+    rows = lambda words, n: pa.RecordBatch.from_arrays(
+        [pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = _splitter(names)
@@ -486,18 +538,18 @@ def frequent_words(docs: DataFrame, text_col: str = "text", special: Iterable[st
             texts = batch.column("text")
             which, parts, _ = cut_at_spaces(texts, names)
             found = pc.value_counts(parts)
+            pieces, many = pieces_of(chunks_of(found.field("values")), ())
+            coded = pieces.dictionary_encode()
+            times = np.repeat(found.field("counts").to_numpy(), many)
+            sums = np.bincount(coded.indices.to_numpy(), times, len(coded.dictionary)).astype(np.int64)
+            kept = np.flatnonzero(flat_of(coded.dictionary)[2] <= LEXICON_WORD_BYTES)
+            yield rows(coded.dictionary.take(pa.array(kept)), sums[kept])
             words = Counter()
-            for key, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist(), strict=True):
-                for piece in pieces_of(chunk_of(key)):
-                    words[piece] += n
             for i in np.setdiff1d(np.arange(len(texts)), which):
                 for part in (splitter.split(texts[i].as_py()) if splitter else [texts[i].as_py()])[::2]:
                     words.update(PIECE.findall(part))
-            kept = [(key, n) for w, n in words.items() if len(key := w.encode()) <= LEXICON_WORD_BYTES]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())],
-                names=["word", "n"],
-            )
+            more = [(key, n) for w, n in words.items() if len(key := w.encode()) <= LEXICON_WORD_BYTES]
+            yield rows([w for w, _ in more], [n for _, n in more])
 
     counted = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "word binary, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
