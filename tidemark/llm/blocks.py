@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import session_of, shuffle_partitions, stored, text_of
-from tidemark.llm.words import mixed, word_hashes, word_spans
+from tidemark.llm.words import STEP, mixed, word_hashes, word_spans
 
 #: Bytes of text in a block; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -251,6 +251,9 @@ _PLACES = np.random.default_rng(97).integers(1, 2**63, (2, 64), dtype=np.uint64)
 def window_hashes(words: np.ndarray, at: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
     """A 64-bit hash of the width words from each place; lanes are independent of each other."""
     out = np.zeros(len(at), np.uint64)
-    for j in range(width):
-        out += words[at + j] * _PLACES[lane, j]
-    return mixed(out)
+    for a in range(0, len(at), STEP):
+        own, part = at[a : a + STEP], out[a : a + STEP]
+        for j in range(width):
+            part += words[own + j] * _PLACES[lane, j]
+        part[:] = mixed(part)
+    return out

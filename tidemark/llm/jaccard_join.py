@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import blocks as B
 from tidemark.llm.components import connected_components
 from tidemark.llm.shared import collected, session_of, shuffle_partitions, stored
-from tidemark.llm.words import mixed
+from tidemark.llm.words import STEP, mixed
 
 #: Parts of the hash space whose counts bound distances.
 PARTS = 16
@@ -92,17 +92,21 @@ def shingle_sets(block: B.Block, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document; a shorter text is one shingle."""
     words = block.hashes[0]
     lens = np.diff(block.starts)
-    hashes = B.window_hashes(words, B.windows(words, block.starts, width), width)
-    ends = np.cumsum(np.maximum(lens - width + 1, 0))
     out = []
-    for d, n in enumerate(lens.tolist()):
-        if n >= width:
-            out.append(np.unique(hashes[ends[d] - (n - width + 1) : ends[d]]))
-        elif n:
-            whole = B.window_hashes(words, block.starts[d : d + 1], n, lane=1)
-            out.append(mixed(whole + np.uint64(n)))
-        else:
-            out.append(hashes[:0])
+    # Some documents at a time, so that only the sets grow with the block.
+    cuts = np.searchsorted(block.starts[:-1], np.arange(0, max(1, len(words)), STEP))
+    cuts = np.unique(np.append(cuts, [0, len(lens)])).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        hashes = B.window_hashes(words, B.windows(words, block.starts[a : b + 1], width), width)
+        ends = np.cumsum(np.maximum(lens[a:b] - width + 1, 0))
+        for d, n in enumerate(lens[a:b].tolist()):
+            if n >= width:
+                out.append(np.unique(hashes[ends[d] - (n - width + 1) : ends[d]]))
+            elif n:
+                whole = B.window_hashes(words, block.starts[a + d : a + d + 1], n, lane=1)
+                out.append(mixed(whole + np.uint64(n)))
+            else:
+                out.append(words[:0].copy())
     return out
 
 

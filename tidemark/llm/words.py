@@ -11,6 +11,9 @@ _KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _ADD = (np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 
+#: Words or windows that are hashed at a time: what is held beside the hashes does not grow with a block.
+STEP = 1 << 16
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads them evenly."""
@@ -31,8 +34,14 @@ def word_hashes(raw: bytes, begin: np.ndarray, end: np.ndarray, lanes: int = 2)
     """A row of hashes for each lane: of eight bytes at a time, each mixed into what came before."""
     padded = raw + bytes(8)
     eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
-    size = end - begin
     out = np.empty((lanes, len(begin)), np.uint64)
+    for a in range(0, len(begin), STEP):
+        _hash(eights, begin[a : a + STEP], end[a : a + STEP], out[:, a : a + STEP])
+    return out
+
+
+def _hash(eights: np.ndarray, begin: np.ndarray, end: np.ndarray, out: np.ndarray) -> None:
+    lanes, size = len(out), end - begin
     first = eights[begin] & _KEPT[np.minimum(size, 8)]
     for k in range(lanes):
         out[k] = mixed(first * _MULTIPLY[k] + size.astype(np.uint64) * _ADD[k])
@@ -43,4 +52,3 @@ def word_hashes(raw: bytes, begin: np.ndarray, end: np.ndarray, lanes: int = 2)
             out[k, more] = mixed((out[k, more] ^ part) * _MULTIPLY[k] + _ADD[k])
         at += 8
         more = more[size[more] > at]
-    return out
