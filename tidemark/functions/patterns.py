@@ -6,6 +6,7 @@ word can stand next to an accented letter; case is ignored across scripts where
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 #: The inside of a character class of white space.
 WS = r"\t-\r    -     　﻿"
 S = f"[{WS}]"
+#: All characters of white space.
+WHITE = "".join(c for c in map(chr, range(0x10000)) if re.match(S, c))
+
+
 def until_space(more: str) -> str:
     """A run of characters up to white space or one of more (ASCII, escaped for a class); each is held to one small set, and to the rest
     of the white space only behind ASCII."""
@@ -28,7 +33,8 @@ BU = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{S}+|(?![!-~])(?<!{S}){S}+\z", "")
+    """No white space at the ends; of a text only these are read."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def squeezed(text: Column) -> Column:
@@ -41,6 +47,11 @@ def captured(text: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
+def first_group(text: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, empty without a match; the text is read no further."""
+    return F.regexp_extract(text, pattern, group)
+
+
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), empty_strings())
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -205,23 +206,30 @@ def skill_label(term: str) -> str:
 #: Terms in the order of their labels in a dictionary: case decides last, small letters first.
 _SKILLS = sorted(((skill_label(t), t) for t in ref.SKILL_TERMS), key=lambda p: (p[0].casefold(), p[0].swapcase()))
 _LABELS = tuple(dict.fromkeys(label for label, _ in _SKILLS))
-_SKILL_PATTERN = "(?<= )(?:" + "|".join(re.escape(t) for t in ref.SKILL_TERMS) + ")(?=[ .])"
+#: Terms by their first character, so that a word is compared with those of its own only; no term is another one followed by a dot.
+_SKILL_PATTERN = " (" + "|".join(
+    re.escape(first) + "(?:" + "|".join(re.escape(t[1:]) for t in ref.SKILL_TERMS if t[0] == first) + ")" for first in dict.fromkeys(t[0] for t in ref.SKILL_TERMS)
+) + ")(?=[ .])"
+#: All but what terms consist of; letters and digits are written out, which Java looks up in one set.
+_NO_SKILL = f"[^{string.ascii_letters}{string.digits}+#.]+"
 
 
 def skills(text: Column) -> Column:
     """Labels of the known skills that stand in the text as whole words, in dictionary order."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{Alnum}+#.]+", " "), F.lit(" "))
-    # One pass over the text; no term is another one followed by a dot, so matches don't hide each other.
-    found = all_matches(plain, _SKILL_PATTERN)
+    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), _NO_SKILL, " "), F.lit(" "))
+    # One pass over the text; the space before a term is part of its match, the one behind it is not.
     label = lambda t: _lookup(dict((term, label) for label, term in _SKILLS), t)
-    known = let(F.transform(found, label), lambda own: F.filter(literals(*_LABELS), lambda s: F.array_contains(own, s)))
-    return F.when(F.size(found) > 0, known).otherwise(empty_strings())
+    return _in_dictionary_order(F.transform(all_matches(plain, _SKILL_PATTERN, 1), label))
 
 
 def merged_skills(a: Column, b: Column) -> Column:
     """The labels of both, in dictionary order."""
-    both = F.concat(a, b)
-    return F.filter(literals(*_LABELS), lambda s: F.array_contains(both, s))
+    return F.coalesce(_in_dictionary_order(F.concat(a, b)), empty_strings())
+
+
+def _in_dictionary_order(labels: Column) -> Column:
+    """The known ones of some labels; these are computed once, where a filter of the known ones would compute them for each."""
+    return F.array_intersect(literals(*_LABELS), labels)
 
 
 def _amount(number: Column, suffix: Column) -> Column:
@@ -271,34 +279,36 @@ def salary(text: Column) -> Column:
 
 def workplace_type(text: Column) -> Column:
     """hybrid, remote or onsite by the words of a text; hybrid beats remote, a negated remote is none."""
-    low = F.lower(text)
-    has = lambda p: F.regexp_like(low, F.lit(p))
-    negated = has(rf"{B}(?:no|not|non|never|isn['’]?t|aren['’]?t|without){B}[{WS}A-Za-z0-9_]{{0,12}}{B}remote{B}")
-    office = has(rf"{B}on[-{WS}]?site{B}") | has(rf"{B}in[-{WS}]office{B}") | has(rf"{B}work from (?:the )?office{B}")
-    return (
-        F.when(has(rf"{B}hybrid{B}"), "hybrid")
-        .when(has(rf"{B}remote{B}") & ~negated, "remote")
-        .when(office, "onsite")
-    )
+    def of(low: Column) -> Column:
+        # Word boundaries are slow to search for; a plain search for a part of all matches comes first.
+        has = lambda part, p: F.contains(low, F.lit(part)) & F.regexp_like(low, F.lit(p))
+        negated = has("remote", rf"{B}(?:no|not|non|never|isn['’]?t|aren['’]?t|without){B}[{WS}A-Za-z0-9_]{{0,12}}{B}remote{B}")
+        office = has("site", rf"{B}on[-{WS}]?site{B}") | has("office", rf"{B}in[-{WS}]office{B}") | has("office", rf"{B}work from (?:the )?office{B}")
+        return (
+            F.when(has("hybrid", rf"{B}hybrid{B}"), "hybrid")
+            .when(has("remote", rf"{B}remote{B}") & ~negated, "remote")
+            .when(office, "onsite")
+        )
+
+    return let(F.lower(text), of)
 
 
 def first_sentence(text: Column) -> Column:
-    first = F.split(squeezed(text), rf"(?<=[.!?]){S}+")[0]
+    first = F.regexp_replace(squeezed(text), r"(?s) (?<=[.!?] ).*+", "")
     return F.regexp_replace(first, rf"^[-•·–]{S}*", "")
 
 
 def summary(title: Column, company: Column, location: Column, description: Column) -> Column:
     """title · company · location — first sentence; null if all are missing."""
     bits = filled(F.concat_ws(" · ", filled(title), filled(company), filled(location)))
-    text = F.concat_ws(" — ", bits, filled(first_sentence(description)))
-    return F.substring(filled(text), 1, SUMMARY_LENGTH)
+    text = F.concat_ws(" — ", bits, let(first_sentence(description), filled))
+    return F.substring(let(text, filled), 1, SUMMARY_LENGTH)
 
 
 def markdown(text: Column) -> Column:
     """Lines as Markdown: headings from capitals or a final colon, bullets as dashes; null if empty."""
 
-    def line(raw: Column) -> Column:
-        t = trimmed(raw)
+    def line(t: Column) -> Column:
         heading = F.concat(F.lit("## "), trimmed(F.regexp_replace(t, r":\z", "")))
         capitals = F.length(t).between(3, 60) & F.regexp_like(t, F.lit(rf"^[A-Z][A-Z{WS}0-9&/()\-',.]{{2,}}:?{S}*\z"))
         colon = F.regexp_like(t, F.lit(rf"^[A-Z][^.!?\n]{{2,48}}:{S}*\z"))
@@ -311,8 +321,8 @@ def markdown(text: Column) -> Column:
             .otherwise(t)
         )
 
-    joined = F.array_join(F.transform(F.split(text, "\n"), line), "\n")
-    return filled(trimmed(F.regexp_replace(joined, r"\n{3,}", "\n\n")))
+    joined = F.array_join(F.transform(F.transform(F.split(text, "\n"), trimmed), line), "\n")
+    return let(trimmed(F.regexp_replace(joined, r"\n{3,}", "\n\n")), filled)
 
 
 def _tail(location: Column, body: Callable[[Column, Column], Column]) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidemark.functions import text as T
-from tidemark.functions.patterns import S, all_matches, captured, filled, let, squeezed, trimmed
+from tidemark.functions.patterns import S, all_matches, captured, filled, first_group, let, squeezed, trimmed
 
 # The markup that is read.  Any character is a dot under (?s): a class like [\s\S] is two predicates, and of these
 # Java 17 writes to memory that all threads of a machine share, so that eight of them search no faster than one.  White space around what is captured goes later.
@@ -87,10 +87,10 @@ def card_fields(block: Column) -> list[Column]:
         F.concat(F.lit("urn:li:jobPosting:"), source_id).alias("urn"),
         _plain(captured(block, TITLE)).alias("title"),
         _plain(captured(block, SUBTITLE, 2)).alias("company"),
-        T.without_query(captured(block, SUBTITLE)).alias("companyUrl"),
+        T.without_query(first_group(block, SUBTITLE)).alias("companyUrl"),
         _plain(captured(block, PLACE)).alias("location"),
         captured(block, STAMP).alias("postedAtIso"),
-        T.without_query(captured(block, FULL_LINK)).alias("jobUrl"),
+        T.without_query(first_group(block, FULL_LINK)).alias("jobUrl"),
         captured(block, TRACKING).alias("trackingId"),
         (has(*PROMOTED_PARTS) & F.regexp_like(words, F.lit(PROMOTED))).alias("isPromoted"),
         (has(*EASY_APPLY_PARTS) & F.regexp_like(words, F.lit(EASY_APPLY))).alias("isEasyApplyOnCard"),
@@ -117,7 +117,7 @@ def criteria(html: Column) -> Column:
     tidy = lambda c: squeezed(T.decode_entities(c))
     pairs = F.transform(
         all_matches(html, CRITERION, 1),
-        lambda b: F.struct(tidy(captured(b, CRITERION_LABEL)).alias("label"), tidy(captured(b, CRITERION_VALUE)).alias("value")),
+        lambda b: F.struct(tidy(first_group(b, CRITERION_LABEL)).alias("label"), tidy(first_group(b, CRITERION_VALUE)).alias("value")),
     )
     return F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
 
@@ -129,12 +129,12 @@ def _last_value(pairs: Column, label: str) -> Column:
 def _workplace(pairs: Column) -> Column:
     """By the first criterion that names a kind of workplace; a label's last value stands at its first place."""
     def kind(p: Column) -> Column:
-        value = F.lower(F.element_at(F.filter(pairs, lambda q: q["label"] == p["label"]), -1)["value"])
-        return (
+        last = F.lower(F.element_at(F.filter(pairs, lambda q: q["label"] == p["label"]), -1)["value"])
+        return let(last, lambda value: (
             F.when(F.contains(value, F.lit("remote")), "remote")
             .when(F.contains(value, F.lit("hybrid")), "hybrid")
             .when(F.contains(value, F.lit("on-site")) | F.contains(value, F.lit("onsite")), "onsite")
-        )
+        ))
 
     return F.try_element_at(F.filter(F.transform(pairs, kind), lambda k: k.isNotNull()), F.lit(1))
 
@@ -159,12 +159,15 @@ def poster(html: Column) -> Column:
 def details(pages: DataFrame, html: str = "html") -> DataFrame:
     """The eleven fields of each detail page, with the page's other columns."""
     others = [c for c in pages.columns if c != html]
-    page = F.col(html)
+    page, page_ = F.col(html), F.col("_page")
     # In steps, so that what is used more than once is computed once.
-    first = pages.select(*others, page.alias("_page"), trimmed(captured(page, DESCRIPTION)).alias("_inner"), criteria(page).alias("_criteria"),
-                         squeezed(T.decode_entities(captured(page, APPLICANTS))).alias("_applicants"))
-    first = first.select("*", filled(F.col("_inner")).alias("descriptionHtml"), T.strip_tags(F.col("_inner")).alias("_text"))
-    first = first.withColumn("description", filled(F.col("_text")))
+    first = pages.select(*others, page.alias("_page"), trimmed(first_group(page, DESCRIPTION)).alias("_inner"))
+    first = first.select(*others, "_page", F.struct("_inner", T.strip_tags(F.col("_inner")).alias("_text")).alias("_found"))
+    # Spark does not move a filter on what a generator brings below it.  A filter on descriptions would otherwise go down to the tables
+    # that the pages come from, into a join's condition, and have each page made and read again for each place it names.
+    first = first.select(*others, "_page", F.inline(F.array("_found")))
+    first = first.select(*others, "_page", filled(F.col("_inner")).alias("descriptionHtml"), filled(F.col("_text")).alias("description"))
+    first = first.select("*", criteria(page_).alias("_criteria"), squeezed(T.decode_entities(first_group(page_, APPLICANTS))).alias("_applicants"))
     pairs, text = F.col("_criteria"), F.col("description")
     count = F.replace(captured(F.col("_applicants"), "([0-9][0-9,]*)"), F.lit(","), F.lit(""))
     return first.select(
@@ -175,9 +178,9 @@ def details(pages: DataFrame, html: str = "html") -> DataFrame:
         _last_value(pairs, "Industries").alias("industry"),
         count.try_cast("long").alias("applicantCount"),
         F.coalesce(_workplace(pairs), T.workplace_type(text)).alias("workplaceType"),
-        filled(squeezed(T.decode_entities(captured(F.col("_page"), POSTED_AGO)))).alias("postedRelative"),
+        filled(squeezed(T.decode_entities(first_group(page_, POSTED_AGO)))).alias("postedRelative"),
         T.salary(text).alias("salary"),
-        poster(F.col("_page")).alias("poster"),
+        poster(page_).alias("poster"),
     )
 
 
