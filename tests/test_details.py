@@ -97,3 +97,31 @@ def test_the_first_match_of_a_page_counts(spark):
     both = H.details(spark.createDataFrame([("a", page), ("b", "<p>x</p>"), ("c", None)], "id string, html string")).orderBy("id").collect()
     assert [(r.id, r.description, r.descriptionHtml, r.postedRelative, r.applicantCount) for r in both] == [
         ("a", "One two", "One<br>two", None, 1200), ("b", None, None, None, None), ("c", None, None, None, None)]
+
+
+def test_posters_with_missing_parts(spark):
+    start = '<div class="message-the-recruiter">'
+    name, link = '<h3 class="base-main-card__title"><!--x--> A &amp;amp; <b>B</b> </h3>', '<a class="base-card__full-link" href="https://a.example/p?a=1&amp;b"></a>'
+    empty, photo = '<h3 class="base-main-card__title"> </h3>', '<img data-delayed-url="https://i.example/?a&amp;b">'
+    pages = [name, link, empty + photo, start + name, start + empty + link + photo, start + empty + photo, start + link.replace("a.example", "b.example") + link, ""]
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, html string").select("id", H.poster(F.col("html")).alias("p")).orderBy("id").collect()
+    assert [r.p and tuple(r.p) for r in rows] == [
+        None, None, None, ("A & B", None, None, None), (None, None, "https://a.example/p?a=1&amp;b", "https://i.example/?a&b"), None,
+        (None, None, "https://b.example/p?a=1&amp;b", None), None]
+
+
+@pytest.mark.parametrize(("tags", "promoted", "easy"), [
+    ("", False, False), ("<b>Promoted</b>", True, False), ("<b>Easy</b><i>Apply</i>", False, False), ("<b>Easy Apply</b>Promoveret", True, True),
+    ('<i title="Promoted Easy Apply">', False, False), ("NotPromoted Easy Applyx", False, False)])
+def test_words_of_cards(spark, tags, promoted, easy):
+    card = f'<li><div data-entity-urn="urn:li:jobPosting:1"><a class="base-card__full-link" href="?q">{tags}</a></div></li>'
+    row = H.cards(spark.createDataFrame([(card,)], "html string")).first()
+    assert (row.isPromoted, row.isEasyApplyOnCard, row.jobUrl, row.companyUrl) == (promoted, easy, "", None)
+
+
+@pytest.mark.parametrize(("text", "expected"), [
+    ("$1,000.50k – 2m to $9 per year", (1_000_500, 2_000_000, "USD", "YEAR")), ("€20/hr to 30K", (20, 30_000, "EUR", "HOUR")), ("£5 to £4", (4, 5, "GBP", "HOUR")),
+    ("€7 an hour | £9", (7, None, "EUR", "HOUR")), ("pay $5|$6", None), (None, None)])
+def test_groups_of_pay(spark, text, expected):
+    found = spark.createDataFrame([(text,)], "t string").select(T.salary(F.col("t")).alias("x")).first().x
+    assert (tuple(found) if found else None) == expected

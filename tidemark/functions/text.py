@@ -97,7 +97,7 @@ def decode_entities(text: Column) -> Column:
 
 def without_query(url: Column) -> Column:
     """The URL up to its first question mark, decoded; null for an empty one."""
-    return F.when(url != "", decode_entities(F.substring_index(url, "?", 1)))
+    return let(url, lambda u: F.when(u != "", decode_entities(F.substring_index(u, "?", 1))))
 
 
 def strip_tags(html: Column) -> Column:
@@ -255,7 +255,9 @@ def _currency(symbol: Column) -> Column:
 def salary(text: Column) -> Column:
     """struct(min, max, currency, period) of the first range of pay, else of the first amount; null if none."""
     def groups(found: Column, pattern: str, n: int, body: Callable[..., Column]) -> Column:
-        return let(F.array(*(F.regexp_extract(found, pattern, i + 1) for i in range(n))), lambda g: body(*(g[i] for i in range(n))))
+        # All groups in one search; none of them has a bar.
+        parts = F.split(F.regexp_replace(found, pattern, "|".join(f"${i + 1}" for i in range(n))), r"\|")
+        return let(parts, lambda g: body(*(g[i] for i in range(n))))
 
     def of_range(sign, low, low_suffix, period, high, high_suffix, other_period) -> Column:
         amounts = F.array(_amount(low, low_suffix), _amount(high, high_suffix))

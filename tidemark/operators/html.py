@@ -78,10 +78,11 @@ def card_blocks(html: Column) -> Column:
 
 def card_fields(block: Column) -> list[Column]:
     """The twelve fields of a list card."""
-    words = F.regexp_replace(block, "<[^>]+>", " ")
     source_id = F.regexp_extract(block, CARD_HEAD, 1)
     benefits = let(F.filter(F.transform(all_matches(block, BENEFIT, 1), _plain), lambda b: b != ""), lambda b: F.when(F.size(b) > 0, b))
     has = lambda *parts: reduce(or_, (F.contains(block, F.lit(p)) for p in parts))
+    # Spark computes first what two columns have in common, also behind an "and"; so words of other cards are null.
+    words = F.regexp_replace(F.when(has(*PROMOTED_PARTS, *EASY_APPLY_PARTS), block), "<[^>]+>", " ")
     return [
         source_id.alias("sourceJobId"),
         F.concat(F.lit("urn:li:jobPosting:"), source_id).alias("urn"),
@@ -142,18 +143,18 @@ def _workplace(pairs: Column) -> Column:
 def poster(html: Column) -> Column:
     """struct(name, title, url, photo) of the person who posted; null where neither name nor link is given."""
     at = F.instr(html, POSTER)
-    block = F.when(at > 0, F.substring(html, at, F.lit(POSTER_WINDOW)))
 
     def clean(c: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), "<[^>]+>", "")
-        return filled(T.decode_entities(squeezed(T.decode_entities(bare))))
+        return T.decode_entities(squeezed(T.decode_entities(bare)))
 
-    name, url = clean(captured(block, POSTER_NAME)), captured(block, POSTER_LINK)
-    out = F.struct(
-        name.alias("name"), clean(captured(block, POSTER_TITLE)).alias("title"), url.alias("url"),
-        T.decode_entities(captured(block, POSTER_PHOTO)).alias("photo"),
-    )
-    return F.when(name.isNotNull() | url.isNotNull(), out)
+    def parts(block: Column) -> Column:
+        found = {"name": clean(first_group(block, POSTER_NAME)), "title": clean(first_group(block, POSTER_TITLE)), "url": first_group(block, POSTER_LINK),
+                 "photo": T.decode_entities(first_group(block, POSTER_PHOTO))}
+        return F.struct(*(let(c, filled).alias(n) for n, c in found.items()))
+
+    given = lambda p: F.when(p["name"].isNotNull() | p["url"].isNotNull(), p)
+    return F.when(at > 0, let(let(F.substring(html, at, F.lit(POSTER_WINDOW)), parts), given))
 
 
 def details(pages: DataFrame, html: str = "html") -> DataFrame:
